@@ -55,22 +55,31 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables that hold whole runs of equal keys, from batches sorted by them."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int = 8 << 20) -> Iterator[pa.Table]:
+    """Tables that hold whole runs of equal keys, from batches sorted by them: about ``limit`` bytes, or one run."""
     rest: pa.Table | None = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
-        last = run_starts([t.column(k).to_numpy() for k in keys])[-1]
-        if last:
-            yield t.slice(0, last).combine_chunks()
-        rest = t.slice(last)
+        step = max(1, int(batch.num_rows * limit / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            t = pa.Table.from_batches([batch.slice(at, step)])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            last = run_starts([t.column(k).to_numpy() for k in keys])[-1]
+            if last:
+                yield t.slice(0, last).combine_chunks()
+            rest = t.slice(last)
     if rest is not None and rest.num_rows:
         yield rest.combine_chunks()
 
 
+def binary_rows(col: pa.ChunkedArray | pa.Array, dtype: type) -> list[np.ndarray]:
+    """Each value of a binary column as an array, without copying."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].tolist()
+    data = memoryview(col.buffers()[2] or b"")
+    return [np.frombuffer(data[a:b], dtype) for a, b in zip(at, at[1:], strict=False)]
+
+
 def run_starts(cols: list[np.ndarray]) -> np.ndarray:
     """Where runs of equal values begin."""
     change = np.zeros(len(cols[0]), bool)
@@ -80,11 +89,6 @@ def run_starts(cols: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def blobs(rows: list[np.ndarray]) -> pa.Array:
-    """A binary array with the bytes of each numpy array."""
-    return pa.array([x.tobytes() for x in rows], pa.binary())
-
-
 def split_blob(flat: np.ndarray, at: np.ndarray) -> pa.Array:
     """A binary array of flat[at[i]:at[i+1]], without a Python loop."""
     flat = np.ascontiguousarray(flat)

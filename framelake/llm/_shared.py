@@ -4,7 +4,8 @@
 for each target partition. Keys that a flush has already seen under two owners
 are shared for certain: their owners are told at once, and only one mark goes on,
 so a key in very many rows sends a few bytes from each flush, never one row each.
-``meet`` is the receiving side. Both are exact.
+``meet`` is the receiving side. Both are exact. Answers travel back packed as well: one
+row for each partition of owners (``pack_answers``), put together again by ``gather``.
 """
 
 from __future__ import annotations
@@ -89,3 +90,27 @@ def meet(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray
     hit[order] = np.repeat(two, np.diff(np.append(at, len(k))))
     hit &= owners != ANY
     return by_owner(keys[hit], owners[hit]) if hit.any() else None
+
+
+def pack_answers(found: tuple[np.ndarray, np.ndarray, np.ndarray] | None, parts: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """Rows (to, owners, sizes, values), one for each of ``parts`` partitions of owners; values are 64-bit."""
+    if found is None:
+        return []
+    ids, values, at = found
+    to, size = ids % parts, np.diff(at)
+    order = np.argsort(to, kind="stable")
+    size = size[order]
+    end = np.cumsum(size)
+    take = np.repeat(at[:-1][order] - (end - size), size) + np.arange(end[-1])
+    ids, to, values = ids[order], to[order], values[take]
+    cuts = np.append(run_starts([to]), len(to))
+    start = np.concatenate(([0], end))
+    return [(int(to[a]), ids[a:b].tobytes(), size[a:b].astype(np.uint32).tobytes(), values[start[a] : start[b]].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def gather(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners, sorted values, and offsets of each owner's values, of all answers of a partition."""
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    owners = np.concatenate([np.repeat(np.frombuffer(r[0], np.int64), np.frombuffer(r[1], np.uint32)) for r in rows])
+    return by_owner(np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]), owners)

@@ -23,15 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm import _text
-from framelake.llm._exec import parts, run_starts, split_blob
-from framelake.llm._shared import FLUSH, Pack, meet
+from framelake.llm._exec import binary_rows, parts, run_starts, split_blob
+from framelake.llm._shared import FLUSH, Pack, gather, meet, pack_answers
 
 ANCHOR = 5
-_FACTORS = "doc_id bigint, starts binary, lengths binary"
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -59,6 +59,34 @@ def windows(col: pa.Array, window: int) -> tuple[_text.Words, np.ndarray, np.nda
     return w, whole, low[place], first
 
 
+_ASK = "part int, keys binary, owners binary, counts binary, to int, ids binary, sizes binary, values binary"
+_ANSWER = "to int, ids binary, sizes binary, values binary"
+_DOC = "doc_id bigint, found binary"
+_TYPE = {"int": pa.int32(), "binary": pa.binary()}
+
+
+def _batch(schema: str, rows: list[tuple], *names: str) -> pa.RecordBatch:
+    """Rows of some columns of a schema; the others are null."""
+    cols = dict(zip(names, zip(*rows, strict=True), strict=True))
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], _TYPE[t]) if c in cols else pa.nulls(len(rows), _TYPE[t]) for c, t in fields], [c for c, _ in fields])
+
+
+def _answers(found: tuple[np.ndarray, np.ndarray, np.ndarray] | None, n_parts: int, schema: str) -> Iterator[pa.RecordBatch]:
+    if rows := pack_answers(found, n_parts):
+        if schema == _ANSWER:
+            yield _batch(schema, rows, "to", "ids", "sizes", "values")
+        else:
+            yield _batch(schema, [(r[0], *r) for r in rows], "part", "to", "ids", "sizes", "values")
+
+
+def _split(batch: pa.RecordBatch, names: tuple[str, ...]) -> tuple[pa.RecordBatch, list[tuple]]:
+    """What is an answer already, and the rest."""
+    done = batch.column("to").is_valid()
+    rest = batch.filter(pc.invert(done))
+    return batch.filter(done).select(["to", "ids", "sizes", "values"]), list(zip(*(rest.column(c).to_pylist() for c in names), strict=True))
+
+
 def _anchors(window: int, n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = Pack(n_parts)
@@ -66,12 +94,8 @@ def _anchors(window: int, n_parts: int):
         def flush() -> Iterator[pa.RecordBatch]:
             rows, known = pack.flush()
             if rows:
-                p, k, o, c = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k), pa.array(o), pa.array(c), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.binary())], ["part", "keys", "owners", "counts", "doc_id", "shared"])
-            if known:
-                ids, keys, at = known
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids % n_parts, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(3)), pa.array(ids), split_blob(keys, at)], ["part", "keys", "owners", "counts", "doc_id", "shared"])
+                yield _batch(_ASK, rows, "part", "keys", "owners", "counts")
+            yield from _answers(known, n_parts, _ASK)
 
         for batch in batches:
             for part in _text.slices(batch, "text"):
@@ -87,17 +111,25 @@ def _anchors(window: int, n_parts: int):
     return run
 
 
-def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for batch in batches:
-        own = batch.filter(batch.column("doc_id").is_valid())
-        if own.num_rows:
-            yield own.select(["doc_id", "shared"])
-        rest = batch.filter(batch.column("doc_id").is_null())
-        rows += zip(*(rest.column(c).to_pylist() for c in ("keys", "owners", "counts")), strict=True)
-    if found := meet(rows):
-        ids, keys, at = found
-        yield pa.RecordBatch.from_arrays([pa.array(ids), split_blob(keys, at)], ["doc_id", "shared"])
+def _tell(n_parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            own, rest = _split(batch, ("keys", "owners", "counts"))
+            if own.num_rows:
+                yield own
+            rows += rest
+        yield from _answers(meet(rows), n_parts, _ANSWER)
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All that was found for each document, sorted."""
+    ids, values, at = gather([r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("ids", "sizes", "values")), strict=True)])
+    for a in range(0, len(ids), 10_000):
+        cut = at[a : a + 10_001]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 10_000]), split_blob(values[cut[0] : cut[-1]], cut - cut[0])], ["doc_id", "found"])
 
 
 def factors(key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -110,21 +142,21 @@ def factors(key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return later
 
 
-def _spans(doc: np.ndarray, place: np.ndarray, window: int) -> pa.RecordBatch | None:
-    """Factors (runs of consecutive windows) by document, from windows in order of (doc, place)."""
+def _spans(doc: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Factors (runs of consecutive windows) by document: start * 2**32 + length, in words."""
     if not len(doc):
         return None
+    by = np.lexsort((place, doc))
+    doc, place = doc[by], place[by]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)
     at = np.flatnonzero(new)
     length = np.diff(np.append(at, len(doc))) + window - 1
     by = run_starts([doc[at]])
-    cuts = np.append(by, len(at))
-    return pa.RecordBatch.from_arrays([pa.array(doc[at][by]), split_blob(place[at].astype(np.int64), cuts), split_blob(length.astype(np.int64), cuts)], ["doc_id", "starts", "lengths"])
+    return doc[at][by], (place[at] << 32 | length).astype(np.uint64), np.append(by, len(at))
 
 
-_SENT = "part int, keys binary, checks binary, docs binary, counts binary, places binary, doc_id bigint, starts binary, lengths binary"
-_NAMES = [x.split()[0] for x in _SENT.split(", ")]
+_SENT = "part int, keys binary, checks binary, docs binary, counts binary, places binary, to int, ids binary, sizes binary, values binary"
 
 
 def _index(window: int, n_parts: int):
@@ -136,10 +168,7 @@ def _index(window: int, n_parts: int):
         key, anchor, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         later = factors(key, anchor.astype(np.uint32), doc)
-        by = np.lexsort((place[later], doc[later]))
-        if (known := _spans(doc[later][by], place[later][by], window)) is not None:
-            n = known.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(known.column(0).to_numpy() % n_parts, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(5)), *known.columns], _NAMES)
+        yield from _answers(_spans(doc[later], place[later], window), n_parts, _SENT)
         part = ((anchor >> np.uint64(24)) % np.uint64(n_parts)).astype(np.int64)
         sent = np.flatnonzero(~later)
         sent = sent[np.argsort(part[sent], kind="stable")]
@@ -149,8 +178,7 @@ def _index(window: int, n_parts: int):
             x = sent[a:b]
             at = np.append(run_starts([doc[x]]), b - a)
             rows.append((int(part[x[0]]), key[x].tobytes(), anchor[x].astype(np.uint32).tobytes(), doc[x][at[:-1]].tobytes(), np.diff(at).astype(np.uint32).tobytes(), np.diff(place[x], prepend=0).astype(np.int32).tobytes()))
-        cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:]), pa.nulls(len(rows), pa.int64()), *(pa.nulls(len(rows), pa.binary()) for _ in range(2))], _NAMES)
+        yield _batch(_SENT, rows, "part", "keys", "checks", "docs", "counts", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -158,9 +186,8 @@ def _index(window: int, n_parts: int):
             for part in _text.slices(batch, "text"):
                 _, whole, anchor, first = windows(part.column("text"), window)
                 ids = part.column("doc_id").to_numpy()
-                for i, shared in enumerate(part.column("shared").to_pylist()):
+                for i, known in enumerate(binary_rows(part.column("found"), np.uint64)):
                     a, b = first[i], first[i + 1]
-                    known = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in shared]))
                     if a == b or not len(known):
                         continue
                     near = np.minimum(np.searchsorted(known, anchor[a:b]), len(known) - 1)
@@ -175,15 +202,14 @@ def _index(window: int, n_parts: int):
     return run
 
 
-def _factor(window: int):
+def _factor(window: int, n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
-            own = batch.filter(batch.column("doc_id").is_valid())
+            own, rest = _split(batch, ("keys", "checks", "docs", "counts", "places"))
             if own.num_rows:
-                yield own.select(["doc_id", "starts", "lengths"])
-            rest = batch.filter(batch.column("doc_id").is_null())
-            rows += zip(*(rest.column(c).to_pylist() for c in ("keys", "checks", "docs", "counts", "places")), strict=True)
+                yield own
+            rows += rest
         if not rows:
             return
         key = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
@@ -192,22 +218,19 @@ def _factor(window: int):
         place = np.concatenate([np.cumsum(np.frombuffer(r[4], np.int32), dtype=np.int64) for r in rows])
         rows.clear()
         later = factors(key, check, doc)
-        doc, place = doc[later], place[later]
-        by = np.lexsort((place, doc))
-        if (found := _spans(doc[by], place[by], window)) is not None:
-            yield found
+        yield from _answers(_spans(doc[later], place[later], window), n_parts, _ANSWER)
 
     return run
 
 
-def removed(words: _text.Words, starts: list[list[bytes] | None], lengths: list[list[bytes] | None]) -> np.ndarray:
+def removed(words: _text.Words, found: list[np.ndarray]) -> np.ndarray:
     """Which words factors cover."""
     edge = np.zeros(len(words.start) + 1, np.int32)
-    for i, (ss, ls) in enumerate(zip(starts, lengths, strict=True)):
-        if ss:
-            s = np.concatenate([np.frombuffer(x, np.int64) for x in ss]) + words.first[i]
+    for i, spans in enumerate(found):
+        if len(spans):
+            s = (spans >> np.uint64(32)).astype(np.int64) + words.first[i]
             np.add.at(edge, s, 1)
-            np.add.at(edge, s + np.concatenate([np.frombuffer(x, np.int64) for x in ls]), -1)
+            np.add.at(edge, s + (spans & np.uint64(0xFFFFFFFF)).astype(np.int64), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -232,8 +255,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _text.slices(batch, "text"):
             w = _text.Words(part.column("text"), "space")
-            starts, lengths = (part.column(c).to_pylist() for c in ("starts", "lengths"))
-            gone = removed(w, starts, lengths)
+            gone = removed(w, binary_rows(part.column("found"), np.uint64))
             total = np.concatenate(([0], np.cumsum(gone)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts), pa.array(np.diff(total[w.first])), kept_text(w, gone)], ["doc_id", "n_words", "n_removed", "kept"])
 
@@ -249,17 +271,18 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = parts(docs, 2)
     by_id = docs.where("doc_id is not null").repartition(n, "doc_id")
-    to = F.expr(f"pmod(part, {n})")
-    sent = by_id.mapInArrow(_anchors(window, n), "part int, keys binary, owners binary, counts binary, doc_id bigint, shared binary")
-    told = sent.repartitionById(n, to).mapInArrow(_tell, "doc_id bigint, shared binary")
-    told = told.repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list("shared").alias("shared"))
-    indexed = by_id.join(told.hint("shuffle_hash"), "doc_id").mapInArrow(_index(window, n), _SENT)
-    found = indexed.repartitionById(n, to).mapInArrow(_factor(window), _FACTORS)
-    found = found.repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("lengths").alias("lengths"))
+    to = lambda c: F.expr(f"pmod({c}, {n})")
+
+    def for_documents(answers: DataFrame) -> DataFrame:
+        return answers.repartitionById(n, to("to")).mapInArrow(_gather, _DOC).repartition(n, "doc_id").hint("shuffle_hash")
+
+    told = by_id.mapInArrow(_anchors(window, n), _ASK).repartitionById(n, to("part")).mapInArrow(_tell(n), _ANSWER)
+    indexed = by_id.join(for_documents(told), "doc_id").mapInArrow(_index(window, n), _SENT)
+    found = indexed.repartitionById(n, to("part")).mapInArrow(_factor(window, n), _ANSWER)
     cut = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
-    out = by_id.join(found.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_cut, cut)
-    none = F.lit(None).cast("array<binary>")
-    return out.unionByName(docs.where("doc_id is null").select("doc_id", "text", none.alias("starts"), none.alias("lengths")).mapInArrow(_cut, cut))
+    out = by_id.join(for_documents(found), "doc_id", "left").mapInArrow(_cut, cut)
+    nameless = docs.where("doc_id is null").withColumn("found", F.lit(None).cast("binary"))
+    return out.unionByName(nameless.mapInArrow(_cut, cut))
 
 
 def cut_documents(docs: DataFrame, window: int = 50) -> DataFrame:
