@@ -27,16 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm import _text
-from framelake.llm._exec import drop, parts, run_starts, saved, small, split_blob, whole_groups
-from framelake.llm._shared import Pack, meet
+from framelake.llm._exec import binary_rows, drop, parts, run_starts, saved, small, whole_groups
+from framelake.llm._shared import Pack, gather, meet, pack_answers
 from framelake.llm.components import components
 
-#: Sets of one cluster that are compared in one task; larger clusters go block against block.
-BLOCK = 4096
+#: Sets, and their shingles, of one cluster that are compared in one task; larger clusters go block against block.
+BLOCK, BLOCK_TOKENS = 4096, 1_000_000
 HALF = np.uint64(1 << 63)
 
 
@@ -66,24 +67,25 @@ def _sign(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-_SENT = "part int, keys binary, owners binary, counts binary, doc_id bigint, n bigint, s1 bigint, s2 bigint, n_half bigint, tail binary, shared binary"
-_TOLD = "doc_id bigint, n bigint, s1 bigint, s2 bigint, n_half bigint, tail binary, shared binary"
-_NAMES = ["part", "keys", "owners", "counts", "doc_id", "n", "s1", "s2", "n_half", "tail", "shared"]
-_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+_SENT = "part int, keys binary, owners binary, counts binary, to int, ids binary, sizes binary, shared binary, doc_id bigint, n bigint, s1 bigint, s2 bigint, n_half bigint, tail binary"
+_NAMES = [x.split()[0] for x in _SENT.split(", ")]
+_TYPES = [{"int": pa.int32(), "binary": pa.binary(), "bigint": pa.int64()}[x.split()[1]] for x in _SENT.split(", ")]
+_TOLD = ", ".join(_SENT.split(", ")[4:])
+_SETS = "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix binary"
 
 
-def _batch(cols: dict, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([cols[c] if isinstance(cols.get(c), pa.Array) else pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
+def _batch(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    """Rows of some of the columns; the others are null."""
+    cols = dict(zip(names, zip(*rows, strict=True), strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(len(rows), t) for c, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
 
 
 def _flush(pack: Pack) -> Iterator[pa.RecordBatch]:
     rows, known = pack.flush()
     if rows:
-        p, k, o, c = zip(*rows, strict=True)
-        yield _batch({"part": p, "keys": k, "owners": o, "counts": c}, len(p))
-    if known:
-        ids, keys, at = known
-        yield _batch({"part": (ids % pack.parts).astype(np.int32), "doc_id": ids, "shared": split_blob(keys, at)}, len(ids))
+        yield _batch(rows, "part", "keys", "owners", "counts")
+    if answers := pack_answers(known, pack.parts):
+        yield _batch([(a[0], *a) for a in answers], "part", "to", "ids", "sizes", "shared")
 
 
 def _send(k: int, num: int, den: int, n_parts: int):
@@ -91,22 +93,19 @@ def _send(k: int, num: int, den: int, n_parts: int):
         pack, seen = Pack(n_parts), {}
         for batch in batches:
             for part in _text.slices(batch, "text"):
-                ids = part.column("doc_id").to_numpy()
-                sets = shingle_sets(part.column("text"), k)
                 stats, keys, owners = [], [], []
-                for i, s in zip(ids, sets, strict=True):
+                for i, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), k), strict=True):
                     s1, s2 = _sign(s)
                     half = s[: np.searchsorted(s, HALF)]
                     need = len(s) - least_overlap(len(s), num, den) + 1
-                    stats.append((i % n_parts, i, len(s), s1, s2, len(half), s[len(half) : need].tobytes()))
+                    stats.append((i % n_parts, i % n_parts, i, len(s), s1, s2, len(half), s[len(half) : need].tobytes()))
                     if len(half) and seen.get((s1, s2), i + 1) > i:  # the smallest id of a class always sends
                         seen[s1, s2] = i
                         keys.append(half)
                         owners.append(np.full(len(half), i))
                 if len(seen) > 200_000:
                     seen.clear()
-                p, i, n, s1, s2, nh, tail = zip(*stats, strict=True)
-                yield _batch({"part": p, "doc_id": i, "n": n, "s1": s1, "s2": s2, "n_half": nh, "tail": tail}, len(p))
+                yield _batch(stats, "part", "to", "doc_id", "n", "s1", "s2", "n_half", "tail")
                 if keys and pack.add(np.concatenate(keys), np.concatenate(owners)):
                     yield from _flush(pack)
         yield from _flush(pack)
@@ -114,37 +113,54 @@ def _send(k: int, num: int, den: int, n_parts: int):
     return run
 
 
-def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
-    names = _NAMES[4:]
-    for batch in batches:
-        own = batch.filter(batch.column("doc_id").is_valid())
-        if own.num_rows:
-            yield own.select(names)
-        rest = batch.filter(batch.column("doc_id").is_null())
-        rows += zip(*(rest.column(c).to_pylist() for c in ("keys", "owners", "counts")), strict=True)
-    if found := meet(rows):
-        ids, keys, at = found
-        blob = split_blob(keys, at)
-        yield pa.RecordBatch.from_arrays([pa.array(ids)] + [pa.nulls(len(ids), t) for t in _TYPES[5:10]] + [blob], names)
+def _tell(n_parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            done = batch.column("to").is_valid()
+            if (own := batch.filter(done)).num_rows:
+                yield own.select(_NAMES[4:])
+            rest = batch.filter(pc.invert(done))
+            rows += zip(*(rest.column(c).to_pylist() for c in ("keys", "owners", "counts")), strict=True)
+        if answers := pack_answers(meet(rows), n_parts):
+            yield _batch(answers, "to", "ids", "sizes", "shared").select(_NAMES[4:])
+
+    return run
 
 
 def _prefixes(num: int, den: int):
+    """One row for each document: its size, signature and prefix (null: cannot link)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers, docs = [], {}
         for b in batches:
-            out = []
-            for n, nh, tail, shared in zip(*(b.column(c).to_pylist() for c in ("n", "n_half", "tail", "shared")), strict=True):
-                got = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in shared])) if shared else np.zeros(0, np.uint64)
-                left = n - least_overlap(n, num, den) + 1 - (nh - len(got))
-                if not n or left <= 0:
-                    out.append(None)
-                else:
-                    out.append(np.concatenate([got[:left], np.frombuffer(tail, np.uint64)[: max(0, left - len(got))]]).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "n", "s1", "s2")] + [pa.array(out, pa.binary())], ["doc_id", "n", "s1", "s2", "prefix"])
+            rest = b.filter(b.column("doc_id").is_null())
+            answers += zip(*(rest.column(c).to_pylist() for c in ("ids", "sizes", "shared")), strict=True)
+            own = b.filter(b.column("doc_id").is_valid())
+            for i, *stats in zip(*(own.column(c).to_pylist() for c in ("doc_id", "n", "s1", "s2", "n_half", "tail")), strict=True):
+                docs[i] = max(docs.get(i, stats), stats)
+        ids, values, at = gather(answers)
+        place = dict(zip(ids.tolist(), range(len(ids)), strict=True))
+        rows = []
+        for i, (n, s1, s2, nh, tail) in docs.items():
+            j = place.get(i)
+            got = np.unique(values[at[j] : at[j + 1]]) if j is not None else values[:0]
+            left = n - least_overlap(n, num, den) + 1 - (nh - len(got))
+            prefix = np.concatenate([got[:left], np.frombuffer(tail, np.uint64)[: max(0, left - len(got))]]).tobytes() if n and left > 0 else None
+            rows.append((i, n, s1, s2, prefix))
+            if len(rows) == 10_000:
+                yield _set_rows(rows)
+                rows = []
+        if rows:
+            yield _set_rows(rows)
 
     return run
 
 
+def _set_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 4 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], ["doc_id", "n", "s1", "s2", "prefix"])
+
+
 def _postings(num: int, den: int):
     step = np.log(den / num)
 
@@ -169,15 +185,26 @@ def _members(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _text.slices(batch, "text"):
-                rows = []
+                rows, size = [], 0
                 for s, i, c, nb, pre in zip(shingle_sets(part.column("text"), k), *(part.column(x).to_pylist() for x in ("doc_id", "cluster", "blocks", "prefix")), strict=True):
                     own = int(_text.mix(np.array([i], np.int64).view(np.uint64))[0] % np.uint64(nb))
-                    rows += [(c, min(own, j), max(own, j), i, own, pre, s.tobytes()) for j in range(nb)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["cluster", "a", "b", "doc_id", "own", "prefix", "tokens"])
+                    for j in range(nb):
+                        rows.append((c, min(own, j), max(own, j), i, pre, s.tobytes()))
+                        size += s.nbytes
+                        if size > 8 << 20:
+                            yield _member_rows(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield _member_rows(rows)
 
     return run
 
 
+def _member_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["cluster", "a", "b", "doc_id", "prefix", "tokens"])
+
+
 def common(x: np.ndarray, y: np.ndarray) -> int:
     """How many values two sorted arrays share."""
     if len(x) > len(y):
@@ -238,7 +265,7 @@ def _verify(num: int, den: int):
         for t in whole_groups(batches, ["cluster", "a", "b"]):
             cuts = np.append(run_starts([t.column(c).to_numpy() for c in ("cluster", "a", "b")]), t.num_rows)
             ids = t.column("doc_id").to_pylist()
-            sets, pre = ([np.frombuffer(x, np.uint64) for x in t.column(c).to_pylist()] for c in ("tokens", "prefix"))
+            sets, pre = (binary_rows(t.column(c), np.uint64) for c in ("tokens", "prefix"))
             out = [(i, m) for a, b in zip(cuts, cuts[1:], strict=False) for i, m in zip(ids[a:b], link_classes(ids[a:b], sets[a:b], [x.tolist() for x in pre[a:b]], num, den), strict=True) if i != m]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
@@ -259,10 +286,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     some = docs.where("doc_id is not null")
     n_parts = parts(docs, 1.5)
-    sent = some.mapInArrow(_send(k, num, den, n_parts), _SENT)
-    told = sent.repartitionById(n_parts, F.expr(f"pmod(part, {n_parts})")).mapInArrow(_tell, _TOLD)
-    by_doc = told.groupBy("doc_id").agg(F.max(F.when(F.col("n").isNotNull(), F.struct("n", "s1", "s2", "n_half", "tail"))).alias("s"), F.collect_list("shared").alias("shared")).select("doc_id", "s.*", "shared")
-    sets = saved(by_doc.mapInArrow(_prefixes(num, den), "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix binary"))
+    to = lambda c: F.expr(f"pmod({c}, {n_parts})")
+    told = some.mapInArrow(_send(k, num, den, n_parts), _SENT).repartitionById(n_parts, to("part")).mapInArrow(_tell(n_parts), _TOLD)
+    sets = saved(told.repartitionById(n_parts, to("to")).mapInArrow(_prefixes(num, den), _SETS))
 
     full = sets.where("n > 0")
     reps = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
@@ -271,9 +297,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     stars = post.groupBy("token", "size").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     clusters = saved(components(post.join(stars, ["token", "size"]).where("doc_id > low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))))
     drop(post)
-    blocks = clusters.groupBy(F.col("component").alias("cluster")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = saved(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(blocks, "cluster").join(sets.select("doc_id", "prefix"), "doc_id"))
-    held = some.join(small(members), "doc_id").mapInArrow(_members(k), "cluster bigint, a int, b int, doc_id bigint, own int, prefix binary, tokens binary")
+    found = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(sets.select("doc_id", "n", "prefix"), "doc_id")
+    many = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
+    members = saved(found.join(found.groupBy("cluster").agg(many.alias("blocks")), "cluster").drop("n"))
+    held = some.join(small(members), "doc_id").mapInArrow(_members(k), "cluster bigint, a int, b int, doc_id bigint, prefix binary, tokens binary")
     links = held.repartition(n_parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b").mapInArrow(_verify(num, den), "a bigint, b bigint")
     found = components(links)
 
