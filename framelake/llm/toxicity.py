@@ -50,10 +50,19 @@ class _Cut:
 def features(w: _text.Words, rows: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """Weight numbers of the given words (one row each)."""
     shift = np.uint64(64 - BITS)
-    out = [whole >> shift]
-    for n in _PREFIXES:
-        out.append(_text.mix(_Cut(w, n, rows).hashes() + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> shift)
-    return np.stack(out, axis=1).astype(np.int32)
+    out = np.empty((len(rows), 1 + len(_PREFIXES)), np.int32)
+    out[:, 0] = whole >> shift
+    for j, n in enumerate(_PREFIXES, 1):
+        out[:, j] = _text.mix(_Cut(w, n, rows).hashes() + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> shift
+    return out
+
+
+def emissions(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    """Sum of each word's weights, one feature at a time."""
+    out = np.zeros(len(feats))
+    for j in range(feats.shape[1]):
+        out += weights[feats[:, j]]
+    return out
 
 
 def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +84,7 @@ def marginals(e: np.ndarray, start: np.ndarray, size: np.ndarray, chain: np.ndar
     live = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # chains with a t-th token
     x = np.exp(np.clip(e + chain[0], -30, 30))
     begin, t01, t10, t11 = np.exp(np.clip(chain[1:], -30, 30))
-    fwd = np.empty((size[0], len(start), 2))
+    fwd = np.empty((size[0], len(start), 2), np.float32 if len(start) > 10_000 else np.float64)
     for t, n in enumerate(live):
         xt = x[start[:n] + t]
         if t:
@@ -130,15 +139,11 @@ def _vocabulary(w: _text.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def token_labels(feats: np.ndarray, which: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """1 for tokens of toxic documents with a feature that marks them."""
+    counts = [np.zeros(1 << BITS, np.int64) for _ in range(2)]
+    for i, label in enumerate(toxic.tolist()):
+        counts[label][np.unique(feats[np.unique(which[first[i] : first[i + 1]])])] += 1
+    n0, n1 = counts
     doc = np.repeat(np.arange(len(toxic)), np.diff(first))
-    seen = np.unique(doc << 32 | which)
-    d, word = seen >> 32, seen & 0xFFFFFFFF
-    counts = []
-    for label in (1, 0):
-        at = toxic[d] == label
-        flat = np.unique((d[at][:, None] << 32 | feats[word[at]]).ravel())
-        counts.append(np.bincount(flat & 0xFFFFFFFF, minlength=1 << BITS))
-    n1, n0 = counts
     t1, t0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
     odds = np.log((n1 + 0.1) / (t1 + 1)) - np.log((n0 + 0.1) / (t0 + 1))
     mark = (n1 >= max(3, 0.01 * t1)) & (odds >= 3)
@@ -176,15 +181,15 @@ def fit(texts: list[str], toxic: np.ndarray, shares: tuple[float, float], rounds
     weights, chain = np.zeros(1 << BITS), np.array([-5.0, 0, 0, 0, 0])
     m, v = np.zeros(len(weights) + 5), np.zeros(len(weights) + 5)
     for t in range(1, rounds + 1):  # Adam on the whole sample
-        p, counts = marginals(weights[feats].sum(axis=1)[which], start, size, chain)
+        p, counts = marginals(emissions(weights, feats)[which], start, size, chain)
         off = np.bincount(which, p - label, len(rows))
-        grad = np.concatenate([np.bincount(feats.ravel(), np.repeat(off, feats.shape[1]), len(weights)) + 0.05 * weights, [off.sum()], counts - seen])
+        grad = np.concatenate([sum(np.bincount(feats[:, j], off, len(weights)) for j in range(feats.shape[1])) + 0.05 * weights, [off.sum()], counts - seen])
         grad[-5:] += 0.05 * chain
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-3)
         weights -= step[:-5]
         chain = chain - step[-5:]
-    p, _ = marginals(weights[feats].sum(axis=1)[which], start, size, chain)
+    p, _ = marginals(emissions(weights, feats)[which], start, size, chain)
     doc = logistic(summary(p, w.first), toxic.astype(float), np.where(toxic == 1, shares[1], shares[0]))
     return Model(weights, chain, doc, float("nan"))
 
@@ -210,7 +215,7 @@ def _score(model: Model):
                 p = np.zeros(len(w.start))
                 if len(p) and np.isnan(model.base):
                     rows, known, which = _vocabulary(w)
-                    e = model.weights[features(w, rows, known)].sum(axis=1)[which]
+                    e = emissions(model.weights, features(w, rows, known))[which]
                     p, _ = marginals(e, *chains(w.first), model.chain)
                 n = len(w.first) - 1
                 score = 1 / (1 + np.exp(-np.clip(summary(p, w.first) @ model.doc, -30, 30))) if np.isnan(model.base) else np.full(n, model.base)
