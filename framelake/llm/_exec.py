@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only below this many rows of two or three numbers each (32 MB).
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only below this many rows of two or three numbers each (about 15 MB).
+BROADCAST_ROWS = 300_000
 
 
 def scratch(spark: SparkSession) -> str:

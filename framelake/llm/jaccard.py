@@ -186,10 +186,10 @@ def _members(k: int):
         for batch in batches:
             for part in _text.slices(batch, "text"):
                 rows, size = [], 0
-                for s, i, c, nb, pre in zip(shingle_sets(part.column("text"), k), *(part.column(x).to_pylist() for x in ("doc_id", "cluster", "blocks", "prefix")), strict=True):
+                for s, i, c, nb in zip(shingle_sets(part.column("text"), k), *(part.column(x).to_pylist() for x in ("doc_id", "cluster", "blocks")), strict=True):
                     own = int(_text.mix(np.array([i], np.int64).view(np.uint64))[0] % np.uint64(nb))
                     for j in range(nb):
-                        rows.append((c, min(own, j), max(own, j), i, pre, s.tobytes()))
+                        rows.append((c, min(own, j), max(own, j), i, s.tobytes()))
                         size += s.nbytes
                         if size > 8 << 20:
                             yield _member_rows(rows)
@@ -201,8 +201,8 @@ def _members(k: int):
 
 
 def _member_rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["cluster", "a", "b", "doc_id", "prefix", "tokens"])
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["cluster", "a", "b", "doc_id", "tokens"])
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -214,12 +214,26 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def link_classes(ids: list[int], sets: list[np.ndarray], prefixes: list[list[int]], num: int, den: int, width: int = 8) -> list[int]:
-    """The smallest id of each set's class, by an index with block skipping and answers taken over.
+def local_prefixes(sets: list[np.ndarray], num: int, den: int) -> list[list[int]]:
+    """Each set's prefix in the order of frequency among these sets, without tokens that no other of them has.
 
-    A prefix holds its set's first tokens in the global order, without those that no
-    other set has; these come before all others, so they only shift the places.
+    Those come before all others, so leaving them out only shifts the places.
     """
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    lone = int((count == 1).sum())  # the lowest ranks
+    out, at = [], 0
+    for s in sets:
+        r = np.sort(rank[which[at : at + len(s)]])
+        at += len(s)
+        out.append(r[int(np.searchsorted(r, lone)) : len(s) - least_overlap(len(s), num, den) + 1].tolist())
+    return out
+
+
+def link_classes(ids: list[int], sets: list[np.ndarray], num: int, den: int, width: int = 8) -> list[int]:
+    """The smallest id of each set's class, by an index with block skipping and answers taken over."""
+    prefixes = local_prefixes(sets, num, den)
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     root = list(range(len(ids)))
 
@@ -265,8 +279,8 @@ def _verify(num: int, den: int):
         for t in whole_groups(batches, ["cluster", "a", "b"]):
             cuts = np.append(run_starts([t.column(c).to_numpy() for c in ("cluster", "a", "b")]), t.num_rows)
             ids = t.column("doc_id").to_pylist()
-            sets, pre = (binary_rows(t.column(c), np.uint64) for c in ("tokens", "prefix"))
-            out = [(i, m) for a, b in zip(cuts, cuts[1:], strict=False) for i, m in zip(ids[a:b], link_classes(ids[a:b], sets[a:b], [x.tolist() for x in pre[a:b]], num, den), strict=True) if i != m]
+            sets = binary_rows(t.column("tokens"), np.uint64)
+            out = [(i, m) for a, b in zip(cuts, cuts[1:], strict=False) for i, m in zip(ids[a:b], link_classes(ids[a:b], sets[a:b], num, den), strict=True) if i != m]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
@@ -297,10 +311,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     stars = post.groupBy("token", "size").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     clusters = saved(components(post.join(stars, ["token", "size"]).where("doc_id > low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))))
     drop(post)
-    found = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(sets.select("doc_id", "n", "prefix"), "doc_id")
+    found = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(sets.select("doc_id", "n"), "doc_id")
     many = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
     members = saved(found.join(found.groupBy("cluster").agg(many.alias("blocks")), "cluster").drop("n"))
-    held = some.join(small(members), "doc_id").mapInArrow(_members(k), "cluster bigint, a int, b int, doc_id bigint, prefix binary, tokens binary")
+    held = some.join(small(members), "doc_id").mapInArrow(_members(k), "cluster bigint, a int, b int, doc_id bigint, tokens binary")
     links = held.repartition(n_parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b").mapInArrow(_verify(num, den), "a bigint, b bigint")
     found = components(links)
 
