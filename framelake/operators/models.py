@@ -22,7 +22,7 @@ def stub_model(channels: int, anchors: int) -> Callable:
 
     def make() -> Callable:
         def predict(x: np.ndarray) -> np.ndarray:
-            flat = x.reshape(len(x), -1).astype(np.float32)
+            flat = x.reshape(len(x), -1).astype(np.float64)
             size = channels * anchors
             return np.stack([flat[:, i::size].sum(axis=1) for i in range(size)], axis=1).astype(np.float32)
 

@@ -607,11 +607,11 @@ def detbin_roundtrip(spark, d):
     return rounded(back.groupBy(F.regexp_extract("path", r"video_(\d+)_", 1).cast("int").alias("file"), "frame_number").agg(F.count("det_index").alias("n"), F.sum(F.col("confidence").cast("double")).alias("conf")), "conf", digits=4)
 
 
-@query(sql("SELECT vec_id, CAST(o AS BIGINT) AS pos, round(list_sum(list_transform(range(8), lambda j: tensor[o + 1 + 8 * j])), 4) AS v FROM tensors, range(8) t(o)", "tensors"))
+@query(sql("SELECT vec_id, CAST(o AS BIGINT) AS pos, CAST(CAST(list_sum(list_transform(range(8), lambda j: tensor[o + 1 + 8 * j])) AS FLOAT) AS DOUBLE) AS v FROM tensors, range(8) t(o)", "tensors"))
 def batch_predict_stub(spark, d):
     t = views.tensors(spark, d).withColumn("tensor", F.col("tensor").cast("array<float>"))
     out = models.infer(t, "tensor", models.stub_model(2, 4), 16, [64])
-    return out.select("vec_id", F.posexplode("output").alias("pos", "v")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("v").cast("double"), 4).alias("v"))
+    return out.select("vec_id", F.posexplode("output").alias("pos", "v")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("v").cast("double").alias("v"))
 
 
 @query(sql("SELECT vec_id, CAST(floor(i / 2) AS BIGINT) AS half, round(sum(v), 5) AS total FROM (SELECT vec_id, p // 16 AS i, tensor[p + 1] AS v FROM x) GROUP BY ALL", "tensors", x=POS))
