@@ -1,3 +1,92 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, over the same tables."""
+
+from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+# [^\x20\x09-\x0D]+ words of a text
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# The whole join: common shingles of every pair that has one, then components by repeated least labels.
+ORACLE["op3_jaccard"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 3
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT a AS node, a AS low FROM both_ways UNION SELECT b, low FROM reach JOIN both_ways ON node = a WHERE low < b),
+c AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.low, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
+"""
+
+ORACLE["op5_substrings"] = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+f AS (SELECT g, min(doc_id) AS low FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT doc_id, unnest(range(i, i + 13)) AS j FROM g JOIN f USING (g) WHERE doc_id > low) GROUP BY doc_id),
+k AS (SELECT w.doc_id, w, coalesce(js, []) AS js FROM w LEFT JOIN gone USING (doc_id)),
+x AS (SELECT doc_id, i, w[i] AS v FROM (SELECT doc_id, w, js, unnest(range(1, len(w) + 1)) AS i FROM k) EXCEPT ALL SELECT doc_id, j, w[j] FROM (SELECT doc_id, w, unnest(js) AS j FROM k)),
+t AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) AS t FROM x GROUP BY doc_id)
+SELECT k.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(js) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM k LEFT JOIN t USING (doc_id)
+"""
+
+# Base32 of the SHA-1, five bits at a time.
+_HEX = "sha1(coalesce(html, ''))"
+_BITS = f"array_to_string(list_transform(range(1, 41), lambda i: bin(CAST(strpos('0123456789abcdef', substr({_HEX}, i, 1)) - 1 AS BIGINT) + 16)[2:5]), '')"
+_B32 = f"array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_sum(list_transform(range(5), lambda b: CAST(substr(bits, 5 * i + b + 1, 1) AS BIGINT) * CAST(pow(2, 4 - b) AS BIGINT))) AS BIGINT) + 1, 1)), '')"
+ORACLE["op4_warc"] = f"""
+WITH b AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, coalesce(html, '') AS html, {_BITS} AS bits FROM pages),
+p AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM b)
+SELECT page_id, payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM p
+"""
+
+# Links by brute force; the hashing finds each at this size but for a chance of a few in a hundred right at the threshold.
+ORACLE["op1_neardup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT a AS node, a AS low FROM links UNION SELECT b, low FROM reach JOIN links ON node = a WHERE low < b),
+c AS (SELECT node, min(low) AS low FROM reach GROUP BY node),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.low, e.vec_id) AS component_id, coalesce(c.low, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c ON c.node = e.vec_id
+"""
+
+_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def _longest(value: str) -> str:
+    """The value of the longest rule that fits, null if none does."""
+    fit = "WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{v}'"
+    order = sorted(_RULES, key=lambda r: -len(r[1] + r[2]))
+    return "CASE " + " ".join(fit.format(h=h, p=p, v=a if value == "action" else h + p) for a, h, p in order) + " END"
+
+
+def _strength(level: str) -> str:
+    """Moment estimate of a beta prior's strength from the shares of one level."""
+    return f"""SELECT CASE WHEN coalesce(n, 0) = 0 OR g < 2 THEN 2e0 WHEN rho > 0 THEN least(1000e0, greatest(0.5e0, (1 - rho) / rho)) ELSE 1000e0 END AS m FROM (
+      SELECT n, g, CASE WHEN room > least_ THEN (spread - least_) / (room - least_) ELSE 1e0 END AS rho FROM (
+        SELECT n, g, kk - n * p * p AS spread, p * (1 - p) * (g - 1) AS least_, p * (1 - p) * (n - nn / n) AS room FROM (
+          SELECT sum(n)::DOUBLE AS n, sum(k)::DOUBLE / sum(n) AS p, count(*) AS g, sum(n * n)::DOUBLE AS nn, sum(k * k / n::DOUBLE) AS kk FROM {level} WHERE n > 0)))"""
+
+
+ORACLE["op7_hosts"] = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hp AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM u),
+r AS (SELECT *, {_longest("rule")} AS rule, {_longest("action")} AS action FROM hp),
+hosts AS (SELECT host, count(action) AS n, count(*) FILTER (WHERE action = 'block') AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM r GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
+ms AS ({_strength("suffixes")}), md AS ({_strength("domains")}), mh AS ({_strength("hosts")}),
+overall AS (SELECT (coalesce(sum(k), 0) + 0.5e0) / (coalesce(sum(n), 0) + 1) AS p FROM suffixes),
+ps AS (SELECT suffix, (k + m * p) / (n + m) AS ps FROM suffixes, ms, overall),
+pd AS (SELECT domain, suffix, (k + m * ps) / (n + m) AS pd FROM domains JOIN ps USING (suffix), md),
+ab AS (SELECT host, k + m * pd AS a, n - k + m * (1 - pd) AS b FROM hosts JOIN pd USING (domain, suffix), mh),
+own AS (SELECT host, CASE WHEN a / (a + b) - 1.645e0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5e0 THEN 'block' ELSE 'allow' END AS own FROM ab)
+SELECT page_id, host, path, rule, coalesce(action, own) AS verdict FROM r JOIN own USING (host)
+"""
