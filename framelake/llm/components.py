@@ -1,13 +1,51 @@
-"""Connected components by alternating large-star and small-star steps (joins only, nothing on the driver)."""
+"""Connected components by alternating large-star and small-star steps; nothing on the driver.
+
+Before each pair of steps every partition replaces its own edges by a star of each class
+that it sees, so a small input is done at once and a large one needs few rounds.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm._exec import drop, saved
 
 
+def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For nodes 0..n-1 the smallest node that edges (a, b) reach."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    u, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+    nodes, which = np.unique(np.concatenate([u, v]), return_inverse=True)
+    low = nodes[least_labels(which[: len(u)], which[len(u) :], len(nodes))]
+    hit = nodes > low
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(low[hit])], ["u", "v"])
+
+
+def _saved(edges: DataFrame) -> DataFrame:
+    """Distinct edges, contracted within the partitions of the shuffle that makes them distinct."""
+    return saved(edges.distinct().mapInArrow(_stars, "u bigint, v bigint"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every node of ``edges``; component is the smallest node reachable.
 
@@ -15,19 +53,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     with very many neighbours is never gathered in one task. Self links and nulls
     are left out; an empty input gives an empty result.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e, old = saved(e), None
-    while True:
+    e = _saved(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v"))
+    while not _done(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e1 = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = e1.groupBy("u").agg(F.min("v").alias("m"))
-        moved = e1.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = saved(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        old, e = e, new
-        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("is_u"), F.lit(0).alias("is_v")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("is_u"), F.lit(1).alias("is_v")))
-        done = not ends.groupBy("x").agg(F.sum("is_u").alias("n_u"), F.max("is_v").alias("n_v")).where("n_u + n_v > 1 and n_u > 0").limit(1).count()
-        drop(old)
-        if done:
-            break
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = _saved(moved.unionByName(low.select("u", F.col("m").alias("v"))))
+        drop(e)
+        e = new
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _done(e: DataFrame) -> bool:
+    """Whether every node has one edge upwards at most and none that has one is pointed at."""
+    up = e.select(F.col("u").alias("x"), F.lit(1).alias("is_u"), F.lit(0).alias("is_v"))
+    ends = up.unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("is_u"), F.lit(1).alias("is_v")))
+    return not ends.groupBy("x").agg(F.sum("is_u").alias("n_u"), F.max("is_v").alias("n_v")).where("n_u + n_v > 1 and n_u > 0").limit(1).count()
