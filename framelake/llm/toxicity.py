@@ -9,8 +9,8 @@ and density in a document go into a logistic model of the document label, so tha
 is a probability. All of a text is read; tokens above one half are reported as byte spans.
 
 The field is fitted on the driver on at most ``SAMPLE`` toxic and ``2 * SAMPLE`` clean
-labelled documents (those with the smallest hash of their id); the class weights make up
-for the share that was taken. Nothing else is sampled.
+labelled documents (those with the smallest hash of their id), near copies left out; the class
+weights make up for the share that was taken. Nothing else is sampled.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm import _text
 
-BITS, CHAIN, SAMPLE = 18, 64, 1200
+BITS, CHAIN, SAMPLE = 20, 64, 1200
 _PREFIXES = (3, 4, 5, 6, 7, 8)
 
 
@@ -150,6 +150,23 @@ def token_labels(feats: np.ndarray, which: np.ndarray, first: np.ndarray, toxic:
     return (mark[feats].any(axis=1)[which] & (toxic[doc] == 1)).astype(float)
 
 
+def distinct(w: _text.Words, hashes: int = 8, same: int = 2) -> np.ndarray:
+    """Rows that are no near copies of earlier ones: fewer than ``same`` of ``hashes`` min-hashes of their word triples agree.
+
+    Else the words of a copied toxic text would all look toxic.
+    """
+    grams, at = w.grams(w.hashes(), 3)
+    seen: set[tuple[int, int]] = set()
+    keep = np.ones(len(w.first) - 1, bool)
+    for i in range(len(keep)):
+        g = grams[at[i] : at[i + 1]]
+        if len(g):
+            own = {(j, int(_text.mix(g + np.uint64(j)).min())) for j in range(hashes)}
+            keep[i] = len(own & seen) < same
+            seen |= own
+    return keep
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
     """Weighted logistic regression by Newton's method."""
     b = np.zeros(x.shape[1])
@@ -169,6 +186,10 @@ def fit(texts: list[str], toxic: np.ndarray, shares: tuple[float, float], rounds
     total = float((1 - toxic).sum() * shares[0]) + n1
     if not toxic.any() or toxic.all():
         return Model(np.zeros(1 << BITS), np.zeros(5), np.zeros(5), (n1 + 0.1) / (total + 1))
+    own = distinct(_text.Words(pa.array(texts, pa.large_string()), "alnum", lower=True))
+    if toxic[own].any() and not toxic[own].all():
+        shares = tuple(shares[t] * (toxic == t).sum() / (toxic[own] == t).sum() for t in (0, 1))
+        texts, toxic = [t for t, k in zip(texts, own, strict=True) if k], toxic[own]
     w = _text.Words(pa.array(texts, pa.large_string()), "alnum", lower=True)
     rows, known, which = _vocabulary(w)
     feats = features(w, rows, known)
@@ -191,7 +212,7 @@ def fit(texts: list[str], toxic: np.ndarray, shares: tuple[float, float], rounds
         chain = chain - step[-5:]
     p, _ = marginals(emissions(weights, feats)[which], start, size, chain)
     doc = logistic(summary(p, w.first), toxic.astype(float), np.where(toxic == 1, shares[1], shares[0]))
-    return Model(weights, chain, doc, float("nan"))
+    return Model(weights.astype(np.float32), chain, doc, float("nan"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int = 2) -> Model:
