@@ -31,6 +31,28 @@ def stub_model(channels: int, anchors: int) -> Callable:
     return make
 
 
+def tolerant(make_predict: Callable, size: int) -> Callable:
+    """A model whose failing batches give ``size`` NaNs a row instead of ending the job; see failed()."""
+
+    def make() -> Callable:
+        inner = make_predict()
+
+        def predict(x: np.ndarray) -> np.ndarray:
+            try:
+                return inner(x)
+            except Exception:  # any failure of a model is a failed batch
+                return np.full((len(x), size), np.nan, np.float32)
+
+        return predict
+
+    return make
+
+
+def failed(output: Column) -> Column:
+    """Whether a row was in a failed batch."""
+    return F.isnan(F.get(output, F.lit(0)))
+
+
 def onnx_model(path: str) -> Callable:
     """A model file run by onnxruntime, with its first input and output."""
 

@@ -110,6 +110,50 @@ def test_inference_seam(spark):
     assert got == {i: [2.0 * i] * 4 for i in range(10)}
 
 
+def test_failed_batches_are_counted(spark):
+    def broken():
+        def predict(x):
+            if x.max() > 5:
+                raise RuntimeError("no")
+            return x[:, :2]
+
+        return predict
+
+    df = spark.createDataFrame([(i, [float(i)] * 8) for i in range(10)], "id int, tensor array<float>").coalesce(1)
+    got = models.infer(df, "tensor", models.tolerant(broken, 2), 2, [8]).select("id", models.failed(F.col("output")).alias("failed")).collect()
+    assert {r.id for r in got if r.failed} == {6, 7, 8, 9}
+
+
+def test_tools(spark, tmp_path):
+    from framelake.plans import tools
+
+    for d, shift in (("a", 0.0), ("b", 0.5)):
+        (tmp_path / d).mkdir()
+        x = np.zeros((2, 5, 3), "<f4")
+        x[:, 0] = [[10, 11, 300]] * 2
+        x[:, 1] = 20
+        x[:, 2:4] = 8
+        x[:, 4] = [[0.9, 0.8, 0.7], [0.1, 0.1, 0.1 + shift]]
+        x.tofile(tmp_path / d / "outputs_batch000000.bin")
+    found = tools.process_outputs(spark, str(tmp_path / "a"), 2, 5, 0.2, 0.5, start_frame=1)
+    assert sorted((r.frame_number, r.anchor) for r in found.collect()) == [(1, 0), (1, 2)]
+    m = tools.verify(found, tools.process_outputs(spark, str(tmp_path / "b"), 2, 5, 0.2, 0.5, start_frame=1)).first()
+    assert (m.n_left, m.n_right, m.n_match, m.precision, m.recall) == (2, 2, 2, 1.0, 1.0)
+    both = tools.cross_check(spark, str(tmp_path / "a"), str(tmp_path / "b"), 2, 5).orderBy("item").collect()
+    assert [r.n_over for r in both] == [0, 1]
+    assert tools.compare(spark, str(tmp_path / "a"), str(tmp_path / "b")).first().n == 30
+    profile, top = tools.raw_report(spark, str(tmp_path / "a"), 2, 5, 2)
+    assert profile.count() == 2 and [r.anchor for r in top.collect()] == [0, 1]
+    (tmp_path / "video_0000_a.bin").write_bytes(detbin.encode(1, [(1, [DET, DET]), (2, []), (3, [POSE]), (3, [])]))
+    modes = {m: tools.read(spark, str(tmp_path / "video_0000_a.bin"), m).count() for m in ("all", "last", "last_nonempty")}
+    assert modes == {"all": 5, "last": 4, "last_nonempty": 3}
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "video_0000_a.bin").write_bytes(detbin.encode(1, FRAMES[:3]))
+    rows = tools.inspect(spark, str(tmp_path / "c")).collect()
+    assert len(rows) == 2 and {r.frames for r in rows} == {3} and rows[0].model == "POSE"
+    assert tools.debug(spark, str(tmp_path / "c")).count() == 3
+
+
 def test_stream_equals_batch(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/events.parquet").select("ts", F.col("event_type").alias("engine"), F.col("value").alias("latency"))
