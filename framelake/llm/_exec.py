@@ -44,9 +44,10 @@ def drop(df: DataFrame) -> None:
 
 
 def parts(df: DataFrame, factor: float = 1.0, mb: int = 24) -> int:
-    """Partitions of about ``mb`` MB for ``factor`` times the size of df's input, spark.sql.shuffle.partitions at least."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    size = size if size < 1 << 60 else 0
+    """Partitions of about ``mb`` MB for ``factor`` times the size of the tables that df reads, spark.sql.shuffle.partitions at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # more than that stands for "not known"
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size * factor) // (mb << 20)))
 
 
