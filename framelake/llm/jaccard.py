@@ -6,7 +6,7 @@ link when ``den * |A & B| >= num * |A | B|``. Steps:
 1. Half of the hash space (``h < 2**63``) is checked for shingles that only one set
    has. A set with more such shingles than ``n - ceil(t * n)`` cannot link at all;
    most documents end here. The rest keep a prefix of ``n - ceil(t * n) + 1`` shingles
-   in one global order (unshared first, then by hash): linked sets have one in common.
+   in one global order (unshared first, then by frequency): linked sets have one in common.
    Equal sets are put together beforehand and stand for one.
 2. Sets that meet at a prefix shingle and are of like size form candidate clusters,
    found by a star on the smallest id of each (shingle, size class), never as pairs.
@@ -37,7 +37,7 @@ from framelake.llm._shared import Pack, gather, meet, pack_answers
 from framelake.llm.components import components
 
 #: Sets, and their shingles, of one cluster that are compared in one task; larger clusters go block against block.
-BLOCK, BLOCK_TOKENS = 4096, 1_000_000
+BLOCK, BLOCK_TOKENS = 4096, 2_000_000
 HALF = np.uint64(1 << 63)
 
 
@@ -71,7 +71,7 @@ _SENT = "part int, keys binary, owners binary, counts binary, to int, ids binary
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
 _TYPES = [{"int": pa.int32(), "binary": pa.binary(), "bigint": pa.int64()}[x.split()[1]] for x in _SENT.split(", ")]
 _TOLD = ", ".join(_SENT.split(", ")[4:])
-_SETS = "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix binary"
+_SETS = "doc_id bigint, n bigint, s1 bigint, s2 bigint, left int, shared binary, tail binary"
 
 
 def _batch(rows: list[tuple], *names: str) -> pa.RecordBatch:
@@ -129,7 +129,8 @@ def _tell(n_parts: int):
 
 
 def _prefixes(num: int, den: int):
-    """One row for each document: its size, signature and prefix (null: cannot link)."""
+    """One row for each document: its size and signature; if it can link at all, how long its prefix is without
+    unshared shingles (``left``), its shared shingles of the lower half, and further ones in case these are too few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers, docs = [], {}
@@ -146,8 +147,8 @@ def _prefixes(num: int, den: int):
             j = place.get(i)
             got = np.unique(values[at[j] : at[j + 1]]) if j is not None else values[:0]
             left = n - least_overlap(n, num, den) + 1 - (nh - len(got))
-            prefix = np.concatenate([got[:left], np.frombuffer(tail, np.uint64)[: max(0, left - len(got))]]).tobytes() if n and left > 0 else None
-            rows.append((i, n, s1, s2, prefix))
+            can = n and left > 0
+            rows.append((i, n, s1, s2, left if can else None, got.tobytes() if can else None, tail[: 8 * max(0, left - len(got))] if can else None))
             if len(rows) == 10_000:
                 yield _set_rows(rows)
                 rows = []
@@ -158,25 +159,35 @@ def _prefixes(num: int, den: int):
 
 
 def _set_rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 4 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], ["doc_id", "n", "s1", "s2", "prefix"])
+    types = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "n", "s1", "s2", "left", "shared", "tail"])
 
 
-def _postings(num: int, den: int):
-    step = np.log(den / num)
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle that a prefix may be made of."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            b = batch.slice(at, 500)
+            got = [np.frombuffer(x, np.int64) for c in ("shared", "tail") for x in b.column(c).to_pylist()]
+            each = [len(x) for x in got]
+            rep = lambda c, b=b, each=each: pa.array(np.repeat(np.tile(b.column(c).to_numpy(), 2), each))
+            last = np.repeat(np.arange(2) == 1, b.num_rows)
+            yield pa.RecordBatch.from_arrays([rep("doc_id"), rep("n"), rep("left"), pa.array(np.repeat(last, each)), pa.array(np.concatenate(got))], ["doc_id", "n", "left", "last", "token"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pre = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
-            if not pre:
-                continue
-            n = b.column("n").to_numpy()
-            each = [len(x) for x in pre]
-            token = np.concatenate(pre)
-            size = np.repeat(np.floor(np.log(n) / step + 1e-9).astype(np.int32), each)
-            ids = np.repeat(b.column("doc_id").to_numpy(), each)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([token, token])), pa.array(np.concatenate([size, size + 1])), pa.array(np.concatenate([ids, ids]))], ["token", "size", "doc_id"])
 
-    return run
+def _postings(lone: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (token, size, doc_id) of all prefixes, each under two size classes: sets that link have one in common.
+
+    A prefix takes the rarest shingles first, by the power of two of their frequency among
+    the sets that are left; equal ones by hash.
+    """
+    tokens = lone.mapInArrow(_tokens, "doc_id bigint, n bigint, left int, last boolean, token bigint")
+    common = tokens.where("not last").groupBy("token").agg(F.count("*").alias("df")).where("df > 2").select("token", F.floor(F.log2("df")).cast("int").alias("often"))
+    rank = F.when(F.col("last"), 99).otherwise(F.coalesce("often", F.lit(0)))
+    ordered = tokens.join(small(saved(common)), "token", "left").groupBy("doc_id", "n", "left").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "token"))).alias("t"))
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int")
+    prefix = ordered.select("doc_id", size.alias("size"), F.explode(F.slice("t", 1, F.col("left"))).alias("t"))
+    return prefix.select(F.col("t.token").alias("token"), F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), "doc_id")
 
 
 def _members(k: int):
@@ -306,8 +317,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     full = sets.where("n > 0")
     reps = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    lone = full.where("prefix is not null").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    post = saved(lone.mapInArrow(_postings(num, den), "token bigint, size int, doc_id bigint"))
+    lone = full.where("left is not null").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    post = saved(_postings(lone, num, den))
     stars = post.groupBy("token", "size").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     clusters = saved(components(post.join(stars, ["token", "size"]).where("doc_id > low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))))
     drop(post)
