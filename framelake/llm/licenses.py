@@ -1,19 +1,18 @@
 """Operator 2: licence scan by a positional index of rare template words.
 
-Licence templates are indexed by word: (template, place). Of a file, the template words with
-the highest inverse document frequency over all files vote for (template, shift), the
-shift being place in file minus place in template; words at the same shift stand in the same
-relative positions. A template is found where the words of one shift cover enough of it and a
-mandatory key phrase stands in full at that shift, or where such a phrase stands anywhere
-with the votes of its own rare words. Fixed phrases (``BASE``) are counted at every place.
-
-Words are compared by 64-bit hash, whole batches at a time; only files with rare template
-words are looked at one by one.
+Licence templates are indexed by word: (template, place). Inverse document frequencies over all
+files choose each template's rarest words, however frequent these are; of a file, the rarest
+of them vote for (template, shift), the shift being place in file minus place in template;
+words at the same shift stand in the same relative positions. A template is found in every
+file in which one of its mandatory key phrases stands in full; the phrase is looked for from
+its rarest word on. Fixed phrases (``BASE``) are counted at every place.
+
+Words are compared by 64-bit hash, whole batches at a time; only files with key phrases or
+words that vote are looked at one by one.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -60,14 +59,22 @@ class Index:
         self.words = len(words)
 
     def weigh(self, files: int, with_word: np.ndarray) -> None:
-        """Inverse document frequencies over all files; rare words are in less than a tenth of them."""
+        """Inverse document frequencies over all files; they only choose words, so no frequency shuts a licence out.
+
+        Each template's rarest words are posted, so many that a shift without any of them covers less than SHARE of it.
+        """
         self.idf = np.log((files + 20) / (with_word + 0.5))
-        self.rare = self.idf > math.log(10)
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.rare = np.zeros(self.words, bool)
         for i, (_, t, _) in enumerate(self.templates):
-            for place, w in enumerate(t):
-                if self.rare[w]:
-                    self.postings[w].append((i, place))
+            need = next(n for n in range(len(t) + 1) if n / len(t) >= SHARE)
+            for place in sorted(range(len(t)), key=lambda j: (-self.idf[t[j]], j))[: len(t) - need + 1]:
+                self.postings[t[place]].append((i, place))
+                self.rare[t[place]] = True
+
+    def rarest(self, phrase: list[int]) -> int:
+        """The place of its rarest word."""
+        return int(np.argmax(self.idf[phrase]))
 
     def codes(self, w: _text.Words) -> np.ndarray:
         """The number of each word, -1 for words that are not ours."""
@@ -75,8 +82,8 @@ class Index:
         near = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
         return np.where(self.hash[near] == h, near, -1)
 
-    def scan(self, codes: np.ndarray) -> tuple[set[str], float]:
-        """Labels of one file and the best score, from its word numbers (-1: none of ours)."""
+    def scan(self, codes: np.ndarray, found: set[int]) -> tuple[set[str], float]:
+        """Labels of one file and the best score, from its word numbers (-1: none of ours) and the templates whose key phrases it has."""
         at = np.flatnonzero(codes >= 0)
         own = codes[at]
         kinds = np.unique(own[self.rare[own]])
@@ -90,15 +97,13 @@ class Index:
         top: dict[int, list[int]] = defaultdict(list)
         for (i, shift), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
             top[i].append(shift)
-        for i, (label, words, phrases) in enumerate(self.templates):
-            share, verified = 0.0, False
+        for i, (label, words, _) in enumerate(self.templates):
+            share = 0.0
             for shift in top.get(i, []):
                 lo, hi = max(0, -shift), min(len(words), len(codes) - shift)
                 if lo < hi:
                     share = max(share, float((codes[shift + lo : shift + hi] == words[lo:hi]).mean() * (hi - lo) / len(words)))
-            if top.get(i) or any(set(p) & set(kinds.tolist()) for p in phrases):
-                verified = any(len(places(codes, p)) for p in phrases)
-            if verified:
+            if i in found:
                 labels.add(label)
                 best = max(best, 0.5 + 0.5 * share)
             elif share >= SHARE:
@@ -106,15 +111,15 @@ class Index:
         return labels, best
 
 
-def places(codes: np.ndarray, phrase: list[int]) -> np.ndarray:
-    """Where the words of a phrase stand consecutively."""
+def places(codes: np.ndarray, phrase: list[int], first: int = 0) -> np.ndarray:
+    """Where the words of a phrase stand consecutively; the word at ``first`` is looked for before the others."""
     n = len(codes) - len(phrase) + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    hit = codes[:n] == phrase[0]
-    at = np.flatnonzero(hit)
-    for j, w in enumerate(phrase[1:], 1):
-        at = at[codes[at + j] == w]
+    at = np.flatnonzero(codes[first : first + n] == phrase[first])
+    for j, w in enumerate(phrase):
+        if j != first:
+            at = at[codes[at + j] == w]
     return at
 
 
@@ -161,11 +166,17 @@ def _rows(ix: Index, part: pa.RecordBatch) -> pa.RecordBatch:
         np.maximum.at(high, d, at - w.first[d])
         for i in np.unique(d).tolist():
             base[i].add(label)
+    found: dict[int, set[int]] = defaultdict(set)
+    for t, (_, _, phrases) in enumerate(ix.templates):
+        for phrase in phrases:
+            at = places(codes, phrase, ix.rarest(phrase))
+            for i in np.unique(doc[at[doc[at] == doc[at + len(phrase) - 1]]]).tolist():
+                found[i].add(t)
     known = codes >= 0
     look = np.unique(doc[known][ix.rare[codes[known]]])
     rows = [("", "", 0.0)] * part.num_rows
-    for i in {*look.tolist(), *base}:
-        own, score = ix.scan(codes[w.first[i] : w.first[i + 1]])
+    for i in {*look.tolist(), *base, *found}:
+        own, score = ix.scan(codes[w.first[i] : w.first[i + 1]], found.get(i, set()))
         mine = base.get(i, set())
         rows[i] = (",".join(sorted(mine)), ",".join(sorted(mine | own)), max(score, 0.5 if mine else 0.0))
     names, labels, score = zip(*rows, strict=True)

@@ -245,6 +245,15 @@ def test_licenses(spark, rows):
     assert got.score.between(0, 1).all()
 
 
+@pytest.mark.parametrize("template", [1, 2, 10])
+def test_licence_in_half_of_all_files(spark, template):
+    label, text, phrases = licenses.TEMPLATES[template]
+    every = [(i, f"{text} {phrases[0]} own{i} words{i}" if i % 2 else f"own{i} words{i} of another kind") for i in range(80)]
+    got = licenses.scan_licenses(frame(spark, every)).toPandas().set_index("doc_id")
+    assert all(label in got.labels[i].split(",") for i in range(1, 80, 2))
+    assert (got.score[1::2] == 1).all() and (got.labels[::2] == "").all() and (got.score[::2] == 0).all()
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     words = ["the", "of", "house", "tree", "runs", "blue", "haus", "baum", "été"]
