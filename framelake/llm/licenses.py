@@ -1,19 +1,20 @@
 """Operator 2: licence scan by a positional index of rare template words.
 
-Licence templates are indexed by word: (template, place). Inverse document frequencies over all
-files choose each template's rarest words, however frequent these are; of a file, the rarest
-of them vote for (template, shift), the shift being place in file minus place in template;
-words at the same shift stand in the same relative positions. A template is found in every
-file in which one of its mandatory key phrases stands in full; the phrase is looked for from
-its rarest word on. Fixed phrases (``BASE``) are counted at every place.
-
-Words are compared by 64-bit hash, whole batches at a time; only files with key phrases or
-words that vote are looked at one by one.
+Licence templates are indexed by word: (template, place). Template words in a file vote for
+(template, shift), the shift being place in file minus place in template; words at the same
+shift stand in the same relative positions. Inverse document frequencies over all files choose
+each template's rarest words, however frequent these are; these vote first, and the others
+only at shifts that have a vote by then, as no other shift can cover enough of the template.
+A template is found in every file in which one of its mandatory key phrases stands in full; the
+phrase is looked for from its rarest word on. In these files all words vote at all shifts.
+Fixed phrases (``BASE``) are counted at every place.
+
+All words of a file vote for all templates, so frequencies and other text in the file change
+only the work. Words are compared by 64-bit hash, whole batches at a time.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +41,12 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
     ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["boost software license version 1 0", "any person or organization obtaining a copy of the software"]),
 ]
-#: Rare words that vote for each file, at most this many kinds; a covered share from which wording alone, with a key phrase, is found.
-RARE, SHARE = 12, 0.3
+#: A covered share from which wording alone, without a key phrase, counts for the score.
+SHARE = 0.3
 
 
 class Index:
-    """Word numbers of all phrases and templates, and the postings of rare ones."""
+    """Word numbers of all phrases and templates, and the order in which template words vote."""
 
     def __init__(self) -> None:
         texts = [p for p in BASE] + [t for _, t, _ in TEMPLATES] + [p for _, _, ps in TEMPLATES for p in ps]
@@ -57,20 +58,20 @@ class Index:
         self.base = [(coded(p), label) for p, label in BASE.items()]
         self.templates = [(label, coded(t), [coded(p) for p in ps]) for label, t, ps in TEMPLATES]
         self.words = len(words)
+        self.longest = max(len(t) for _, t, _ in self.templates)
 
     def weigh(self, files: int, with_word: np.ndarray) -> None:
         """Inverse document frequencies over all files; they only choose words, so no frequency shuts a licence out.
 
-        Each template's rarest words are posted, so many that a shift without any of them covers less than SHARE of it.
+        Each template's rarest words vote first, so many that a shift without any of them covers less than SHARE of it.
         """
         self.idf = np.log((files + 20) / (with_word + 0.5))
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.rare = np.zeros(self.words, bool)
-        for i, (_, t, _) in enumerate(self.templates):
+        self.first, self.rest = [], []
+        for _, t, _ in self.templates:
             need = next(n for n in range(len(t) + 1) if n / len(t) >= SHARE)
-            for place in sorted(range(len(t)), key=lambda j: (-self.idf[t[j]], j))[: len(t) - need + 1]:
-                self.postings[t[place]].append((i, place))
-                self.rare[t[place]] = True
+            by = sorted(range(len(t)), key=lambda j: (-self.idf[t[j]], j))
+            self.first.append(by[: len(t) - need + 1])
+            self.rest.append(by[len(t) - need + 1 :])
 
     def rarest(self, phrase: list[int]) -> int:
         """The place of its rarest word."""
@@ -82,33 +83,25 @@ class Index:
         near = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
         return np.where(self.hash[near] == h, near, -1)
 
-    def scan(self, codes: np.ndarray, found: set[int]) -> tuple[set[str], float]:
-        """Labels of one file and the best score, from its word numbers (-1: none of ours) and the templates whose key phrases it has."""
+    def shares(self, codes: np.ndarray, doc: np.ndarray, first: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """For each template and file the largest share of the template at one shift; 0 for less than SHARE without a key phrase."""
+        n, gap = len(first) - 1, self.longest
         at = np.flatnonzero(codes >= 0)
-        own = codes[at]
-        kinds = np.unique(own[self.rare[own]])
-        kinds = kinds[np.lexsort((kinds, -self.idf[kinds]))][:RARE]
-        labels, best = set(), 0.0
-        votes: Counter[tuple[int, int]] = Counter()
-        for w in kinds.tolist():
-            for place in at[own == w].tolist():
-                for i, there in self.postings[w]:
-                    votes[i, place - there] += self.idf[w]
-        top: dict[int, list[int]] = defaultdict(list)
-        for (i, shift), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
-            top[i].append(shift)
-        for i, (label, words, _) in enumerate(self.templates):
-            share = 0.0
-            for shift in top.get(i, []):
-                lo, hi = max(0, -shift), min(len(words), len(codes) - shift)
-                if lo < hi:
-                    share = max(share, float((codes[shift + lo : shift + hi] == words[lo:hi]).mean() * (hi - lo) / len(words)))
-            if i in found:
-                labels.add(label)
-                best = max(best, 0.5 + 0.5 * share)
-            elif share >= SHARE:
-                best = max(best, 0.5 * share)
-        return labels, best
+        at = at[np.argsort(codes[at], kind="stable")]
+        cuts = np.searchsorted(codes[at], np.arange(self.words + 1))
+        spots = at + (doc[at] + 1) * gap  # a gap between files keeps their shifts apart
+        edges = first[:-1] + np.arange(n) * gap + 1
+        out = np.zeros(found.shape)
+        for i, (_, t, _) in enumerate(self.templates):
+            votes = np.zeros(first[-1] + n * gap + 1, np.uint16)
+            for place in self.first[i]:
+                votes[spots[cuts[t[place]] : cuts[t[place] + 1]] - place] += 1
+            for place in self.rest[i]:
+                own = slice(cuts[t[place]], cuts[t[place] + 1])
+                shift = spots[own] - place
+                votes[shift[(votes[shift] > 0) | found[i, doc[at[own]]]]] += 1
+            out[i] = np.maximum.reduceat(votes, edges) / len(t)
+        return np.where(found | (out >= SHARE), out, 0)
 
 
 def places(codes: np.ndarray, phrase: list[int], first: int = 0) -> np.ndarray:
@@ -156,37 +149,36 @@ def _rows(ix: Index, part: pa.RecordBatch) -> pa.RecordBatch:
     doc = np.repeat(np.arange(part.num_rows), w.counts)
     n_base = np.zeros(part.num_rows, np.int64)
     low, high = np.full(part.num_rows, np.iinfo(np.int64).max), np.full(part.num_rows, -1)
-    base: dict[int, set[str]] = defaultdict(set)
-    for phrase, label in ix.base:
-        at = places(codes, phrase)
+    base, found = (np.zeros((len(x), part.num_rows), bool) for x in (ix.base, ix.templates))
+    for k, (phrase, _) in enumerate(ix.base):
+        at = places(codes, phrase, ix.rarest(phrase))
         at = at[doc[at] == doc[at + len(phrase) - 1]]
         d = doc[at]
         np.add.at(n_base, d, 1)
         np.minimum.at(low, d, at - w.first[d])
         np.maximum.at(high, d, at - w.first[d])
-        for i in np.unique(d).tolist():
-            base[i].add(label)
-    found: dict[int, set[int]] = defaultdict(set)
-    for t, (_, _, phrases) in enumerate(ix.templates):
+        base[k, d] = True
+    for k, (_, _, phrases) in enumerate(ix.templates):
         for phrase in phrases:
             at = places(codes, phrase, ix.rarest(phrase))
-            for i in np.unique(doc[at[doc[at] == doc[at + len(phrase) - 1]]]).tolist():
-                found[i].add(t)
-    known = codes >= 0
-    look = np.unique(doc[known][ix.rare[codes[known]]])
-    rows = [("", "", 0.0)] * part.num_rows
-    for i in {*look.tolist(), *base, *found}:
-        own, score = ix.scan(codes[w.first[i] : w.first[i + 1]], found.get(i, set()))
-        mine = base.get(i, set())
-        rows[i] = (",".join(sorted(mine)), ",".join(sorted(mine | own)), max(score, 0.5 if mine else 0.0))
-    names, labels, score = zip(*rows, strict=True)
+            found[k, doc[at[doc[at] == doc[at + len(phrase) - 1]]]] = True
+    share = ix.shares(codes, doc, w.first, found)
+    score = np.maximum(np.where(found, 0.5, 0) + 0.5 * share, 0.5 * base.any(axis=0)).max(axis=0)
+    labels = [label for _, label in ix.base] + [label for label, _, _ in ix.templates]
+    names, every = _names(base, labels), _names(np.concatenate([base, found]), labels)
     none = n_base == 0
     return pa.RecordBatch.from_arrays(
-        [part.column("doc_id"), pa.array(w.counts), pa.array(n_base), pa.array(low, mask=none), pa.array(high, mask=none), pa.array(names), pa.array(labels), pa.array(score)],
+        [part.column("doc_id"), pa.array(w.counts), pa.array(n_base), pa.array(low, mask=none), pa.array(high, mask=none), names, every, pa.array(score)],
         ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
     )
 
 
+def _names(hit: np.ndarray, labels: list[str]) -> pa.Array:
+    """The sorted labels of each column, comma-joined."""
+    kinds, which = np.unique(hit.T @ (1 << np.arange(len(hit))), return_inverse=True)
+    return pa.array([",".join(sorted({label for k, label in enumerate(labels[: len(hit)]) if bits >> k & 1})) for bits in kinds.tolist()]).take(pa.array(which))
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one for each row of ``docs``.
 

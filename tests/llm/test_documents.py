@@ -254,6 +254,34 @@ def test_licence_in_half_of_all_files(spark, template):
     assert (got.score[1::2] == 1).all() and (got.labels[::2] == "").all() and (got.score[::2] == 0).all()
 
 
+def test_licences_in_files_with_many(spark):
+    r = random.Random(5)
+    texts = [t for _, t, _ in licenses.TEMPLATES]
+    keys = [p for _, _, ps in licenses.TEMPLATES for p in ps]
+    many = " filler ".join(texts + keys)
+    some = [" filler ".join(r.sample(texts + keys, r.randint(1, 8)) + ["w" + str(i)]) for i in range(40)]
+    half = [" ".join(t.split()[r.randint(0, 20) :]) + " " + " ".join(r.sample(many.split(), r.randint(0, 60))) for t in texts * 4]
+    odd = "to any person obtaining a copy of this software and associated documentation files" + " boost unencumbered sharealike mozilla attribution unlicense lesser apache compliance redistribution binary retain domain commons source form terms" * 2
+    every = list(enumerate([many, odd, None, "", *some, *half]))
+    got = licenses.scan_licenses(frame(spark, every)).toPandas().set_index("doc_id")
+    for i, text in every:
+        w = (text or "").split()
+        has = lambda p, w=w: any(w[j : j + len(p)] == p for j in range(len(w)))
+        want = {label for p, label in licenses.BASE.items() if has(p.split())}
+        score = 0.5 if want else 0
+        for label, wording, phrases in licenses.TEMPLATES:
+            t, shifts = wording.split(), Counter()
+            for j, x in enumerate(w):
+                shifts.update(j - k for k, y in enumerate(t) if x == y)
+            share = max(shifts.values(), default=0) / len(t)
+            if any(has(p.split()) for p in phrases):
+                want.add(label)
+                score = max(score, 0.5 + 0.5 * share)
+            elif share >= licenses.SHARE:
+                score = max(score, 0.5 * share)
+        assert got.labels[i] == ",".join(sorted(want)) and got.score[i] == pytest.approx(score)
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     words = ["the", "of", "house", "tree", "runs", "blue", "haus", "baum", "été"]
