@@ -1,17 +1,23 @@
-"""Operator 5: removal of word passages that an earlier document has, by relative Lempel-Ziv factors.
+"""Operator 5: removal of word passages that an earlier document has, by window hashes behind an anchor filter.
 
 A window is ``window`` consecutive words. Each window has an anchor, the smallest hash of
 the ``ANCHOR``-word grams inside it, so equal windows have equal anchors wherever they stand.
 
 1. Anchors that only one document has end here: one shuffle of packed blobs (_shared).
-2. The windows at shared anchors are indexed in reference blocks, one for each partition of
-   anchors. Every document is factored greedily against every block that holds one of its
-   anchors: a factor is a longest run of consecutive windows that earlier documents
-   (smaller doc_id) have, so ``run + window - 1`` words. Windows across the boundary of two
-   factors are looked up under their own anchor, so none is lost between blocks.
-3. A document's factors are put together and their words removed.
-
-A map task first factors its documents against each other: of equal windows only that of
+2. The windows at shared anchors are sent to one partition for each anchor, as hashes, and
+   sorted there; a window that a document of smaller doc_id has as well is marked. Runs of
+   consecutive marked windows become spans of ``run + window - 1`` words. The windows of one
+   span may stem from different documents and places. Each window is looked up under its own
+   anchor, so none is lost between partitions.
+3. A document's spans are put together and their words removed.
+
+This is not relative Lempel-Ziv parsing: there is no reference text, no longest match at a
+reference position and no parse. The result asks only which words lie in a window that an
+earlier document has; a greedy parse gives the longest match at each of its steps, but
+windows that begin inside a factor and end in the next one need a lookup of their own, and
+a parse against each reference block would send every document to every block it touches.
+
+A map task first compares its documents with each other: of equal windows only that of
 its smallest doc_id goes on, so a passage in very many documents sends one entry a flush.
 The texts are shuffled once; the three passes read the same exchange. Windows are the same
 up to collisions of 64-bit window hashes that also agree in 32 bits of the anchor.
@@ -143,7 +149,7 @@ def factors(key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _spans(doc: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Factors (runs of consecutive windows) by document: start * 2**32 + length, in words."""
+    """Spans (runs of consecutive windows) by document: start * 2**32 + length, in words."""
     if not len(doc):
         return None
     by = np.lexsort((place, doc))
@@ -160,7 +166,7 @@ _SENT = "part int, keys binary, checks binary, docs binary, counts binary, place
 
 
 def _index(window: int, n_parts: int):
-    """Sends the windows at shared anchors to their reference blocks; first factors the task's documents against each other."""
+    """Sends the windows at shared anchors to the partitions of these; first compares the task's documents with each other."""
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -224,7 +230,7 @@ def _factor(window: int, n_parts: int):
 
 
 def removed(words: _text.Words, found: list[np.ndarray]) -> np.ndarray:
-    """Which words factors cover."""
+    """Which words spans cover."""
     edge = np.zeros(len(words.start) + 1, np.int32)
     for i, spans in enumerate(found):
         if len(spans):
