@@ -12,9 +12,11 @@ link when ``den * |A & B| >= num * |A | B|``. Steps:
    found by a star on the smallest id of each (shingle, size class), never as pairs.
 3. Inside a cluster (in blocks of ``BLOCK`` sets, so that no task gets an unbounded
    group) an index from prefix shingle to posting blocks, ordered by size and place, is
-   read with whole blocks skipped where the place or size rules a link out; a set that
-   has been found similar to another takes over that set's answers: everything already
-   in its class is skipped, and only the remaining ones are verified on whole sets.
+   read with whole blocks skipped where the place or size rules a link out. Classes
+   (``jaccard_classes``) need no more than one path between sets, so candidates that are
+   in one class already are skipped. Links (``jaccard_links``) are counted in full: a set's
+   overlaps with all others of its blocks are kept, and the most similar set that is left
+   takes them over, changed by the postings of the shingles that only one of both has.
 
 Set identity and links are exact up to collisions of 64-bit hashes (128 for whole sets).
 """
@@ -190,17 +192,18 @@ def _postings(lone: DataFrame, num: int, den: int) -> DataFrame:
     return prefix.select(F.col("t.token").alias("token"), F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), "doc_id")
 
 
-def _members(k: int):
-    """Whole sets, once for each pair of blocks that they take part in."""
+def _members(k: int, counted: bool = False):
+    """Whole sets, once for each pair of blocks that they take part in; if counted, with the own block and the number of equal sets."""
+    names = ("doc_id", "cluster", "blocks", *(["copies"] if counted else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _text.slices(batch, "text"):
                 rows, size = [], 0
-                for s, i, c, nb in zip(shingle_sets(part.column("text"), k), *(part.column(x).to_pylist() for x in ("doc_id", "cluster", "blocks")), strict=True):
+                for s, i, c, nb, *copies in zip(shingle_sets(part.column("text"), k), *(part.column(x).to_pylist() for x in names), strict=True):
                     own = int(_text.mix(np.array([i], np.int64).view(np.uint64))[0] % np.uint64(nb))
                     for j in range(nb):
-                        rows.append((c, min(own, j), max(own, j), i, s.tobytes()))
+                        rows.append((c, min(own, j), max(own, j), i, s.tobytes(), *([own, *copies] if counted else [])))
                         size += s.nbytes
                         if size > 8 << 20:
                             yield _member_rows(rows)
@@ -212,8 +215,8 @@ def _members(k: int):
 
 
 def _member_rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["cluster", "a", "b", "doc_id", "tokens"])
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64())[: len(rows[0])]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["cluster", "a", "b", "doc_id", "tokens", "own", "copies"][: len(types)])
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -243,7 +246,7 @@ def local_prefixes(sets: list[np.ndarray], num: int, den: int) -> list[list[int]
 
 
 def link_classes(ids: list[int], sets: list[np.ndarray], num: int, den: int, width: int = 8) -> list[int]:
-    """The smallest id of each set's class, by an index with block skipping and answers taken over."""
+    """The smallest id of each set's class, by an index with block skipping; sets of one class are not compared again."""
     prefixes = local_prefixes(sets, num, den)
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     root = list(range(len(ids)))
@@ -270,7 +273,7 @@ def link_classes(ids: list[int], sets: list[np.ndarray], num: int, den: int, wid
                     hits[x] = hits.get(x, 0) + 1
         for x in sorted(hits, key=lambda x: (-hits[x], x)):
             if find(x) == find(y):
-                continue  # answered by the set through which both are linked
+                continue  # in one class already, whether this pair links or not
             m = len(sets[x])
             o = common(sets[x], sets[y])
             if den * o >= num * (n + m - o):
@@ -298,16 +301,61 @@ def _verify(num: int, den: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each document of ``docs`` (doc_id, text).
+def link_counts(sets: list[np.ndarray], copies: np.ndarray, own: np.ndarray, cross: bool, num: int, den: int) -> np.ndarray:
+    """The copies of all sets that each set links to; only those of the other block if cross.
 
-    component_id is the smallest doc_id reachable by links, the own one included.
-    Null, empty or wordless texts have an empty set and link with nothing; rows with a
-    null doc_id come back with a null component_id and link with nothing. Rows that repeat
-    a doc_id are one document and give one row (if their texts differ, the larger set
-    counts). Other columns are ignored.
+    ``overlap`` holds what one set has in common with every set. The most similar set that is left
+    takes it over and changes it by the postings of the shingles that only one of both has.
     """
-    spark = docs.sparkSession
+    size = np.array([len(s) for s in sets])
+    _, which = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.concatenate(([0], np.cumsum(size)))
+    codes = [which[a:b] for a, b in zip(at, at[1:], strict=False)]
+    order = np.argsort(which, kind="stable")
+    holders, edge = np.repeat(np.arange(len(sets)), size)[order], np.searchsorted(which[order], np.arange(int(which.max()) + 2))
+
+    def held(tokens: np.ndarray) -> np.ndarray:
+        """How many of the tokens each set has."""
+        return np.bincount(np.concatenate([holders[:0], *(holders[edge[t] : edge[t + 1]] for t in tokens.tolist())]), minlength=len(sets))
+
+    counts, left = np.zeros(len(sets), np.int64), np.ones(len(sets), bool)
+    last, overlap = -1, np.zeros(len(sets), np.int64)
+    for _ in sets:
+        near = np.where(left & (overlap > 0), overlap, 0)
+        y = int(near.argmax()) if near.any() else int(left.argmax())
+        gone, new = (np.setdiff1d(codes[last], codes[y], True), np.setdiff1d(codes[y], codes[last], True)) if last >= 0 else (codes[y][:0], codes[y])
+        overlap = overlap - held(gone) + held(new) if len(gone) + len(new) < size[y] else held(codes[y])
+        links = den * overlap >= num * (size + size[y] - overlap)
+        links[y] = False
+        if cross:
+            links &= own != own[y]
+        counts[y] = copies[links].sum()
+        left[y] = False
+        last = y
+    return counts
+
+
+def _count(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["cluster", "a", "b"]):
+            cuts = np.append(run_starts([t.column(c).to_numpy() for c in ("cluster", "a", "b")]), t.num_rows)
+            ids, copies, own, one, two = (t.column(c).to_numpy() for c in ("doc_id", "copies", "own", "a", "b"))
+            sets = binary_rows(t.column("tokens"), np.uint64)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                best: dict[int, int] = {}  # repeated rows are one document, with the larger set
+                for i in range(a, b):
+                    j = best.setdefault(int(ids[i]), i)
+                    if j != i and (len(sets[i]), *_sign(sets[i])) > (len(sets[j]), *_sign(sets[j])):
+                        best[int(ids[i])] = i
+                at = np.array(list(best.values()))
+                n = link_counts([sets[i] for i in at], copies[at], own[at], one[a] != two[a], num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(n)], ["rep", "n"])
+
+    return run
+
+
+def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """Steps 1 and 2: documents with an id, sizes of those without, sets, one row for each different set, the members of candidate clusters, partitions."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     some = docs.where("doc_id is not null")
     n_parts = parts(docs, 1.5)
@@ -316,7 +364,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     sets = saved(told.repartitionById(n_parts, to("to")).mapInArrow(_prefixes(num, den), _SETS))
 
     full = sets.where("n > 0")
-    reps = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
+    reps = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     lone = full.where("left is not null").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     post = saved(_postings(lone, num, den))
     stars = post.groupBy("token", "size").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
@@ -325,6 +373,20 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     found = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(sets.select("doc_id", "n"), "doc_id")
     many = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
     members = saved(found.join(found.groupBy("cluster").agg(many.alias("blocks")), "cluster").drop("n"))
+    nameless = docs.where("doc_id is null").mapInArrow(_sizes(k), "doc_id bigint, n_shingles bigint")
+    return some, nameless, sets, reps, members, n_parts
+
+
+def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each document of ``docs`` (doc_id, text).
+
+    component_id is the smallest doc_id reachable by links, the own one included.
+    Null, empty or wordless texts have an empty set and link with nothing; rows with a
+    null doc_id come back with a null component_id and link with nothing. Rows that repeat
+    a doc_id are one document and give one row (if their texts differ, the larger set
+    counts). Other columns are ignored.
+    """
+    some, nameless, sets, reps, members, n_parts = _candidates(docs, k, num, den)
     held = some.join(small(members), "doc_id").mapInArrow(_members(k), "cluster bigint, a int, b int, doc_id bigint, tokens binary")
     links = held.repartition(n_parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b").mapInArrow(_verify(num, den), "a bigint, b bigint")
     found = components(links)
@@ -332,8 +394,23 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     classes = reps.join(found, reps.rep == found.node, "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     own = sets.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
     out = own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    nameless = docs.where("doc_id is null").mapInArrow(_sizes(k), "doc_id bigint, n_shingles bigint, component_id bigint")
-    return out.unionByName(nameless)
+    return out.unionByName(nameless.withColumn("component_id", F.lit(None).cast("long")))
+
+
+def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Rows (doc_id, n_shingles, n_links), one for each document of ``docs``, as in jaccard_classes().
+
+    n_links is the number of other documents that the document itself links to, equal ones
+    included; those that it reaches only through others are not counted. It is 0 for empty sets and null ids.
+    """
+    some, nameless, sets, reps, members, n_parts = _candidates(docs, k, num, den)
+    members = saved(members.join(reps.select(F.col("rep").alias("doc_id"), "copies"), "doc_id"))
+    held = some.join(small(members), "doc_id").mapInArrow(_members(k, True), "cluster bigint, a int, b int, doc_id bigint, tokens binary, own int, copies bigint")
+    counts = held.repartition(n_parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b").mapInArrow(_count(num, den), "rep bigint, n bigint").groupBy("rep").agg(F.sum("n").alias("others"))
+    classes = reps.join(counts, "rep", "left").select("s1", "s2", "n", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    own = sets.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
+    out = own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.unionByName(nameless.withColumn("n_links", F.lit(0).cast("long")))
 
 
 def _sizes(k: int):
@@ -341,7 +418,7 @@ def _sizes(k: int):
         for batch in batches:
             for part in _text.slices(batch, "text"):
                 n = [len(s) for s in shingle_sets(part.column("text"), k)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], ["doc_id", "n_shingles", "component_id"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_shingles"])
 
     return run
 

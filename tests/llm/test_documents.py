@@ -85,6 +85,21 @@ def test_jaccard(docs, rows, k, num, den, block, monkeypatch):
     assert len(got) == len(sets) + 1 and got[got.doc_id.isna()].component_id.isna().all()
 
 
+@pytest.mark.parametrize(("k", "num", "den", "block"), [(4, 85, 100, 4096), (4, 50, 100, 5)])
+def test_jaccard_links(spark, rows, k, num, den, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    near = [(1000 + i, " ".join(f"v{j}" if j != 3 * i else "w" for j in range(60 + i % 2))) for i in range(25)]
+    every = [*rows, *near, (2000, rows[3][1])]
+    repeated = [every[0], every[7], near[1], (near[2][0], "v1 v2 v3 v4 v5"), (None, "null id a b c d e f")]
+    got = jaccard.jaccard_links(frame(spark, [*every, *repeated]).repartition(3), k, num, den).toPandas()
+    sets = {i: shingles(t, k) for i, t in every}
+    want = {i: sum(bool(a and b) and i != j and den * len(a & b) >= num * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    named = got[got.doc_id.notna()]
+    assert len(named) == len(sets) and {r.doc_id: r.n_links for r in named.itertuples()} == want
+    assert {r.doc_id: r.n_shingles for r in named.itertuples()} == {i: len(s) for i, s in sets.items()}
+    assert got[got.doc_id.isna()].n_links.tolist() == [0] and max(want.values()) > 5
+
+
 def test_jaccard_keeps_one(docs, rows):
     kept = jaccard.keep_one(docs, 4, 85, 100).toPandas()
     sets = {i: shingles(t, 4) for i, t in rows}
