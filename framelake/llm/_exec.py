@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only below this many rows of two or three numbers each (about 15 MB).
@@ -43,12 +43,18 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def parts(df: DataFrame, factor: float = 1.0, mb: int = 24) -> int:
-    """Partitions of about ``mb`` MB for ``factor`` times the size of the tables that df reads, spark.sql.shuffle.partitions at least."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    size = sum(x for x in sizes if x < 1 << 60)  # more than that stands for "not known"
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size * factor) // (mb << 20)))
+def parts(df: DataFrame, size: Column | None = None, factor: float = 1.0, mb: int = 24) -> int:
+    """Partitions of about ``mb`` MB for ``factor`` times the bytes that ``df`` has, spark.sql.shuffle.partitions at least.
+
+    ``size`` gives each row's bytes and is summed over all rows, so compression and repetitive
+    texts do not matter; without it rows are counted as 100 bytes each.
+    """
+    total = df.agg(F.sum(size) if size is not None else F.count("*") * 100).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total * factor) // (mb << 20)))
+
+
+def text_bytes(name: str) -> Column:
+    return F.octet_length(F.col(name).cast("string")).cast("long")
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -56,6 +62,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
+def join_unique(many: DataFrame, side: DataFrame, keys: list[str], n: str, hot: int = 100_000) -> DataFrame:
+    """Left join of ``many`` with ``side``, which has one row for each key and in ``n`` how many rows of ``many`` have it.
+
+    A small side is broadcast. Of a large one only keys that ``hot`` rows and more have are
+    broadcast, of which there is at most one for each ``hot`` rows; all others are merged, so no
+    key's rows meet in one task. ``many`` is read twice then and should be a table.
+    """
+    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return many.join(F.broadcast(side.drop(n)), keys, "left")
+    often = side.where(F.col(n) >= hot).drop(n)
+    rest = many.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(side.where(F.col(n) < hot).drop(n).hint("merge"), keys, "left")
+    return many.join(F.broadcast(often), keys).unionByName(rest)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int = 8 << 20) -> Iterator[pa.Table]:
     """Tables that hold whole runs of equal keys, from batches sorted by them: about ``limit`` bytes, or one run."""
     rest: pa.Table | None = None
@@ -91,6 +111,7 @@ def run_starts(cols: list[np.ndarray]) -> np.ndarray:
 
 
 def split_blob(flat: np.ndarray, at: np.ndarray) -> pa.Array:
-    """A binary array of flat[at[i]:at[i+1]], without a Python loop."""
+    """A binary array of flat[at[i]:at[i+1]] (numbers, or rows of them), without a Python loop; below 2 GB."""
     flat = np.ascontiguousarray(flat)
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+    width = flat.itemsize * (flat.shape[1] if flat.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(flat)])

@@ -14,20 +14,13 @@ import numpy as np
 
 from framelake.llm._exec import run_starts
 
-#: Stands for "some owner who needs no answer".
+#: Stands for "some owner who needs no answer"; the next number for many of them.
 ANY = np.iinfo(np.int64).min
+MANY = ANY + 1
 #: Entries that a map task holds before it passes them on (about 100 MB while sorting).
 FLUSH = 2_000_000
-
-
-def _groups(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sort order, group number of each sorted entry, and whether each group has two owners."""
-    order = np.argsort(keys)
-    k, o = keys[order], owners[order]
-    at = run_starts([k])
-    two = np.minimum.reduceat(o, at) != np.maximum.reduceat(o, at)
-    group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(k))))
-    return order, group, two
+#: A key is hot from so many flushes, or from so many owners in one flush, on.
+HOT_FLUSHES, HOT_OWNERS = 64, 1000
 
 
 def by_owner(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,16 +48,17 @@ class Pack:
             return [], None
         keys, owners = np.concatenate(self.keys), np.concatenate(self.owners)
         self.keys, self.owners, self.n = [], [], 0
-        order, group, two = _groups(keys, owners)
-        shared = np.empty(len(keys), bool)
-        shared[order] = two[group]
+        order = np.argsort(keys)
+        k, o = keys[order], owners[order]
+        at = run_starts([k])
+        each = np.diff(np.append(at, len(k)))
+        two = np.minimum.reduceat(o, at) != np.maximum.reduceat(o, at)
+        shared = np.zeros(len(keys), bool)
+        shared[order] = np.repeat(two, each)
         known = by_owner(keys[shared], owners[shared]) if shared.any() else None
-        first = np.zeros(len(keys), bool)
-        first[order[run_starts([group])]] = True  # one entry of each key
-        sent = np.flatnonzero(first)
-        k, o = keys[sent], np.where(shared[sent], ANY, owners[sent])
+        k, o = k[at], np.where(two, np.where(each >= HOT_OWNERS, MANY, ANY), o[at])  # one entry of each key
         part = (k >> np.uint64(24)) % np.uint64(self.parts)
-        by = np.argsort(part.astype(np.uint16 if self.parts < 65536 else np.uint32), kind="stable")
+        by = np.lexsort((o, part))
         k, o, part = k[by], o[by], part[by]
         cuts = np.append(run_starts([part]), len(part))
         rows = []
@@ -74,26 +68,29 @@ class Pack:
         return rows, known
 
 
-def meet(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Of the rows of one partition: what is shared, by owner."""
+def meet(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray] | None, np.ndarray, np.ndarray]:
+    """Of the rows of one partition: what is shared, by owner; hot keys and their number of flushes."""
     if not rows:
-        return None
+        return None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keys = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
     owners = np.concatenate([np.repeat(np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.uint32)) for r in rows])
     order = np.argsort(keys)
     k = keys[order]
     at = run_starts([k])
+    each = np.diff(np.append(at, len(k)))
     # Each flush sends a key once, so two entries mean two flushes; equal owners (repeated rows) do not count.
     o = owners[order]
-    two = (np.minimum.reduceat(o, at) != np.maximum.reduceat(o, at)) | (np.maximum.reduceat(o, at) == ANY)
+    two = (np.minimum.reduceat(o, at) != np.maximum.reduceat(o, at)) | (np.maximum.reduceat(o, at) <= MANY)
+    weight = each + HOT_FLUSHES * np.add.reduceat((o == MANY).astype(np.int64), at)
+    hot = weight >= HOT_FLUSHES
     hit = np.zeros(len(keys), bool)
-    hit[order] = np.repeat(two, np.diff(np.append(at, len(k))))
-    hit &= owners != ANY
-    return by_owner(keys[hit], owners[hit]) if hit.any() else None
+    hit[order] = np.repeat(two, each)
+    hit &= owners > MANY
+    return (by_owner(keys[hit], owners[hit]) if hit.any() else None), k[at][hot], weight[hot]
 
 
 def pack_answers(found: tuple[np.ndarray, np.ndarray, np.ndarray] | None, parts: int) -> list[tuple[int, bytes, bytes, bytes]]:
-    """Rows (to, owners, sizes, values), one for each of ``parts`` partitions of owners; values are 64-bit."""
+    """Rows (to, owners, sizes, values), one for each of ``parts`` partitions of owners; values are 64-bit, or rows of these."""
     if found is None:
         return []
     ids, values, at = found
@@ -108,9 +105,15 @@ def pack_answers(found: tuple[np.ndarray, np.ndarray, np.ndarray] | None, parts:
     return [(int(to[a]), ids[a:b].tobytes(), size[a:b].astype(np.uint32).tobytes(), values[start[a] : start[b]].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def gather(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owners, sorted values, and offsets of each owner's values, of all answers of a partition."""
+def gather(rows: list[tuple[bytes, bytes, bytes]], width: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners, values (sorted, if they are single numbers), and offsets of each owner's values, of all answers of a partition."""
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
     owners = np.concatenate([np.repeat(np.frombuffer(r[0], np.int64), np.frombuffer(r[1], np.uint32)) for r in rows])
-    return by_owner(np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]), owners)
+    values = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
+    if width == 1:
+        return by_owner(values, owners)
+    order = np.argsort(owners, kind="stable")
+    o = owners[order]
+    at = run_starts([o])
+    return o[at], values.reshape(-1, width)[order], np.append(at, len(o))

@@ -23,7 +23,7 @@ LOWER[0x41:0x5B] += 0x20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_COEF = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
+_LENGTH = _rng.integers(0, 2**64, 1, dtype=np.uint64)[0] | np.uint64(1)
 _BASE = int(_rng.integers(0, 2**63, dtype=np.uint64)) * 2 + 1
 _STEP = 1 << 20
 _M64 = (1 << 64) - 1
@@ -126,28 +126,37 @@ class Words:
             up, down = _POWERS.get(len(part) + 1)
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
-            out[a:b] = mix((total[e - base] - total[s - base]) * down[s - base] + (e - s).astype(np.uint64) * _COEF[0])
+            out[a:b] = mix((total[e - base] - total[s - base]) * down[s - base] + (e - s).astype(np.uint64) * _LENGTH)
         return out
 
-    def grams(self, word_hashes: np.ndarray, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, word_hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of every ``k`` consecutive words of one row, and their offsets by row."""
         n = len(word_hashes)
         counts = np.maximum(self.counts - (k - 1), 0)
         first = np.concatenate(([0], np.cumsum(counts)))
         if n < k or not first[-1]:
             return np.zeros(0, np.uint64), first
-        g = word_hashes[: n - k + 1] * _COEF[1 + salt]
-        for j in range(1, k):
-            g += word_hashes[j : n - k + 1 + j] * _COEF[1 + j + salt]
         keep = np.ones(n, bool)
         lo, hi = self.first[:-1], self.first[1:]
         for j in range(1, k):
             drop = hi - j
             keep[drop[drop >= lo]] = False
-        return mix(g[keep[: n - k + 1]] + np.uint64(k)), first
+        return mix(runs(word_hashes, k)[keep[: n - k + 1]] + np.uint64(k)), first
 
     def whole(self, word_hashes: np.ndarray, row: int) -> int:
         """A hash of all words of a row (for rows shorter than a gram)."""
         w = word_hashes[self.first[row] : self.first[row + 1]]
-        total = (w * _COEF[40 : 40 + len(w)]).sum(dtype=np.uint64) + np.uint64(len(w))
-        return int(mix(np.array([total], np.uint64))[0])
+        return int(mix(runs(w, len(w)) + np.uint64(len(w)))[0])
+
+
+def runs(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A polynomial of every ``k`` consecutive hashes, modulo 2**64; the cost does not depend on ``k``."""
+    out = np.empty(len(hashes) - k + 1, np.uint64)
+    for a in range(0, len(out), _STEP):
+        h = hashes[a : a + _STEP + k - 1]
+        n = len(h)
+        up, down = _POWERS.get(n)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(h * up[:n], out=total[1:])
+        out[a : a + _STEP] = (total[k:] - total[: n - k + 1]) * down[: n - k + 1]
+    return out

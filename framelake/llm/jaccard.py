@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm import _text
-from framelake.llm._exec import binary_rows, drop, parts, run_starts, saved, small, whole_groups
+from framelake.llm._exec import binary_rows, drop, parts, run_starts, saved, small, text_bytes, whole_groups
 from framelake.llm._shared import Pack, gather, meet, pack_answers
 from framelake.llm.components import components
 
@@ -124,7 +124,7 @@ def _tell(n_parts: int):
                 yield own.select(_NAMES[4:])
             rest = batch.filter(pc.invert(done))
             rows += zip(*(rest.column(c).to_pylist() for c in ("keys", "owners", "counts")), strict=True)
-        if answers := pack_answers(meet(rows), n_parts):
+        if answers := pack_answers(meet(rows)[0], n_parts):
             yield _batch(answers, "to", "ids", "sizes", "shared").select(_NAMES[4:])
 
     return run
@@ -358,7 +358,7 @@ def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     """Steps 1 and 2: documents with an id, sizes of those without, sets, one row for each different set, the members of candidate clusters, partitions."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     some = docs.where("doc_id is not null")
-    n_parts = parts(docs, 1.5)
+    n_parts = parts(docs, text_bytes("text"), 1.5)
     to = lambda c: F.expr(f"pmod({c}, {n_parts})")
     told = some.mapInArrow(_send(k, num, den, n_parts), _SENT).repartitionById(n_parts, to("part")).mapInArrow(_tell(n_parts), _TOLD)
     sets = saved(told.repartitionById(n_parts, to("to")).mapInArrow(_prefixes(num, den), _SETS))

@@ -158,7 +158,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     rows = keyed.select("vec_id", "weight", "embedding", "keys", F.posexplode("keys").alias("t", "key")).join(large, "key", "left")
     rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), "own", "t", "vec_id", "weight", "embedding", "keys")
-    n_parts = parts(keyed, 2 * tables)
+    n_parts = parts(keyed, F.size("embedding") * 8 + 8 * tables, tables)
     found = saved(rows.repartition(n_parts, "key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_links(cosine), "vec_id bigint, n bigint, low bigint"))
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     comp = components(found, "vec_id", "low")

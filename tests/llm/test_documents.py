@@ -110,45 +110,115 @@ def test_jaccard_keeps_one(docs, rows):
 
 
 def cut(rows, window):
+    """For each row (not id): number of words, of removed ones, and the kept text."""
     seen = {}
-    for i, t in sorted(rows):
-        w = SPACE.findall(t or "")
+    for i, t in sorted((i, t or "") for i, t in rows if i is not None):
+        w = SPACE.findall(t)
         for j in range(len(w) - window + 1):
             seen.setdefault(tuple(w[j : j + window]), i)
-    out = {}
+    out = []
     for i, t in rows:
         w = SPACE.findall(t or "")
         gone = [False] * len(w)
         for j in range(len(w) - window + 1):
-            if seen[tuple(w[j : j + window])] < i:
+            if i is not None and seen[tuple(w[j : j + window])] < i:
                 gone[j : j + window] = [True] * window
-        out[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
+        out.append((len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
     return out
 
 
-@pytest.mark.parametrize("window", [3, 13])
-def test_substrings(docs, rows, window):
-    got = substrings.remove_repeats(docs, window).toPandas()
-    want = cut(rows, window)
-    named = got[got.doc_id.notna()]
-    assert len(named) == len(rows) + 2
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in named.itertuples()} == want
-    assert got[got.doc_id.isna()].n_removed.tolist() == [0]
+def repeated(rows):
+    """Rows that repeat ids: with the same text, with others (shorter, longer, null), and without an id."""
+    long = " ".join(f"r{j}" for j in range(80))
+    odd = [(9001, long), (9002, f"x {long} y one"), (9002, " ".join(f"other{j}" for j in range(80))), (9002, "z"), (9002, None), (9001, "x y"), (9003, long), (9003, long), (9003, f"{long} {long}")]
+    return [*rows, rows[0], rows[7], *odd, (rows[3][0], rows[9][1]), (None, "null id a b c d e f"), (None, long)]
+
+
+def cut_rows(df):
+    return Counter((None if r.doc_id is None else int(r.doc_id), r.n_words, r.n_removed, r.kept) for r in df.collect())
 
 
-def test_substrings_in_small_flushes(docs, rows, monkeypatch):
+@pytest.mark.parametrize("window", [1, 3, 13, 50, 70])
+def test_substrings(spark, rows, window):
+    every = repeated(rows)
+    got = cut_rows(substrings.remove_repeats(frame(spark, every).repartition(3), window))
+    assert got == Counter((i, *x) for (i, _), x in zip(every, cut(every, window), strict=True))
+
+
+@pytest.mark.parametrize("hot", [64, 1])
+def test_substrings_in_small_flushes(spark, rows, monkeypatch, hot):
     from framelake.llm import _shared
 
     monkeypatch.setattr(_shared, "FLUSH", 50)
     monkeypatch.setattr(substrings, "FLUSH", 50)
-    got = substrings.remove_repeats(docs.where("doc_id is not null").coalesce(1), 13).toPandas()
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got.itertuples()} == cut(rows, 13)
+    monkeypatch.setattr(_shared, "HOT_FLUSHES", hot)  # with 1 all shared anchors are hot
+    every = repeated(rows)
+    got = cut_rows(substrings.remove_repeats(frame(spark, every).coalesce(1), 13))
+    assert got == Counter((i, *x) for (i, _), x in zip(every, cut(every, 13), strict=True))
+
+
+def naive_parse(key, doc, first):
+    """Greedy longest factors by trying every reference: (start, length), and each one's possible references."""
+    seg = [(d, list(range(a, b))) for d, a, b in zip(doc, first, first[1:])]
+    out = []
+    for d, places in seg:
+        p = 0
+        while p < len(places):
+            best, refs = 0, set()
+            for e, others in seg:
+                for q in range(len(others)) if e < d else ():
+                    n = 0
+                    while p + n < len(places) and q + n < len(others) and key[places[p + n]] == key[others[q + n]]:
+                        n += 1
+                    if n > best:
+                        best, refs = n, set()
+                    if n == best and n:
+                        refs.add(others[q])
+            if best:
+                out.append((places[p], best, refs))
+            p += max(best, 1)
+    return out
 
 
-def test_cut_documents_leaves_the_rest_alone(docs, rows):
-    got = {r.doc_id: r.text for r in substrings.cut_documents(docs, 13).collect()}
-    want = cut(rows, 13)
-    assert all(got[i] == (want[i][2] if want[i][1] else t) for i, t in rows)
+def test_parse_finds_the_longest_factors():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        size = r.integers(1, 12, r.integers(1, 14))
+        first = np.concatenate(([0], np.cumsum(size)))
+        key = r.integers(0, r.choice([2, 3, 8, 40]), first[-1]).astype(np.uint64)
+        doc = r.integers(0, r.choice([2, 5, 20]), len(size))
+        start, length, source = substrings.parse(key, doc, first)
+        want = naive_parse(key.tolist(), doc.tolist(), first.tolist())
+        assert [(int(a), int(n)) for a, n in zip(start, length)] == [(a, n) for a, n, _ in want]
+        assert all(int(q) in refs for q, (_, _, refs) in zip(source, want))
+
+
+def test_factors_refer_to_their_source(spark, rows):
+    every = [*rows, (700, "s " + " ".join(f"r{j}" for j in range(40))), (701, " ".join(f"r{j}" for j in range(20)) + " q " + " ".join(f"r{j}" for j in range(20, 40)))]
+    text = {i: SPACE.findall(t or "") for i, t in every}
+    found = substrings.find_factors(frame(spark, every).repartition(3), 13).collect()
+    cover = defaultdict(set)
+    for f in found:
+        words = text[f.doc_id][f.start : f.start + f.length]
+        other = text[f.source_id]
+        assert f.source_id < f.doc_id and f.length >= 13 and len(words) == f.length
+        assert any(other[j : j + f.length] == words for j in range(len(other)))
+        cover[f.doc_id] |= set(range(f.start, f.start + f.length))
+    want = {i: n for (i, _), (_, n, _) in zip(every, cut(every, 13), strict=True) if n}
+    assert {i: len(x) for i, x in cover.items()} == want and len(found) > 10
+
+
+def test_cut_documents_leaves_the_rest_alone(spark, rows):
+    every = repeated(rows)
+    names = "doc_id bigint, text string, _id string, _gone int, _kept string, `a.b` int, rest string, n_chars int, row int, found binary"
+    docs = spark.createDataFrame([(i, t, str(k), k, "k", k, "r", len(t or ""), 1, b"x") for k, (i, t) in enumerate(every)], names)
+    out = substrings.cut_documents(docs.repartition(3), 13)
+    assert out.columns == docs.columns
+    got = {r._gone: r for r in out.collect()}
+    assert len(got) == len(every)
+    for k, ((i, t), (_, n, kept)) in enumerate(zip(every, cut(every, 13), strict=True)):
+        r = got[k]
+        assert (r.doc_id, r.text, r._id, r["a.b"], r.n_chars) == (i, kept if n else t, str(k), k, len(kept if n else t or ""))
 
 
 def test_packing(spark, docs, rows):
@@ -362,4 +432,4 @@ def test_digests_of_queries(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r.kept_sha256 for r in QUERIES["op5_substrings"](spark, sf).collect()}
-    assert got == {i: hashlib.sha256(x[2].encode()).hexdigest() for i, x in cut([tuple(r) for r in rows], 13).items()}
+    assert got == {r.doc_id: hashlib.sha256(x[2].encode()).hexdigest() for r, x in zip(rows, cut([tuple(r) for r in rows], 13), strict=True)}

@@ -195,8 +195,7 @@ def test_pipeline(spark):
     short = stage["substring dedup"](spark, one, SF)
     assert short.columns == docs.columns
     left = [(i, rows[i]) for i in rows if want[i] == i]
-    expect = cut(left, 50)
-    assert {r.doc_id: r.text for r in short.collect()} == {i: expect[i][2] if expect[i][1] else t for i, t in left}
+    assert {r.doc_id: r.text for r in short.collect()} == {i: kept if n else t for (i, t), (_, n, kept) in zip(left, cut(left, 50), strict=True)}
     packed = stage["packing"](spark, short, SF).toPandas()
     assert set(packed.doc_id) == {i for i, _ in left} and packed.groupby("sequence_id").length.sum().max() <= 2048
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
