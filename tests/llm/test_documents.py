@@ -72,41 +72,100 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize(("k", "num", "den", "block"), [(4, 85, 100, 4096), (5, 80, 100, 4096), (4, 50, 100, 5)])
-def test_jaccard(docs, rows, k, num, den, block, monkeypatch):
+def row_classes(every, k, num, den):
+    """By row: size of its set, the smallest id of its class, and its number of links."""
+    sets = [shingles(t, k) if i is not None else set() for i, t in every]
+    linked = lambda a, b: den * len(a & b) >= num * len(a | b)
+    root = classes(dict(enumerate(sets)), linked)
+    low = defaultdict(list)
+    for x, (i, _) in enumerate(every):
+        low[root[x]].append(i)
+    links = [sum(x != y and bool(a and b) and linked(a, b) for y, b in enumerate(sets)) for x, a in enumerate(sets)]
+    return [(i, len(shingles(t, k)), None if i is None else min(low[root[x]]), links[x]) for x, (i, t) in enumerate(every)]
+
+
+def whole(x):
+    return None if x is None or x != x else int(x)
+
+
+def near_copies(n=25, first=1000):
+    return [(first + i, " ".join(f"v{j}" if j != 3 * i else "w" for j in range(60 + i % 2))) for i in range(n)]
+
+
+JOINS = [(4, 85, 100, 4096), (5, 80, 100, 4096), (4, 50, 100, 5), (4, 85, 100, 5), (2, 97, 100, 5), (1, 10, 100, 4096)]
+
+
+@pytest.mark.parametrize(("k", "num", "den", "block"), JOINS)
+def test_jaccard(spark, rows, k, num, den, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    got = jaccard.jaccard_classes(docs, k, num, den).toPandas()
-    sets = {i: shingles(t, k) for i, t in rows}
-    want = classes(sets, lambda a, b: den * len(a & b) >= num * len(a | b))
-    named = got[got.doc_id.notna()]
-    assert sorted(named.doc_id) == sorted(sets)
-    assert {r.doc_id: r.n_shingles for r in named.itertuples()} == {i: len(s) for i, s in sets.items()}
-    assert {r.doc_id: r.component_id for r in named.itertuples()} == want
-    assert len(got) == len(sets) + 1 and got[got.doc_id.isna()].component_id.isna().all()
+    every = [*repeated(rows), *near_copies(), (2000, rows[3][1]), (2001, rows[3][1])]
+    got = jaccard.jaccard_classes(frame(spark, every).repartition(3), k, num, den).collect()
+    assert Counter((whole(r.doc_id), r.n_shingles, whole(r.component_id)) for r in got) == Counter(x[:3] for x in row_classes(every, k, num, den))
+
+
+def test_jaccard_judges_repeated_ids_by_their_own_text(spark):
+    a, b = " ".join(f"a{j}" for j in range(40)), " ".join(f"b{j}" for j in range(60))
+    got = jaccard.jaccard_classes(frame(spark, [(1, b), (1, a), (2, a + " z"), (0, b + " z")])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(0, 57, 0), (1, 36, 1), (1, 56, 0), (2, 37, 1)]
+    kept = jaccard.keep_one(frame(spark, [(1, b), (1, a), (2, a + " z"), (0, b + " z")])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(0, b + " z"), (1, a)]
 
 
 @pytest.mark.parametrize(("k", "num", "den", "block"), [(4, 85, 100, 4096), (4, 50, 100, 5)])
 def test_jaccard_links(spark, rows, k, num, den, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    near = [(1000 + i, " ".join(f"v{j}" if j != 3 * i else "w" for j in range(60 + i % 2))) for i in range(25)]
-    every = [*rows, *near, (2000, rows[3][1])]
-    repeated = [every[0], every[7], near[1], (near[2][0], "v1 v2 v3 v4 v5"), (None, "null id a b c d e f")]
-    got = jaccard.jaccard_links(frame(spark, [*every, *repeated]).repartition(3), k, num, den).toPandas()
-    sets = {i: shingles(t, k) for i, t in every}
-    want = {i: sum(bool(a and b) and i != j and den * len(a & b) >= num * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
-    named = got[got.doc_id.notna()]
-    assert len(named) == len(sets) and {r.doc_id: r.n_links for r in named.itertuples()} == want
-    assert {r.doc_id: r.n_shingles for r in named.itertuples()} == {i: len(s) for i, s in sets.items()}
-    assert got[got.doc_id.isna()].n_links.tolist() == [0] and max(want.values()) > 5
-
-
-def test_jaccard_keeps_one(docs, rows):
-    kept = jaccard.keep_one(docs, 4, 85, 100).toPandas()
-    sets = {i: shingles(t, 4) for i, t in rows}
-    want = classes(sets, lambda a, b: 100 * len(a & b) >= 85 * len(a | b))
-    assert set(kept.doc_id.dropna()) == {i for i in sets if want[i] == i}
-    assert list(kept.columns) == [c.split()[0] for c in SCHEMA.split(", ")]
-    assert kept.doc_id.isna().sum() == 1
+    every = [*repeated(rows), *near_copies(), (2000, rows[3][1])]
+    got = jaccard.jaccard_links(frame(spark, every).repartition(3), k, num, den).collect()
+    want = Counter((i, n, links) for i, n, _, links in row_classes(every, k, num, den))
+    assert Counter((whole(r.doc_id), r.n_shingles, r.n_links) for r in got) == want and max(x[2] for x in want) > 5
+
+
+def test_near_sets_take_over_answers():
+    r = np.random.default_rng(6)
+    probes = sets_seen = 0
+    for num, den in [(85, 100), (80, 100), (50, 100), (98, 100)]:
+        for _ in range(12):
+            sets = []
+            for base in range(3):
+                core = r.choice(400, 150, replace=False) + 100 * base
+                for _ in range(25):
+                    s = core.copy()
+                    swap = r.choice(150, r.integers(0, r.choice([3, 12, 30])), replace=False)
+                    s[swap] = r.integers(1000, 1060, len(swap))
+                    sets.append(np.unique(s).astype(np.uint64))
+            ids = r.permutation(len(sets)).tolist()
+            got, n = jaccard.link_classes(ids, sets, num, den)
+            plain = {i: set(s.tolist()) for i, s in zip(ids, sets)}
+            want = classes(dict(sorted(plain.items())), lambda a, b: den * len(a & b) >= num * len(a | b))
+            assert dict(zip(ids, got)) == want
+            # two sides: pairs inside a side do not count
+            asks = [bool(x) for x in r.integers(0, 2, len(sets))]
+            side = dict(zip(ids, asks))
+            got, _ = jaccard.link_classes(ids, sets, num, den, None, asks)
+            tagged = {i: (side[i], s) for i, s in sorted(plain.items())}
+            across = classes(tagged, lambda a, b: a[0] != b[0] and den * len(a[1] & b[1]) >= num * len(a[1] | b[1]))
+            found = dict(zip(ids, got))
+            # near sets of one side link as well, so classes may only be joined further, by links that are true
+            assert all(found[i] == found[across[i]] for i in ids) and all(want[i] == want[found[i]] for i in ids)
+            if num < 95:
+                probes, sets_seen = probes + n, sets_seen + len(sets)
+    assert probes < 0.75 * sets_seen
+
+
+def test_jaccard_keeps_one(spark, rows):
+    every = [*repeated(rows), *near_copies()]
+    kept = jaccard.keep_one(frame(spark, every).repartition(3), 4, 85, 100)
+    assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    want = Counter((i, t) for (i, t), (_, _, c, _) in zip(every, row_classes(every, 4, 85, 100), strict=True) if i == c)
+    assert Counter((whole(r.doc_id), r.text) for r in kept.collect()) == want
+
+
+def test_clashing_names(spark):
+    t = " ".join(f"a{j}" for j in range(60))
+    names = "doc_id int, text string, _gone int, _hash string, `a.b` int, component_id int, low int, _toxic int"
+    docs = spark.createDataFrame([(i, t + " z" * (i % 2), 1, "h", i, 7, 8, 9) for i in range(4)], names)
+    kept = jaccard.keep_one(docs)
+    assert kept.schema == docs.schema and [r.doc_id for r in kept.collect()] == [0]
 
 
 def cut(rows, window):
