@@ -20,7 +20,7 @@ MANY = ANY + 1
 #: Entries that a map task holds before it passes them on (about 100 MB while sorting).
 FLUSH = 2_000_000
 #: A key is hot from so many flushes, or from so many owners in one flush, on.
-HOT_FLUSHES, HOT_OWNERS = 64, 1000
+HOT_FLUSHES, HOT_OWNERS = 64, 100
 
 
 def by_owner(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

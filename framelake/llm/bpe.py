@@ -3,7 +3,9 @@
 The symbols of all words that a worker has not met yet stand in one flat array. A round
 looks up every neighbouring pair by binary search over the sorted pair keys, takes the
 lowest rank of each word and merges it wherever it stands (from the left where it overlaps
-itself), until no word has a pair left. Words seen before come from a bounded memory.
+itself), until no word has a pair left. Words seen before come from a bounded memory. A word of
+more than ``LONG`` bytes would need too many rounds over all of it: its pairs wait in a heap, by
+rank and place, and only the neighbours of a merge are looked up again.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from framelake.llm import _text
 
 CACHE = 500_000
+LONG = 2000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -46,6 +50,7 @@ class WordBpe:
         order = np.lexsort((-np.arange(len(key)), key))
         order = order[np.concatenate(([True], key[order][1:] != key[order][:-1]))]
         self.key, self.rank, self.merged = key[order], order.astype(np.int64), merged[order]
+        self.pairs: dict[int, tuple[int, int]] = {}  # for long words
         # The pattern of the vocabulary file, its white space spelled out.
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
         self.spaces = regex.compile(r"\p{White_Space}+").split
@@ -88,14 +93,46 @@ class WordBpe:
         by = np.argsort(word, kind="stable")
         return sym[by], np.searchsorted(word[by], np.arange(len(words) + 1))
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """Ids of one word, in the same order of merges: lowest rank first, then from the left."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.merged.tolist(), strict=True), strict=True))
+        data = np.frombuffer(word, np.uint8)
+        sym = self.inner[data].tolist()
+        sym[-1] = int(self.last[data[-1]])
+        n, pairs = len(sym), self.pairs
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        get = lambda i: pairs.get(sym[i] << 32 | sym[after[i]]) if after[i] < n else None
+        heap = [(p[0], i, p[1]) for i in range(n - 1) if (p := get(i))]
+        heapify(heap)
+        while heap:
+            rank, i, new = heappop(heap)
+            if sym[i] < 0 or (p := get(i)) is None or p[0] != rank:
+                continue  # one of both is part of another merge by now
+            j = after[i]
+            sym[i], sym[j] = new, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (p := get(k)):
+                    heappush(heap, (p[0], k, p[1]))
+        return [s for s in sym if s >= 0]
+
     def learn(self, chunks: set[str]) -> None:
         """Ids and tokens, as text, of chunks without white space."""
         if not chunks:
             return
         named = [(c, self.words(c)) for c in chunks]
-        each = list({w for _, ws in named for w in ws})
-        flat, at = self.merge([w.encode() for w in each])
+        each = {w: w.encode() for _, ws in named for w in ws}
+        long = [w for w, b in each.items() if len(b) > LONG]
+        each = [w for w, b in each.items() if len(b) <= LONG]
+        flat, at = self.merge([w.encode() for w in each]) if each else (np.zeros(0, np.int64), np.zeros(1, np.int64))
         flat, at = flat.tolist(), at.tolist()
+        for w in long:
+            flat += self.merge_long(w.encode())
+            at.append(len(flat))
+        each += long
         number, text = list(map(self.number.__getitem__, flat)), list(map(self.token.__getitem__, flat))
         numbers = {w: " ".join(number[a:b]) for w, a, b in zip(each, at, at[1:], strict=False)}
         texts = {w: " ".join(text[a:b]) for w, a, b in zip(each, at, at[1:], strict=False)}

@@ -71,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     scored = toxicity.score_documents(docs, toxicity.train(docs, _labels(spark, sf_dir)))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "starts", "ends")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -430,7 +430,7 @@ def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _parsed(docs: DataFrame, window: int, rest: list[str]) -> DataFrame:
     """Rows (doc_id, row, text, rest, found) of all documents with an id; ``rest`` is a struct of further columns."""
     text = F.col("text").cast("string")
-    extra = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None).cast("tinyint")
+    extra = F.struct(*(F.col(f"`{c}`") for c in rest or ["doc_id"]))  # no constant: it would be left out of one of the two exchanges, which then were no longer the same
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"), extra.alias("rest"))
     n = parts(docs, text_bytes("text"), 2)
     named = docs.where("doc_id is not null")

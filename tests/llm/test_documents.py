@@ -459,19 +459,68 @@ def test_toxicity(spark):
         assert flat.nunique() == 1 and flat.between(0, 1).all()
 
 
-def test_marginals_equal_enumeration():
+def test_marginals_equal_enumeration(monkeypatch):
     rng = np.random.default_rng(1)
-    e, chain = rng.normal(size=7), rng.normal(size=5)
-    p, counts = toxicity.marginals(e, np.array([0, 4]), np.array([4, 3]), chain)
-    for a, n in ((0, 4), (4, 3)):
-        total, one, start = 0.0, np.zeros(n), 0.0
-        for bits in range(2**n):
-            y = [bits >> t & 1 for t in range(n)]
-            s = y[0] * chain[1] + sum(y[t] * (e[a + t] + chain[0]) for t in range(n))
-            s += sum({(0, 1): chain[2], (1, 0): chain[3], (1, 1): chain[4]}.get((y[t - 1], y[t]), 0) for t in range(1, n))
-            total += np.exp(s)
-            one += np.exp(s) * np.array(y)
-        np.testing.assert_allclose(p[a : a + n], one / total, rtol=1e-9)
+    for steps in (64, 3, 2):
+        monkeypatch.setattr(toxicity, "STEPS", steps)
+        sizes = [4, 0, 7, 1, 3, 9, 0]
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        e, chain = rng.normal(size=first[-1]), rng.normal(size=5)
+        p, counts = toxicity.marginals(e, first, chain)
+        want = np.zeros(4)
+        for a, n in zip(first, sizes):
+            total, one, moved = 0.0, np.zeros(n), np.zeros(4)
+            for bits in range(2**n) if n else ():
+                y = [bits >> t & 1 for t in range(n)]
+                s = y[0] * chain[1] + sum(y[t] * (e[a + t] + chain[0]) for t in range(n))
+                s += sum({(0, 1): chain[2], (1, 0): chain[3], (1, 1): chain[4]}.get((y[t - 1], y[t]), 0) for t in range(1, n))
+                total += np.exp(s)
+                one += np.exp(s) * np.array(y)
+                steps_taken = [y[0], *(sum((y[t - 1], y[t]) == m for t in range(1, n)) for m in ((0, 1), (1, 0), (1, 1)))]
+                moved += np.exp(s) * np.array(steps_taken)
+            if n:
+                np.testing.assert_allclose(p[a : a + n], one / total, rtol=1e-9)
+                want += moved / total
+        np.testing.assert_allclose(counts, want, rtol=1e-9)
+
+
+def test_scores_do_not_depend_on_the_batch(spark):
+    r = random.Random(8)
+    model = toxicity.Model((np.random.default_rng(3).normal(size=1 << toxicity.BITS)).astype(np.float32), np.array([-3.0, 0.3, 0.2, -0.4, 0.7]), np.array([-2.0, 1, 0.5, 0.2, 3]), float("nan"))
+    rows = [(i, " ".join("w" + str(r.randint(0, 500)) for _ in range(r.choice([0, 1, 5, 63, 64, 65, 200, 1000])))) for i in range(60)]
+    rows += [(100, "long words " * 40_000), (101, "w1 " * 129)]
+    every = {x.doc_id: x for x in toxicity.score_documents(frame(spark, rows).coalesce(1), model).collect()}
+    other = {x.doc_id: x for x in toxicity.score_documents(frame(spark, rows[::-1]).repartition(7), model).collect()}
+    assert every == other
+    for i, t in rows:
+        alone = toxicity.score_documents(frame(spark, [(i, t)]), model).first() if i % 7 == 0 else every[i]
+        assert alone == every[i]
+
+
+def test_the_fit_is_bounded_in_bytes(spark, monkeypatch):
+    r = random.Random(3)
+    words = lambda n: " ".join(f"w{r.randint(0, 300)}" for _ in range(n))
+    rows = [(i, words(10) + (" vile nasty " if i % 2 else " kind ") + words(20_000 if i in (4, 5) else 10)) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    docs = frame(spark, [*rows, (6, "another text of six"), rows[7]])
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, *x: seen.append(texts) or fit(texts, *x))
+    score = {x.doc_id: x.score for x in toxicity.score_documents(docs, toxicity.train(docs, labels, sample_bytes=8000)).collect()}
+    assert sum(map(len, seen[0])) <= 8000 and len(seen[0]) == len(set(seen[0])) > 40
+    assert sum((score[i] >= 0.3) == bool(i % 2) for i in range(80)) >= 68
+
+
+def test_long_words_equal_the_library(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok, r = Tokenizer.from_file(tokenizer("word_bpe_49k.json")), random.Random(9)
+    words = ["".join(r.choice(a) for _ in range(n)) for a in ("ab", "etaoinshrdlu", "aé日", "xyz0") for n in (5, 50, 3000, 9000)]
+    texts = [*words, " ".join(words), "x " + words[2] + "'s " + words[3] + " y", *("".join(r.choice("abcde") for _ in range(r.randint(1, 40))) for _ in range(300))]
+    for long in (bpe.LONG, 3):
+        monkeypatch.setattr(bpe, "LONG", long)
+        got, _ = bpe.WordBpe(tokenizer("word_bpe_49k.json")).encode(texts)
+        assert got == [" ".join(map(str, tok.encode(t, add_special_tokens=False).ids)) for t in texts]
 
 
 def test_empty_tables(spark):
