@@ -1,16 +1,17 @@
 """Operator 2: licence scan by a positional index of rare template words.
 
-Licence templates are indexed by word: (template, place). Template words in a file vote for
-(template, shift), the shift being place in file minus place in template; words at the same
-shift stand in the same relative positions. Inverse document frequencies over all files choose
-each template's rarest words, however frequent these are; these vote first, and the others
-only at shifts that have a vote by then, as no other shift can cover enough of the template.
-A template is found in every file in which one of its mandatory key phrases stands in full; the
-phrase is looked for from its rarest word on. In these files all words vote at all shifts.
-Fixed phrases (``BASE``) are counted at every place.
-
-All words of a file vote for all templates, so frequencies and other text in the file change
-only the work. Words are compared by 64-bit hash, whole batches at a time.
+The licence words of a file make up postings (word: places in the file). Licence templates and
+their mandatory key phrases are looked up in them from their words of highest inverse document frequency on: a place of the
+rarest word gives a shift (place in file minus place in wording), and the postings of the next rarest words
+are intersected with it by relative position. A key phrase is verified where all its words stand
+at one shift, and gives the file the template's label. Frequencies are counted over all files;
+they choose the order of words and rule nothing out.
+
+The share of a template that stands at one shift goes into the score: its rarest words
+vote for shifts first, the others only for shifts that have a vote by then, as no other shift
+can cover enough of it. Fixed phrases (``BASE``) are counted at every place.
+
+Words are compared by 64-bit hash, whole batches at a time.
 """
 
 from __future__ import annotations
@@ -28,17 +29,21 @@ from framelake.llm import _text
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Label, wording, mandatory key phrases (any of them).
 TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ["apache license version 2 0"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["permission is hereby granted free of charge"]),
-    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ["gnu general public license as published by the free software foundation either version 3", "gnu general public license version 3", "gnu general public license v3"]),
-    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ["gnu general public license as published by the free software foundation either version 2", "gnu general public license version 2", "gnu general public license v2"]),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ["apache license version 2 0"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["permission is hereby granted free of charge to any person obtaining a copy"]),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ["gnu general public license as published by the free software foundation either version 3", "gnu general public license version 3", "gnu general public license v3"]),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ["gnu general public license as published by the free software foundation either version 2", "gnu general public license version 2", "gnu general public license v2"]),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file", ["mozilla public license v 2 0", "mozilla public license version 2 0"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute this software"]),
+    ("agpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu affero general public license"]),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistribution and use in source and binary forms"]),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", ["mozilla public license v 2 0", "mozilla public license version 2 0"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["permission to use copy modify and or distribute this software"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ["permission is granted to anyone to use this software for any purpose"]),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", ["eclipse public license 2 0", "eclipse public license v 2 0"]),
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0", "cc by 4 0"]),
     ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike 4 0", "cc by sa 4 0"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
+    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", ["cc0 1 0 universal", "dedicated the work to the public domain"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["free and unencumbered software released into the public domain"]),
     ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["boost software license version 1 0", "any person or organization obtaining a copy of the software"]),
 ]
 #: A covered share from which wording alone, without a key phrase, counts for the score.
@@ -73,47 +78,50 @@ class Index:
             self.first.append(by[: len(t) - need + 1])
             self.rest.append(by[len(t) - need + 1 :])
 
-    def rarest(self, phrase: list[int]) -> int:
-        """The place of its rarest word."""
-        return int(np.argmax(self.idf[phrase]))
-
     def codes(self, w: _text.Words) -> np.ndarray:
         """The number of each word, -1 for words that are not ours."""
         h = w.hashes()
         near = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
         return np.where(self.hash[near] == h, near, -1)
 
-    def shares(self, codes: np.ndarray, doc: np.ndarray, first: np.ndarray, found: np.ndarray) -> np.ndarray:
+    def shares(self, post: Postings, doc: np.ndarray, first: np.ndarray, found: np.ndarray) -> np.ndarray:
         """For each template and file the largest share of the template at one shift; 0 for less than SHARE without a key phrase."""
         n, gap = len(first) - 1, self.longest
-        at = np.flatnonzero(codes >= 0)
-        at = at[np.argsort(codes[at], kind="stable")]
-        cuts = np.searchsorted(codes[at], np.arange(self.words + 1))
-        spots = at + (doc[at] + 1) * gap  # a gap between files keeps their shifts apart
+        spots = post.at + (doc[post.at] + 1) * gap  # a gap between files keeps their shifts apart
         edges = first[:-1] + np.arange(n) * gap + 1
         out = np.zeros(found.shape)
         for i, (_, t, _) in enumerate(self.templates):
             votes = np.zeros(first[-1] + n * gap + 1, np.uint16)
             for place in self.first[i]:
-                votes[spots[cuts[t[place]] : cuts[t[place] + 1]] - place] += 1
+                votes[spots[post.cut(t[place])] - place] += 1
             for place in self.rest[i]:
-                own = slice(cuts[t[place]], cuts[t[place] + 1])
+                own = post.cut(t[place])
                 shift = spots[own] - place
-                votes[shift[(votes[shift] > 0) | found[i, doc[at[own]]]]] += 1
+                votes[shift[(votes[shift] > 0) | found[i, doc[post.at[own]]]]] += 1
             out[i] = np.maximum.reduceat(votes, edges) / len(t)
         return np.where(found | (out >= SHARE), out, 0)
 
 
-def places(codes: np.ndarray, phrase: list[int], first: int = 0) -> np.ndarray:
-    """Where the words of a phrase stand consecutively; the word at ``first`` is looked for before the others."""
-    n = len(codes) - len(phrase) + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    at = np.flatnonzero(codes[first : first + n] == phrase[first])
-    for j, w in enumerate(phrase):
-        if j != first:
-            at = at[codes[at + j] == w]
-    return at
+class Postings:
+    """The places of each of our words in a batch of files, in order."""
+
+    def __init__(self, codes: np.ndarray, words: int) -> None:
+        self.codes = codes
+        at = np.flatnonzero(codes >= 0)
+        self.at = at[np.argsort(codes[at], kind="stable")]
+        self.cuts = np.searchsorted(codes[self.at], np.arange(words + 1))
+
+    def cut(self, word: int) -> slice:
+        return slice(self.cuts[word], self.cuts[word + 1])
+
+    def verified(self, phrase: list[int], idf: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Where a whole phrase stands in one file: shifts of its rarest word, kept where the next rarest ones are at the same shift."""
+        by = sorted(range(len(phrase)), key=lambda j: (-idf[phrase[j]], j))
+        shift = self.at[self.cut(phrase[by[0]])] - by[0]
+        shift = shift[(shift >= 0) & (shift + len(phrase) <= len(self.codes))]
+        for j in by[1:]:
+            shift = shift[self.codes[shift + j] == phrase[j]]
+        return shift[doc[shift] == doc[shift + len(phrase) - 1]]
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,14 +153,13 @@ def _scan(files: int, with_word: np.ndarray):
 
 def _rows(ix: Index, part: pa.RecordBatch) -> pa.RecordBatch:
     w = _text.Words(part.column("text"), "alnum", lower=True)
-    codes = ix.codes(w)
+    post = Postings(ix.codes(w), ix.words)
     doc = np.repeat(np.arange(part.num_rows), w.counts)
     n_base = np.zeros(part.num_rows, np.int64)
     low, high = np.full(part.num_rows, np.iinfo(np.int64).max), np.full(part.num_rows, -1)
     base, found = (np.zeros((len(x), part.num_rows), bool) for x in (ix.base, ix.templates))
     for k, (phrase, _) in enumerate(ix.base):
-        at = places(codes, phrase, ix.rarest(phrase))
-        at = at[doc[at] == doc[at + len(phrase) - 1]]
+        at = post.verified(phrase, ix.idf, doc)
         d = doc[at]
         np.add.at(n_base, d, 1)
         np.minimum.at(low, d, at - w.first[d])
@@ -160,9 +167,8 @@ def _rows(ix: Index, part: pa.RecordBatch) -> pa.RecordBatch:
         base[k, d] = True
     for k, (_, _, phrases) in enumerate(ix.templates):
         for phrase in phrases:
-            at = places(codes, phrase, ix.rarest(phrase))
-            found[k, doc[at[doc[at] == doc[at + len(phrase) - 1]]]] = True
-    share = ix.shares(codes, doc, w.first, found)
+            found[k, doc[post.verified(phrase, ix.idf, doc)]] = True
+    share = ix.shares(post, doc, w.first, found)
     score = np.maximum(np.where(found, 0.5, 0) + 0.5 * share, 0.5 * base.any(axis=0)).max(axis=0)
     labels = [label for _, label in ix.base] + [label for label, _, _ in ix.templates]
     names, every = _names(base, labels), _names(np.concatenate([base, found]), labels)

@@ -67,26 +67,32 @@ def _longest(value: str) -> str:
     return "CASE " + " ".join(fit.format(h=h, p=p, v=a if value == "action" else h + p) for a, h, p in order) + " END"
 
 
-def _strength(level: str) -> str:
-    """Moment estimate of a beta prior's strength from the shares of one level."""
-    return f"""SELECT CASE WHEN coalesce(n, 0) = 0 OR g < 2 THEN 2e0 WHEN rho > 0 THEN least(1000e0, greatest(0.5e0, (1 - rho) / rho)) ELSE 1000e0 END AS m FROM (
-      SELECT n, g, CASE WHEN room > least_ THEN (spread - least_) / (room - least_) ELSE 1e0 END AS rho FROM (
-        SELECT n, g, kk - n * p * p AS spread, p * (1 - p) * (g - 1) AS least_, p * (1 - p) * (n - nn / n) AS room FROM (
-          SELECT sum(n)::DOUBLE AS n, sum(k)::DOUBLE / sum(n) AS p, count(*) AS g, sum(n * n)::DOUBLE AS nn, sum(k * k / n::DOUBLE) AS kk FROM {level} WHERE n > 0)))"""
+def _strength(level: str, parent: str) -> str:
+    """Moment estimate of a beta prior's strength from the spread of a level's shares inside their parents."""
+    return f"""SELECT CASE WHEN r <= l + 1e-12 THEN most WHEN s <= l THEN most ELSE least(most, greatest(0.5e0, (r - s) / (s - l))) END AS m FROM (
+      SELECT coalesce(sum(kk - k * p), 0) AS s, coalesce(sum(p * (1 - p) * (g - 1)), 0) AS l, coalesce(sum(p * (1 - p) * (n - nn / n)), 0) AS r, greatest(2e0, coalesce(sum(g), 0)) AS most FROM (
+        SELECT *, k / n AS p FROM (SELECT sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, count(*) AS g, sum(n * n)::DOUBLE AS nn, sum(k * k / n::DOUBLE) AS kk FROM {level} WHERE n > 0 GROUP BY {parent})))"""
 
 
+# The chance to be above one half by a sum over angles (share = sin(angle)^2), where the operator uses a continued fraction.
+_ANGLES = "SELECT ln(sin(t)) AS ls, ln(cos(t)) AS lc, t > pi() / 4 AS high FROM (SELECT (i + 0.5e0) / 4000 * pi() / 2 AS t FROM range(4000) x(i))"
 ORACLE["op7_hosts"] = f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM u),
 r AS (SELECT *, {_longest("rule")} AS rule, {_longest("action")} AS action FROM hp),
-hosts AS (SELECT host, count(action) AS n, count(*) FILTER (WHERE action = 'block') AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM r GROUP BY host),
+named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM r),
+split AS (SELECT *, string_split(name, '.') AS parts, regexp_matches(name, '^[0-9]+([.][0-9]+){{3}}$') OR NOT contains(name, '.') AS own FROM named),
+hosts AS (SELECT host, count(action) AS n, count(*) FILTER (WHERE action = 'block') AS k, any_value(CASE WHEN own THEN name ELSE array_to_string(parts[-2:], '.') END) AS domain, any_value(CASE WHEN own THEN '' ELSE parts[-1] END) AS suffix FROM split GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
-suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
-ms AS ({_strength("suffixes")}), md AS ({_strength("domains")}), mh AS ({_strength("hosts")}),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, 1 AS every FROM domains GROUP BY ALL),
+ms AS ({_strength("suffixes", "every")}), md AS ({_strength("domains", "suffix")}), mh AS ({_strength("hosts", "domain, suffix")}),
 overall AS (SELECT (coalesce(sum(k), 0) + 0.5e0) / (coalesce(sum(n), 0) + 1) AS p FROM suffixes),
-ps AS (SELECT suffix, (k + m * p) / (n + m) AS ps FROM suffixes, ms, overall),
-pd AS (SELECT domain, suffix, (k + m * ps) / (n + m) AS pd FROM domains JOIN ps USING (suffix), md),
-ab AS (SELECT host, k + m * pd AS a, n - k + m * (1 - pd) AS b FROM hosts JOIN pd USING (domain, suffix), mh),
-own AS (SELECT host, CASE WHEN a / (a + b) - 1.645e0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5e0 THEN 'block' ELSE 'allow' END AS own FROM ab)
+d AS (SELECT d.domain, d.suffix, d.n AS nd, d.k AS kd, (s.k - d.k + ms.m * p) / (s.n - d.n + ms.m) AS ps, least(md.m, (s.n - d.n)::DOUBLE) AS md FROM domains d JOIN suffixes s USING (suffix), ms, md, overall),
+h AS (SELECT host, n, k, nd, nd - n + md AS others, CASE WHEN nd - n + md > 0 THEN (kd - k + md * ps) / (nd - n + md) ELSE ps END AS p FROM hosts JOIN d USING (domain, suffix)),
+ab AS (SELECT host, nd, k + least(m, others) * p + 0.5e0 AS a, n - k + least(m, others) * (1 - p) + 0.5e0 AS b FROM h, mh),
+grid AS ({_ANGLES}),
+peak AS (SELECT a, b, max((2 * a - 1) * ls + (2 * b - 1) * lc) AS top FROM (SELECT DISTINCT a, b FROM ab), grid GROUP BY ALL),
+chance AS (SELECT a, b, sum(exp((2 * a - 1) * ls + (2 * b - 1) * lc - top)) FILTER (WHERE high) / sum(exp((2 * a - 1) * ls + (2 * b - 1) * lc - top)) AS above FROM peak, grid GROUP BY ALL),
+own AS (SELECT host, CASE WHEN above > 0.95e0 AND nd > 0 THEN 'block' ELSE 'allow' END AS own FROM ab JOIN chance USING (a, b))
 SELECT page_id, host, path, rule, coalesce(action, own) AS verdict FROM r JOIN own USING (host)
 """

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -426,6 +427,22 @@ def test_licences_in_files_with_many(spark):
         assert got.labels[i] == ",".join(sorted(want)) and got.score[i] == pytest.approx(score)
 
 
+def test_all_templates_in_one_file_and_much_licence_text(spark):
+    every = " ".join(f"{t} filler {' filler '.join(ps)}" for _, t, ps in licenses.TEMPLATES)
+    words = sorted({w for _, t, _ in licenses.TEMPLATES for w in t.split()})
+    r = random.Random(2)
+    much = " ".join(r.choice(words) for _ in range(180_000))  # 1 MB
+    got = licenses.scan_licenses(frame(spark, [(1, every), (2, "boost " * 5 + every), (3, much)])).collect()
+    labels = {x.doc_id: set(x.labels.split(",")) for x in got}
+    assert labels[1] == labels[2] and labels[1] >= {label for label, _, _ in licenses.TEMPLATES}
+    ix = licenses.Index()
+    ix.weigh(10, np.ones(ix.words))
+    part = next(iter(__import__("pyarrow").table({"doc_id": [1], "text": [much]}).to_batches()))
+    start = time.process_time()
+    licenses._rows(ix, part)
+    assert time.process_time() - start < 1
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     words = ["the", "of", "house", "tree", "runs", "blue", "haus", "baum", "été"]

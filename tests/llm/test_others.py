@@ -88,7 +88,9 @@ def test_empty_vectors(spark):
     assert nearest.nearest_neighbours(none, none).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [1_000_000, 0, 100])
+def test_components(spark, small, monkeypatch):
+    monkeypatch.setattr(components, "SMALL", small)
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(120)] + [(7, 7), (None, 3)]
     r.shuffle(edges)
@@ -164,12 +166,52 @@ def test_urls(spark):
     assert hosts.judge_urls(pages(spark, []), RULES).count() == 0
 
 
+def above(a, b, cut, n=20_000):
+    """The chance of a beta variable to be above cut, as a sum over angles."""
+    t = (np.arange(n) + 0.5) / n * np.pi / 2
+    w = (2 * a - 1) * np.log(np.sin(t)) + (2 * b - 1) * np.log(np.cos(t))
+    w = np.exp(w - w.max())
+    return w[np.sin(t) ** 2 > cut].sum() / w.sum()
+
+
+def test_beta_tail():
+    cases = [(0.5, 0.5, 0.5), (1, 1, 0.3), (2.5, 0.5, 0.5), (3.5, 0.5, 0.5), (10, 20, 0.5), (100, 90, 0.5), (0.7, 30, 0.02), (5, 1, 0.9), (1.5, 0.5, 0.5)]
+    a, b, cut = np.array(cases).T
+    for i in range(len(cases)):
+        assert hosts.beta_above(a[i : i + 1], b[i : i + 1], cut[i])[0] == pytest.approx(above(a[i], b[i], cut[i]), abs=2e-3)
+    assert hosts.beta_above(np.array([5e8]), np.array([5e8]), 0.5)[0] == pytest.approx(0.5, abs=1e-5)
+
+
 def test_reputation_shrinks(spark):
-    rows = [("a.bad.org", 1)] * 40 + [("b.bad.org", 1)] * 2 + [("c.bad.org", None)] + [("a.good.org", 0)] * 40 + [("b.good.org", None)] * 3 + [("d.other.org", None)]
+    rows = [("a.bad.org", 1)] * 40 + [("b.bad.org", 1)] * 2 + [("c.bad.org", None)] + [("a.good.org", 0)] * 40 + [("b.good.org", None)] * 3 + [("d.other.org", None)] + [(f"h{i}.d{i}.net", 1) for i in range(50)] + [("x.unknown.net", None), ("10.0.0.1", 1), ("10.0.0.2", None), ("localhost:80", 0)]
     m = {r.host: r for r in hosts.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
     assert m["a.bad.org"].mean > 0.9 > 0.1 > m["a.good.org"].mean
     assert m["c.bad.org"].mean > m["d.other.org"].mean > m["b.good.org"].mean
-    assert m["c.bad.org"].low < m["a.bad.org"].low
+    assert m["c.bad.org"].above < m["a.bad.org"].above
+    for r in m.values():
+        assert r.above == pytest.approx(above(r.a, r.b, 0.5), abs=2e-3) and r.mean == pytest.approx(r.a / (r.a + r.b))
+    assert (m["x.unknown.net"].n, m["x.unknown.net"].n_domain) == (0, 0) and m["c.bad.org"].n_domain == 42
+    # addresses have nothing to do with each other
+    assert m["10.0.0.2"].n_domain == 0 and m["10.0.0.1"].n_domain == 1
+
+
+def test_verdicts_need_evidence(spark):
+    """Bad hosts and their siblings are blocked, good ones and hosts nobody knows are not, at any number of pages."""
+    for scale in (1, 10):
+        urls = [f"http://{h}.spam.net/es/{j}" for h in ("a", "b") for j in range(4 * scale)] + [f"http://p{j}.mixed.net/fr/x" for j in range(scale)]
+        urls += ["http://a.spam.net/x", "http://c.spam.net/x", "http://new.net/x", "http://z.org/x", "http://q.org/y", "http://www.good.com/x"] + [f"http://www.s{j}.org/" for j in range(20 * scale)]
+        got = {r.page_id: r.verdict for r in hosts.judge_urls(pages(spark, [(i, u, "") for i, u in enumerate(urls)]), RULES).collect()}
+        v = {u: got[i] for i, u in enumerate(urls)}
+        assert v["http://a.spam.net/x"] == v["http://c.spam.net/x"] == "block"
+        assert v["http://new.net/x"] == v["http://z.org/x"] == v["http://q.org/y"] == v["http://www.good.com/x"] == "allow"
+        assert all(x == "allow" for u, x in v.items() if ".org" in u)
+
+
+def test_levels(spark):
+    names = ["a.b.co.uk", "b.co.uk", "co.uk", "x.y.com", "com", "", "1.2.3.4", "1.2.3.4:80", "h.com:8080", "a.b.c.d.e"]
+    domain, suffix = hosts.levels(hosts.F.col("host"), ["co.uk"])
+    got = {r.host: (r.d, r.s) for r in spark.createDataFrame([(n,) for n in names], "host string").select("host", domain.alias("d"), suffix.alias("s")).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", ""), "x.y.com": ("y.com", "com"), "com": ("com", ""), "": ("", ""), "1.2.3.4": ("1.2.3.4", ""), "1.2.3.4:80": ("1.2.3.4", ""), "h.com:8080": ("h.com", "com"), "a.b.c.d.e": ("d.e", "e")}
 
 
 def test_every_query_runs_on_whole_tables(spark):
