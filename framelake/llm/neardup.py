@@ -1,12 +1,15 @@
 """Operator 1: near-duplicate vectors by Euclidean p-stable hashing and exact cosine checks.
 
 Vectors are normalised, so a cosine is a distance: ``|a - b|**2 = 2 - 2 cos``. Each of
-``tables`` hash tables cuts ``width``-wide steps along ``projections`` random Gaussian
-directions; a bucket is one combination of steps. The number of projections follows the
-number of vectors (about ``LOAD`` unrelated ones in a bucket), the number of tables follows
+``tables`` hash tables cuts ``WIDTH``-wide steps along ``projections`` random Gaussian
+directions; a bucket is one combination of steps, as a 32-bit number. The number of projections follows the
+number of vectors (about ``LOAD`` unrelated ones in a bucket: comparing these in one matrix product
+costs less than sending vectors to more tables), the number of tables follows
 from the chance of a pair right at the threshold to be found (``recall``).
 
-Inside a bucket all pairs are checked exactly. A pair that meets in several tables is
+To a bucket go 16-bit roundings of the normalised vectors. Their products are within a proven
+margin of the cosine: pairs above it are links, pairs below are none, and the few inside the margin are
+checked on the original vectors in double precision. A pair that meets in several tables is
 counted in the first of them. Equal vectors stand for one, with a weight. Buckets of more
 than ``BLOCK`` vectors are checked block against block, so no task gets an unbounded group.
 """
@@ -22,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm import _text
-from framelake.llm._exec import parts, run_starts, saved, small, whole_groups
+from framelake.llm._exec import binary_rows, join_unique, parts, run_starts, saved, small, whole_groups
 from framelake.llm._vectors import by_length, matrix, one_row_each
 from framelake.llm.components import components
 
-BLOCK, LOAD, WIDTH = 2048, 16, 4.0
+BLOCK, LOAD, WIDTH = 16384, 4096, 4.0
+#: Vectors are rounded to multiples of 1 / GRID.
+GRID = 32767
 
 
 def collision(distance: float, width: float) -> float:
@@ -42,8 +47,18 @@ def sizes(n: int, cosine: float, recall: float, width: float = WIDTH) -> tuple[i
     return k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**k)))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps the squares in range
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def margin(d: int) -> float:
+    """How far the float product of two rounded vectors of ``d`` components may be from their cosine."""
+    return 2.1 * math.sqrt(d) / (2 * GRID) + d * 2.0**-22 + 1e-6
+
+
 def _keys(k: int, tables: int, width: float, seed: int):
-    """(vec_id, weight, vector, keys): the bucket of each table as a 64-bit key."""
+    """(vec_id, weight, code, keys): the rounded vector, and its bucket in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -51,7 +66,7 @@ def _keys(k: int, tables: int, width: float, seed: int):
             if not b.num_rows:
                 continue
             flat, at = matrix(b.column("embedding"))
-            keys = np.zeros((b.num_rows, tables), np.uint64)
+            keys, code = np.zeros((b.num_rows, tables), np.int32), [b""] * b.num_rows
             for rows, x in by_length(at, flat):
                 d = x.shape[1]
                 if d not in planes:
@@ -63,107 +78,136 @@ def _keys(k: int, tables: int, width: float, seed: int):
                 h = np.full((len(x), tables), d, np.uint64) + np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 for j in range(k):
                     h = _text.mix(h + step[:, :, j])
-                keys[rows] = h
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("weight"), b.column("embedding"), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["vec_id", "weight", "embedding", "keys"])
+                keys[rows] = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                for i, r in zip(rows.tolist(), np.rint(x * GRID).astype(np.int16), strict=True):
+                    code[i] = r.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("weight"), pa.array(code, pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))], ["vec_id", "weight", "code", "keys"])
 
     return run
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps the squares in range
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
-def link_block(x: np.ndarray, weight: np.ndarray, keys: np.ndarray, table: int, half: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each vector of a bucket: weight of its links that no earlier table has, and its class (as a row number).
+def link_block(x: np.ndarray, weight: np.ndarray, keys: np.ndarray, table: int, half: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each rounded vector of a bucket: weight of its links that no earlier table has, and its class (as a row number);
+    and the pairs inside the margin that no earlier table has.
 
     ``half`` tells the two blocks of a large bucket apart; only pairs across them are checked.
     """
-    n = len(x)
-    links = np.zeros(n, np.int64)
-    pairs = []
-    for a in range(0, n, 256):
-        near = x[a : a + 256] @ x[a:].T >= cosine
-        i, j = np.nonzero(near)
+    n, edge = len(x), margin(x.shape[1])
+    links, label = np.zeros(n, np.int64), np.arange(n)
+    unsure = [(label[:0], label[:0])]
+    step = max(16, min(256, (1 << 20) // n))
+    for a in range(0, n, step):
+        near = x[a : a + step] @ x[a:].T
+        i, j = np.nonzero(near >= cosine - edge)
+        value = near[i, j]
         i, j = i + a, j + a
         keep = i < j
         if half is not None:
             keep &= half[i] != half[j]
-        i, j = i[keep], j[keep]
-        if len(i):
-            pairs.append((i, j))
-            new = ~(keys[i, :table] == keys[j, :table]).any(axis=1)
-            np.add.at(links, i[new], weight[j[new]])
-            np.add.at(links, j[new], weight[i[new]])
-    label = np.arange(n)
-    if pairs:
-        i, j = (np.concatenate(c) for c in zip(*pairs, strict=True))
-        while True:
+        i, j, value = i[keep], j[keep], value[keep]
+        if not len(i):
+            continue
+        new = ~(keys[i, :table] == keys[j, :table]).any(axis=1)
+        sure = value >= cosine + edge
+        unsure.append((i[new & ~sure], j[new & ~sure]))
+        i, j, new = i[sure], j[sure], new[sure]
+        np.add.at(links, i[new], weight[j[new]])
+        np.add.at(links, j[new], weight[i[new]])
+        while True:  # classes so far, with these pairs
             old = label.copy()
             low = np.minimum(label[i], label[j])
+            for end in (label[i], label[j]):
+                np.minimum.at(label, end, low)
             np.minimum.at(label, i, low)
             np.minimum.at(label, j, low)
             label = label[label]
             if (label == old).all():
                 break
-    return links, label
+    return links, label, *(np.concatenate(c) for c in zip(*unsure, strict=True))
 
 
 def _links(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["key", "a", "b"]):
-            cuts = np.append(run_starts([t.column(c).to_numpy() for c in ("key", "a", "b")]), t.num_rows)
+        for t in whole_groups(batches, ["t", "key", "a", "b"]):
+            cuts = np.append(run_starts([t.column(c).to_numpy() for c in ("t", "key", "a", "b")]), t.num_rows)
             vec, weight, table, own = (t.column(c).to_numpy() for c in ("vec_id", "weight", "t", "own"))
             a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
-            flat, at = matrix(t.column("embedding").combine_chunks() if isinstance(t.column("embedding"), pa.ChunkedArray) else t.column("embedding"))
-            kflat, kat = matrix(t.column("keys").combine_chunks() if isinstance(t.column("keys"), pa.ChunkedArray) else t.column("keys"))
+            codes = binary_rows(t.column("code"), np.int16)
+            kflat = t.column("keys").combine_chunks().values.to_numpy().reshape(t.num_rows, -1)
             out = []
             for s, e in zip(cuts, cuts[1:], strict=False):
-                d = at[s + 1] - at[s]
-                if e - s < 2 or (np.diff(at[s : e + 1]) != d).any():
+                d = len(codes[s])
+                if e - s < 2 or any(len(c) != d for c in codes[s:e]):
                     continue
-                x = unit(flat[at[s] : at[e]].reshape(e - s, d))
-                keys = kflat[kat[s] : kat[e]].reshape(e - s, -1)
-                n, label = link_block(x, weight[s:e], keys, int(table[s]), own[s:e] if a[s] != b[s] else None, cosine)
+                x = np.concatenate(codes[s:e]).reshape(e - s, d).astype(np.float32) / np.float32(GRID)
+                n, label, i, j = link_block(x, weight[s:e], kflat[s:e], int(table[s]), own[s:e] if a[s] != b[s] else None, cosine)
                 ids = vec[s:e]
                 low = ids.copy()
                 np.minimum.at(low, label, ids)
                 low = low[label]
                 hit = np.flatnonzero((n > 0) | (low != ids))
                 if len(hit):
-                    out.append((ids[hit], n[hit], low[hit]))
+                    out.append((ids[hit], n[hit], low[hit], np.zeros(len(hit), bool)))
+                if len(i):
+                    out.append((ids[i], np.zeros(len(i), np.int64), ids[j], np.ones(len(i), bool)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["vec_id", "n", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["vec_id", "n", "low", "unsure"])
 
     return run
 
 
+def _exact(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
+    """Of pairs (vec_id, low) the links by double-precision cosine, both ways round: (vec_id, n, low)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            (one, at), (two, _) = matrix(b.column("one")), matrix(b.column("two"))
+            link = np.zeros(b.num_rows, bool)
+            for rows, x in by_length(at, one):
+                y = two[at[rows][:, None] + np.arange(x.shape[1])]
+                link[rows] = (unit(x) * unit(y)).sum(axis=1) >= cosine
+            v, w, wv, ww = (b.column(c).to_numpy()[link] for c in ("vec_id", "low", "w_one", "w_two"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((v, w), (ww, wv), (w, v))], ["vec_id", "n", "low"])
+
+    side = lambda key, name: vectors.select(F.col("vec_id").alias(key), F.col("embedding").alias(name), F.col("weight").alias(f"w_{name}"))
+    return pairs.join(side("vec_id", "one"), "vec_id").join(side("low", "two"), "low").mapInArrow(run, "vec_id bigint, n bigint, low bigint")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.97, seed: int = 11) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each vec_id of ``vectors`` (vec_id, embedding).
 
     Links are pairs found with a double-precision cosine of at least ``cosine``; a pair at the
     threshold is found with chance ``recall``, closer ones with more. Vectors that are null,
     zero or hold null or non-finite components, and vectors of different lengths, link with
-    nothing. Rows that repeat a vec_id count once; rows with a null vec_id give a row with
+    nothing. Rows that repeat a vec_id count once (their least vector); rows with a null vec_id give a row with
     nulls. Other columns are ignored.
     """
-    good = one_row_each(vectors, "vec_id", "embedding")
-    reps = saved(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")))
-    n = reps.count()
+    # Equal vectors are told by 128 bits, so that vectors themselves are no keys of a shuffle.
+    hashed = one_row_each(vectors, "vec_id", "embedding").withColumn("e1", F.xxhash64(F.lit(1), "embedding")).withColumn("e2", F.xxhash64(F.lit(2), "embedding"))
+    good = saved(hashed)
+    reps = good.groupBy("e1", "e2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
+    chosen = saved(good.select("vec_id", "embedding").join(small(saved(reps.select("vec_id", "weight"))), "vec_id"))
+    n = chosen.count()
     k, tables = sizes(n, cosine, recall)
-    keyed = saved(reps.select("vec_id", "weight", "embedding").mapInArrow(_keys(k, tables, WIDTH, seed), "vec_id bigint, weight bigint, embedding array<double>, keys array<bigint>"))
-    each = keyed.select("vec_id", F.posexplode("keys").alias("t", "key"))
-    large = each.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    keyed = saved(chosen.mapInArrow(_keys(k, tables, WIDTH, seed), "vec_id bigint, weight bigint, code binary, keys array<int>"))
+    each = keyed.select(F.posexplode("keys").alias("t", "key"))
+    large = each.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     large = small(saved(large))
-    rows = keyed.select("vec_id", "weight", "embedding", "keys", F.posexplode("keys").alias("t", "key")).join(large, "key", "left")
+    rows = keyed.select("vec_id", "weight", "code", "keys", F.posexplode("keys").alias("t", "key")).join(large, ["t", "key"], "left")
     rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), "own", "t", "vec_id", "weight", "embedding", "keys")
-    n_parts = parts(keyed, F.size("embedding") * 8 + 8 * tables, tables)
-    found = saved(rows.repartition(n_parts, "key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_links(cosine), "vec_id bigint, n bigint, low bigint"))
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    comp = components(found, "vec_id", "low")
-    per_rep = reps.join(counts, "vec_id", "left").join(comp, reps.vec_id == comp.node, "left").select("embedding", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    linked = good.join(per_rep, "embedding").select("vec_id", "n_links", "component_id")
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("t", "key", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), "own", "vec_id", "weight", "code", "keys")
+    n_parts = parts(keyed, F.octet_length("code") + 4 * tables + 40, tables)
+    found = saved(rows.repartition(n_parts, "t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b").mapInArrow(_links(cosine), "vec_id bigint, n bigint, low bigint, unsure boolean"))
+    links, pairs = found.where("not unsure").drop("unsure"), found.where("unsure").select("vec_id", "low")
+    if pairs.limit(1).count():
+        links = saved(links.unionByName(_exact(pairs, chosen, cosine)))
+    counts = links.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    comp = components(links, "vec_id", "low")
+    per_rep = reps.join(counts, "vec_id", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    per_rep = per_rep.where("weight > 1 or component is not null").select("e1", "e2", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), "weight")
+    linked = join_unique(good.select("vec_id", "e1", "e2"), saved(per_rep), ["e1", "e2"], "weight").select("vec_id", "n_links", "component_id")
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     out = ids.join(linked, "vec_id", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -29,20 +29,26 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id bigint, embedding array<float>, label int, key int").repartition(3)
 
 
-@pytest.mark.parametrize("block", [2048, 7])
+def links_by_brute_force(ids, x):
+    """Numbers of links and classes at a cosine of 0.9."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = np.array(ids)
+    while True:
+        new = np.array([min(label[i], label[near[i]].min(initial=label[i])) for i in range(len(ids))])
+        if (new == label).all():
+            return near, dict(zip(ids, label.tolist()))
+        label = new
+
+
+@pytest.mark.parametrize("block", [16384, 7])
 def test_near_duplicates(spark, block, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
     rows, odd = vectors()
     got = neardup.near_duplicates(frame(spark, [*rows, *odd, rows[4]]), 0.9, recall=0.9999).toPandas()
-    ids = np.array([i for i, _ in rows])
-    x = np.array([v for _, v in rows], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    near = x @ x.T >= 0.9
-    np.fill_diagonal(near, False)
-    comp = {i: i for i in ids}
-    for _ in ids:
-        for a, b in zip(*np.nonzero(near)):
-            comp[ids[a]] = comp[ids[b]] = min(comp[ids[a]], comp[ids[b]])
+    ids = [i for i, _ in rows]
+    near, comp = links_by_brute_force(ids, np.array([v for _, v in rows], float))
     g = got[got.vec_id.notna()].set_index("vec_id")
     assert len(got) == len(rows) + len(odd)
     assert {i: g.n_links[i] for i in ids} == dict(zip(ids, near.sum(axis=1)))
@@ -51,9 +57,46 @@ def test_near_duplicates(spark, block, monkeypatch):
     assert g.n_links[5006] == 1 and g.component_id[5008] == 5006
 
 
-@pytest.mark.parametrize("rows_per_block", [8192, 40])
-def test_nearest(spark, rows_per_block, monkeypatch):
-    monkeypatch.setattr(nearest, "ROWS", rows_per_block)
+def test_recall_of_near_duplicates_as_registered(spark):
+    """Pairs right above the threshold at the default recall; pairs below it are never links."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(2500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.88, 0.92, (len(base), 1))
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * side]).astype(np.float32)
+    got = neardup.near_duplicates(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])).toPandas().set_index("vec_id")
+    near, _ = links_by_brute_force(list(range(len(x))), x.astype(float))
+    want = near.sum(axis=1)
+    assert (got.n_links.sort_index().to_numpy() <= want).all() and want.sum() > 2000
+    assert got.n_links.sum() >= 0.95 * want.sum()
+
+
+def test_pairs_inside_the_margin_are_checked_exactly(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=64)
+    base /= np.linalg.norm(base)
+    rows = []
+    for j in range(300):
+        side = rng.normal(size=64)
+        side -= side @ base * base
+        c = 0.9 + rng.uniform(-2e-5, 2e-5)
+        rows.append((j + 1, (7 * (c * base + np.sqrt(1 - c * c) * side / np.linalg.norm(side))).tolist()))
+    rows.append((0, base.tolist()))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = neardup.near_duplicates(df, recall=0.999999).toPandas().set_index("vec_id")
+    x = np.array([v for _, v in rows])
+    near, comp = links_by_brute_force([i for i, _ in rows], x)
+    assert {i: int(got.n_links[i]) for i, _ in rows} == {i: int(n) for (i, _), n in zip(rows, near.sum(axis=1))}
+    assert {i: int(got.component_id[i]) for i, _ in rows} == comp and 50 < got.n_links[0] < 250
+
+
+@pytest.mark.parametrize(("rows_per_block", "cell", "first"), [(32768, 4096, 2), (40, 4096, 2), (32768, 20, 1), (15, 30, 2)])
+def test_nearest(spark, rows_per_block, cell, first, monkeypatch):
+    for name, value in (("ROWS", rows_per_block), ("CELL", cell), ("FIRST", first)):
+        monkeypatch.setattr(nearest, name, value)
     rows, odd = vectors(2)
     every = frame(spark, [*rows, *odd, rows[4]])
     asks = [rows[0], rows[3], rows[121], rows[-1], odd[1], odd[5]]
@@ -69,9 +112,14 @@ def test_nearest(spark, rows_per_block, monkeypatch):
     assert got[got.query_id == 5006].vec_id.tolist() == [5008]
 
 
-def test_recall_on_random_vectors(spark):
+@pytest.mark.parametrize("clusters", [0, 12])
+def test_recall_on_random_vectors(spark, clusters, monkeypatch):
+    monkeypatch.setattr(nearest, "CELL", 250)
     rng = np.random.default_rng(7)
-    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    x = rng.normal(size=(3000, 64))
+    if clusters:
+        x += 3 * rng.normal(size=(clusters, 64))[rng.integers(0, clusters, len(x))]
+    x = x.astype(np.float32)
     df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
     got = nearest.nearest_neighbours(df, df.where("vec_id % 100 = 0")).toPandas()
     hit = 0
