@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps; nothing on the driver.
 
 Before each pair of steps every partition replaces its own edges by a star of each class
-that it sees, so a small input is done at once and a large one needs few rounds.
+that it sees, so few rounds are needed. Once no more than ``SMALL`` edges are left they fit in one partition,
+and the same contraction there ends the work.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from framelake.llm._exec import drop, saved
 
 
+#: Edges (two numbers each) that one task may hold: about 16 MB.
+SMALL = 1_000_000
+
+
 def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For nodes 0..n-1 the smallest node that edges (a, b) reach."""
     label = np.arange(n)
@@ -54,7 +59,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     are left out; an empty input gives an empty result.
     """
     e = _saved(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v"))
-    while not _done(e):
+    while not (small := e.count() <= SMALL) and not _done(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
@@ -63,6 +68,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = _saved(moved.unionByName(low.select("u", F.col("m").alias("v"))))
         drop(e)
         e = new
+    if small:
+        e = saved(e.coalesce(1).mapInArrow(_stars, "u bigint, v bigint"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

@@ -488,7 +488,7 @@ def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     reps = own.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"))
     found = clusters.select(F.col("node").alias("sid"), F.col("component").alias("cluster")).join(sets.select(F.col("s1").alias("sid"), "s2", "n"), "sid")
     many = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
-    dealt = join_unique(saved(found), saved(found.groupBy("cluster").agg(many.alias("blocks"), F.count("*").alias("rows"))), ["cluster"], "rows")
+    dealt = join_unique(found, saved(found.groupBy("cluster").agg(many.alias("blocks"), F.count("*").alias("rows"))), ["cluster"], "rows")
     where = dealt.withColumn("own", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).join(reps.withColumnRenamed("s1", "sid"), ["sid", "s2", "n"])
     where = saved(where.select("sid", "cluster", "blocks", "own", "first.doc_id", "first.text_hash"))
     members = some.join(small(where), ["doc_id", "text_hash"]).select("sid", "cluster", "blocks", "own", "text").mapInArrow(_members(k), _MEMBERS)
@@ -499,7 +499,7 @@ def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, n_shingles, component_id) of all documents with an id, and sizes of those without."""
     own, nameless, reps, members, n_parts = _candidates(docs, k, num, den)
-    class_of = saved(components(_cluster_links(members, n_parts, num, den)).select(F.col("node").alias("s1"), "component"))
+    class_of = components(_cluster_links(members, n_parts, num, den)).select(F.col("node").alias("s1"), "component")
     reps = saved(reps.select("s1", "s2", "n", "first.doc_id", "copies").join(class_of, "s1", "left"))
     low = reps.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
     linked = join_unique(reps.where("component is not null"), saved(low), ["component"], "rows").select("s1", "s2", "n", F.col("low").alias("component_id"), "copies")
