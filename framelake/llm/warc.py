@@ -1,14 +1,16 @@
-"""Operator 4: WARC archives, and their index as a k-way merge of locally sorted runs.
+"""Operator 4: WARC archives, and their index as an external k-way merge of locally sorted runs.
 
 Writing: the record of a page is text (its payload is UTF-8), so archives are written by
 Spark's text writer with the record end as line separator: any file system, gzip as a whole
-file, committed task by task. Equal payloads are found by SHA-1 of the narrow columns alone;
-all but the one with the largest page_id become revisits without payload.
+file, committed task by task. Archives are ended after ``RECORDS`` records; pages of more than ``LONG`` bytes
+get archives of their own, so an archive stays below ``RECORDS * LONG`` bytes or is one record. Equal payloads are
+found by SHA-1 of the narrow columns alone; all but the one with the largest page_id become revisits without payload.
 
 Reading: each archive is inflated and parsed as a stream (Content-Length, never a search),
-and gives one run of the index, sorted by URL key and timestamp. Runs are dealt by key range
-and merged with a loser tree, so the captures of a URL come in order of time and the
-partitions in order of keys.
+and gives one run of the index, sorted by URL key and timestamp, that is written to the shared folder. The merge
+reads the runs back in blocks of ``ENTRIES`` entries, cut where key ranges end; Spark sorts
+the blocks of a key range by their first entry, and a loser tree merges them as they come: a block is opened when the merge
+reaches its first entry, so a task holds the blocks that overlap at one place and not its key range.
 """
 
 from __future__ import annotations
@@ -16,18 +18,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm._exec import parts, saved, scratch, small
+from framelake.llm._exec import join_unique, parts, saved, scratch
 
 END = "\r\n\r\n"
-#: Records in one archive file, at most.
-RECORDS = 1000
-_INDEX = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, url_key string, date string, archive string"
+#: Records in one archive file, at most, and the payload from which on a record has its own.
+RECORDS, LONG = 1000, 256 << 10
+#: Entries of a block of the index, blocks that a merge takes in at a time, and sampled keys for each key range.
+ENTRIES, BLOCKS, KEYS = 512, 16, 50
+_INDEX = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, url_key string, date string, archive string, offset bigint, length bigint"
 _NAMES = [x.split()[0] for x in _INDEX.split(", ")]
 
 
@@ -48,14 +54,15 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
 
     Of records with equal payloads of at least ``least`` bytes, that with the largest page_id
     is the response and the others revisit it. A null html is an empty payload; rows with a
-    null page_id are responses of their own.
+    null page_id are responses of their own, with a random record id. Rows that repeat a page_id give one record each, with
+    the same record id.
     """
     when = F.date_format("fetched", "yyyy-MM-dd'T'HH:mm:ss'Z'") if "fetched" in pages.columns else F.lit(date)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.coalesce(when, F.lit(date)).alias("date"))
     body = body.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", digest(F.encode("html", "UTF-8")))
-    same = body.select("page_id", "digest", "bytes").where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.min("page_id").alias("low")).where("low < first_id").drop("low")
-    both = body.join(small(saved(same)), "digest", "left")
+    same = body.select("page_id", "digest", "bytes").where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.min("page_id").alias("low"), F.count("*").alias("copies")).where("low < first_id").drop("low")
+    both = join_unique(body, saved(same), ["digest"], "copies")
     again = (F.col("bytes") >= least) & (F.col("page_id") < F.col("first_id"))
     again = F.coalesce(again, F.lit(False))
     name = lambda c: F.concat(F.lit("<urn:framelake:page:"), c.cast("string"), F.lit(">"))
@@ -63,12 +70,17 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("html")))
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", name(F.col("page_id"))), line("WARC-Target-URI", _tidy(F.col("url"))),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", F.coalesce(name(F.col("page_id")), F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")))), line("WARC-Target-URI", _tidy(F.col("url"))),
         line("WARC-Date", F.col("date")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(again, F.concat(line("WARC-Refers-To", name(F.col("first_id"))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
-    both.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    def write(rows: DataFrame, records: int) -> None:
+        rows.select(F.concat(head, block).alias("value")).write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+
+    write(both.where(F.col("bytes") <= LONG), RECORDS)
+    if body.where(F.col("bytes") > LONG).limit(1).count():
+        write(both.where(F.col("bytes") > LONG), 1)
 
 
 class _Bytes:
@@ -77,6 +89,7 @@ class _Bytes:
     def __init__(self, data: bytes) -> None:
         self.data, self.at, self.buffer = memoryview(data), 0, bytearray()
         self.gzip = data[:2] == b"\x1f\x8b"
+        self.read = 0  # bytes given out so far
         self.inflate = zlib.decompressobj(31)
 
     def _more(self) -> bool:
@@ -103,6 +116,7 @@ class _Bytes:
                 return None
         out = bytes(self.buffer[:i])
         del self.buffer[: i + len(mark)]
+        self.read += i + len(mark)
         return out
 
     def take(self, n: int) -> bytes:
@@ -112,12 +126,14 @@ class _Bytes:
             raise ValueError("archive ends inside a record")
         out = bytes(self.buffer[:n])
         del self.buffer[:n]
+        self.read += n
         return out
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record."""
+def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """Headers (lower-case names) and block of each record, and its offset and length in the inflated archive."""
     source = _Bytes(data)
+    start = 0
     while (head := source.until(END.encode())) is not None:
         version, *lines = head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
         if not version.startswith("WARC/"):
@@ -126,7 +142,8 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         block = source.take(int(fields["content-length"]))
         if source.take(4) != END.encode():
             raise ValueError("no record end")
-        yield fields, block
+        yield fields, block, start, source.read - start
+        start = source.read
 
 
 def url_key(url: str | None) -> str:
@@ -137,15 +154,27 @@ def url_key(url: str | None) -> str:
 
 
 def _number(name: str | None) -> int | None:
-    text = (name or "").rpartition(":")[2].rstrip(">")
-    return int(text) if text else None
+    before, _, text = (name or "").rpartition(":")
+    return int(text.rstrip(">")) if before.endswith(":page") else None
+
+
+_TYPES = [pa.int64() if x.endswith("bigint") else pa.string() for x in _INDEX.split(", ")]
+
+
+def _key(url_key: str, date: str, page_id: int | None) -> tuple[str, str, int]:
+    return url_key, date, page_id if page_id is not None else -(1 << 64)
+
+
+def _order(row: tuple) -> tuple[str, str, int]:
+    """By URL key, timestamp and page, nulls first."""
+    return _key(row[6], row[7], row[0])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             rows = []
-            for fields, block in records(data.as_py()):
+            for fields, block, at, length in records(data.as_py()):
                 http, _, payload = block.partition(END.encode())
                 size = int(http.lower().partition(b"content-length:")[2].partition(b"\r\n")[0])
                 name = fields["warc-payload-digest"].removeprefix("sha1:")
@@ -153,11 +182,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != name):
                     raise ValueError(f"payload of {fields.get('warc-record-id')} does not fit its digest")
                 url = fields.get("warc-target-uri")
-                rows.append((_number(fields.get("warc-record-id")), size, name, kind, _number(fields.get("warc-refers-to")), url, url_key(url), fields.get("warc-date", ""), path))
-            rows.sort(key=lambda r: (r[6], r[7], r[0] if r[0] is not None else -1))  # this archive's run
-            if rows:
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _NAMES)
+                rows.append((_number(fields.get("warc-record-id")), size, name, kind, _number(fields.get("warc-refers-to")), url, url_key(url), fields.get("warc-date", ""), path, at, length))
+            rows.sort(key=_order)  # this archive's run
+            for i in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 10_000], strict=True), _TYPES, strict=True)], _NAMES)
 
 
 class LoserTree:
@@ -187,40 +215,108 @@ class LoserTree:
             node //= 2
         self.lost[0] = winner
 
+    def head_of(self) -> tuple | None:
+        """What comes next; None if nothing is left."""
+        return self.head[self.lost[0]] if self.k else None
+
+    def pop(self) -> tuple:
+        w = self.lost[0]
+        first, self.head[w] = self.head[w], next(self.runs[w], None)
+        self._play(w)
+        return first
+
+    def rest(self) -> list[Iterator[tuple]]:
+        """The runs that have something left."""
+        return [chain([h], r) for h, r in zip(self.head, self.runs, strict=True) if h is not None]
+
     def __iter__(self) -> Iterator[tuple]:
-        while self.k and (first := self.head[w := self.lost[0]]) is not None:
-            yield first
-            self.head[w] = next(self.runs[w], None)
-            self._play(w)
+        while self.head_of() is not None:
+            yield self.pop()
+
+
+_BLOCK = f"part int, url_key string, date string, page_id bigint, entries array<struct<{', '.join(x.replace(' ', ':') for x in _INDEX.split(', ')).replace(' ', '')}>>"
+
+
+def _blocks(splits: list[tuple[str, str, int]]):
+    """Blocks of sorted runs, with the key range that they belong to and their first entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(*(b.column(c).to_pylist() for c in _NAMES), strict=True))
+            keys = [_order(r) for r in rows]
+            # A run ends with its archive; where a file is read in pieces, its pieces are runs.
+            cuts = [0, *(i for i in range(1, len(rows)) if rows[i][8] != rows[i - 1][8]), len(rows)]
+            out, first = [], [0]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                while s < e:
+                    part = bisect_left(splits, keys[s])  # a range ends with its split
+                    end = min(e, s + ENTRIES)
+                    if part < len(splits):
+                        end = bisect_right(keys, splits[part], s, end)
+                    out.append((part, rows[s][6], rows[s][7], rows[s][0]))
+                    first.append(end)
+                    s = end
+            if out:
+                entries = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)), entries], ["part", "url_key", "date", "page_id", "entries"])
+
+    return run
+
+
+def merged(blocks: Iterator[tuple[tuple, list[tuple]]], at_once: int) -> Iterator[tuple]:
+    """Entries (key, ...) in order, from blocks (first key, entries in order) that come by their first keys."""
+    runs: list[Iterator[tuple]] = []
+    after = next(blocks, None)
+    while after is not None or runs:
+        fresh = []
+        while after is not None and len(fresh) < at_once:
+            fresh.append(iter(after[1]))
+            after = next(blocks, None)
+        tree = LoserTree([*runs, *fresh])
+        limit = after[0] if after is not None else None
+        while (first := tree.head_of()) is not None and (limit is None or first[0] < limit):
+            yield tree.pop()
+        runs = tree.rest()  # what overlaps with blocks to come
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one key range: rows of each archive are sorted again only where the shuffle broke their order."""
-    whole = [b for b in batches if b.num_rows]
-    if not whole:
-        return
-    t = pa.Table.from_batches(whole)
-    keys = list(zip(t.column("url_key").to_pylist(), t.column("date").to_pylist(), [x if x is not None else -1 for x in t.column("page_id").to_pylist()], range(t.num_rows), strict=True))
-    runs: dict[str, list[tuple]] = {}
-    for a, k in zip(t.column("archive").to_pylist(), keys, strict=True):
-        runs.setdefault(a, []).append(k)
-    for r in runs.values():
-        r.sort()  # linear for what is in order already
-    order = [k[3] for k in LoserTree([iter(r) for r in runs.values()])]
-    for i in range(0, len(order), 10_000):
-        yield from t.take(order[i : i + 10_000]).combine_chunks().to_batches()
+    """Of one key range: blocks come by their first entry."""
+
+    def blocks() -> Iterator[tuple[tuple, list[tuple]]]:
+        n = 0
+        for b in batches:
+            for i in range(b.num_rows):
+                entries = b.column("entries").slice(i, 1).flatten()
+                rows = zip(*(x.to_pylist() for x in entries.flatten()), strict=True)
+                listed = [(_order(r), n + j, r) for j, r in enumerate(rows)]
+                n += len(listed)
+                yield listed[0][0], listed
+
+    out: list[tuple] = []
+    for _, _, r in merged(blocks(), BLOCKS):
+        out.append(r)
+        if len(out) == 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The index of all archives below ``path``: one row for each record, in order of URL key and timestamp.
 
     Payload size and digest are those of the full payload; a response whose payload does not
-    fit them is an error.
+    fit them is an error. ``offset`` and ``length`` are those of the record in the inflated archive.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("path", "content")
-    index = saved(files.mapInArrow(_parse, _INDEX))
-    n = parts(index)
-    return index.repartitionByRange(n, "url_key", "date", "page_id").mapInArrow(_merge, _INDEX)
+    runs = saved(files.mapInArrow(_parse, _INDEX))
+    n = parts(runs, F.octet_length("url_key") + F.coalesce(F.octet_length("url"), F.lit(0)) + 150)
+    total = runs.count()
+    share = F.pmod(F.xxhash64("url_key", "date", "page_id"), F.lit(1_000_003)) <= int(1_000_003 * min(1.0, KEYS * n / max(1, total)))
+    sample = sorted(_key(*r) for r in runs.where(share).select("url_key", "date", "page_id").limit(2 * KEYS * n).collect())  # to cut key ranges only
+    splits = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
+    blocks = runs.mapInArrow(_blocks(splits), _BLOCK).repartitionById(len(splits) + 1, F.col("part")).sortWithinPartitions("url_key", "date", "page_id")
+    return blocks.select("entries").mapInArrow(_merge, _INDEX)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:

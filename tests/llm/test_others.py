@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.llm import components, hosts, nearest, neardup, warc
 from framelake.llm.queries import QUERIES, RULES
@@ -158,8 +159,10 @@ def pages(spark, rows):
     return spark.createDataFrame([(*r, 1, "d") for r in rows], "page_id bigint, url string, html string, bytes int, digest string").repartition(3)
 
 
-@pytest.mark.parametrize("least", [0, 1])
-def test_warc(spark, least):
+@pytest.mark.parametrize(("least", "long", "entries"), [(0, 256 << 10, 512), (1, 10, 1)])
+def test_warc(spark, least, long, entries, monkeypatch):
+    monkeypatch.setattr(warc, "LONG", long)
+    monkeypatch.setattr(warc, "ENTRIES", entries)
     got = warc.round_trip(pages(spark, PAGES), least).toPandas()
     want = Counter()
     by = defaultdict(list)
@@ -186,12 +189,49 @@ def test_loser_tree():
         assert list(warc.LoserTree([iter(x) for x in runs])) == sorted(v for x in runs for v in x)
 
 
+def test_merge_holds_few_blocks_only():
+    """However long the runs, only blocks that overlap are open."""
+    r = random.Random(4)
+    opened = closed = most = 0
+
+    def entries(keys):
+        nonlocal opened, closed, most
+        opened += 1
+        most = max(most, opened - closed)
+        yield from keys
+        closed += 1
+
+    runs = [sorted((r.random(), i, j) for j in range(4000)) for i in range(5)]
+    blocks = sorted((run[i][0], run[i : i + 20]) for run in runs for i in range(0, 4000, 20))
+    got = list(warc.merged(((k, entries(v)) for k, v in blocks), 4))
+    assert got == sorted(x for run in runs for x in run) and len(blocks) == 1000
+    assert most <= 40
+
+
+def test_index_of_many_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS", 7)
+    monkeypatch.setattr(warc, "ENTRIES", 5)
+    r = random.Random(6)
+    rows = [(i, f"http://h{r.randint(0, 3)}.com/{'hot' if i % 3 else r.randint(0, 40)}", f"<p>{r.randint(0, 200)}</p>" * r.randint(0, 9), f"2024-01-{r.randint(1, 28):02d} 00:00:00") for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, f string").withColumn("fetched", F.to_timestamp("f")).repartition(5)
+    path = warc.scratch(spark)
+    warc.write_archives(df, path)
+    got = warc.read_archives(spark, path)
+    index = got.collect()
+    keys = [(x.url_key, x.date, x.page_id) for x in index]
+    assert keys == sorted(keys) and sorted(x.page_id for x in index) == list(range(600)) and len({x.archive for x in index}) > 80
+    archives = {x.path: __import__("gzip").decompress(x.content) for x in spark.read.format("binaryFile").load(path).collect()}
+    for x in index:
+        record = archives[x.archive][x.offset : x.offset + x.length]
+        assert record.startswith(b"WARC/1.1") and f"<urn:framelake:page:{x.page_id}>".encode() in record and record.endswith(b"\r\n\r\n")
+
+
 def test_plain_and_gzip_archives():
     import gzip
 
     rec = b"WARC/1.1\r\nContent-Length: 5\r\nA: b\r\n\r\nhello\r\n\r\n"
     for data in (rec * 2, gzip.compress(rec * 2), gzip.compress(rec) * 2):
-        assert [(f["a"], b) for f, b in warc.records(data)] == [("b", b"hello")] * 2
+        assert [(f["a"], b, at, n) for f, b, at, n in warc.records(data)] == [("b", b"hello", i * len(rec), len(rec)) for i in range(2)]
     with pytest.raises(ValueError):
         list(warc.records(rec[:-8]))
 
