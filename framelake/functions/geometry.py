@@ -134,6 +134,25 @@ def skeleton_segments(keypoints: Column, threshold: float = 0.1) -> Column:
     return F.filter(F.array(*edges), lambda e: e.isNotNull())
 
 
+def _in_frame(k: Column, width: Column, height: Column) -> Column:
+    """Whether a keypoint's whole pixel lies inside the frame."""
+    x, y = k["x"].cast("int"), k["y"].cast("int")
+    return (x >= 0) & (x < width) & (y >= 0) & (y < height)
+
+
+def drawn_points(keypoints: Column, width: Column, height: Column, threshold: float = 0.3) -> Column:
+    """Array of (k, x, y) in whole pixels: visible keypoints inside the frame."""
+    at = F.transform(keypoints, lambda p, i: F.struct(i.cast("long").alias("k"), p["x"].cast("int").alias("x"), p["y"].cast("int").alias("y"), ((p["confidence"] > threshold) & _in_frame(p, width, height)).alias("seen")))
+    return F.transform(F.filter(at, lambda p: p["seen"]), lambda p: F.struct(p["k"], p["x"], p["y"]))
+
+
+def drawn_segments(keypoints: Column, width: Column, height: Column, threshold: float = 0.3) -> Column:
+    """Like skeleton_segments, in whole pixels, for edges whose ends both lie inside the frame."""
+    inside = lambda e: (e["x1"].between(0, width - 1)) & (e["y1"].between(0, height - 1)) & (e["x2"].between(0, width - 1)) & (e["y2"].between(0, height - 1))
+    whole = F.transform(skeleton_segments(keypoints, threshold), lambda e: F.struct(e["a"], e["b"], *(e[c].cast("int").alias(c) for c in ("x1", "y1", "x2", "y2"))))
+    return F.filter(whole, inside)
+
+
 def box_diagnostics(cx: Column, cy: Column, w: Column, h: Column, conf: Column) -> dict[str, Column]:
     """Flags for looking into odd boxes; nothing is dropped by them."""
     unit = cx.between(0, 1) & cy.between(0, 1) & w.between(0, 1) & h.between(0, 1)

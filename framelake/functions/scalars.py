@@ -26,6 +26,12 @@ def number_or(c: Column, fallback: float = 0.0) -> Column:
     return F.coalesce(c.try_cast("double"), F.lit(fallback))
 
 
+def number_prefix_or(c: Column, fallback: float = 0.0) -> Column:
+    """The number that a text is or begins with (``12abc`` is 12), else the fallback."""
+    text = F.regexp_extract(c.cast("string"), r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+    return F.coalesce(c.try_cast("double"), F.nullif(text, F.lit("")).try_cast("double"), F.lit(fallback))
+
+
 def truthy(c: Column) -> Column:
     return F.lower(trim_all(c)).isin("true", "1", "yes")
 

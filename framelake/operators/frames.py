@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framelake.functions.geometry import draw_box, drawn_points, drawn_segments, roi_pixels, valid_roi
 from framelake.functions.scalars import frame_clock
 from framelake.schemas import FRAMES
 
@@ -39,12 +40,22 @@ def global_cap(frames: DataFrame, n: int, order: tuple[str, ...] = ("video_id",
     return frames if n <= 0 else frames.orderBy(*order).limit(n)
 
 
-def frame_range(frames: DataFrame, start: int | None = None, end: int | None = None, inclusive: bool = True, pos: str = "pos", max_frames: int = 0) -> DataFrame:
+def frame_range(frames: DataFrame, start: int | None = None, end: int | None = None, inclusive: bool = True, pos: str = "pos", max_frames: int = 0, batch: int = 1, order: tuple[str, ...] = ()) -> DataFrame:
+    """Frames from ``start`` to ``end``; ``max_frames`` is looked at after every ``batch`` frames, so it is rounded up to whole batches."""
+    max_frames = -(-max_frames // batch) * batch
     if start is not None:
         frames = frames.where(F.col(pos) >= start)
     if end is not None:
         frames = frames.where(F.col(pos) <= end if inclusive else F.col(pos) < end)
-    return global_cap(frames, max_frames, (pos,))
+    return global_cap(frames, max_frames, order or (pos,))
+
+
+def with_roi(frames: DataFrame, clips: DataFrame, width: Column, height: Column, video: str = "video_id") -> DataFrame:
+    """Each frame with its clip's region of interest in pixels (px1, py1, px2, py2), nulls if that is not valid; clips have x1, y1, x2, y2."""
+    roi = F.when(valid_roi(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))), F.struct("x1", "y1", "x2", "y2"))
+    both = frames.join(clips.select(video, roi.alias("_roi")), video)
+    px = roi_pixels(F.col("_roi"), width, height)
+    return both.select("*", *(F.when(F.col("_roi").isNotNull(), p).cast("int").alias(n) for p, n in zip(px, ("px1", "py1", "px2", "py2"), strict=True))).drop("_roi")
 
 
 def fan_out(frames: DataFrame, engines: DataFrame) -> DataFrame:
@@ -80,3 +91,24 @@ def scan_clips(clips: DataFrame, decoder: Decoder, fps: float = 30.0) -> DataFra
                 yield pd.DataFrame(out, columns=FRAMES.names)
 
     return clips.select("video_id", "path", "moment_time", "start_ts", "end_ts").mapInPandas(run, FRAMES)
+
+
+def scan_images(spark: SparkSession, path: str, decoder: Callable[[bytes], tuple[int, int, bytes]], pattern: str = "*") -> DataFrame:
+    """Rows (path, width, height, image) of single images, by a pluggable decoder of their bytes."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in parts:
+            yield pd.DataFrame([(p, *decoder(bytes(c))) for p, c in zip(files["path"], files["content"], strict=True)], columns=["path", "width", "height", "image"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, width int, height int, image binary")
+
+
+def drawings(frames: DataFrame, detections: DataFrame, width: Column, height: Column, frame_key: str = "pos", detection_key: str = "frame_number", video: str | None = None, threshold: float = 0.3) -> DataFrame:
+    """Each frame with what is drawn on it: corners of each box, visible keypoints and skeleton edges inside the frame; nulls without detections."""
+    rows = with_detections(frames, detections, frame_key, detection_key, video)
+    corners = draw_box(tuple(F.col(c) for c in ("cx", "cy", "w", "h")), width, height)
+    rows = rows.select("*", *(c.alias(n) for c, n in zip(corners, ("x1", "y1", "x2", "y2"), strict=True)))
+    if "keypoints" in detections.columns:
+        rows = rows.withColumn("points", drawn_points(F.col("keypoints"), width, height, threshold)).withColumn("segments", drawn_segments(F.col("keypoints"), width, height, threshold))
+    return rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,8 +101,6 @@ def letterbox_pixels(image: np.ndarray, width: int, height: int) -> np.ndarray:
 
 def letterbox(image: Column, w: Column, h: Column, width: int, height: int) -> Column:
     """The model input of raw BGR bytes, as array<float>."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(b: pd.Series, ws: pd.Series, hs: pd.Series) -> pd.Series:
         return pd.Series([letterbox_pixels(np.frombuffer(x, np.uint8).reshape(int(j), int(i), 3), width, height).ravel() for x, i, j in zip(b, ws, hs, strict=True)])

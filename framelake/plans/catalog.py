@@ -5,47 +5,27 @@ Every query takes (spark, sf_dir) and reads whole tables.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelake.functions import geometry as G
 from framelake.functions import scalars as S
-from framelake.operators import batching, frames, matching, models, nms, stats, tensors
+from framelake.operators import batching, detect, frames, matching, models, nms, stats, tensors
 from framelake.plans import views
+from framelake.plans.registry import ORACLE, QUERIES, query, rounded
 from framelake.plans.views import sql
 from framelake.schemas import KEYPOINT_NAMES, SKELETON
 from framelake.sources import logs, manifest
+from framelake.sources.folders import shared_folder
 from framelake.streaming.stats import windowed_stats
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 BOX = ("cx", "cy", "w", "h")
 
 
-def query(oracle: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return add
-
-
 def box() -> tuple:
     return tuple(F.col(c) for c in BOX)
 
 
-def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
-    """Sums of floats depend on their order; compare them to some digits."""
-    return df.withColumns({c: F.round(c, digits) for c in cols})
-
-
 # Detections: filter, boxes, overlap, suppression
 
 AREA, X1, X2, Y1, Y2 = "({0}.w * {0}.h)", "({0}.cx - {0}.w / 2)", "({0}.cx + {0}.w / 2)", "({0}.cy - {0}.h / 2)", "({0}.cy + {0}.h / 2)"
@@ -211,11 +191,8 @@ RX1, RY1 = "least(greatest(trunc(x1 * 1920), 0), 1919)", "least(greatest(trunc(y
 
 @query(sql(f"SELECT f.event_id, f.video_id, px1, py1, px2, py2 FROM frames f JOIN r USING (video_id)", "frames", "clips", r=f"SELECT video_id, CASE WHEN {ROI_OK} THEN CAST({RX1} AS INTEGER) END AS px1, CASE WHEN {ROI_OK} THEN CAST({RY1} AS INTEGER) END AS py1, CASE WHEN {ROI_OK} THEN CAST(least(greatest(trunc(x2 * 1920), {RX1} + 1), 1920) AS INTEGER) END AS px2, CASE WHEN {ROI_OK} THEN CAST(least(greatest(trunc(y2 * 1080), {RY1} + 1), 1080) AS INTEGER) END AS py2 FROM clips"))
 def roi_lookup(spark, d):
-    roi = F.when(G.valid_roi(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))), F.struct("x1", "y1", "x2", "y2"))
-    c = views.clips(spark, d).select("video_id", roi.alias("roi"))
-    px = G.roi_pixels(F.col("roi"), F.lit(1920), F.lit(1080))
-    named = [F.when(F.col("roi").isNotNull(), p).cast("int").alias(n) for p, n in zip(px, ("px1", "py1", "px2", "py2"), strict=True)]
-    return views.frames(spark, d).select("event_id", "video_id").join(c, "video_id").select("event_id", "video_id", *named)
+    c = views.clips(spark, d).select("video_id", "x1", "y1", "x2", "y2")
+    return frames.with_roi(views.frames(spark, d).select("event_id", "video_id"), c, F.lit(1920), F.lit(1080)).select("event_id", "video_id", "px1", "py1", "px2", "py2")
 
 
 SCAN = "SELECT f.event_id, f.video_id, f.pos, c.moment, 2e0 AS fps, c.moment + (c.duration % 7) AS start_ts, c.moment + 40 AS end_ts, c.moment + (f.pos + 1) / 2e0 AS frame_ts FROM frames f JOIN clips c USING (video_id)"
@@ -506,13 +483,6 @@ def stats_tumbling(spark, d):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query(sql("SELECT video_id, pos, 'list' AS source FROM frames WHERE engine = 'click' UNION ALL SELECT video_id, pos, 'paths' FROM frames WHERE engine = 'error'", "frames"))
-def source_concat(spark, d):
-    f = views.frames(spark, d)
-    part = lambda e, s: f.where(F.col("engine") == e).select("video_id", "pos", F.lit(s).alias("source"))
-    return reduce(DataFrame.unionByName, [part("click", "list"), part("error", "paths")])
-
-
 @query(sql("SELECT video_id, engine, event_id, latency FROM frames QUALIFY row_number() OVER (PARTITION BY video_id, engine ORDER BY event_id DESC) = 1", "frames"))
 def dedup_last(spark, d):
     return stats.keep_record(views.frames(spark, d).select("video_id", "engine", "event_id", "latency"), ["video_id", "engine"], "event_id")
@@ -597,8 +567,7 @@ def detbin_roundtrip(spark, d):
     """Writes boxes as detection files in the shared folder, one for each seventh of the frames, and reads them back."""
     from framelake.sources import detbin
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.abspath('spark-warehouse')}"
-    path = f"{root.rstrip('/')}/detbin-{abs(hash(d)) % 10**8}-{spark.sparkContext.applicationId}"
+    path = shared_folder(spark)
     f32 = lambda c: F.col(c).cast("float").alias(c)
     points = F.array().cast("array<struct<x:float,y:float,confidence:float>>")
     rows = views.anchors(spark, d).select(S.output_path(F.col("frame") % 7, F.lit("det640")).alias("path"), F.lit(0).alias("model_type"), F.col("frame").cast("int").alias("frame_number"), (F.col("anchor") - 1).cast("int").alias("det_index"), *(f32(c) for c in (*BOX, "confidence")), F.lit(0).alias("class_id"), points.alias("keypoints"))
@@ -621,6 +590,70 @@ def channel_sums(spark, d):
     return rounded(t.select("vec_id", F.posexplode(F.array(*halves)).alias("half", "total")).withColumn("half", F.col("half").cast("long")), "total", digits=5)
 
 
-def windows_by_video(spark, d):
-    """Rows of each video in order, for looking at plans."""
-    return views.frames(spark, d).withColumn("n", F.count("*").over(W.partitionBy("video_id")))
+def _framed(spark, d):
+    """Poses with their points spread over a frame of 8 x 8 pixels around its middle."""
+    return _poses(spark, d).withColumn("keypoints", F.transform("keypoints", lambda p: F.struct((p["x"] * 10 + 4).alias("x"), (p["y"] * 10 + 4).alias("y"), p["confidence"].alias("confidence"))))
+
+
+SPREAD = f"SELECT vec_id, k, x * 10 + 4 AS x, y * 10 + 4 AS y, {NORM} AS c FROM p0"
+INSIDE = "trunc({0}.x) BETWEEN 0 AND 7 AND trunc({0}.y) BETWEEN 0 AND 7"
+
+
+@query(sql(f"SELECT p.vec_id, CAST(e.a AS BIGINT) AS a, CAST(e.b AS BIGINT) AS b, CAST(trunc(p.x) AS INTEGER) AS x1, CAST(trunc(p.y) AS INTEGER) AS y1, CAST(trunc(q.x) AS INTEGER) AS x2, CAST(trunc(q.y) AS INTEGER) AS y2 FROM edges JOIN n p ON p.k = e.a JOIN n q ON q.k = e.b AND p.vec_id = q.vec_id WHERE p.c > 0.3 AND q.c > 0.3 AND {INSIDE.format('p')} AND {INSIDE.format('q')}", "tensors", p0=POINTS, n=SPREAD, edges=EDGES))
+def skeleton_in_frame(spark, d):
+    s = _framed(spark, d).select("vec_id", F.explode(G.drawn_segments(F.col("keypoints"), F.lit(8), F.lit(8))).alias("s"))
+    return s.select("vec_id", F.col("s.a").cast("long").alias("a"), F.col("s.b").cast("long").alias("b"), "s.x1", "s.y1", "s.x2", "s.y2")
+
+
+DRAWN = "SELECT vec_id, CAST(vec_id % 5 AS BIGINT) AS frame, count(*) FILTER (WHERE c > 0.3 AND " + INSIDE.format("n") + ") AS points FROM n GROUP BY vec_id"
+
+
+@query(sql("SELECT f.pos, d.vec_id, CAST(d.points AS BIGINT) AS points FROM (SELECT CAST(i AS BIGINT) AS pos FROM range(7) t(i)) f LEFT JOIN d ON f.pos + 1 = d.frame", "tensors", p0=POINTS, n=SPREAD, d=DRAWN))
+def frame_drawings(spark, d):
+    """What is drawn on each of seven frames; poses are spread over five of them."""
+    poses = _framed(spark, d).withColumn("frame_number", F.col("vec_id") % 5)
+    f = spark.range(7).select(F.col("id").alias("pos"))
+    return frames.drawings(f, poses, F.lit(8), F.lit(8)).select("pos", "vec_id", F.size("points").cast("long").alias("points"))
+
+
+@query(sql("SELECT video_id, pos, event_id FROM frames WHERE pos >= 3 ORDER BY pos, video_id LIMIT 48", "frames"))
+def range_at_batch_ends(spark, d):
+    """At most 40 frames, looked at after every batch of 16."""
+    f = views.frames(spark, d).select("video_id", "pos", "event_id")
+    return frames.frame_range(f, 3, max_frames=40, batch=16, order=("pos", "video_id"))
+
+
+# Outputs of 5 channels and 8 anchors from a model that sums the inputs at each place.
+_MODEL = "SELECT vec_id, o, CAST(CAST(tensor[o + 1] * 40 + CASE WHEN o < 24 THEN tensor[o + 41] * 40 ELSE 0 END AS FLOAT) AS DOUBLE) AS v FROM tensors, range(40) t(o)"
+_DECODED = "SELECT vec_id AS frame, o % 8 AS anchor, max(v) FILTER (WHERE o // 8 = 0) AS cx, max(v) FILTER (WHERE o // 8 = 1) AS cy, max(v) FILTER (WHERE o // 8 = 2) AS w, max(v) FILTER (WHERE o // 8 = 3) AS h, max(v) FILTER (WHERE o // 8 = 4) AS confidence FROM m GROUP BY ALL"
+_MOVED = "SELECT frame AS vec_id, CAST(r.anchor AS BIGINT) AS anchor, least(greatest(r.cx / s, 0e0), 1920e0) AS cx, least(greatest((r.cy - 140e0) / s, 0e0), 1080e0) AS cy, least(greatest(r.w / s, 0e0), 1920e0) AS w, least(greatest(r.h / s, 0e0), 1080e0) AS h FROM kept, (SELECT 640 / 1920e0 AS s)"
+
+
+@query(sql("SELECT vec_id, anchor, cx, cy, w, h FROM moved", "tensors", m=_MODEL, decoded=_DECODED, chosen="SELECT * FROM decoded WHERE confidence >= 0.1e0", folded=nms_sql("chosen", "0.3e0"), kept=KEPT, moved=_MOVED))
+def detect_flow(spark, d):
+    """Model, decoding, confidence, suppression and then rescaling, in one transform."""
+    t = views.tensors(spark, d).select("vec_id", F.transform("tensor", lambda v: v * 40).cast("array<float>").alias("tensor"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))
+    engine = {"input_width": 640, "input_height": 640, "conf_threshold": 0.1, "nms_threshold": 0.3, "batch_size": 16}
+    found = detect.detect(t, engine, models.stub_model(5, 8), ["vec_id"], 8, "tensor", [64], "native")
+    return found.select("vec_id", "anchor", "cx", "cy", "w", "h")
+
+
+@query(sql("SELECT vec_id, tensor[1] > 0 AS failed, CASE WHEN tensor[1] > 0 THEN NULL ELSE round(tensor[2], 5) END AS v FROM tensors", "tensors"))
+def tolerant_batches(spark, d):
+    """A model that fails on inputs beginning with a positive number; the other rows go on."""
+
+    def make():
+        def predict(x):
+            if (x[:, 0] > 0).any():
+                raise RuntimeError("no such input")
+            return x
+
+        return predict
+
+    t = views.tensors(spark, d).withColumn("tensor", F.col("tensor").cast("array<float>"))
+    out = models.infer(t, "tensor", models.tolerant(make, 64), 1, [64])
+    bad = models.failed(F.col("output"))
+    return out.select("vec_id", bad.alias("failed"), F.when(~bad, F.round(F.get("output", F.lit(1)).cast("double"), 5)).alias("v"))
+
+
+from framelake.plans import formats  # noqa: E402, F401  (registers the queries on files)

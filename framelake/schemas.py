@@ -32,5 +32,6 @@ MODEL_TYPES = {0: "DETECTION", 1: "POSE"}
 KEYPOINT_NAMES = ["nose", "left_eye", "right_eye", "left_ear", "right_ear", "left_shoulder", "right_shoulder", "left_elbow", "right_elbow", "left_wrist", "right_wrist", "left_hip", "right_hip", "left_knee", "right_knee", "left_ankle", "right_ankle"]
 #: Pairs of keypoints that a skeleton joins.
 SKELETON = [(0, 1), (0, 2), (1, 3), (2, 4), (5, 6), (5, 7), (7, 9), (6, 8), (8, 10), (5, 11), (6, 12), (11, 12), (11, 13), (13, 15), (12, 14), (14, 16)]
+#: Log levels in order; boxes of a frame that suppression looks at, and that are kept.
 LOG_LEVELS = {"DEBUG": 0, "INFO": 1, "WARN": 2, "ERROR": 3}
 MAX_BEFORE_NMS, MAX_DETECTIONS = 5000, 300

@@ -45,6 +45,16 @@ class Config:
                 found.append(f"{name} must be positive")
         return found
 
+    def use_engine_batches(self, actual: dict[str, int]) -> list[str]:
+        """Batch sizes that engines were built for win over configured ones; a warning for each that differs. Names as in ``engines``."""
+        warnings = []
+        for e in self.engines:
+            own = actual.get(e["name"])
+            if own and own > 0 and own != e["batch_size"]:
+                warnings.append(f"{e['name']}: batch size {e['batch_size']} is not the engine's, {own} is used")
+                e["batch_size"] = own
+        return warnings
+
     def engine_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(e["name"], e["path"], int(e["type"].lower() == "pose"), e["num_detectors"], e["batch_size"], e["input_width"], e["input_height"], float(e["conf_threshold"]), float(e["nms_threshold"]), e["gpu_id"], flag(e["roi_cropping"])) for e in self.engines]
         return spark.createDataFrame(rows, ENGINES)

@@ -2,24 +2,30 @@
 
 Layout, little-endian: int32 model type once; then for each frame int32 number, int32 count and
 for each detection 4 float32 box, float32 confidence, int32 class, int32 keypoint count and 3 float32
-for each keypoint. Files are opened through Hadoop-visible local or mounted paths by the Python
-source; ``read_detections`` goes through Spark's binaryFile reader and so reads any store.
+for each keypoint. The Python source opens and writes files in mounted folders and refuses other stores;
+``read_detections`` goes through Spark's binaryFile reader and so reads any store, ``write_parquet`` is the sink for any store.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import shutil
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from framelake.schemas import DETECTION_FILE
+from framelake.sources.tensors import local_folder
 
 NAMES = DETECTION_FILE.names
 _HEAD = struct.Struct("<4ffii")
@@ -102,7 +108,7 @@ class DetBinReader(DataSourceReader):
         self.max_frames = int(options.get("maxframes", 0))
 
     def partitions(self) -> list[InputPartition]:
-        p = self.path.removeprefix("file://")
+        p = local_folder(self.path)
         found = sorted(glob.glob(os.path.join(p, "**", "*.bin"), recursive=True)) if os.path.isdir(p) else sorted(glob.glob(p))
         return [_File(f) for f in found]
 
@@ -124,26 +130,59 @@ def _rows(path: str, data: bytes, strict: bool, max_frames: int) -> Iterator[pa.
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    parts: list[tuple[str, str]]  # file name, its part
+
+
 class DetBinWriter(DataSourceWriter):
-    """One file for each task and ``path`` value; rows of a path must be in one task, in frame order."""
+    """A part for each file that a task has rows of; files change only when the whole job commits.
+
+    Rows of a path must be in one task, sorted by path, frame and index; they are written as they come.
+    Appending adds frames behind those that a file has, overwriting replaces all files of the folder.
+    """
 
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.path = options["path"].removeprefix("file://")
+        self.path, self.overwrite = local_folder(options["path"]), overwrite
         os.makedirs(self.path, exist_ok=True)
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        files: dict[str, tuple[int, dict[int, list]]] = {}
-        for r in rows:
-            kind, frames = files.setdefault(os.path.basename(r.path), (r.model_type, {}))
-            found = frames.setdefault(r.frame_number, [])
-            if r.det_index is not None:
-                found.append((r.cx, r.cy, r.w, r.h, r.confidence, r.class_id, [(k.x, k.y, k.confidence) for k in r.keypoints or []]))
-        for name, (kind, frames) in files.items():
-            part = os.path.join(self.path, f".{name}.{os.getpid()}")
+        parts = []
+        for name, of_file in groupby(rows, lambda r: os.path.basename(r.path)):
+            part = os.path.join(self.path, f".{uuid.uuid4().hex}.part")
+            parts.append((name, part))
             with open(part, "wb") as f:
-                f.write(encode(kind, sorted(frames.items())))
-            os.replace(part, os.path.join(self.path, name))  # a repeated task writes the same file again
-        return WriterCommitMessage()
+                first = True
+                for number, of_frame in groupby(of_file, lambda r: r.frame_number):
+                    found = list(of_frame)
+                    boxes = [(r.cx, r.cy, r.w, r.h, r.confidence, r.class_id, [(k.x, k.y, k.confidence) for k in r.keypoints or []]) for r in found if r.det_index is not None]
+                    data = encode(found[0].model_type, [(number, boxes)])
+                    f.write(data if first else data[4:])
+                    first = False
+        return Written(parts)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        parts = [p for m in messages if m for p in m.parts]
+        if self.overwrite:
+            for old in glob.glob(os.path.join(glob.escape(self.path), "*.bin")):
+                os.remove(old)
+        for name, part in parts:
+            file = os.path.join(self.path, name)
+            if not os.path.exists(file):
+                os.replace(part, file)
+                continue
+            with open(part, "rb") as new, open(file, "r+b") as old:
+                if (head := new.read(4)) != old.read(4):
+                    raise ValueError(f"{file} is of another model type than {head.hex()}")
+                old.seek(0, os.SEEK_END)
+                shutil.copyfileobj(new, old)
+            os.remove(part)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        for m in messages:
+            for _, part in m.parts if m else ():
+                if os.path.exists(part):
+                    os.remove(part)
 
 
 class DetBin(DataSource):
@@ -178,7 +217,20 @@ def read_detections(spark: SparkSession, path: str, mode: str = "PERMISSIVE", ma
     return files.mapInArrow(run, DETECTION_FILE)
 
 
-def write_detections(df: DataFrame, path: str) -> None:
-    """One task for each file, in frame order."""
+def write_detections(df: DataFrame, path: str, mode: str = "append") -> None:
+    """One task for each file, in frame order. ``append`` adds frames to files that are there, ``overwrite`` starts anew."""
     register(df.sparkSession)
-    df.select(*NAMES).repartition("path").sortWithinPartitions("path", "frame_number", "det_index").write.format("detbin").mode("append").save(path)
+    df.select(*NAMES).repartition("path").sortWithinPartitions("path", "frame_number", "det_index").write.format("detbin").mode(mode).save(path)
+
+
+def write_parquet(df: DataFrame, path: str, mode: str = "append") -> None:
+    """The canonical sink, for any store: Parquet by (video_id, engine), which ``df`` has besides the columns of a detection file.
+
+    Rows are brought together by video and engine, so a folder has few files; Spark commits the job as a whole.
+    """
+    df.repartition("video_id", "engine", F.floor(F.col("frame_number") / 100_000)).sortWithinPartitions("video_id", "engine", "frame_number").write.partitionBy("video_id", "engine").mode(mode).parquet(path)
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Detections of write_parquet(); filters on video_id and engine read only their folders."""
+    return spark.read.parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelake.functions.geometry import valid_roi
-from framelake.functions.scalars import INF, extension, parse_epoch, time_window, trim_all
+from framelake.functions.scalars import INF, extension, number_prefix_or, parse_epoch, time_window, trim_all
 
 _JSON = """alarm STRUCT<raw_alarm: STRUCT<record_list: ARRAY<STRUCT<moment_time: STRING, duration: STRING>>, video_start_time: STRING, video_end_time: STRING>>,
 playback_location ARRAY<STRING>, config STRUCT<box: ARRAY<ARRAY<FLOAT>>>"""
@@ -36,8 +36,7 @@ def parse_jsonl(lines: DataFrame, padding_s: float = 0.0, legacy_iso: bool = Fal
     rest = [c for c in lines.columns if c != "value"]
     flat = zip_flatten(j.select(*rest, F.col("j.alarm.raw_alarm.record_list").alias("record"), F.col("j.playback_location").alias("location"), start.alias("start_ts"), end.alias("end_ts"), roi.alias("roi")), "record", "location")
     path = F.when(F.col("location").startswith("{"), F.get_json_object("location", "$.file")).otherwise(F.col("location"))
-    zero = lambda c: F.coalesce(parse_epoch(c, legacy_iso), F.lit(0.0))
-    return flat.select(*rest, "place", path.alias("path"), zero(F.col("record.moment_time")).alias("moment_time"), zero(F.col("record.duration")).alias("duration"), "start_ts", "end_ts", "roi").where(F.length("path") > 0)
+    return flat.select(*rest, "place", path.alias("path"), number_prefix_or(F.col("record.moment_time")).alias("moment_time"), number_prefix_or(F.col("record.duration")).alias("duration"), "start_ts", "end_ts", "roi").where(F.length("path") > 0)
 
 
 def read_manifest(spark: SparkSession, path: str, fmt: str | None = None, padding_s: float = 0.0, legacy_iso: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,3 +54,36 @@ def tee(df: DataFrame, path: str) -> DataFrame:
     """Writes a copy and goes on from it."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_folder(path: str) -> str:
+    """A mounted folder; other stores than files are refused, since Python tasks would write beside them."""
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"{path}: plain files are written to mounted folders; write Parquet to other stores")
+    return path.removeprefix("file://")
+
+
+def write_dumps(df: DataFrame, path: str, batch: str = "batch", item: str = "slot", tensor: str = "tensor", name: str = "outputs_batch%06d.bin", dtype: str = "<f4") -> None:
+    """One headerless file for each batch, its items in order; a repeated task writes the same file again."""
+    folder = local_folder(path)
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, part = None, None, ""
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                os.replace(part, os.path.join(folder, name % now))
+
+        for b in batches:
+            for k, values in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k != now:
+                    close()
+                    now, part = k, os.path.join(folder, f".{uuid.uuid4().hex}")
+                    out = open(part, "wb")  # noqa: SIM115
+                out.write(np.asarray(values.values, dtype).tobytes())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int32())], ["n"])
+
+    df.select(batch, tensor, item).repartition(batch).sortWithinPartitions(batch, item).mapInArrow(run, "n int").count()

@@ -209,3 +209,36 @@ def test_records(spark):
 def test_zip_flatten(spark):
     df = spark.createDataFrame([(1, [1, 2, 3], ["a", "b"]), (2, [], ["a"])], "id int, a array<int>, b array<string>")
     assert [tuple(r) for r in manifest.zip_flatten(df, "a", "b").collect()] == [(1, 0, 1, "a"), (1, 1, 2, "b")]
+
+
+@pytest.mark.parametrize("per_task", [1_000_000, 40, 7])
+def test_batches_numbered_in_ranges(spark, per_task):
+    rows = [(k, i * 7 % 301, i) for k, n in ((None, 5), ("a", 300), ("b", 17), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "key string, o int, i int").repartition(5)
+    for tail in ("pad", "drop", "repeat"):
+        got = sorted((str(r.key), r.batch, r.slot, r.o, r.i) for r in batching.batches(df, 16, ["key"], ["o", "i"], tail, per_task).collect())
+        want = []
+        for key in (None, "a", "b", "c"):
+            own = sorted((o, i) for k, o, i in rows if k == key)
+            if tail == "drop":
+                own = own[: len(own) // 16 * 16]
+            elif tail == "repeat":
+                own += [own[-1]] * (-len(own) % 16)
+            want += [(str(key), j // 16, j % 16, o, i) for j, (o, i) in enumerate(own)]
+        assert got == sorted(want)
+
+
+def test_detect_moves_boxes_of_cropping_engines_only(spark):
+    from framelake.operators import detect
+
+    def model():
+        return lambda x: np.tile(np.array([32, 32, 10, 10, 0.9], np.float32), (len(x), 1))
+
+    f = spark.createDataFrame([(1, 200, 100, 50, 20, 150, 70, [0.0] * 4), (2, 200, 100, None, None, None, None, [0.0] * 4), (3, 0, 0, None, None, None, None, [0.0] * 4)], "id int, width int, height int, px1 int, py1 int, px2 int, py2 int, tensor array<float>")
+    engine = {"input_width": 64, "input_height": 64, "conf_threshold": 0.5, "nms_threshold": 0.5}
+    box = lambda e: {r.id: (r.cx, r.cy, r.w, r.h) for r in detect.detect(f, e, model, ["id"], 1, "tensor", [4]).collect()}
+    plain, crops = box(engine), box({**engine, "roi_cropping": True})
+    assert plain[1] == plain[2] == pytest.approx((100, 50, 31.25, 31.25)) and plain[3] == (32, 32, 10, 10)
+    assert crops[1] == pytest.approx((50 + 50, 20 + 25, 15.625, 15.625)) and crops[2] == plain[2]
+    image = f.where("id < 3").select("id", "width", "height", F.lit(bytes(200 * 100 * 3)).alias("image"))
+    assert {r.id: round(r.cx, 3) for r in detect.detect(image, engine, model, ["id"], 1).collect()} == {1: 100.0, 2: 100.0}

@@ -66,8 +66,8 @@ def test_detection_files_are_written_back(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "video_0000_a.bin").write_bytes(data := detbin.encode(1, FRAMES[:3]))
     df = detbin.read_detections(spark, str(tmp_path / "in"))
-    for _ in range(2):  # a second run gives the same file
-        detbin.write_detections(df, str(tmp_path / "out"))
+    for _ in range(2):  # a second run that overwrites gives the same file
+        detbin.write_detections(df, str(tmp_path / "out"), "overwrite")
         assert (tmp_path / "out" / "video_0000_a.bin").read_bytes() == data
 
 
@@ -164,3 +164,75 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {(r.window_start, r.engine): r["items"] for r in streaming.windowed_stats(rows.withColumn("ts", F.col("ts").cast("timestamp")), "1 day").collect()}
     last = max(w for w, _ in want)
     assert got == {k: v for k, v in want.items() if k in got} and {k for k in want if k[0] < last} <= set(got)
+
+
+def test_detection_writer_appends_and_overwrites(spark, tmp_path):
+    from framelake.sources.detbin import NAMES
+
+    folder = str(tmp_path / "out")
+    row = lambda path, kind, frame, i: (path, kind, frame, i, 1.0, 2.0, 3.0, 4.0, 0.5, 0, []) if i is not None else (path, kind, frame, None, None, None, None, None, None, None, None)
+    df = lambda *rows: spark.createDataFrame(list(rows), detbin.DETECTION_FILE)
+    detbin.write_detections(df(row("a.bin", 0, 2, 0), row("a.bin", 0, 2, 1), row("a.bin", 0, 1, None), row("b.bin", 1, 1, 0)), folder)
+    detbin.write_detections(df(row("a.bin", 0, 2, 0)), folder)
+    read = lambda: sorted((r.path[-5:], r.model_type, r.frame_number, -1 if r.det_index is None else r.det_index) for r in detbin.read_detections(spark, folder, "FAILFAST").collect())
+    assert read() == [("a.bin", 0, 1, -1), ("a.bin", 0, 2, 0), ("a.bin", 0, 2, 0), ("a.bin", 0, 2, 1), ("b.bin", 1, 1, 0)]
+    with pytest.raises(Exception, match="another model type"):
+        detbin.write_detections(df(row("b.bin", 0, 1, 0)), folder)
+    detbin.write_detections(df(row("c.bin", 0, 1, 0)), folder, "overwrite")
+    assert read() == [("c.bin", 0, 1, 0)]
+    with pytest.raises(ValueError, match="mounted"):
+        detbin.DetBinWriter({"path": "hdfs://host/x"}, False)
+    assert len(NAMES) == 11
+
+
+def test_detection_parquet(spark, tmp_path):
+    rows = [(v, e, f"{v}.bin", 0, f, 0, 1.0, 2.0, 3.0, 4.0, 0.5, 0, []) for v in range(3) for e in "ab" for f in range(4)]
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("video_id", T.IntegerType()), T.StructField("engine", T.StringType()), *detbin.DETECTION_FILE.fields])
+    df = spark.createDataFrame(rows, schema)
+    for _ in range(2):
+        detbin.write_parquet(df, str(tmp_path / "p"))
+    back = detbin.read_parquet(spark, str(tmp_path / "p"))
+    assert back.count() == 48 and back.where("video_id = 1 and engine = 'a'").count() == 8
+    assert (tmp_path / "p" / "video_id=1" / "engine=a").is_dir()
+
+
+def test_engine_batch_sizes_win():
+    c = config.Config(engines=[{**config.MODEL, "name": "a", "path": "x", "batch_size": 4}, {**config.MODEL, "name": "b", "path": "y"}])
+    warnings = c.use_engine_batches({"a": 16, "b": 1, "c": 3})
+    assert [e["batch_size"] for e in c.engines] == [16, 1] and len(warnings) == 1 and "16" in warnings[0]
+
+
+def test_images(spark, tmp_path):
+    from framelake.operators import frames
+
+    for i in range(3):
+        (tmp_path / f"{i}.raw").write_bytes(bytes([i + 1, 2]) + bytes(6 * (i + 1)))
+    got = frames.scan_images(spark, str(tmp_path), lambda b: (b[0], b[1], b[2:]), "*.raw").orderBy("path").collect()
+    assert [(r.width, r.height, len(r.image)) for r in got] == [(1, 2, 6), (2, 2, 12), (3, 2, 18)]
+
+
+# Output of a detection model of 5 channels and 8400 anchors, its first ten anchors and its most confident ones.
+FIRST_ANCHORS = [(4.80859, 9.3125, 8.71094, 16.9375, 1.49012e-07), (22.9688, 9.84375, 43.875, 18.875, 0), (23.125, 9.82812, 44.375, 18.5938, 0), (25.1406, 7.87109, 47.0312, 14.8828, 0), (29.875, 6.03906, 49.75, 11.3906, 0), (41.1562, 5.00391, 43.75, 9.46094, 0), (52.6562, 4.625, 38.9375, 8.65625, 0), (60.875, 4.61328, 38.75, 8.61719, 0), (68.875, 4.60547, 38.8125, 8.60156, 0), (76.875, 4.59375, 38.8125, 8.57812, 0)]
+TOP_ANCHORS = [(6399, 1.78814e-07, 634, 628, 11.5, 22.5), (8399, 1.49012e-07, 606, 585.5, 251.25, 210.25), (8398, 1.49012e-07, 569, 575.5, 245.5, 241.75), (8397, 1.49012e-07, 552, 568, 273.5, 235.5), (8396, 1.49012e-07, 544, 564.5, 318.5, 236)]
+
+
+def test_recorded_model_output(spark, tmp_path):
+    from framelake.operators import tensors as T
+    from framelake.plans import tools
+
+    x = np.zeros((5, 8400), np.float32)
+    x[:, :10] = np.array(FIRST_ANCHORS, np.float32).T
+    for a, conf, *box in TOP_ANCHORS:
+        x[:, a] = [*box, conf]
+    (tmp_path / "outputs_batch000000.bin").write_bytes(np.tile(x, (2, 1, 1)).tobytes())
+    raw = tensors.read_tensors(spark, str(tmp_path), 2, 5)
+    one = raw.where("item = 1").select(F.explode(F.slice(T.to_anchor_rows(F.col("tensor"), 5, 8400), 1, 10)).alias("v")).collect()
+    np.testing.assert_allclose([r.v for r in one], FIRST_ANCHORS, rtol=1e-6)
+    profile, top = tools.raw_report(spark, str(tmp_path), 2, 5, 10)
+    best = top.where("item = 1").orderBy(F.desc("confidence"), F.desc("anchor")).collect()
+    assert [r.anchor for r in best] == [6399, 8399, 8398, 8397, 8396]
+    assert [(r.cx, r.cy, r.w, r.h) for r in best] == [tuple(map(float, t[2:])) for t in TOP_ANCHORS]
+    assert all(round(r.sigmoid, 4) == 0.5 for r in best) and profile.count() == 2
+    assert tools.process_outputs(spark, str(tmp_path), 2, 5, 0.2, 0.55).count() == 0
