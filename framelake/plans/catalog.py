@@ -624,7 +624,7 @@ def range_at_batch_ends(spark, d):
 
 
 # Outputs of 5 channels and 8 anchors from a model that sums the inputs at each place.
-_MODEL = "SELECT vec_id, o, CAST(CAST(tensor[o + 1] * 40 + CASE WHEN o < 24 THEN tensor[o + 41] * 40 ELSE 0 END AS FLOAT) AS DOUBLE) AS v FROM tensors, range(40) t(o)"
+_MODEL = "SELECT vec_id, o, CAST(CAST(CAST(CAST(tensor[o + 1] * 40 AS FLOAT) AS DOUBLE) + CASE WHEN o < 24 THEN CAST(CAST(tensor[o + 41] * 40 AS FLOAT) AS DOUBLE) ELSE 0e0 END AS FLOAT) AS DOUBLE) AS v FROM tensors, range(40) t(o)"
 _DECODED = "SELECT vec_id AS frame, o % 8 AS anchor, max(v) FILTER (WHERE o // 8 = 0) AS cx, max(v) FILTER (WHERE o // 8 = 1) AS cy, max(v) FILTER (WHERE o // 8 = 2) AS w, max(v) FILTER (WHERE o // 8 = 3) AS h, max(v) FILTER (WHERE o // 8 = 4) AS confidence FROM m GROUP BY ALL"
 _MOVED = "SELECT frame AS vec_id, CAST(r.anchor AS BIGINT) AS anchor, least(greatest(r.cx / s, 0e0), 1920e0) AS cx, least(greatest((r.cy - 140e0) / s, 0e0), 1080e0) AS cy, least(greatest(r.w / s, 0e0), 1920e0) AS w, least(greatest(r.h / s, 0e0), 1080e0) AS h FROM kept, (SELECT 640 / 1920e0 AS s)"
 
