@@ -17,8 +17,8 @@ from framelake.llm._exec import run_starts
 #: Stands for "some owner who needs no answer"; the next number for many of them.
 ANY = np.iinfo(np.int64).min
 MANY = ANY + 1
-#: Entries that a map task holds before it passes them on (about 100 MB while sorting).
-FLUSH = 2_000_000
+#: Entries that a map task holds before it passes them on (about 50 MB while sorting).
+FLUSH = 1_000_000
 #: A key is hot from so many flushes, or from so many owners in one flush, on.
 HOT_FLUSHES, HOT_OWNERS = 64, 100
 

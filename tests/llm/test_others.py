@@ -308,6 +308,46 @@ def test_every_query_runs_on_whole_tables(spark):
         assert QUERIES[name](spark, SF).count() == n[table], name
 
 
+def test_pipeline_on_odd_rows(spark):
+    """Null and repeated ids, null, empty and very long texts, ties and clashing columns, against brute force stage by stage."""
+    import corpus_pipeline
+    from tests.llm.test_documents import cut, row_classes
+
+    stage = dict(corpus_pipeline.STAGES)
+    real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(80).collect()]
+    r = random.Random(3)
+    passage = " ".join(f"p{j}" for j in range(60))
+    words = lambda n: " ".join(f"w{r.randint(0, 999)}" for _ in range(n))
+    odd = [(None, "no id " + passage), (None, None), (900_001, None), (900_001, None), (900_002, ""), (900_003, words(30_000)), (900_004, passage + " " + words(50)), (900_004, words(40) + " " + passage), (900_005, words(30) + " " + passage), (900_005, words(70)), (900_006, real[0][1]), (900_006, real[0][1])]
+    rows = [*real, *odd]
+    names = "doc_id bigint, text string, _id bigint, _gone bigint, _kept string, _toxic int, component_id bigint, n_chars int"
+    docs = spark.createDataFrame([(i, t, 1, 2, "k", 3, k, len(t or "")) for k, (i, t) in enumerate(rows)], names).repartition(3)
+    clean = stage["toxicity"](spark, docs, SF)
+    assert clean.schema == docs.schema
+    left = sorted((x.component_id, x.doc_id, x.text) for x in clean.collect())
+    assert len(left) > 60 and {k for k, _, _ in left} >= {k for k, (i, _) in enumerate(rows) if i is None or i > 900_000 and i != 900_006}
+    one = stage["jaccard join"](spark, clean, SF)
+    assert one.schema == docs.schema
+    want = [x for x, (i, _, c, _) in zip(left, row_classes([x[1:] for x in left], 5, 80, 100), strict=True) if i == c]
+    assert sorted((x.component_id, x.doc_id, x.text) for x in one.collect()) == want
+    short = stage["substring dedup"](spark, one, SF)
+    assert short.columns == docs.columns
+    expect = sorted((k, i, kept if n else t) for (k, i, t), (_, n, kept) in zip(want, cut([x[1:] for x in want], 50), strict=True))
+    assert sorted((x.component_id, x.doc_id, x.text) for x in short.collect()) == expect
+    assert expect != want
+    packed = stage["packing"](spark, short, SF).toPandas()
+    assert len(packed) >= len(expect) and packed.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_pipeline_on_empty_tables(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tests.llm.test_documents import cut, classes, shingles
