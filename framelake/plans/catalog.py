@@ -72,6 +72,17 @@ def iou_pairs(spark, d):
     return nms.overlapping_pairs(views.anchors(spark, d).drop("flag"), ["frame"], 0.3)
 
 
+_EPS = iou_sql("a", "b").split(" ELSE ")[1].removesuffix(" END)")
+
+
+@query(sql(f"SELECT a.frame, a.anchor AS a, b.anchor AS b, {_EPS.rsplit(' / ', 1)[0]} / ({_EPS.rsplit(' / ', 1)[1]} + 1e-6) AS iou FROM anchors a JOIN anchors b ON a.frame = b.frame AND a.anchor + 1 = b.anchor", "anchors"))
+def iou_with_epsilon(spark, d):
+    """Overlap of neighbouring anchors by the formula that adds a small number to the union and tests nothing."""
+    a, b = (views.anchors(spark, d).select("frame", F.col("anchor").alias(n), F.struct(*BOX).alias(f"box_{n}")) for n in "ab")
+    both = a.join(b, (a["frame"] == b["frame"]) & (F.col("a") + 1 == F.col("b"))).drop(b["frame"])
+    return both.select("frame", "a", "b", G.iou(G.field_box(F.col("box_a")), G.field_box(F.col("box_b")), 1e-6).alias("iou"))
+
+
 def _kept(spark, d, threshold=0.3, strategy="native", **caps):
     rows = nms.confidence_filter(views.anchors(spark, d).drop("flag"), 0.2)
     return nms.nms(rows, ["frame"], threshold, strategy, **caps)

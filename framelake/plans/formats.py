@@ -132,6 +132,13 @@ def generic_tensor(spark, d):
     return rounded(one.select(F.col("ordinal").cast("long").alias("ordinal"), F.size("tensor").cast("long").alias("n"), F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), total.alias("total")), "total", digits=4)
 
 
+@query(sql("SELECT ordinal, item, CAST(a AS BIGINT) AS anchor, CAST(CAST(tensor[a + 33] AS FLOAT) AS DOUBLE) AS confidence FROM dumps, range(8) t(a) ORDER BY confidence DESC, a DESC, ordinal, item LIMIT 20", "tensors", dumps=DUMP))
+def raw_report_top(spark, d):
+    """The most confident anchors of dumps of eight channels."""
+    _, top = tools.raw_report(spark, _dumps(spark, d), 16, 8, 20)
+    return top.select(F.col("ordinal").cast("long").alias("ordinal"), "item", "anchor", F.col("confidence").cast("double").alias("confidence"))
+
+
 @query("SELECT p_partkey, printf('%d,%d,%d', p_partkey % 7, p_size, p_partkey) AS shape FROM part")
 def shape_strings(spark, d):
     a, b, c = F.col("p_partkey") % 7, F.col("p_size"), F.col("p_partkey")
