@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from framelake.llm._exec import run_starts, saved
 from framelake.llm._vectors import by_length, matrix, one_row_each
 
-#: Rows of a cell that one task holds; larger cells are split.
-ROWS = 32768
+#: Rows of a cell that one task holds at most, and at least where there are enough; larger cells are split.
+ROWS, LEAST = 32768, 1024
 #: Rows for each cell on average, vectors that the centres are fitted on, and cells that every query visits.
 CELL, SAMPLE, FIRST = 4096, 20_000, 2
 
@@ -215,12 +215,13 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, expa
     rows, asks = saved(one_row_each(vectors, "vec_id", "embedding")), saved(one_row_each(queries, "vec_id", "embedding"))
     n = rows.count()
     some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE / max(1, n)))).limit(2 * SAMPLE)
-    flat, at = matrix(pa.array([r.embedding for r in some.select("embedding").collect()], pa.list_(pa.float64())))
+    flat, at = matrix(some.select("embedding").toArrow().column("embedding"))
     known = {x.shape[1]: centres(x, min(1024, max(1, n * len(x) // len(at) // CELL)), seed) for _, x in by_length(at, flat) if len(x) >= 64}
     placed = saved(rows.mapInArrow(_assign(known), f"vec_id bigint, embedding {rows.schema['embedding'].dataType.simpleString()}, cell bigint, far double"))
-    # 1024 cells for each of at most SAMPLE / 32 frequent lengths, and one for each other length
-    cells = {r.cell: (-(-r.n // ROWS), r.far) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_part = min(ROWS, max(LEAST, n // (2 * least)))  # small inputs are dealt to all tasks as well
+    # 1024 cells for each of at most SAMPLE / 32 frequent lengths, and one for each other length
+    cells = {r.cell: (-(-r.n // per_part), r.far) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     n_parts = max(least, sum(p for p, _ in cells.values()))
     splits = F.create_map(*[F.lit(v) for c, (p, _) in cells.items() if p > 1 for v in (c, p)]) if any(p > 1 for p, _ in cells.values()) else None
     parts_of = F.coalesce(splits[F.col("cell")], F.lit(1)) if splits is not None else F.lit(1)
