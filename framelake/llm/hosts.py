@@ -25,6 +25,8 @@ from framelake.llm._exec import join_unique, saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rule = tuple[str, str, str]  # allow or block, host, path
+#: Frequent suffixes of two labels, below which domains are registered.
+TWO_LABEL = ["ac.at", "co.at", "or.at", "com.au", "net.au", "org.au", "com.br", "net.br", "org.br", "com.cn", "net.cn", "org.cn", "com.hk", "co.id", "co.il", "co.in", "ac.jp", "co.jp", "ne.jp", "or.jp", "co.kr", "com.mx", "com.my", "co.nz", "net.nz", "org.nz", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "ac.uk", "co.uk", "gov.uk", "org.uk", "co.za"]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -97,7 +99,7 @@ def reputation(outcomes: DataFrame, two_label: list[str] | None = None, cut: flo
     ``n_domain`` are the labelled pages of the host and of its domain, Beta(a, b) is the posterior,
     ``above`` the chance of a share above ``cut``. Hosts without labels get their prior. Empty input gives an empty result.
     """
-    domain, suffix = levels(F.col("host"), two_label or [])
+    domain, suffix = levels(F.col("host"), TWO_LABEL if two_label is None else two_label)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     hosts = saved(outcomes.where("host is not null").groupBy("host").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), total("bad").alias("k")).withColumn("domain", domain).withColumn("suffix", suffix))
     domains = hosts.groupBy("domain", "suffix").agg(total("n").alias("n"), total("k").alias("k"), F.count("*").alias("hosts"))

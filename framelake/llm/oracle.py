@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from framelake.llm.hosts import TWO_LABEL
+
 ORACLE: dict[str, str] = {}
 
 # [^\x20\x09-\x0D]+ words of a text
@@ -74,6 +76,7 @@ def _strength(level: str, parent: str) -> str:
         SELECT *, k / n AS p FROM (SELECT sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, count(*) AS g, sum(n * n)::DOUBLE AS nn, sum(k * k / n::DOUBLE) AS kk FROM {level} WHERE n > 0 GROUP BY {parent})))"""
 
 
+_TWO_LABEL = ", ".join(f"'{x}'" for x in TWO_LABEL)
 # The chance to be above one half by a sum over angles (share = sin(angle)^2), where the operator uses a continued fraction.
 _ANGLES = "SELECT ln(sin(t)) AS ls, ln(cos(t)) AS lc, t > pi() / 4 AS high FROM (SELECT (i + 0.5e0) / 4000 * pi() / 2 AS t FROM range(4000) x(i))"
 ORACLE["op7_hosts"] = f"""
@@ -81,8 +84,9 @@ WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpo
 hp AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM u),
 r AS (SELECT *, {_longest("rule")} AS rule, {_longest("action")} AS action FROM hp),
 named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM r),
-split AS (SELECT *, string_split(name, '.') AS parts, regexp_matches(name, '^[0-9]+([.][0-9]+){{3}}$') OR NOT contains(name, '.') AS own FROM named),
-hosts AS (SELECT host, count(action) AS n, count(*) FILTER (WHERE action = 'block') AS k, any_value(CASE WHEN own THEN name ELSE array_to_string(parts[-2:], '.') END) AS domain, any_value(CASE WHEN own THEN '' ELSE parts[-1] END) AS suffix FROM split GROUP BY host),
+labels AS (SELECT *, string_split(name, '.') AS parts, array_to_string(string_split(name, '.')[-2:], '.') IN ({_TWO_LABEL}) AS two FROM named),
+split AS (SELECT *, regexp_matches(name, '^[0-9]+([.][0-9]+){{3}}$') OR NOT contains(name, '.') OR (two AND len(parts) = 2) AS own FROM labels),
+hosts AS (SELECT host, count(action) AS n, count(*) FILTER (WHERE action = 'block') AS k, any_value(CASE WHEN own THEN name WHEN two THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END) AS domain, any_value(CASE WHEN own THEN '' WHEN two THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END) AS suffix FROM split GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, 1 AS every FROM domains GROUP BY ALL),
 ms AS ({_strength("suffixes", "every")}), md AS ({_strength("domains", "suffix")}), mh AS ({_strength("hosts", "domain, suffix")}),
