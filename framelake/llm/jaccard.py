@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -389,15 +389,15 @@ def _joined(held: DataFrame, n_parts: int, num: int, den: int) -> DataFrame:
     return held.repartition(n_parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b").mapInArrow(_verify(num, den), "a bigint, b bigint")
 
 
-def _cluster_links(members: DataFrame, n_parts: int, num: int, den: int) -> DataFrame:
-    """Links that give the classes of all clusters; members are rows of _MEMBERS."""
+def _cluster_links(where: DataFrame, members: Callable[[DataFrame], DataFrame], n_parts: int, num: int, den: int) -> DataFrame:
+    """Links that give the classes of all clusters; ``where`` says which set is in which cluster, ``members`` gives such sets (_MEMBERS)."""
     none, zero = F.lit(None).cast("boolean"), F.lit(0)
-    alone = members.select("cluster", F.col("own").alias("a"), zero.alias("b"), "sid", F.col("sid").alias("label"), none.alias("asks"), "tokens")
+    alone = members(where).select("cluster", F.col("own").alias("a"), zero.alias("b"), "sid", F.col("sid").alias("label"), none.alias("asks"), "tokens")
     links = saved(_joined(alone, n_parts, num, den))
-    large = members.where("blocks > 1")
+    large = where.where("blocks > 1")
     if not large.limit(1).count():
         return links
-    large = saved(large.dropDuplicates(["sid"]))
+    large = saved(members(large).dropDuplicates(["sid"]))
 
     def labelled(links: DataFrame) -> DataFrame:
         c = components(links)
@@ -468,9 +468,9 @@ def _count(num: int, den: int):
     return run
 
 
-def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
-    """Steps 1 and 2: rows (doc_id, text_hash, n, s1, s2) of all documents with an id, sizes of those without,
-    sets with how many documents have them, candidate sets of clusters (_MEMBERS), partitions."""
+def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Callable[[DataFrame], DataFrame], int]:
+    """Steps 1 and 2: rows (doc_id, text_hash, n, s1, s2) of all documents with an id, sizes of those without, sets with how many
+    documents have them, which candidate set is in which cluster, a function for such sets themselves (_MEMBERS), partitions."""
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     some = docs.where("doc_id is not null")
@@ -491,15 +491,18 @@ def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     dealt = join_unique(found, saved(found.groupBy("cluster").agg(many.alias("blocks"), F.count("*").alias("rows"))), ["cluster"], "rows")
     where = dealt.withColumn("own", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).join(reps.withColumnRenamed("s1", "sid"), ["sid", "s2", "n"])
     where = saved(where.select("sid", "cluster", "blocks", "own", "first.doc_id", "first.text_hash"))
-    members = some.join(small(where), ["doc_id", "text_hash"]).select("sid", "cluster", "blocks", "own", "text").mapInArrow(_members(k), _MEMBERS)
+
+    def members(rows: DataFrame) -> DataFrame:
+        return some.join(small(rows), ["doc_id", "text_hash"]).select("sid", "cluster", "blocks", "own", "text").mapInArrow(_members(k), _MEMBERS)
+
     nameless = docs.where("doc_id is null").mapInArrow(_sizes(k), "doc_id bigint, n_shingles bigint")
-    return own, nameless, reps, members, n_parts
+    return own, nameless, reps, where, members, n_parts
 
 
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, n_shingles, component_id) of all documents with an id, and sizes of those without."""
-    own, nameless, reps, members, n_parts = _candidates(docs, k, num, den)
-    class_of = components(_cluster_links(members, n_parts, num, den)).select(F.col("node").alias("s1"), "component")
+    own, nameless, reps, where, members, n_parts = _candidates(docs, k, num, den)
+    class_of = components(_cluster_links(where, members, n_parts, num, den)).select(F.col("node").alias("s1"), "component")
     reps = saved(reps.select("s1", "s2", "n", "first.doc_id", "copies").join(class_of, "s1", "left"))
     low = reps.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
     linked = join_unique(reps.where("component is not null"), saved(low), ["component"], "rows").select("s1", "s2", "n", F.col("low").alias("component_id"), "copies")
@@ -527,8 +530,8 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     n_links is the number of other rows that the row itself links to, equal ones
     included; those that it reaches only through others are not counted. It is 0 for empty sets and null ids.
     """
-    own, nameless, reps, members, n_parts = _candidates(docs, k, num, den)
-    members = saved(members).join(reps.select(F.col("s1").alias("sid"), "copies"), "sid")
+    own, nameless, reps, where, members, n_parts = _candidates(docs, k, num, den)
+    members = saved(members(where)).join(reps.select(F.col("s1").alias("sid"), "copies"), "sid")
     pair = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("a", F.least("own", "j")).withColumn("b", F.greatest("own", "j"))
     counts = pair.repartition(n_parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b").mapInArrow(_count(num, den), "sid bigint, others bigint").groupBy("sid").agg(F.sum("others").alias("others"))
     linked = reps.join(counts, reps.s1 == counts.sid, "left").select("s1", "s2", "n", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "copies")
