@@ -196,7 +196,7 @@ def token_labels(feats: np.ndarray, which: np.ndarray, first: np.ndarray, toxic:
     doc = np.repeat(np.arange(len(toxic)), np.diff(first))
     t1, t0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
     odds = np.log((n1 + 0.1) / (t1 + 1)) - np.log((n0 + 0.1) / (t0 + 1))
-    mark = (n1 >= max(3, 0.01 * t1)) & (odds >= 3)
+    mark = (n1 >= max(3, 0.02 * t1)) & (odds >= 3)
     return (mark[feats].any(axis=1)[which] & (toxic[doc] == 1)).astype(float)
 
 
