@@ -196,11 +196,11 @@ def _anchors(window: int, n_parts: int):
             yield from _answers(known, n_parts, _ASK)
 
         for batch in batches:
-            for part in _text.slices(batch, "text"):
-                _, _, anchor, first = windows(part.column("text"), window)
+            for part in _text.slices(batch, "body"):
+                _, _, anchor, first = windows(part.column("body"), window)
                 if not len(anchor):
                     continue
-                owner = np.repeat(part.column("doc_id").to_numpy(), np.diff(first))
+                owner = np.repeat(part.column("id").to_numpy(), np.diff(first))
                 at = run_starts([anchor, owner])
                 if pack.add(anchor[at], owner[at]):
                     yield from flush()
@@ -260,7 +260,7 @@ def _gather(width: int):
         a = 0
         while a < len(ids):
             b = min(len(ids), a + 10_000, max(a + 1, int(np.searchsorted(at, at[a] + (1 << 21), "right")) - 1))  # 48 MB, or one document
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), split_blob(values[at[a] : at[b]], at[a : b + 1] - at[a])], ["doc_id", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), split_blob(values[at[a] : at[b]], at[a : b + 1] - at[a])], ["id", "found"])
             a = b
 
     return run
@@ -325,9 +325,9 @@ def _index(window: int, n_parts: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for part in _text.slices(batch, "text"):
-                _, whole, anchor, first = windows(part.column("text"), window)
-                ids, rows = part.column("doc_id").to_numpy(), part.column("row").to_numpy()
+            for part in _text.slices(batch, "body"):
+                _, whole, anchor, first = windows(part.column("body"), window)
+                ids, rows = part.column("id").to_numpy(), part.column("row").to_numpy()
                 for i, known in enumerate(binary_rows(part.column("found"), np.uint64)):
                     a, b = first[i], first[i + 1]
                     if a == b or not len(known):
@@ -407,14 +407,14 @@ def _cut(original: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _text.slices(batch, "text"):
-                w = _text.Words(part.column("text"), "space")
+            for part in _text.slices(batch, "body"):
+                w = _text.Words(part.column("body"), "space")
                 gone = removed(w, [x[:, 1] for x in _own(part)])
                 lost = np.diff(np.concatenate(([0], np.cumsum(gone)))[w.first])
                 kept = kept_text(w, gone)
                 if original:
-                    kept = pc.if_else(pa.array(lost > 0), kept, part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts), pa.array(lost), kept, part.column("rest")], ["doc_id", "n_words", "n_removed", "kept", "rest"])
+                    kept = pc.if_else(pa.array(lost > 0), kept, part.column("body"))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(w.counts), pa.array(lost), kept, part.column("rest")], ["doc_id", "n_words", "n_removed", "kept", "rest"])
 
     return run
 
@@ -424,28 +424,29 @@ def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _own(part)
         each = [len(x) for x in own]
         flat = np.concatenate([np.zeros((0, 3), np.uint64), *own])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("doc_id").to_numpy(), each)), pa.array((flat[:, 1] >> np.uint64(32)).astype(np.int64)), pa.array((flat[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(flat[:, 2].view(np.int64))], ["doc_id", "start", "length", "source_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("id").to_numpy(), each)), pa.array((flat[:, 1] >> np.uint64(32)).astype(np.int64)), pa.array((flat[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(flat[:, 2].view(np.int64))], ["doc_id", "start", "length", "source_id"])
 
 
 def _parsed(docs: DataFrame, window: int, rest: list[str]) -> DataFrame:
-    """Rows (doc_id, row, text, rest, found) of all documents with an id; ``rest`` is a struct of further columns."""
+    """Rows (id, row, body, rest, found) of all documents; ``rest`` is a struct of further columns."""
     text = F.col("text").cast("string")
-    extra = F.struct(*(F.col(f"`{c}`") for c in rest or ["doc_id"]))  # no constant: it would be left out of one of the two exchanges, which then were no longer the same
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"), extra.alias("rest"))
-    n = parts(docs, text_bytes("text"), 2)
-    named = docs.where("doc_id is not null")
-    by_id = named.repartition(n, "doc_id")
+    extra = F.struct(*(F.col(f"`{c}`") for c in rest or ["doc_id"]))
+    # New names and no constants: else one use of the exchange of texts is rewritten, and it is done twice.
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("body"), extra.alias("rest"))
+    n = parts(docs, text_bytes("body"), 2)
+    named = docs.where("id is not null")
+    by_id = named.repartition(n, "id")
     to = lambda c: F.expr(f"pmod({c}, {n})")
 
     def for_documents(answers: DataFrame, width: int) -> DataFrame:
-        return answers.repartitionById(n, to("to")).mapInArrow(_gather(width), "doc_id bigint, found binary").repartition(n, "doc_id").hint("shuffle_hash")
+        return answers.repartitionById(n, to("to")).mapInArrow(_gather(width), "id bigint, found binary").repartition(n, "id").hint("shuffle_hash")
 
     told = saved(named.mapInArrow(_anchors(window, n), _ASK).repartitionById(n, to("part")).mapInArrow(_tell(n), _ANSWER))
     hot = _hot_anchors(told)
-    indexed = by_id.join(for_documents(told.where("to >= 0"), 1), "doc_id").mapInArrow(_index(window, n, hot), _SENT)
+    indexed = by_id.join(for_documents(told.where("to >= 0"), 1), "id").mapInArrow(_index(window, n, hot), _SENT)
     found = indexed.repartitionById(n, to("part")).mapInArrow(_factor(window, n), _ANSWER)
-    done = by_id.join(for_documents(found, 3), "doc_id", "left")
-    return done.unionByName(docs.where("doc_id is null").withColumn("found", F.lit(None).cast("binary")))
+    done = by_id.join(for_documents(found, 3), "id", "left")
+    return done.unionByName(docs.where("id is null").withColumn("found", F.lit(None).cast("binary")))
 
 
 def _cut_rows(docs: DataFrame, window: int, rest: list[str], original: bool = False) -> DataFrame:
