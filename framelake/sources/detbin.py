@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from framelake.schemas import DETECTION_FILE
-from framelake.sources.tensors import local_folder
+from framelake.sources.folders import local_folder
 
 NAMES = DETECTION_FILE.names
 _HEAD = struct.Struct("<4ffii")

@@ -10,8 +10,17 @@ from pyspark.sql import SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; only where that is unset (local tests) a temporary one is made."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='framelake-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='framelake-')}")
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def local_folder(path: str) -> str:
+    """A mounted folder; other stores than files are refused, since Python tasks would write beside them."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        raise ValueError(f"{path}: plain files are written to mounted folders; write Parquet to other stores")
+    return path

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framelake.sources.folders import local_folder
+
 
 def read_tensors(spark: SparkSession, path: str, batch: int, channels: int, pattern: str = "outputs_batch*.bin", dtype: str = "<f4") -> DataFrame:
     """Rows (path, item, channels, anchors, tensor) of all dumps below ``path``; sizes must divide."""
@@ -56,13 +58,6 @@ def tee(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def local_folder(path: str) -> str:
-    """A mounted folder; other stores than files are refused, since Python tasks would write beside them."""
-    if "://" in path and not path.startswith("file://"):
-        raise ValueError(f"{path}: plain files are written to mounted folders; write Parquet to other stores")
-    return path.removeprefix("file://")
-
-
 def write_dumps(df: DataFrame, path: str, batch: str = "batch", item: str = "slot", tensor: str = "tensor", name: str = "outputs_batch%06d.bin", dtype: str = "<f4") -> None:
     """One headerless file for each batch, its items in order; a repeated task writes the same file again."""
     folder = local_folder(path)
