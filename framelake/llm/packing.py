@@ -27,7 +27,7 @@ from framelake.llm import _text
 from framelake.llm._exec import parts, saved
 
 #: Chunks whose ids a worker remembers.
-CACHE = 600_000
+CACHE = 200_000
 
 
 class ByteBpe:
@@ -111,7 +111,7 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
         stop = np.array([end], "<u4").tobytes()
         for batch in batches:
             bpe = bpe or ByteBpe(path)
-            for part in _text.slices(batch, "text"):
+            for part in _text.slices(batch, "text", 1 << 20):
                 rows = []
                 for i, ids in zip(part.column("doc_id").to_pylist(), bpe.encode(_text.strings(part.column("text")).to_pylist()), strict=True):
                     ids += stop
