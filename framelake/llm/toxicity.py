@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from framelake.llm import _text
 from framelake.llm._exec import saved, text_bytes
 
-BITS, SAMPLE, SAMPLE_BYTES = 20, 1200, 24 << 20
+BITS, SAMPLE, SAMPLE_BYTES = 20, 800, 12 << 20
 #: Words that are gone through one after the other; blocks of a document are joined by their transfer matrices.
 STEPS = 64
 _PREFIXES = (3, 4, 5, 6, 7, 8)
