@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bpe, hosts, jaccard, licenses, nearest, neardup, packing, substrings, toxicity, warc
+from framelake.llm import bpe, fim, hosts, inner, jaccard, lexical, licenses, nearest, neardup, packing, substrings, toxicity, warc
 from framelake.llm.oracle import ORACLE  # noqa: F401
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -24,6 +24,7 @@ def _read(table: str, *cols: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 _docs, _pages, _vectors = _read("documents", "doc_id", "text"), _read("pages", "page_id", "url", "html"), _read("embeddings", "vec_id", "embedding")
+_items = _read("benchmark", "item_id", "text")
 _labels = _read("labels", "doc_id", "toxic")
 
 
@@ -74,10 +75,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "starts", "ends")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(_docs(spark, sf_dir)), _items(spark, sf_dir), 20)
+
+
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(_docs(spark, sf_dir), seed=1, plain=10, spm=20)
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return inner.top_products(rows, rows.where("vec_id % 100 = 0"), 10, 1024)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_neardup, op2_licenses, op3_jaccard, op4_warc, op5_substrings, op6_packing, op7_hosts, op8_nearest, op9_bpe, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_licenses, op3_jaccard, op4_warc, op5_substrings, op6_packing, op7_hosts, op8_nearest, op9_bpe, op10_toxicity, op11_lexical, op12_middle, op13_inner, pipeline)}
