@@ -14,7 +14,7 @@ from framelake.operators import models, nms, tensors
 BOX = ("cx", "cy", "w", "h")
 
 
-def detect(frames: DataFrame, engine: dict[str, Any], make_predict: Callable, keys: list[str], anchors: int, tensor: str | None = None, shape: list[int] | None = None, strategy: str = "arrow") -> DataFrame:
+def detect(frames: DataFrame, engine: dict[str, Any], make_predict: Callable, keys: list[str], anchors: int, tensor: str | None = None, shape: list[int] | None = None, strategy: str = "arrow", error: str | None = None, outer: bool = False) -> DataFrame:
     """Rows (keys, anchor, box, confidence, class_id, keypoints of a pose, kept_rank), one for each detection that is kept.
 
     ``frames`` has ``keys``, ``width`` and ``height`` and either raw BGR bytes in ``image``, which are letterboxed, or a
@@ -22,7 +22,15 @@ def detect(frames: DataFrame, engine: dict[str, Any], make_predict: Callable, ke
     roi_cropping. Steps: model, decoding, confidence filter, suppression in model pixels,
     rescaling. If the engine crops and the frame has px1, py1, px2, py2, width and height are those of the crop and boxes
     are moved by its origin; an engine that does not crop never moves boxes. Frames with unknown size keep model pixels.
+
+    With ``error`` frames on which the model fails do not end the job: each has one row, with the failure in that column
+    and nulls for the detection; the other frames of its batch go on. With ``outer`` frames without detections have
+    a row of nulls as well, so that every frame is told of. A frame that has an ``error`` already is not given to the model.
     """
+    if error in frames.columns:
+        bad = frames.where(F.col(error).isNotNull())
+        good = detect(frames.where(F.col(error).isNull()).drop(error), engine, make_predict, keys, anchors, tensor, shape, strategy, error, outer)
+        return good.unionByName(bad.select(*keys, error, F.lit(0).alias("kept_rank")), allowMissingColumns=True)
     width, height = engine["input_width"], engine["input_height"]
     crops = bool(engine.get("roi_cropping")) and "px1" in frames.columns
     cropped = F.col("px1").isNotNull() if crops else F.lit(False)
@@ -34,13 +42,17 @@ def detect(frames: DataFrame, engine: dict[str, Any], make_predict: Callable, ke
         tensor, shape = "_input", [3, height, width]
     size = [c for c in ("_ow", "_oh", "_dx", "_dy", "_tw", "_th")]
     frames = frames.withColumn("_tw", F.col("width").cast("double")).withColumn("_th", F.col("height").cast("double"))
-    out = models.infer(frames.select(*keys, *size, tensor), tensor, make_predict, engine.get("batch_size", 1), shape, "_output").drop(tensor)
+    out = models.infer(frames.select(*keys, *size, tensor), tensor, make_predict, engine.get("batch_size", 1), shape, "_output", error).drop(tensor)
     pose = str(engine.get("type", "detection")).lower() == "pose"
-    found = tensors.decode_frames(out, "_output", anchors, 17 if pose else 0, engine["conf_threshold"])
+    found = tensors.decode_frames(out, "_output", anchors, 17 if pose else 0, engine["conf_threshold"], outer or error is not None)
+    if error is not None and not outer:
+        found = found.where(F.col("anchor").isNotNull() | F.col(error).isNotNull())
     kept = nms.nms(found, keys, engine["nms_threshold"], strategy)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     move = lambda cx, cy, w, h: to_original((cx, cy, w, h), F.col("_ow"), F.col("_oh"), F.lit(float(width)), F.lit(float(height)), zero("_dx"), zero("_dy"), F.col("_tw"), F.col("_th"))
     box = move(*(F.col(c).cast("double") for c in BOX))
+    if error or outer:  # clamping would make numbers of nulls
+        box = tuple(F.when(F.col("anchor").isNotNull(), b) for b in box)
     cols = [*keys, "anchor", *(b.alias(n) for b, n in zip(box, BOX, strict=True)), "confidence", "class_id"]
     if pose:
         def point(k):
@@ -48,4 +60,4 @@ def detect(frames: DataFrame, engine: dict[str, Any], make_predict: Callable, ke
             return F.struct(x.alias("x"), y.alias("y"), k["confidence"].alias("confidence"))
 
         cols.append(F.transform("keypoints", point).alias("keypoints"))
-    return kept.select(*cols, "kept_rank")
+    return kept.select(*cols, *([error] if error else []), "kept_rank")

@@ -12,10 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def infer(df: DataFrame, tensor: str, make_predict: Callable, batch_size: int, shape: list[int], out: str = "output") -> DataFrame:
-    """``out`` holds the flat model output of each row; ``make_predict`` loads the model once a worker."""
-    udf = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[shape])
-    return df.withColumn(out, udf(F.col(tensor)))
+def infer(df: DataFrame, tensor: str, make_predict: Callable, batch_size: int, shape: list[int], out: str = "output", error: str | None = None) -> DataFrame:
+    """``out`` holds the flat model output of each row; ``make_predict`` loads the model once a worker.
+
+    With ``error`` a failing batch does not end the job: it is halved until the rows that fail are
+    found (see bisected()); these have a null output and the failure's text in that column, all others a null there.
+    """
+    if error is None:
+        udf = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[shape])
+        return df.withColumn(out, udf(F.col(tensor)))
+    kind = T.StructType([T.StructField("y", T.ArrayType(T.FloatType())), T.StructField("e", T.StringType())])
+    udf = predict_batch_udf(bisected(make_predict), return_type=kind, batch_size=batch_size, input_tensor_shapes=[shape])
+    fine = F.col("_r.e") == ""
+    return df.withColumn("_r", udf(F.col(tensor))).withColumn(out, F.when(fine, F.col("_r.y"))).withColumn(error, F.when(~fine, F.col("_r.e"))).drop("_r")
 
 
 def stub_model(channels: int, anchors: int) -> Callable:
@@ -32,28 +41,30 @@ def stub_model(channels: int, anchors: int) -> Callable:
     return make
 
 
-def tolerant(make_predict: Callable, size: int) -> Callable:
-    """A model whose failing batches give ``size`` NaNs a row instead of ending the job; see failed()."""
+def halved(predict: Callable, x: np.ndarray) -> tuple[list[np.ndarray], list[str]]:
+    """Outputs and failures ("" for none) of rows, by halving what fails: f bad rows of n take some 2 f log2(n / f) runs more."""
+    try:
+        y = np.asarray(predict(x))
+        if len(y) != len(x):
+            raise ValueError(f"{len(y)} outputs for {len(x)} inputs")
+        return list(y.reshape(len(x), -1).astype(np.float32)), [""] * len(x)
+    except Exception as e:  # any failure of a model is a failed batch
+        if len(x) == 1:
+            return [np.zeros(0, np.float32)], [f"{type(e).__name__}: {e}"]
+        (y0, e0), (y1, e1) = halved(predict, x[: len(x) // 2]), halved(predict, x[len(x) // 2 :])
+        return y0 + y1, e0 + e1
 
-    def make() -> Callable:
-        inner = make_predict()
 
-        def predict(x: np.ndarray) -> np.ndarray:
-            try:
-                return inner(x)
-            except Exception:  # any failure of a model is a failed batch
-                return np.full((len(x), size), np.nan, np.float32)
+def bisected(make_predict: Callable) -> Callable:
+    """A model whose failing batches lose their bad rows only."""
 
-        return predict
+    def make() -> Callable:
+        inner = make_predict()
+        return lambda x: [{"y": y, "e": e} for y, e in zip(*halved(inner, x), strict=True)]
 
     return make
 
 
-def failed(output: Column) -> Column:
-    """Whether a row was in a failed batch."""
-    return F.isnan(F.get(output, F.lit(0)))
-
-
 def onnx_model(path: str) -> Callable:
     """A model file run by onnxruntime, with its first input and output."""
 
@@ -99,6 +110,16 @@ def letterbox_pixels(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return (out / 255).transpose(2, 0, 1)
 
 
+def crop(image: Column, w: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The pixels of a region of raw BGR bytes; the whole image where the region is null."""
+
+    @F.pandas_udf("binary")
+    def run(b: pd.Series, ws: pd.Series, *box: pd.Series) -> pd.Series:
+        return pd.Series([x if pd.isna(r[0]) else np.frombuffer(x, np.uint8).reshape(-1, int(i), 3)[int(r[1]) : int(r[3]), int(r[0]) : int(r[2])].tobytes() for x, i, *r in zip(b, ws, *box, strict=True)])
+
+    return run(image, w, x1, y1, x2, y2)
+
+
 def letterbox(image: Column, w: Column, h: Column, width: int, height: int) -> Column:
     """The model input of raw BGR bytes, as array<float>."""
     @F.pandas_udf("array<float>")

@@ -36,13 +36,16 @@ def decode(t: Column, anchors: int, keypoints: int = 0, normalise: bool = True)
     return F.transform(F.sequence(F.lit(0), F.lit(anchors - 1)), one)
 
 
-def decode_frames(df: DataFrame, tensor: str, anchors: int, keypoints: int = 0, threshold: float | None = None) -> DataFrame:
-    """One row for each anchor; the threshold is applied before rows are made."""
-    found = decode(F.col(tensor), anchors, keypoints)
+def decode_frames(df: DataFrame, tensor: str, anchors: int, keypoints: int = 0, threshold: float | None = None, outer: bool = False) -> DataFrame:
+    """One row for each anchor; the threshold is applied before rows are made, and a confidence that is no number is below it.
+
+    A frame without output (null) has no anchors. With ``outer`` frames without any row get one of nulls.
+    """
+    found = F.when(F.col(tensor).isNotNull(), decode(F.col(tensor), anchors, keypoints))
     if threshold is not None:
-        found = F.filter(found, lambda d: d["confidence"] >= F.lit(threshold).cast("float"))
+        found = F.filter(found, lambda d: (d["confidence"] >= F.lit(threshold).cast("float")) & ~F.isnan(d["confidence"]))
     rest = [c for c in df.columns if c != tensor]
-    return df.select(*rest, F.explode(found).alias("d")).select(*rest, "d.*")
+    return df.select(*rest, (F.explode_outer if outer else F.explode)(found).alias("d")).select(*rest, "d.*")
 
 
 def profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -662,9 +662,29 @@ def tolerant_batches(spark, d):
         return predict
 
     t = views.tensors(spark, d).withColumn("tensor", F.col("tensor").cast("array<float>"))
-    out = models.infer(t, "tensor", models.tolerant(make, 64), 1, [64])
-    bad = models.failed(F.col("output"))
-    return out.select("vec_id", bad.alias("failed"), F.when(~bad, F.round(F.get("output", F.lit(1)).cast("double"), 5)).alias("v"))
+    out = models.infer(t, "tensor", make, 16, [64], error="error")
+    return out.select("vec_id", F.col("error").isNotNull().alias("failed"), F.round(F.get("output", F.lit(1)).cast("double"), 5).alias("v"))
+
+
+@query(sql("SELECT t.vec_id, CASE WHEN tensor[64] > 0.1e0 THEN 'ValueError: no such input' END AS error, anchor, cx, cy, w, h FROM tensors t LEFT JOIN moved m ON t.vec_id = m.vec_id AND NOT tensor[64] > 0.1e0", "tensors", m=_MODEL, decoded=_DECODED, chosen="SELECT * FROM decoded WHERE confidence >= 0.1e0", folded=nms_sql("chosen", "0.3e0"), kept=KEPT, moved=_MOVED))
+def detect_failing(spark, d):
+    """The flow above with a model that fails on some frames: only these are lost, and every frame is told of."""
+    inner = models.stub_model(5, 8)
+
+    def make():
+        predict = inner()
+
+        def checked(x):
+            if (x[:, 63] > 4).any():
+                raise ValueError("no such input")
+            return predict(x)
+
+        return checked
+
+    t = views.tensors(spark, d).select("vec_id", F.transform("tensor", lambda v: v * 40).cast("array<float>").alias("tensor"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))
+    engine = {"input_width": 640, "input_height": 640, "conf_threshold": 0.1, "nms_threshold": 0.3, "batch_size": 16}
+    found = detect.detect(t, engine, make, ["vec_id"], 8, "tensor", [64], "native", "error", True)
+    return found.select("vec_id", "error", "anchor", "cx", "cy", "w", "h")
 
 
 from framelake.plans import formats  # noqa: E402, F401  (registers the queries on files)

@@ -110,18 +110,63 @@ def test_inference_seam(spark):
     assert got == {i: [2.0 * i] * 4 for i in range(10)}
 
 
-def test_failed_batches_are_counted(spark):
-    def broken():
+def failing(limit):
+    """Fails on rows whose first number is above the limit."""
+
+    def make():
         def predict(x):
-            if x.max() > 5:
+            if x.reshape(len(x), -1)[:, 0].max() > limit:
                 raise RuntimeError("no")
-            return x[:, :2]
+            return x.reshape(len(x), -1)
 
         return predict
 
-    df = spark.createDataFrame([(i, [float(i)] * 8) for i in range(10)], "id int, tensor array<float>").coalesce(1)
-    got = models.infer(df, "tensor", models.tolerant(broken, 2), 2, [8]).select("id", models.failed(F.col("output")).alias("failed")).collect()
-    assert {r.id for r in got if r.failed} == {6, 7, 8, 9}
+    return make
+
+
+def test_failing_rows_are_found_by_halving(spark):
+    df = spark.createDataFrame([(i, [float(i)] * 8) for i in range(40)], "id int, tensor array<float>").coalesce(1)
+    got = {r.id: r for r in models.infer(df, "tensor", failing(38), 16, [8], error="why").collect()}
+    assert got[39].why == "RuntimeError: no" and got[39].output is None
+    assert all(got[i].why is None and got[i].output == [float(i)] * 8 for i in range(39))
+
+
+@pytest.mark.parametrize("bad", [[], [3], [0, 15], list(range(16))])
+def test_halving_takes_few_runs(bad):
+    runs = []
+
+    def predict(x):
+        runs.append(len(x))
+        if set(x[:, 0]) & set(bad):
+            raise ValueError("no")
+        return x
+
+    out, why = models.halved(predict, np.arange(16.0)[:, None])
+    assert [i for i, w in enumerate(why) if w] == bad and all(len(o) == (i not in bad) for i, o in enumerate(out))
+    assert len(runs) <= 1 + 2 * len(bad) * 4
+    assert models.halved(lambda x: x[:1], np.zeros((4, 1)))[1][0] == ""  # a single output is right for a single input
+    assert models.halved(lambda x: x[:0], np.zeros((2, 1)))[1] == ["ValueError: 0 outputs for 1 inputs"] * 2
+
+
+def test_failed_frames_are_no_detections(spark):
+    from framelake.operators.detect import detect
+
+    # one anchor of 5 channels; sixteen frames in a batch, one of them bad, one with a confidence that is no number
+    rows = [(i, [10.0 * i, 5.0, 2.0, 2.0, float("nan") if i == 7 else 0.1 if i == 9 else 0.9], 64, 64) for i in range(16)]
+    df = spark.createDataFrame(rows, "frame int, tensor array<float>, width int, height int").coalesce(1)
+    engine = {"input_width": 64, "input_height": 64, "conf_threshold": 0.5, "nms_threshold": 0.5, "batch_size": 16}
+    for strategy in ("arrow", "native"):
+        run = lambda model, **kw: {r.frame: r for r in detect(df, engine, model, ["frame"], 1, "tensor", [5], strategy, **kw).collect()}  # noqa: B023, E731
+        got = run(failing(145), error="error")
+        assert got.keys() == {*range(16)} - {7, 9}
+        assert [(f, r.error) for f, r in got.items() if r.error or r.anchor is None] == [(15, "RuntimeError: no")]
+        got = run(failing(145), error="error", outer=True)
+        assert got.keys() == {*range(16)} and got[7].anchor is None and got[7].error is None and got[15].confidence is None
+        got = run(failing(-1), error="error")
+        assert all(r.anchor is None and r.error for r in got.values()) and len(got) == 16
+        assert run(failing(1e9)).keys() == {*range(16)} - {7, 9}
+        with pytest.raises(Exception, match="RuntimeError"):
+            run(failing(145))
 
 
 def test_tools(spark, tmp_path):
