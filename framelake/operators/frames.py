@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.functions.geometry import draw_box, drawn_points, drawn_segments, roi_pixels, valid_roi
 from framelake.functions.scalars import frame_clock
@@ -69,28 +70,51 @@ def with_detections(frames: DataFrame, detections: DataFrame, frame_key: str = "
     return frames.join(detections, on if video is None else on & (frames[video] == detections[video]), "left")
 
 
-def scan_clips(clips: DataFrame, decoder: Decoder, fps: float = 30.0) -> DataFrame:
-    """Decodes clips (one row each) with a pluggable decoder; seeks to the window and stops after it."""
+def first_position(moment: float, start: float, fps: float) -> int | None:
+    """The position that is frame number 1 of a clip: where reading starts, or the first frame there whose clock has reached the window's start."""
+    offset = start - moment
+    if offset == float("inf"):
+        return None
+    pos = int(offset * fps) if offset > 0 else 0
+    while moment + (pos + 1) / fps < start:
+        pos += 1
+    return pos
+
+
+def scan_clips(clips: DataFrame, decoder: Decoder, fps: float = 30.0, max_frames: int = 0, error: str | None = None) -> DataFrame:
+    """Decodes clips (one row each) with a pluggable decoder; seeks to the window and stops after it, or after ``max_frames`` frames of a clip (0: no cap).
+
+    With ``error`` a clip that cannot be decoded does not end the job: a row with the failure in
+    that column follows the frames that were read, with nulls in the others but for video_id.
+    """
+    names = [*FRAMES.names, *([error] if error else [])]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for clip_rows in parts:
             for c in clip_rows.itertuples():
-                offset = c.start_ts - c.moment_time
-                first = int(offset * fps) if 0 < offset < float("inf") else 0
-                out, number = [], 0
-                for pos, width, height, image in decoder(c.path, first):
-                    ts = c.moment_time + (pos + 1) / fps
-                    if ts > c.end_ts:
-                        break
-                    if pos >= first and ts >= c.start_ts:
-                        number += 1
-                        out.append((c.video_id, pos, number, ts, width, height, image))
-                    if len(out) >= 64:
-                        yield pd.DataFrame(out, columns=FRAMES.names)
-                        out = []
-                yield pd.DataFrame(out, columns=FRAMES.names)
-
-    return clips.select("video_id", "path", "moment_time", "start_ts", "end_ts").mapInPandas(run, FRAMES)
+                first, out, number = first_position(c.moment_time, c.start_ts, fps), [], 0
+                more = [None] if error else []
+                try:
+                    for pos, width, height, image in decoder(c.path, first) if first is not None else ():
+                        ts = c.moment_time + (pos + 1) / fps
+                        if ts > c.end_ts:
+                            break
+                        if pos >= first and ts >= c.start_ts:
+                            number += 1
+                            out.append((c.video_id, pos, number, ts, width, height, image, *more))
+                        if number == max_frames > 0:
+                            break
+                        if len(out) >= 64:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
+                except Exception as e:
+                    if not error:
+                        raise
+                    out.append((c.video_id, *[None] * (len(FRAMES.names) - 1), f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(out, columns=names).astype({n: "Int64" for n in ("frame_pos", "frame_number", "width", "height")})
+
+    schema = T.StructType([*FRAMES.fields, *([T.StructField(error, T.StringType())] if error else [])])
+    return clips.select("video_id", "path", "moment_time", "start_ts", "end_ts").mapInPandas(run, schema)
 
 
 def scan_images(spark: SparkSession, path: str, decoder: Callable[[bytes], tuple[int, int, bytes]], pattern: str = "*") -> DataFrame:

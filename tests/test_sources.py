@@ -307,3 +307,104 @@ def test_onnx_model(spark, tmp_path):
     assert graph["inputs"] == [("x", ["n", 4], "tensor(float)")] and graph["outputs"][0][0] == "y"
     df = spark.createDataFrame([(i, [float(i)] * 4) for i in range(10)], "i int, t array<float>")
     assert {r.i: r.output for r in models.infer(df, "t", models.onnx_model(path), 4, [4]).collect()} == {i: [2.0 * i] * 4 for i in range(10)}
+
+
+# Frames of clips
+
+
+
+
+def counted_clip(path, first):
+    """A clip named <file to count in>#<frames>."""
+    log, n = path.split("#")
+    for i in range(first, int(n)):
+        with open(log, "a") as f:
+            f.write(f"{i}\n")
+        yield i, 2, 1, bytes([i % 256] * 6)
+
+
+counted_clip.info = lambda path: (int(path.split("#")[1]), 0.0)
+CLIP = "video_id int, path string, moment_time double, start_ts double, end_ts double"
+
+
+def touched(path):
+    n = len(path.read_text().splitlines()) if path.exists() else 0
+    path.unlink(missing_ok=True)
+    return n
+
+
+@pytest.mark.parametrize("split", [0, 10])
+def test_filters_on_frames_become_seeks(spark, tmp_path, capsys, split):
+    from framelake.operators.frames import scan_clips
+    from framelake.sources import clips
+
+    log = tmp_path / "log"
+    inf = float("inf")
+    rows = [(0, f"{log}#1000", 0.0, -inf, inf), (1, f"{log}#1000", 100.0, 101.0, 110.0), (2, f"{log}#50", 5.0, 1.0, 7.05), (3, f"{log}#9", 0.0, inf, inf)]
+    listed = spark.createDataFrame(rows, CLIP)
+    scanned = scan_clips(listed, counted_clip, 10.0).toPandas()
+    touched(log)
+    read = lambda where=None: clips.read_frames(spark, listed, "tests.test_sources:counted_clip", 10.0, split, where=where)
+    cases = [
+        ("ts >= 20 and ts < 21", 10 + 0 + 0, lambda d: d[(d.ts >= 20) & (d.ts < 21)]),
+        ("frame_pos between 30 and 32", 3 * 3, lambda d: d[d.frame_pos.between(30, 32)]),
+        ("video_id = 1", 91, lambda d: d[d.video_id == 1]),
+        ("video_id = 1 and frame_number in (3, 5)", 3, lambda d: d[(d.video_id == 1) & d.frame_number.isin([3, 5])]),
+        ("frame_number <= 2", 6, lambda d: d[d.frame_number <= 2]),
+        ("video_id > 5", 0, lambda d: d[d.video_id > 5]),
+        ("frame_pos = 7 and ts > 0.8", 1, lambda d: d[(d.frame_pos == 7) & (d.ts > 0.8)]),
+        ("frame_pos = 3 or ts = 4", None, lambda d: d[(d.frame_pos == 3) | (d.ts == 4)]),
+        ("width = 2 and frame_pos < 4 and frame_pos > 1.5", None, lambda d: d[(d.frame_pos < 4) & (d.frame_pos > 1.5)]),
+    ]
+    for where, most, want in cases:
+        got = sorted((r.video_id, r.frame_pos, r.frame_number, r.ts, bytes(r.image)) for r in read(where).collect())
+        n = touched(log)
+        assert got == sorted((int(r.video_id), int(r.frame_pos), int(r.frame_number), r.ts, r.image) for r in want(scanned).itertuples()), where
+        assert most is None or n <= most + 6, (where, n)  # a frame more at each end, for rounding of the clock
+    read("ts >= 20 and ts < 21").explain("formatted")
+    plan = capsys.readouterr().out.replace(" ", "")
+    assert "PushedFilters:[" in plan and "GreaterThanOrEqual(ts,20.0),LessThan(ts,21.0)" in plan and ">=20" not in plan
+    if split:
+        assert read("video_id = 0").rdd.getNumPartitions() == 100
+    # What is pushed to one DataFrame must not reach queries on it or on others.
+    df = read("frame_pos < 5")
+    assert df.where("frame_pos = 1").count() == 2 + 0 and df.count() == 5 + 5 and df.union(read("frame_pos = 2")).count() == 12
+    assert df.where("frame_pos = 3 or ts = 0.2").count() == 3 and read().count() == len(scanned)
+
+
+def test_more_clips_than_are_listed(spark, tmp_path, monkeypatch):
+    from framelake.sources import clips
+
+    monkeypatch.setattr(clips, "LISTED", 1)
+    listed = spark.createDataFrame([(i, f"{tmp_path}/log#20", 0.0, 0.0, 1.0) for i in range(3)], CLIP)
+    assert clips.read_frames(spark, listed, "tests.test_sources:counted_clip", 10.0, where="frame_pos >= 8").count() == 6
+
+
+def test_numpy_clips(spark, tmp_path):
+    from framelake.sources import clips
+
+    rows = [(v, p, 2, 1, bytes([v, p, 0, 1, 2, 3])) for v in (1, 2) for p in (2, 0, 1)]
+    df = spark.createDataFrame(rows, "video_id int, frame_pos long, width int, height int, image binary").repartition(3)
+    clips.write_npy_clips(df, str(tmp_path))
+    clips.write_npy_clips(df, str(tmp_path))
+    assert np.load(tmp_path / "clip_2.npy").tolist() == [[[[2, p, 0], [1, 2, 3]]] for p in range(3)]
+    listed = df.select("video_id").distinct().select("video_id", clips.clip_path(str(tmp_path), F.col("video_id")).alias("path"), *(F.lit(x).alias(n) for n, x in (("moment_time", 0.0), ("start_ts", 0.0), ("end_ts", 9.0))))
+    got = clips.read_frames(spark, listed, "framelake.sources.clips:npy_clip", 1.0).where("frame_pos = 1 and video_id = 2").collect()
+    assert [(r.frame_number, r.ts, r.width, r.height, bytes(r.image)) for r in got] == [(2, 2.0, 2, 1, bytes([2, 1, 0, 1, 2, 3]))]
+    assert clips.read_frames(spark, listed, "framelake.sources.clips:npy_clip", 1.0, images=False).where("image is null").count() == 6
+
+
+def test_clips_that_cannot_be_decoded(spark, tmp_path):
+    from framelake.operators.frames import scan_clips
+
+    def decoder(path, first):
+        for i in range(first, 5):
+            if path == "bad" and i == 3:
+                raise OSError("cut")
+            yield i, 1, 1, b"abc"
+
+    listed = spark.createDataFrame([(0, "good", 0.0, 0.0, 9.0), (1, "bad", 0.0, 0.0, 9.0)], CLIP)
+    got = scan_clips(listed, decoder, 1.0, max_frames=4, error="error").collect()
+    assert sorted((r.video_id, r.frame_number or 0, r.error) for r in got) == [(0, 1, None), (0, 2, None), (0, 3, None), (0, 4, None), (1, 0, "OSError: cut"), (1, 1, None), (1, 2, None), (1, 3, None)]
+    with pytest.raises(Exception, match="cut"):
+        scan_clips(listed, decoder, 1.0).collect()
