@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelake.functions import scalars as S
-from framelake.operators import batching, frames
+from framelake.operators import application, batching, frames
 from framelake.plans import tools, views
+from framelake.plans.catalog import nms_sql
 from framelake.plans.registry import query, rounded
 from framelake.plans.views import sql
-from framelake.sources import config, detbin, manifest, tensors
-from framelake.sources.folders import shared_folder
+from framelake.sources import clips, config, detbin, manifest, tensors
+from framelake.sources.folders import local_folder, shared_folder
 
 # Clip lists
 
@@ -95,6 +96,60 @@ def frame_scan(spark, d):
     return frames.scan_clips(clips, decoder, 2.0).select("video_id", "frame_pos", "frame_number", "ts")
 
 
+EVENT_CLIPS = "SELECT video_id, pos, event_id, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS number, 50e0 + (pos + 1) / 4e0 AS ts FROM frames"
+
+
+@query(sql("SELECT CAST(video_id AS INTEGER) AS video_id, pos AS frame_pos, CAST(number - CASE WHEN video_id % 3 = 0 THEN 8 ELSE 0 END AS BIGINT) AS frame_number, ts, event_id % 16777216 AS pixels FROM c WHERE ts BETWEEN 51.5e0 AND 55e0 AND ts >= CASE WHEN video_id % 3 = 0 THEN 52e0 ELSE 50e0 END AND pos >= CASE WHEN video_id % 3 = 0 THEN 8 ELSE 0 END AND video_id % 5 <> 1 AND video_id <= 900 AND pos <= 17", "frames", c=EVENT_CLIPS))
+def frames_pushdown(spark, d):
+    """Events of a user as a clip of one pixel, in numpy files; filters reach the reader, which seeks and stops."""
+    folder = local_folder(shared_folder(spark))
+    f = views.frames(spark, d).select(F.col("video_id").cast("int").alias("video_id"), F.col("pos").alias("frame_pos"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.unhex(F.lpad(F.hex(F.col("event_id") % 16777216), 6, "0")).alias("image"))
+    clips.write_npy_clips(f, folder)
+    v = F.col("video_id")
+    listed = f.select("video_id").distinct().select("video_id", clips.clip_path(folder, v).alias("path"), F.lit(50.0).alias("moment_time"), F.when(v % 3 == 0, 52.0).otherwise(50.0).alias("start_ts"), F.lit(1000.0).alias("end_ts"))
+    found = clips.read_frames(spark, listed, "framelake.sources.clips:npy_clip", 4.0, split=64, where="ts >= 51.5 and ts <= 55 and video_id <= 900 and frame_pos <= 17 and video_id % 5 <> 1")
+    return found.select("video_id", "frame_pos", "frame_number", "ts", F.conv(F.hex("image"), 16, 10).cast("long").alias("pixels"))
+
+
+def _failing_identity():
+    """A model that gives back its input, but for inputs with the number 7 in the fourth place."""
+
+    def predict(x):
+        if (x[:, 3] % 50 == 7).any():
+            raise ValueError("no such input")
+        return x
+
+    return predict
+
+
+def _numbered(spark, d):
+    f, n = views.frames(spark, d), F.col("event_id")
+    values = [n % 600 + 20, n % 600 + 30, n % 1080, n % 1080, F.lit(100), F.lit(100), F.lit(100), F.lit(100), n % 64 / 64, n * 7 % 64 / 64]
+    return f.select(F.col("video_id").cast("int").alias("video_id"), (F.col("pos") + 1).alias("frame_number"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.array(*(v.cast("float") for v in values)).alias("tensor"))
+
+
+TWO_ANCHORS = "SELECT video_id, pos + 1 AS frame, (event_id % 1080) % 50 = 7 AS bad, k AS anchor, CAST(event_id % 600 + 20 + 10 * k AS DOUBLE) AS cx, CAST(event_id % 1080 AS DOUBLE) AS cy, 100e0 AS w, 100e0 AS h, CASE WHEN k = 0 THEN event_id % 64 ELSE event_id * 7 % 64 END / 64e0 AS confidence FROM frames, range(2) t(k)"
+BY_ENGINE = " UNION ALL ".join(f"SELECT '{e}' AS engine, * FROM ({nms_sql(f'(SELECT * FROM two WHERE NOT bad AND confidence >= {c})', n, 'video_id, frame')})" for e, c, n in (("det_a", "0.25e0", "0.55e0"), ("det_b", "0.5e0", "0.9e0")))
+F32 = "CASE WHEN i IS NOT NULL THEN CAST(CAST(least(greatest({}, 0e0), {}) AS FLOAT) AS DOUBLE) END"
+
+
+@query(sql(f"SELECT CAST(f.video_id AS INTEGER) AS video_id, f.engine, CAST(f.frame AS INTEGER) AS frame_number, CAST(i AS INTEGER) AS det_index, {F32.format('r.cx / s', '1920e0')} AS cx, {F32.format('(r.cy - 140) / s', '1080e0')} AS cy, {F32.format('r.w / s', '1920e0')} AS w, r.confidence AS confidence, CASE WHEN bad THEN 'ValueError: no such input' END AS error FROM every f LEFT JOIN k ON f.video_id = k.video_id AND f.frame = k.frame AND f.engine = k.engine", "frames", two=TWO_ANCHORS, folded=BY_ENGINE, k="SELECT video_id, frame, engine, unnest(kept) AS r, unnest(range(len(kept))) AS i, 640 / 1920e0 AS s FROM folded", every="SELECT DISTINCT video_id, frame, bad, engine FROM two, (VALUES ('det_a'), ('det_b')) e(engine)"))
+def resumed_run(spark, d):
+    """Users as clips and their events as frames, for two engines that fail on some of them: a run of two waves, then one that does what is left."""
+    output, frames_ = shared_folder(spark), _numbered(spark, d)
+    engines = [{"name": n, "path": n, "type": "detection", "batch_size": 16, "input_width": 640, "input_height": 640, "conf_threshold": c, "nms_threshold": t, "roi_cropping": False, "anchors": 2} for n, c, t in (("det_a", 0.25, 0.55), ("det_b", 0.5, 0.9))]
+    videos = frames_.select("video_id").distinct().select("video_id", F.format_string("user_%d", "video_id").alias("path"))
+    scan = lambda clips: frames_.join(clips.select("video_id"), "video_id", "left_semi")
+    per_wave = -(-videos.count() * 2 // 4)
+
+    def go(**kw):
+        return application.run(spark, config.Config(engines), scan, {e["name"]: lambda: _failing_identity() for e in engines}, output, "tensor", [10], per_wave, clips=videos, strategy="native", **kw)
+
+    go(max_waves=2)
+    go()
+    return application.results(spark, output).select("video_id", "engine", "frame_number", "det_index", *(F.col(c).cast("double").alias(c) for c in ("cx", "cy", "w", "confidence")), "error")
+
+
 # Tensor dumps
 
 DUMP = "SELECT CAST(i // 16 AS BIGINT) AS ordinal, CAST(i % 16 AS INTEGER) AS item, vec_id, tensor FROM (SELECT vec_id, tensor, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM tensors) WHERE (i // 16 + 1) * 16 <= n"

@@ -12,6 +12,8 @@ DETECTION_FILE = T.StructType(
     + [T.StructField(c, F32) for c in ("cx", "cy", "w", "h", "confidence")]
     + [T.StructField("class_id", I32), T.StructField("keypoints", T.ArrayType(KEYPOINT))]
 )
+#: Rows of a detection file as the application keeps them.
+RESULTS = T.StructType([T.StructField("video_id", I32), T.StructField("engine", T.StringType()), *DETECTION_FILE.fields, T.StructField("error", T.StringType())])
 ROI = T.StructType([T.StructField(c, F32) for c in ("x1", "y1", "x2", "y2")])
 CLIPS = T.StructType(
     [T.StructField("video_id", I32), T.StructField("path", T.StringType())]

@@ -34,11 +34,14 @@ class Config:
     debug: bool = False
     max_frames_per_video: int = 0
 
-    def problems(self) -> list[str]:
+    def has_clips(self) -> bool:
+        return bool(self.list_file or self.list_file_jsonl or self.paths)
+
+    def problems(self, given_clips: bool = False) -> list[str]:
         found = []
         if not self.engines:
             found.append("no engine")
-        if not (self.list_file or self.list_file_jsonl or self.paths):
+        if not (given_clips or self.has_clips()):
             found.append("no clip")
         for name in ("num_readers", "num_preprocessors"):
             if getattr(self, name) <= 0:
