@@ -23,6 +23,8 @@ def scratch(spark: SparkSession) -> str:
         if jdir.isDefined():
             root = jdir.get()
         else:
+            if not (spark.sparkContext.master + "[").startswith("local["):
+                raise ValueError("spark.checkpoint.dir must be a folder that all executors share")
             root = tempfile.mkdtemp(prefix="framelake-")
             spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/framelake-{uuid.uuid4().hex}"

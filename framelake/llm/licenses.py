@@ -1,15 +1,14 @@
 """Operator 2: licence scan by a positional index of rare template words.
 
-The licence words of a file make up postings (word: places in the file). Licence templates and
-their mandatory key phrases are looked up in them from their words of highest inverse document frequency on: a place of the
-rarest word gives a shift (place in file minus place in wording), and the postings of the next rarest words
-are intersected with it by relative position. A key phrase is verified where all its words stand
-at one shift, and gives the file the template's label. Frequencies are counted over all files;
+The licence words of a file make up postings (word: places in the file). A template is looked up in them from its words of
+highest inverse document frequency on: a place of such a word gives a shift (place in file minus place in wording), and the
+postings of the other words are intersected with these by relative position. A template is there where
+at least SHARE of its words stand at one shift, give or take SLACK words for what was put in or left out, and where one of its mandatory
+key phrases stands in the wording's place or at most NEAR words before or after it. Only both together give a label: a key phrase in
+prose does not, nor does a wording without its key phrase, which half counts for the score. Frequencies are counted over all files;
 they choose the order of words and rule nothing out.
 
-The share of a template that stands at one shift goes into the score: its rarest words
-vote for shifts first, the others only for shifts that have a vote by then, as no other shift
-can cover enough of it. Fixed phrases (``BASE``) are counted at every place.
+Key phrases and the fixed phrases (``BASE``), which are counted at every place, are intersected from postings in the same way.
 
 Words are compared by 64-bit hash, whole batches at a time.
 """
@@ -46,8 +45,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["free and unencumbered software released into the public domain"]),
     ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["boost software license version 1 0", "any person or organization obtaining a copy of the software"]),
 ]
-#: A covered share from which wording alone, without a key phrase, counts for the score.
-SHARE = 0.3
+#: The share of a wording that must be there, words by which its parts may be moved against each other, and words between it and its key phrase.
+SHARE, SLACK, NEAR = 0.5, 3, 50
 
 
 class Index:
@@ -84,22 +83,46 @@ class Index:
         near = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
         return np.where(self.hash[near] == h, near, -1)
 
-    def shares(self, post: Postings, doc: np.ndarray, first: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """For each template and file the largest share of the template at one shift; 0 for less than SHARE without a key phrase."""
-        n, gap = len(first) - 1, self.longest
+    def covered(self, post: Postings, doc: np.ndarray, first: np.ndarray, phrases: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each template and file: whether wording and key phrase are there, and the largest share of the wording at one place (0 below SHARE)."""
+        n, gap = len(first) - 1, self.longest + 2 * (NEAR + SLACK)
+        total = int(first[-1]) + (n + 1) * gap
         spots = post.at + (doc[post.at] + 1) * gap  # a gap between files keeps their shifts apart
-        edges = first[:-1] + np.arange(n) * gap + 1
-        out = np.zeros(found.shape)
+        codes = np.full(total, -1, np.int32)
+        codes[spots] = post.codes[post.at]
+        found, share = np.zeros((len(self.templates), n), bool), np.zeros((len(self.templates), n))
         for i, (_, t, _) in enumerate(self.templates):
-            votes = np.zeros(first[-1] + n * gap + 1, np.uint16)
+            # A place that covers enough has one of the first words at its shift or near it, so the others count only there.
+            votes = np.zeros(total, np.uint16)
             for place in self.first[i]:
                 votes[spots[post.cut(t[place])] - place] += 1
+            if not votes.any():
+                continue
+            near = _window(votes) > 0
             for place in self.rest[i]:
-                own = post.cut(t[place])
-                shift = spots[own] - place
-                votes[shift[(votes[shift] > 0) | found[i, doc[post.at[own]]]]] += 1
-            out[i] = np.maximum.reduceat(votes, edges) / len(t)
-        return np.where(found | (out >= SHARE), out, 0)
+                shift = spots[post.cut(t[place])] - place
+                votes[shift[near[shift]]] += 1
+            shift = np.flatnonzero(_window(votes) >= SHARE * len(t))
+            cover = np.zeros(len(shift), np.int64)
+            for j, word in enumerate(t):  # a word may have voted for two shifts of a window
+                cover += np.logical_or.reduce([codes[shift + j + d] == word for d in range(-SLACK, SLACK + 1)])
+            hit = cover >= SHARE * len(t)
+            shift, cover = shift[hit], cover[hit] / len(t)
+            # Start or end of the wording may be left out, but its middle is nearer to its own file than to others.
+            own = np.clip(np.searchsorted(first + np.arange(1, n + 2) * gap - gap // 2, shift + len(t) // 2, "right") - 1, 0, n - 1)
+            np.maximum.at(share[i], own, cover)
+            if len(phrases[i]) and len(shift):
+                at = phrases[i] + (doc[phrases[i]] + 1) * gap
+                k = np.minimum(np.searchsorted(at, shift - NEAR), len(at) - 1)
+                there = (at[k] >= shift - NEAR) & (at[k] <= shift + len(t) + NEAR)
+                found[i, own[there]] = True
+        return found, share
+
+
+def _window(votes: np.ndarray) -> np.ndarray:
+    """Sums over SLACK places before and after."""
+    total = np.concatenate(([0], np.cumsum(np.pad(votes, SLACK), dtype=np.int64)))
+    return total[2 * SLACK + 1 :] - total[: -2 * SLACK - 1]
 
 
 class Postings:
@@ -118,9 +141,11 @@ class Postings:
         """Where a whole phrase stands in one file: shifts of its rarest word, kept where the next rarest ones are at the same shift."""
         by = sorted(range(len(phrase)), key=lambda j: (-idf[phrase[j]], j))
         shift = self.at[self.cut(phrase[by[0]])] - by[0]
-        shift = shift[(shift >= 0) & (shift + len(phrase) <= len(self.codes))]
         for j in by[1:]:
-            shift = shift[self.codes[shift + j] == phrase[j]]
+            other = self.at[self.cut(phrase[j])] - j
+            if not len(other):
+                return other
+            shift = shift[other[np.minimum(np.searchsorted(other, shift), len(other) - 1)] == shift]
         return shift[doc[shift] == doc[shift + len(phrase) - 1]]
 
 
@@ -157,7 +182,7 @@ def _rows(ix: Index, part: pa.RecordBatch) -> pa.RecordBatch:
     doc = np.repeat(np.arange(part.num_rows), w.counts)
     n_base = np.zeros(part.num_rows, np.int64)
     low, high = np.full(part.num_rows, np.iinfo(np.int64).max), np.full(part.num_rows, -1)
-    base, found = (np.zeros((len(x), part.num_rows), bool) for x in (ix.base, ix.templates))
+    base = np.zeros((len(ix.base), part.num_rows), bool)
     for k, (phrase, _) in enumerate(ix.base):
         at = post.verified(phrase, ix.idf, doc)
         d = doc[at]
@@ -165,10 +190,8 @@ def _rows(ix: Index, part: pa.RecordBatch) -> pa.RecordBatch:
         np.minimum.at(low, d, at - w.first[d])
         np.maximum.at(high, d, at - w.first[d])
         base[k, d] = True
-    for k, (_, _, phrases) in enumerate(ix.templates):
-        for phrase in phrases:
-            found[k, doc[post.verified(phrase, ix.idf, doc)]] = True
-    share = ix.shares(post, doc, w.first, found)
+    keys = [np.unique(np.concatenate([post.verified(p, ix.idf, doc) for p in phrases])) for _, _, phrases in ix.templates]
+    found, share = ix.covered(post, doc, w.first, keys)
     score = np.maximum(np.where(found, 0.5, 0) + 0.5 * share, 0.5 * base.any(axis=0)).max(axis=0)
     labels = [label for _, label in ix.base] + [label for label, _, _ in ix.templates]
     names, every = _names(base, labels), _names(np.concatenate([base, found]), labels)
@@ -190,7 +213,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     ``n_base`` counts all places of the base phrases, ``first_word`` and ``last_word`` are their
     smallest and largest start (null without any), the label columns are sorted and
-    comma-joined. Null and empty texts have no words. Two passes, no shuffle of texts; nulls in doc_id and
+    comma-joined; ``labels`` has the base labels and those of all templates that are there with a key phrase. ``score`` is
+    0.5 to 1 for these, by the share of the wording, at most 0.5 for wording alone, and 0.5 for a base phrase. Null and empty texts have no words. Two passes, no shuffle of texts; nulls in doc_id and
     repeated rows pass through, other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

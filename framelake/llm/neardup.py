@@ -10,14 +10,15 @@ from the chance of a pair right at the threshold to be found (``recall``).
 To a bucket go 16-bit roundings of the normalised vectors. Their products are within a proven
 margin of the cosine: pairs above it are links, pairs below are none, and the few inside the margin are
 checked on the original vectors in double precision. A pair that meets in several tables is
-counted in the first of them. Equal vectors stand for one, with a weight. Buckets of more
+counted in the first of them: the buckets of the pair in earlier tables are worked out again from the rounded vectors. Equal vectors stand for one, with a weight. Buckets of more
 than ``BLOCK`` vectors are checked block against block, so no task gets an unbounded group.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,42 +58,64 @@ def margin(d: int) -> float:
     return 2.1 * math.sqrt(d) / (2 * GRID) + d * 2.0**-22 + 1e-6
 
 
+class Tables:
+    """The hash tables for rounded vectors of ``d`` components.
+
+    Projections are whole numbers and so are rounded vectors: products and sums are exact, in whatever order they are
+    taken, and a bucket can be worked out again anywhere. So a vector goes to a table without its buckets in the others.
+    """
+
+    def __init__(self, d: int, k: int, tables: int, width: float, seed: int) -> None:
+        self.d, self.k = d, k
+        scale = 2 ** min(16, 52 - 15 - 3 - max(1, d - 1).bit_length())
+        rng = np.random.Generator(np.random.PCG64([seed, d]))
+        self.planes = np.rint(rng.standard_normal((d, tables * k)) * scale)
+        self.shift = np.rint(rng.uniform(0, width, tables * k) * scale * GRID)
+        self.width = width * scale * GRID
+
+    def keys(self, code: np.ndarray, tables: int) -> np.ndarray:
+        """The buckets of rounded vectors (rows of ``code``) in the first ``tables`` tables, as 32-bit numbers."""
+        n = tables * self.k
+        step = np.floor((code.astype(np.float64) @ self.planes[:, :n] + self.shift[:n]) / self.width).astype(np.int64).view(np.uint64).reshape(len(code), tables, self.k)
+        h = np.full((len(code), tables), self.d, np.uint64) + np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for j in range(self.k):
+            h = _text.mix(h + step[:, :, j])
+        return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def known_tables(k: int, tables: int, width: float, seed: int) -> Callable[[int], Tables]:
+    return functools.cache(lambda d: Tables(d, k, tables, width, seed))
+
+
 def _keys(k: int, tables: int, width: float, seed: int):
     """(vec_id, weight, code, keys): the rounded vector, and its bucket in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        of = known_tables(k, tables, width, seed)
         for b in batches:
             if not b.num_rows:
                 continue
             flat, at = matrix(b.column("embedding"))
             keys, code = np.zeros((b.num_rows, tables), np.int32), [b""] * b.num_rows
             for rows, x in by_length(at, flat):
-                d = x.shape[1]
-                if d not in planes:
-                    rng = np.random.Generator(np.random.PCG64([seed, d]))
-                    planes[d] = rng.standard_normal((d, tables * k)), rng.uniform(0, width, tables * k)
-                a, shift = planes[d]
-                x = unit(x)
-                step = np.floor((x @ a + shift) / width).astype(np.int64).view(np.uint64).reshape(len(x), tables, k)
-                h = np.full((len(x), tables), d, np.uint64) + np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                for j in range(k):
-                    h = _text.mix(h + step[:, :, j])
-                keys[rows] = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                for i, r in zip(rows.tolist(), np.rint(x * GRID).astype(np.int16), strict=True):
+                rounded = np.rint(unit(x) * GRID).astype(np.int16)
+                keys[rows] = of(x.shape[1]).keys(rounded, tables)
+                for i, r in zip(rows.tolist(), rounded, strict=True):
                     code[i] = r.tobytes()
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("weight"), pa.array(code, pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))], ["vec_id", "weight", "code", "keys"])
 
     return run
 
 
-def link_block(x: np.ndarray, weight: np.ndarray, keys: np.ndarray, table: int, half: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def link_block(code: np.ndarray, weight: np.ndarray, of: Tables, table: int, half: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each rounded vector of a bucket: weight of its links that no earlier table has, and its class (as a row number);
     and the pairs inside the margin that no earlier table has.
 
     ``half`` tells the two blocks of a large bucket apart; only pairs across them are checked.
     """
+    x = code.astype(np.float32) / np.float32(GRID)
     n, edge = len(x), margin(x.shape[1])
+    keys, known = np.zeros((n, table), np.int32), np.zeros(n, bool)  # only of vectors that are in a pair
     links, label = np.zeros(n, np.int64), np.arange(n)
     unsure = [(label[:0], label[:0])]
     step = max(16, min(256, (1 << 20) // n))
@@ -107,7 +130,14 @@ def link_block(x: np.ndarray, weight: np.ndarray, keys: np.ndarray, table: int,
         i, j, value = i[keep], j[keep], value[keep]
         if not len(i):
             continue
-        new = ~(keys[i, :table] == keys[j, :table]).any(axis=1)
+        ask = np.unique(np.concatenate((i, j)))
+        ask = ask[~known[ask]]
+        if table and len(ask):
+            keys[ask], known[ask] = of.keys(code[ask], table), True
+        new = np.ones(len(i), bool)
+        for part in range(0, len(i), 1 << 16):
+            some = slice(part, part + (1 << 16))
+            new[some] = ~(keys[i[some]] == keys[j[some]]).any(axis=1)
         sure = value >= cosine + edge
         unsure.append((i[new & ~sure], j[new & ~sure]))
         i, j, new = i[sure], j[sure], new[sure]
@@ -126,21 +156,23 @@ def link_block(x: np.ndarray, weight: np.ndarray, keys: np.ndarray, table: int,
     return links, label, *(np.concatenate(c) for c in zip(*unsure, strict=True))
 
 
-def _links(cosine: float):
+#: Vectors of different lengths may have equal bucket numbers: the length belongs to the bucket.
+BUCKET = ["t", "key", "d", "a", "b"]
+
+
+def _links(cosine: float, k: int, tables: int, width: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["t", "key", "a", "b"]):
-            cuts = np.append(run_starts([t.column(c).to_numpy() for c in ("t", "key", "a", "b")]), t.num_rows)
-            vec, weight, table, own = (t.column(c).to_numpy() for c in ("vec_id", "weight", "t", "own"))
-            a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
+        of = known_tables(k, tables, width, seed)
+        for t in whole_groups(batches, BUCKET):
+            vec, weight, table, d, a, b, own = (t.column(c).to_numpy() for c in ("vec_id", "weight", "t", "d", "a", "b", "own"))
+            cuts = np.append(run_starts([t.column(c).to_numpy() for c in BUCKET]), t.num_rows)
             codes = binary_rows(t.column("code"), np.int16)
-            kflat = t.column("keys").combine_chunks().values.to_numpy().reshape(t.num_rows, -1)
             out = []
             for s, e in zip(cuts, cuts[1:], strict=False):
-                d = len(codes[s])
-                if e - s < 2 or any(len(c) != d for c in codes[s:e]):
+                if e - s < 2:
                     continue
-                x = np.concatenate(codes[s:e]).reshape(e - s, d).astype(np.float32) / np.float32(GRID)
-                n, label, i, j = link_block(x, weight[s:e], kflat[s:e], int(table[s]), own[s:e] if a[s] != b[s] else None, cosine)
+                code = np.concatenate(codes[s:e]).reshape(e - s, -1)
+                n, label, i, j = link_block(code, weight[s:e], of(int(d[s])), int(table[s]), own[s:e] if a[s] != b[s] else None, cosine)
                 ids = vec[s:e]
                 low = ids.copy()
                 np.minimum.at(low, label, ids)
@@ -192,14 +224,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     n = chosen.count()
     k, tables = sizes(n, cosine, recall)
     keyed = saved(chosen.mapInArrow(_keys(k, tables, WIDTH, seed), "vec_id bigint, weight bigint, code binary, keys array<int>"))
-    each = keyed.select(F.posexplode("keys").alias("t", "key"))
-    large = each.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    length = (F.octet_length("code") / 2).cast("int").alias("d")
+    each = keyed.select(length, F.posexplode("keys").alias("t", "key"))
+    large = each.groupBy("t", "key", "d").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("t", "key", "d", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     large = small(saved(large))
-    rows = keyed.select("vec_id", "weight", "code", "keys", F.posexplode("keys").alias("t", "key")).join(large, ["t", "key"], "left")
+    rows = keyed.select("vec_id", "weight", "code", length, F.posexplode("keys").alias("t", "key")).join(large, ["t", "key", "d"], "left")
     rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("t", "key", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), "own", "vec_id", "weight", "code", "keys")
-    n_parts = parts(keyed, F.octet_length("code") + 4 * tables + 40, tables)
-    found = saved(rows.repartition(n_parts, "t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b").mapInArrow(_links(cosine), "vec_id bigint, n bigint, low bigint, unsure boolean"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("t", "key", "d", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), "own", "vec_id", "weight", "code")
+    n_parts = parts(keyed, F.octet_length("code") + 44, tables)
+    found = saved(rows.repartition(n_parts, *BUCKET).sortWithinPartitions(*BUCKET).mapInArrow(_links(cosine, k, tables, WIDTH, seed), "vec_id bigint, n bigint, low bigint, unsure boolean"))
     links, pairs = found.where("not unsure").drop("unsure"), found.where("unsure").select("vec_id", "low")
     if pairs.limit(1).count():
         links = saved(links.unionByName(_exact(pairs, chosen, cosine)))

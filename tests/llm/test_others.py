@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,43 @@ def test_near_duplicates(spark, block, monkeypatch):
     assert g.n_links[5006] == 1 and g.component_id[5008] == 5006
 
 
+def test_lengths_that_meet_in_a_bucket(spark, monkeypatch):
+    """All bucket numbers forced to be equal: lengths are still kept apart, and no link is lost or counted twice."""
+    monkeypatch.setattr(neardup.Tables, "keys", lambda self, code, tables: np.zeros((len(code), tables), np.int32))
+    keyed = neardup._keys(4, 3, 4.0, 1)
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(5, 6)), 4, axis=0) + rng.normal(size=(20, 6)) * 0.05
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, [1.0, 2.0]), (101, [2.0, 4.1]), (102, [1.0])]
+    df = frame(spark, rows).select("vec_id", F.lit(1).cast("long").alias("weight"), "embedding")
+    batches = [b for b in keyed(df.toArrow().to_batches())]
+    out = []
+    for t in range(3):
+        for d, ids in ((6, range(20)), (2, (100, 101)), (1, (102,))):
+            for b in batches:
+                for i, code in zip(b.column("vec_id").to_pylist(), b.column("code").to_pylist()):
+                    if i in ids and len(code) == 2 * d:
+                        out.append((t, 0, d, 0, 0, 0, i, 1, code))
+    out.sort(key=lambda r: r[:4])
+    table = pa.table(dict(zip(("t", "key", "d", "a", "b", "own", "vec_id", "weight", "code"), map(list, zip(*out)))))
+    links = [r for b in neardup._links(0.9, 4, 3, 4.0, 1)(table.to_batches()) for r in b.to_pylist()]
+    near, _ = links_by_brute_force(list(range(20)), x)
+    n = {}
+    for r in links:
+        n[r["vec_id"]] = n.get(r["vec_id"], 0) + r["n"]
+    assert {i: n.get(i, 0) for i in range(20)} == dict(enumerate(near.sum(axis=1))) and n[100] == n[101] == 1 and 102 not in n
+
+
+def test_buckets_can_be_worked_out_again():
+    rng = np.random.default_rng(4)
+    code = rng.integers(-32767, 32768, (500, 64)).astype(np.int16)
+    of = neardup.Tables(64, 5, 12, 4.0, 3)
+    every = of.keys(code, 12)
+    for some in (slice(0, 1), slice(7, 300), slice(499, 500)):
+        for tables in (1, 5, 12):
+            assert (of.keys(code[some], tables) == every[some, :tables]).all()
+    assert (np.abs(of.planes).sum(axis=0) * 32767 + of.shift < 2**53).all()
+
+
 def test_recall_of_near_duplicates_as_registered(spark):
     """Pairs right above the threshold at the default recall; pairs below it are never links."""
     rng = np.random.default_rng(5)
