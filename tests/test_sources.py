@@ -8,13 +8,24 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.operators import models
-from framelake.sources import config, detbin, logs, manifest, tensors
+from framelake.sources import config, detbin, detcodec, logs, manifest, tensors
 from framelake.streaming import stats as streaming
 
 DET = (1.5, 2.5, 3.0, 4.0, 0.5, 0, [])
 POSE = (1.0, 2.0, 3.0, 4.0, 0.75, 0, [(float(i), i + 0.5, 0.25) for i in range(17)])
 
 
+def encode(model_type, frames):
+    """Bytes of a detection file, field by field; a detection is (cx, cy, w, h, confidence, class, [(x, y, confidence)])."""
+    out = [struct.pack("<i", model_type)]
+    for number, found in frames:
+        out.append(struct.pack("<2i", number, len(found)))
+        for *box, conf, cls, points in found:
+            out.append(struct.pack("<4ffii", *box, conf, cls, len(points)))
+            out += [struct.pack("<3f", *p) for p in points]
+    return b"".join(out)
+
+
 def test_plain_list(spark, tmp_path):
     (tmp_path / "list.txt").write_text("# head\n\n  a.mp4\t\n#b\nc #d.mp4\n")
     got = manifest.read_manifest(spark, str(tmp_path / "list.txt")).orderBy("video_id").collect()
@@ -52,7 +63,7 @@ FRAMES = [(1, [DET, DET]), (2, []), (3, [POSE]), (3, [DET])]
 
 def test_detection_files(spark, tmp_path):
     for name, kind in (("video_0000_a.bin", 0), ("video_0001_b.bin", 1)):
-        (tmp_path / name).write_bytes(detbin.encode(kind, FRAMES))
+        (tmp_path / name).write_bytes(encode(kind, FRAMES))
     (tmp_path / "video_0002_c.bin").write_bytes(struct.pack("<i", 0))
     detbin.register(spark)
     for df in (spark.read.format("detbin").option("mode", "FAILFAST").load(str(tmp_path)), detbin.read_detections(spark, str(tmp_path), "FAILFAST")):
@@ -64,7 +75,7 @@ def test_detection_files(spark, tmp_path):
 
 def test_detection_files_are_written_back(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "video_0000_a.bin").write_bytes(data := detbin.encode(1, FRAMES[:3]))
+    (tmp_path / "in" / "video_0000_a.bin").write_bytes(data := encode(1, FRAMES[:3]))
     df = detbin.read_detections(spark, str(tmp_path / "in"))
     for _ in range(2):  # a second run that overwrites gives the same file
         detbin.write_detections(df, str(tmp_path / "out"), "overwrite")
@@ -72,16 +83,16 @@ def test_detection_files_are_written_back(spark, tmp_path):
 
 
 def test_cut_detection_files():
-    data = detbin.encode(0, [(1, [DET]), (2, [POSE])])
+    data = encode(0, [(1, [DET]), (2, [POSE])])
     for n in range(len(data)):
-        list(detbin.parse(data[:n]))
+        list(detcodec.parse(data[:n]))
         if n not in (4, 4 + 8 + 28):
-            with pytest.raises(detbin.BadFile):
-                list(detbin.parse(data[:n], strict=True))
-    for bad in (detbin.encode(11, []), detbin.encode(0, [(-1, [])]), detbin.encode(0, [(1_000_001, [])])):
-        with pytest.raises(detbin.BadFile):
-            list(detbin.parse(bad, strict=True))
-    assert len(list(detbin.parse(data, max_frames=1))) == 1
+            with pytest.raises(detcodec.BadFile):
+                list(detcodec.parse(data[:n], strict=True))
+    for bad in (encode(11, []), encode(0, [(-1, [])]), encode(0, [(1_000_001, [])])):
+        with pytest.raises(detcodec.BadFile):
+            list(detcodec.parse(bad, strict=True))
+    assert len(list(detcodec.parse(data, max_frames=1))) == 1
 
 
 def test_tensor_files(spark, tmp_path):
@@ -189,11 +200,11 @@ def test_tools(spark, tmp_path):
     assert tools.compare(spark, str(tmp_path / "a"), str(tmp_path / "b")).first().n == 30
     profile, top = tools.raw_report(spark, str(tmp_path / "a"), 2, 5, 2)
     assert profile.count() == 2 and [r.anchor for r in top.collect()] == [0, 1]
-    (tmp_path / "video_0000_a.bin").write_bytes(detbin.encode(1, [(1, [DET, DET]), (2, []), (3, [POSE]), (3, [])]))
+    (tmp_path / "video_0000_a.bin").write_bytes(encode(1, [(1, [DET, DET]), (2, []), (3, [POSE]), (3, [])]))
     modes = {m: tools.read(spark, str(tmp_path / "video_0000_a.bin"), m).count() for m in ("all", "last", "last_nonempty")}
     assert modes == {"all": 5, "last": 4, "last_nonempty": 3}
     (tmp_path / "c").mkdir()
-    (tmp_path / "c" / "video_0000_a.bin").write_bytes(detbin.encode(1, FRAMES[:3]))
+    (tmp_path / "c" / "video_0000_a.bin").write_bytes(encode(1, FRAMES[:3]))
     rows = tools.inspect(spark, str(tmp_path / "c")).collect()
     assert len(rows) == 2 and {r.frames for r in rows} == {3} and rows[0].model == "POSE"
     assert tools.debug(spark, str(tmp_path / "c")).count() == 3
@@ -408,3 +419,126 @@ def test_clips_that_cannot_be_decoded(spark, tmp_path):
     assert sorted((r.video_id, r.frame_number or 0, r.error) for r in got) == [(0, 1, None), (0, 2, None), (0, 3, None), (0, 4, None), (1, 0, "OSError: cut"), (1, 1, None), (1, 2, None), (1, 3, None)]
     with pytest.raises(Exception, match="cut"):
         scan_clips(listed, decoder, 1.0).collect()
+
+
+# Detection files: index, commits
+
+
+def det_rows(spark, rows):
+    """Rows (path, frame, index or None, keypoints) with values that tell them apart."""
+    full = [(p, 1, f, i, *((float(f), i + 0.5, 2.0, 3.0, 0.25, 7, [(float(k), 1.0, 0.5) for k in range(n)]) if i is not None else [None] * 7)) for p, f, i, n in rows]
+    return spark.createDataFrame(full, detbin.DETECTION_FILE)
+
+
+def many_rows(files=("a.bin", "b.bin"), frames=300):
+    return [(p, f, None if f % 7 == 0 else i, i % 3 * (f % 2)) for p in files for f in range(1, frames) for i in range(1 if f % 7 == 0 else f % 5 + 1)]
+
+
+def flat(df):
+    return sorted((r.path.rsplit("/", 1)[-1], r.model_type, r.frame_number, -1 if r.det_index is None else r.det_index, r.cx, r.cy, r.confidence, r.class_id, None if r.keypoints is None else [tuple(k) for k in r.keypoints]) for r in df.collect())
+
+
+def test_written_files_field_by_field(spark, tmp_path):
+    df = det_rows(spark, many_rows())
+    detbin.write_detections(df.repartition(5), str(tmp_path))
+    for name in ("a.bin", "b.bin"):
+        frames = {}
+        for r in df.where(F.col("path") == name).collect():
+            frames.setdefault(r.frame_number, []).extend([] if r.det_index is None else [(r.det_index, (r.cx, r.cy, r.w, r.h, r.confidence, r.class_id, [tuple(k) for k in r.keypoints]))])
+        assert (tmp_path / name).read_bytes() == encode(1, [(f, [d for _, d in sorted(found)]) for f, found in sorted(frames.items())])
+    assert flat(detbin.read_detections(spark, str(tmp_path), "FAILFAST")) == flat(df)
+
+
+def test_index_splits_files_and_skips_frames(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(detcodec, "ROWS", 50)
+    (tmp_path / "plain.bin").write_bytes(encode(1, [(f, [DET] * (f % 3)) for f in range(400)]))
+    data = encode(1, [(f, [POSE] * (f % 3)) for f in range(400)])
+    (tmp_path / "half.bin").write_bytes(data[: len(data) // 2])
+    for f in (tmp_path / "plain.bin", tmp_path / "half.bin"):
+        detbin.Index.build(str(f)).write(str(f))
+    with open(tmp_path / "half.bin", "ab") as f:  # someone appends
+        f.write(data[len(data) // 2 :])
+    (tmp_path / "bare.bin").write_bytes(data)
+    want = flat(detbin.read_detections(spark, str(tmp_path)))
+    df = detbin.read_frames_of(spark, str(tmp_path), split=4000)
+    assert flat(df) == want and df.rdd.getNumPartitions() > 12
+    some = detbin.read_frames_of(spark, str(tmp_path), 100, 110, split=4000)
+    assert flat(some) == [r for r in want if 100 <= r[2] <= 110]
+    part = [detbin.ranges(str(tmp_path / f), 100, 110) for f in ("plain.bin", "half.bin", "bare.bin")]
+    read = [sum((r.end or (tmp_path / r.path).stat().st_size) - r.start for r in p) / (tmp_path / p[0].path).stat().st_size for p in part]
+    assert read[0] < 0.2 and 0.4 < read[1] < 0.8 and read[2] > 0.99
+    (tmp_path / "plain.bin").write_bytes(data[:9000])  # another file under the name: the index is not used
+    assert detbin.Index.read(str(tmp_path / "plain.bin")) is None
+    assert detbin.index_files(spark, str(tmp_path)) == 3 and detbin.index_files(spark, str(tmp_path)) == 1  # the rest of the cut file is no frame
+    assert flat(detbin.read_frames_of(spark, str(tmp_path))) == flat(detbin.read_detections(spark, str(tmp_path)))
+
+
+def test_writer_makes_and_extends_the_index(spark, tmp_path, monkeypatch):
+    detbin.write_detections(det_rows(spark, many_rows()), str(tmp_path))
+    detbin.write_detections(det_rows(spark, [("a.bin", 5000, 0, 2), ("c.bin", 1, None, 0)]), str(tmp_path))
+    for name in ("a.bin", "b.bin", "c.bin"):
+        index = detbin.Index.read(str(tmp_path / name))
+        assert index.size == (tmp_path / name).stat().st_size and index.blocks["start"][0] == 4
+    assert [(r.end - r.start) for r in detbin.ranges(str(tmp_path / "a.bin"), 5000)] == [4 * (2 + 7 + 6)]
+    assert flat(detbin.read_frames_of(spark, str(tmp_path), 4000)) == [("a.bin", 1, 5000, 0, 5000.0, 0.5, 0.25, 7, [(0.0, 1.0, 0.5), (1.0, 1.0, 0.5)])]
+
+
+@pytest.mark.parametrize("step", range(7))
+def test_commits_that_die_are_finished(spark, tmp_path, monkeypatch, step):
+    """A commit is killed at one of its steps; whoever comes next finishes it, and nothing is there twice."""
+    import os as real
+
+    first, second = many_rows(frames=40), [(p, f + 100, i, n) for p, f, i, n in many_rows(("b.bin", "c.bin"), 30)]
+    whole, out = str(tmp_path / "whole"), str(tmp_path / "out")
+    for rows in (first, second):
+        detbin.write_detections(det_rows(spark, rows), whole)
+    detbin.write_detections(det_rows(spark, first), out)
+
+    parts, writer = [], detbin.DetBinWriter({"path": out, "job": "two"}, False)
+    for names in (("b.bin",), ("c.bin",)):
+        t = det_rows(spark, [r for r in second if r[0] in names]).orderBy("path", "frame_number", "det_index").toArrow()
+        parts.append(writer.write(iter(t.to_batches(max_chunksize=37))))
+    calls = []
+
+    class Dying:
+        """os, but for the step-th change, which never comes."""
+
+        def __getattr__(self, name):
+            def counted(*a, **kw):
+                calls.append(name)
+                if len(calls) > step:
+                    raise KeyboardInterrupt
+                return getattr(real, name)(*a, **kw)
+
+            return counted if name in ("replace", "remove", "fsync") else getattr(real, name)
+
+    monkeypatch.setattr(detbin, "os", Dying())
+    try:
+        writer.commit(parts)
+    except KeyboardInterrupt:
+        pass
+    monkeypatch.setattr(detbin, "os", real)
+    note = real.path.exists(real.path.join(out, detbin.NOTE))
+    got = flat(detbin.read_frames_of(spark, out))  # reading finishes a job whose note is written
+    assert got == flat(detbin.read_detections(spark, whole if note or step > 4 else out)) and not real.path.exists(real.path.join(out, detbin.NOTE))
+    if got != flat(detbin.read_detections(spark, whole)):
+        assert got == flat(det_rows(spark, first))
+    detbin.write_detections(det_rows(spark, second), out, job="two")  # repeated: done once
+    assert flat(detbin.read_detections(spark, out)) == flat(detbin.read_detections(spark, whole))
+    for name in ("a.bin", "b.bin", "c.bin"):
+        assert (tmp_path / "out" / name).read_bytes() == (tmp_path / "whole" / name).read_bytes()
+        assert detbin.Index.read(real.path.join(out, name)).size == (tmp_path / "out" / name).stat().st_size
+
+
+def test_pieces_of_a_file_are_put_together_in_order(spark, tmp_path, monkeypatch):
+    rows = many_rows(("a.bin",), 60)
+    detbin.write_detections(det_rows(spark, rows), str(tmp_path / "one"))
+    monkeypatch.setattr(detbin, "PIECE", 10)
+    writer, parts = detbin.DetBinWriter({"path": str(tmp_path / "two")}, True), []
+    for odd in (1, 0):  # a task has pieces 1, 3 and 5, another 0, 2 and 4
+        t = det_rows(spark, [r for r in rows if r[1] // 10 % 2 == odd]).orderBy("frame_number", "det_index").toArrow()
+        parts.append(writer.write(iter(t.to_batches())))
+    writer.commit(parts)
+    assert (tmp_path / "two" / "a.bin").read_bytes() == (tmp_path / "one" / "a.bin").read_bytes()
+    blocks = detbin.Index.read(str(tmp_path / "two" / "a.bin")).blocks
+    assert (np.diff(blocks["start"]) > 0).all() and blocks["low"].tolist() == sorted(blocks["low"]) and {10, 20, 30, 40, 50} <= set(blocks["low"])
