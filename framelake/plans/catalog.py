@@ -72,6 +72,14 @@ def iou_pairs(spark, d):
     return nms.overlapping_pairs(views.anchors(spark, d).drop("flag"), ["frame"], 0.3)
 
 
+@query(sql(f"SELECT a.crowd, a.anchor AS a, b.anchor AS b, {iou_sql('a', 'b')} AS iou FROM crowd a JOIN crowd b ON a.crowd = b.crowd AND a.anchor < b.anchor WHERE {iou_sql('a', 'b')} > 0.3e0", "anchors", crowd="SELECT frame % 40 AS crowd, frame * 8 + anchor AS anchor, confidence * 1000 * 40 + cx AS cx, cy, w, h FROM anchors"))
+def iou_pairs_crowd(spark, d):
+    """Groups of very many boxes, spread over a wide picture: the grid compares neighbours only."""
+    a = views.anchors(spark, d)
+    crowd = a.select((F.col("frame") % 40).alias("crowd"), (F.col("frame") * 8 + F.col("anchor")).alias("anchor"), (F.col("confidence") * 1000 * 40 + F.col("cx")).alias("cx"), "cy", "w", "h")
+    return nms.overlapping_pairs(crowd, ["crowd"], 0.3)
+
+
 _EPS = iou_sql("a", "b").split(" ELSE ")[1].removesuffix(" END)")
 
 
@@ -409,13 +417,13 @@ def _unmatched_sql(flag: str, side: str) -> str:
 @query(_unmatched_sql("A", "left"))
 def unmatched_left(spark, d):
     left, right = _sides(spark, d)
-    return matching.unmatched(left, matching.greedy_match(left, right, ["frame"], 0.3), ["frame"], "left").select("frame", "anchor", "confidence")
+    return matching.unmatched_boxes(left, right, ["frame"], "left", 0.3, rest=["confidence"]).select("frame", "anchor", "confidence")
 
 
 @query(_unmatched_sql("R", "right"))
 def unmatched_right(spark, d):
     left, right = _sides(spark, d)
-    return matching.unmatched(right, matching.greedy_match(left, right, ["frame"], 0.3), ["frame"], "right").select("frame", "anchor", "confidence")
+    return matching.unmatched_boxes(left, right, ["frame"], "right", 0.3, rest=["confidence"]).select("frame", "anchor", "confidence")
 
 
 # Statistics

@@ -242,3 +242,34 @@ def test_detect_moves_boxes_of_cropping_engines_only(spark):
     assert crops[1] == pytest.approx((50 + 50, 20 + 25, 15.625, 15.625)) and crops[2] == plain[2]
     image = f.where("id < 3").select("id", "width", "height", F.lit(bytes(200 * 100 * 3)).alias("image"))
     assert {r.id: round(r.cx, 3) for r in detect.detect(image, engine, model, ["id"], 1).collect()} == {1: 100.0, 2: 100.0}
+
+
+def crowd(seed, n, spread):
+    rng = np.random.default_rng(seed)
+    x = np.stack([rng.uniform(-spread, spread, n), rng.uniform(-spread, spread, n), *np.exp(rng.normal(2, 1, (2, n)))], axis=1)
+    x[: n // 4] = x[n // 4 : n // 4 * 2] + rng.normal(0, 0.5, (n // 4, 4))  # near others
+    x[-5:, 2:] = [[0, 3], [3, -1], [1000, 900], [2.0**5, 2.0**5], [float("nan"), 1]]
+    return x
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.05, 0.3, 0.7])
+def test_grid_finds_all_overlaps(spark, threshold):
+    rows, want = [], {}
+    for g, (n, spread) in enumerate([(0, 1), (5, 5), (64, 40), (65, 40), (700, 150)]):
+        x = crowd(g, n, spread) if n > 5 else np.ones((n, 4))
+        rows += [(g, i, *map(float, b)) for i, b in enumerate(x)]
+        for i in range(n):
+            for j in range(i + 1, n):
+                if np.isfinite(x[[i, j]]).all() and (v := iou(x[i], x[j])) > threshold:
+                    want[g, i, j] = v
+    df = spark.createDataFrame(rows, "g int, anchor long, cx double, cy double, w double, h double")
+    for few in (64, 0):
+        got = [tuple(r) for r in nms.overlapping_pairs(df, ["g"], threshold, few=few).collect()]
+        assert len(got) == len(want) and {r[:3]: pytest.approx(r[3]) for r in got} == want
+
+
+def test_grid_compares_few_pairs(spark):
+    rows = [(0, i, *map(float, b)) for i, b in enumerate(crowd(9, 5000, 1500)[:-5])]
+    df = spark.createDataFrame(rows, "g int, anchor long, cx double, cy double, w double, h double")
+    found, tried = nms.overlapping_pairs(df, ["g"], 0.3).count(), nms.candidate_pairs(df, ["g"], 0.3).count()
+    assert found <= tried < 5000 * 5000 / 2 / 100
