@@ -44,7 +44,7 @@ def detect(frames: DataFrame, engine: dict[str, Any], make_predict: Callable, ke
     frames = frames.withColumn("_tw", F.col("width").cast("double")).withColumn("_th", F.col("height").cast("double"))
     out = models.infer(frames.select(*keys, *size, tensor), tensor, make_predict, engine.get("batch_size", 1), shape, "_output", error).drop(tensor)
     pose = str(engine.get("type", "detection")).lower() == "pose"
-    found = tensors.decode_frames(out, "_output", anchors, 17 if pose else 0, engine["conf_threshold"], outer or error is not None)
+    found = tensors.decode_any(out, "_output", anchors, 17 if pose else 0, engine["conf_threshold"], outer or error is not None)
     if error is not None and not outer:
         found = found.where(F.col("anchor").isNotNull() | F.col(error).isNotNull())
     kept = nms.nms(found, keys, engine["nms_threshold"], strategy)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.functions.geometry import keypoint_confidence
 
@@ -48,6 +54,82 @@ def decode_frames(df: DataFrame, tensor: str, anchors: int, keypoints: int = 0,
     return df.select(*rest, (F.explode_outer if outer else F.explode)(found).alias("d")).select(*rest, "d.*")
 
 
+#: Values of a tensor from which on decode_any() works on whole batches.
+WIDE = 2048
+
+
+def pack(tensor: Column) -> Column:
+    """An array<float> as little-endian bytes of fixed width."""
+
+    @F.pandas_udf("binary")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return run(tensor)
+
+
+def decode_packed(df: DataFrame, tensor: str, anchors: int, keypoints: int = 0, threshold: float | None = None, outer: bool = False) -> DataFrame:
+    """What decode_frames() gives, for tensors as bytes of float32 (or arrays of numbers) with any number of anchors.
+
+    A batch of tensors is one numpy array; the threshold is put to its confidences first, and only
+    anchors that pass are ever made into rows. Tensors must have the size that ``anchors`` and ``keypoints`` say; null ones have no anchors.
+    """
+    kind = df.schema[tensor].dataType
+    packed = isinstance(kind, T.BinaryType)
+    number = T.FloatType() if packed else kind.elementType
+    rest = [c for c in df.columns if c != tensor]
+    channels = 5 + 3 * keypoints
+    point = T.StructType([T.StructField("x", number), T.StructField("y", number), T.StructField("confidence", T.DoubleType())])
+    fields = [T.StructField("anchor", T.LongType()), *(T.StructField(c, number) for c in ("cx", "cy", "w", "h", "confidence")), T.StructField("class_id", T.IntegerType()), *([T.StructField("keypoints", T.ArrayType(point))] if keypoints else [])]
+    schema = T.StructType([*(df.schema[c] for c in rest), *fields])
+    dtype = np.dtype("<f8" if isinstance(number, T.DoubleType) else "<f4")
+    least = None if threshold is None else dtype.type(np.float32(threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            step = max(1, (32 << 20) // (channels * anchors * dtype.itemsize))
+            for a in range(0, whole.num_rows, step):
+                b = whole.slice(a, step)
+                column = b.column(tensor)
+                there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+                some = column.take(pa.array(there))
+                at = some.offsets.to_numpy() if not packed else np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
+                values = np.frombuffer(some.buffers()[2] or b"", "<f4", offset=int(at[0]) if len(at) else 0)[: (int(at[-1]) - int(at[0])) // 4] if packed else some.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+                unit = 4 if packed else 1
+                if len(some) and (np.diff(at) != channels * anchors * unit).any():
+                    raise ValueError(f"tensors of {sorted(set((np.diff(at) // unit).tolist()))} values, not {channels} x {anchors}")
+                x = values.reshape(len(some), channels, anchors)
+                conf = x[:, 4]
+                keep = ~np.isnan(conf) & (conf >= least) if least is not None else np.ones(conf.shape, bool)
+                i, j = np.nonzero(keep)
+                row = there[i]
+                if outer:
+                    none = np.setdiff1d(np.arange(b.num_rows), row)
+                    order = np.argsort(np.concatenate((row, none)), kind="stable")
+                    row, real = np.concatenate((row, none))[order], order < len(i)
+                    pick = lambda v, order=order: np.concatenate((v, np.zeros(len(none), v.dtype)))[order]  # noqa: B023, E731
+                else:
+                    real, pick = np.ones(len(i), bool), lambda v: v
+                out = [pa.array(pick(j).astype(np.int64), mask=~real), *(pa.array(pick(x[i, c, j]), mask=~real) for c in range(5)), pa.array(np.zeros(len(row), np.int32), mask=~real)]
+                if keypoints:
+                    k = x[:, 5:].reshape(len(some), keypoints, 3, anchors)[i, :, :, j]  # rows x keypoints x 3
+                    c = k[:, :, 2].astype(np.float64)
+                    c = np.where(c > 1, np.clip(c / 255, 0, 1), c)
+                    flat = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(v).ravel()) for v in (k[:, :, 0], k[:, :, 1], c)], ["x", "y", "confidence"])
+                    ends = np.concatenate(([0], np.cumsum(np.where(real, keypoints, 0))))
+                    out.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.append(~real, False)), flat))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in rest), *out], [f.name for f in schema.fields])
+
+    return df.select(*rest, tensor).mapInArrow(run, schema)
+
+
+def decode_any(df: DataFrame, tensor: str, anchors: int, keypoints: int = 0, threshold: float | None = None, outer: bool = False) -> DataFrame:
+    """decode_packed() for bytes and for large tensors, decode_frames(), which stays in the JVM, for small ones."""
+    wide = (5 + 3 * keypoints) * anchors > WIDE or isinstance(df.schema[tensor].dataType, T.BinaryType)
+    return (decode_packed if wide else decode_frames)(df, tensor, anchors, keypoints, threshold, outer)
+
+
 def profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Minimum, maximum, mean, population deviation and counts above levels."""
     v = F.col(value)

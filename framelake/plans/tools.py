@@ -9,7 +9,7 @@ from framelake.functions import geometry as G
 from framelake.functions import scalars as S
 from framelake.operators import matching, nms, stats, tensors
 from framelake.sources import detbin
-from framelake.sources.tensors import numbered, read_tensor, read_tensors
+from framelake.sources.tensors import diff_files, is_file, numbered, read_tensor, read_tensors
 
 BOX = ("cx", "cy", "w", "h")
 
@@ -52,7 +52,7 @@ def process_outputs(spark: SparkSession, path: str, batch: int, channels: int, c
     raw = numbered(read_tensors(spark, path, batch, channels))
     anchors = raw.agg(F.max("anchors")).first()[0] or 1
     frames = raw.select((F.col("ordinal") * batch + F.col("item") + start_frame).alias("frame_number"), "tensor")
-    return nms.nms(tensors.decode_frames(frames, "tensor", anchors, keypoints, conf), ["frame_number"], threshold)
+    return nms.nms(tensors.decode_any(frames, "tensor", anchors, keypoints, conf), ["frame_number"], threshold)
 
 
 def verify(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -61,7 +61,9 @@ def verify(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFra
 
 
 def compare(spark: SparkSession, a: str, b: str, dtype: str = "<f4", tol: float = 1e-6) -> DataFrame:
-    """Differences of two tensor files."""
+    """Differences of two tensor files, up to the shorter one; in mounted folders block by block, so of any size."""
+    if "://" not in a.removeprefix("file://") and "://" not in b.removeprefix("file://") and is_file(a) and is_file(b):
+        return diff_files(spark, a, b, dtype, tol).drop("n_a", "n_b")
     one = lambda p: read_tensor(spark, p, dtype).select(F.lit(1).alias("key"), "tensor")
     return tensors.tensor_diff(one(a), one(b), ["key"], tol, per_key=False)
 
@@ -76,6 +78,6 @@ def raw_report(spark: SparkSession, path: str, batch: int, channels: int, k: int
     """Profile of each item's confidences, and the most confident anchors (of equal ones the later)."""
     raw = numbered(read_tensors(spark, path, batch, channels))
     anchors = raw.agg(F.max("anchors")).first()[0] or 1
-    rows = tensors.decode_frames(raw.select("ordinal", "item", "tensor"), "tensor", anchors)
+    rows = tensors.decode_any(raw.select("ordinal", "item", "tensor"), "tensor", anchors)
     rows = rows.withColumn("sigmoid", G.sigmoid(F.col("confidence")))
     return tensors.profile(rows, ["ordinal", "item"], "confidence"), tensors.top_confidence(rows, k)

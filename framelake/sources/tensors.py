@@ -46,6 +46,88 @@ def read_tensor(spark: SparkSession, path: str, dtype: str = "<f4", shape: list[
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, shape array<int>, tensor array<double>")
 
 
+#: Values of a block, and of what is compared at once.
+BLOCK_VALUES, STEP = 4 << 20, 1 << 18
+
+
+def is_file(path: str) -> bool:
+    return os.path.isfile(local_folder(path))
+
+
+def blocks(spark: SparkSession, n: int, block: int) -> DataFrame:
+    """Ranges [start, end) of n values, one for each task."""
+    count = -(-n // block)
+    return spark.range(0, count, 1, max(1, min(count, 10_000))).select((F.col("id") * block).alias("start"), F.least((F.col("id") + 1) * block, F.lit(n)).alias("end"))
+
+
+def read_blocks(spark: SparkSession, path: str, dtype: str = "<f4", block: int = BLOCK_VALUES) -> DataFrame:
+    """Rows (start, values) of a file of numbers in a mounted folder, by ranges of bytes: no task and no row holds the whole file. A cut last number is an error."""
+    file, kind = local_folder(path), np.dtype(dtype)
+    size = os.path.getsize(file)
+    if size % kind.itemsize:
+        raise ValueError(f"{path}: {size} bytes are no {dtype} numbers")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, end in zip(b.column("start").to_pylist(), b.column("end").to_pylist(), strict=True):
+                for at in range(start, end, STEP):
+                    x = np.fromfile(file, kind, min(STEP, end - at), offset=at * kind.itemsize).astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([x], pa.list_(pa.float64()))], ["start", "values"])
+
+    return blocks(spark, size // kind.itemsize, block).mapInArrow(run, "start bigint, values array<double>")
+
+
+def diff_files(spark: SparkSession, a: str, b: str, dtype: str = "<f4", tol: float = 1e-6, block: int = BLOCK_VALUES) -> DataFrame:
+    """One row (n, max_abs, mean_abs, rms, n_over, share_over, n_a, n_b): differences of two files of numbers up to the shorter one.
+
+    A task reads the same range of both, so nothing is shuffled but sums.
+    """
+    ranges, read, n_a, n_b = _ranges_of_both(spark, a, b, dtype, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, y in read(batches):
+            d = np.abs(x - y)
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (len(d), d.max(), d.sum(), (d * d).sum(), int((d > tol).sum()))], ["n", "most", "total", "squares", "over"])
+
+    sums = ranges.mapInArrow(run, "n bigint, most double, total double, squares double, over bigint").agg(*(f(c).alias(c) for f, c in ((F.sum, "n"), (F.max, "most"), (F.sum, "total"), (F.sum, "squares"), (F.sum, "over"))))
+    n = F.coalesce("n", F.lit(0))
+    return sums.select(n.alias("n"), F.col("most").alias("max_abs"), (F.col("total") / F.col("n")).alias("mean_abs"), F.sqrt(F.col("squares") / F.col("n")).alias("rms"), F.coalesce("over", F.lit(0)).alias("n_over"), (F.col("over") / F.col("n")).alias("share_over"), F.lit(n_a).alias("n_a"), F.lit(n_b).alias("n_b"))
+
+
+def top_differences(spark: SparkSession, a: str, b: str, n: int, dtype: str = "<f4", block: int = BLOCK_VALUES) -> DataFrame:
+    """Rows (pos, a, b, abs_diff): the ``n`` largest differences of two files, of equal ones the first; each range sends its ``n`` largest."""
+    ranges, read, n_a, n_b = _ranges_of_both(spark, a, b, dtype, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, x, y in read(batches):
+            d = np.abs(x - y)
+            best = np.lexsort((np.arange(len(d)), -d))[:n] if len(d) <= 4 * n else None
+            if best is None:
+                least = np.partition(d, len(d) - n)[len(d) - n]
+                some = np.flatnonzero(d >= least)
+                best = some[np.lexsort((some, -d[some]))[:n]]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (best + at, x[best], y[best], d[best])], ["pos", "a", "b", "abs_diff"])
+
+    return ranges.mapInArrow(run, "pos bigint, a double, b double, abs_diff double").orderBy(F.desc("abs_diff"), "pos").limit(n)
+
+
+def _ranges_of_both(spark: SparkSession, a: str, b: str, dtype: str, block: int):
+    files, kind = [local_folder(p) for p in (a, b)], np.dtype(dtype)
+    sizes = [os.path.getsize(f) for f in files]
+    for f, s in zip(files, sizes, strict=True):
+        if s % kind.itemsize:
+            raise ValueError(f"{f}: {s} bytes are no {dtype} numbers")
+    n = [s // kind.itemsize for s in sizes]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for start, end in zip(batch.column("start").to_pylist(), batch.column("end").to_pylist(), strict=True):
+                for at in range(start, end, STEP):
+                    yield at, *(np.fromfile(f, kind, min(STEP, end - at), offset=at * kind.itemsize).astype(np.float64) for f in files)
+
+    return blocks(spark, min(n), block), read, *n
+
+
 def numbered(files: DataFrame, by: str = "path") -> DataFrame:
     """``ordinal`` by name, to pair the i-th file of one folder with that of another."""
     names = files.select(by).distinct().withColumn("ordinal", F.row_number().over(W.orderBy(by)) - 1)  # file names, not rows

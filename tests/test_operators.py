@@ -273,3 +273,40 @@ def test_grid_compares_few_pairs(spark):
     df = spark.createDataFrame(rows, "g int, anchor long, cx double, cy double, w double, h double")
     found, tried = nms.overlapping_pairs(df, ["g"], 0.3).count(), nms.candidate_pairs(df, ["g"], 0.3).count()
     assert found <= tried < 5000 * 5000 / 2 / 100
+
+
+@pytest.mark.parametrize("keypoints", [0, 17])
+@pytest.mark.parametrize("outer", [False, True])
+def test_packed_decoding_equals_decoding_in_columns(spark, keypoints, outer):
+    rng = np.random.default_rng(keypoints)
+    n = (5 + 3 * keypoints) * 9
+    x = rng.normal(size=(12, n)).astype("f4")
+    x[:, 7::11] *= 300
+    x[3, 4 * 9 :] = -1  # nothing is above the threshold
+    x[5, 4 * 9 + 2] = float("nan")
+    rows = [(i, "k", None if i in (7, 11) else v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, name string, t array<float>")
+    key = lambda r: repr(r.asDict(True))
+    for threshold in (0.25, None):
+        want = sorted(map(key, tensors.decode_frames(df, "t", 9, keypoints, threshold, outer).collect()))
+        packed = df.withColumn("t", tensors.pack(F.col("t")))
+        for source in (df, packed):
+            got = tensors.decode_packed(source, "t", 9, keypoints, threshold, outer)
+            assert sorted(map(key, got.collect())) == want
+    double = df.withColumn("t", F.col("t").cast("array<double>"))
+    same = lambda f: sorted((r.id, r.anchor, r.confidence) for r in f(double, "t", 9, keypoints, 0.25).collect())
+    assert same(tensors.decode_packed) == same(tensors.decode_frames) != []
+    with pytest.raises(Exception, match="not"):
+        tensors.decode_packed(packed, "t", 8, keypoints).collect()
+
+
+def test_wide_tensors_are_decoded_in_batches(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random((6, 56 * 8400)).astype("f4")
+    df = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id int, t binary")
+    got = tensors.decode_any(df, "t", 8400, 17, 0.999).collect()
+    want = {(i, a) for i in range(6) for a in np.flatnonzero(x[i].reshape(56, 8400)[4] >= np.float32(0.999)).tolist()}
+    assert {(r.id, r.anchor) for r in got} == want and all(len(r.keypoints) == 17 for r in got)
+    r = got[0]
+    v = x[r.id].reshape(56, 8400)[:, r.anchor]
+    assert [r.cx, r.cy, r.w, r.h, r.confidence] == v[:5].tolist() and tuple(r.keypoints[16]) == tuple(v[53:].tolist())

@@ -542,3 +542,27 @@ def test_pieces_of_a_file_are_put_together_in_order(spark, tmp_path, monkeypatch
     assert (tmp_path / "two" / "a.bin").read_bytes() == (tmp_path / "one" / "a.bin").read_bytes()
     blocks = detbin.Index.read(str(tmp_path / "two" / "a.bin")).blocks
     assert (np.diff(blocks["start"]) > 0).all() and blocks["low"].tolist() == sorted(blocks["low"]) and {10, 20, 30, 40, 50} <= set(blocks["low"])
+
+
+def test_files_of_numbers_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tensors, "STEP", 7)
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=1000).astype("<f4")
+    b = np.concatenate([a + (rng.random(1000) < 0.1) * rng.normal(size=1000) + 0, [1, 2]]).astype("<f4")
+    a.tofile(tmp_path / "a")
+    b.tofile(tmp_path / "b")
+    read = tensors.read_blocks(spark, str(tmp_path / "a"), block=100)
+    parts = sorted(read.collect())
+    assert [v for r in parts for v in r["values"]] == a.tolist() and max(len(r["values"]) for r in parts) == 7 and read.rdd.getNumPartitions() == 10
+    d = np.abs(a.astype(float) - b[:1000].astype(float))
+    for block in (100, 1 << 20):
+        r = tensors.diff_files(spark, str(tmp_path / "a"), str(tmp_path / "b"), tol=0.5, block=block).first()
+        assert (r.n, r.n_a, r.n_b, r.n_over) == (1000, 1000, 1002, int((d > 0.5).sum()))
+        assert [r.max_abs, r.mean_abs, r.rms] == pytest.approx([d.max(), d.mean(), np.sqrt((d * d).mean())])
+        top = tensors.top_differences(spark, str(tmp_path / "a"), str(tmp_path / "b"), 5, block=block).collect()
+        assert [t.pos for t in top] == np.lexsort((np.arange(1000), -d))[:5].tolist() and top[0].abs_diff == d.max()
+    (tmp_path / "c").write_bytes(b"abc")
+    with pytest.raises(ValueError, match="3 bytes"):
+        tensors.diff_files(spark, str(tmp_path / "a"), str(tmp_path / "c"))
+    (tmp_path / "d").write_bytes(b"")
+    assert tensors.diff_files(spark, str(tmp_path / "a"), str(tmp_path / "d")).first().n == 0
