@@ -161,10 +161,15 @@ def int_box_variant(spark, d):
     return _original(spark, d, geometry="int")
 
 
-@query(sql("SELECT engine, least(input_width / 1920e0, input_height / 1080e0) AS scale, CAST(trunc(1920e0 * least(input_width / 1920e0, input_height / 1080e0)) AS INTEGER) AS nw, CAST(trunc(1080e0 * least(input_width / 1920e0, input_height / 1080e0)) AS INTEGER) AS nh, CAST(floor((input_width - trunc(1920e0 * least(input_width / 1920e0, input_height / 1080e0))) / 2) AS INTEGER) AS px, CAST(floor((input_height - trunc(1080e0 * least(input_width / 1920e0, input_height / 1080e0))) / 2) AS INTEGER) AS py FROM engines", "engines"))
+SIZED = "SELECT p_partkey, engine, input_width AS iw, input_height AS ih, 320 + p_partkey % 3000 AS ow, 240 + p_size * 40 AS oh, least(input_width / CAST(320 + p_partkey % 3000 AS DOUBLE), input_height / CAST(240 + p_size * 40 AS DOUBLE)) AS scale FROM part, engines"
+
+
+@query(sql("SELECT p_partkey, engine, scale, CAST(trunc(ow * scale) AS INTEGER) AS nw, CAST(trunc(oh * scale) AS INTEGER) AS nh, CAST((iw - CAST(trunc(ow * scale) AS INTEGER)) // 2 AS INTEGER) AS px, CAST((ih - CAST(trunc(oh * scale) AS INTEGER)) // 2 AS INTEGER) AS py FROM sized", "engines", sized=SIZED))
 def letterbox_geometry(spark, d):
-    parts = G.letterbox(F.lit(1920.0), F.lit(1080.0), F.col("input_width"), F.col("input_height"))
-    return views.engines(spark).select("engine", *(c.alias(n) for c, n in zip(parts, ("scale", "nw", "nh", "px", "py"), strict=True)))
+    """How pictures of many sizes lie in each engine's input."""
+    p = views.table(spark, d, "part").select("p_partkey", (320 + F.col("p_partkey") % 3000).cast("double").alias("ow"), (240 + F.col("p_size") * 40).cast("double").alias("oh"))
+    parts = G.letterbox(F.col("ow"), F.col("oh"), F.col("input_width"), F.col("input_height"))
+    return frames.fan_out(p, views.engines(spark)).select("p_partkey", "engine", *(c.alias(n) for c, n in zip(parts, ("scale", "nw", "nh", "px", "py"), strict=True)))
 
 
 CUT = "CAST(least(greatest(trunc({v}), 0), {hi} - 1) AS INTEGER)"
@@ -573,9 +578,11 @@ def model_type_names(spark, d):
     return views.table(spark, d, "events").select(F.col("user_id").alias("model_type")).distinct().select("model_type", S.model_type_name(F.col("model_type")).alias("name"))
 
 
-@query("SELECT CAST(k AS BIGINT) AS k, name FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(KEYPOINT_NAMES)) + ") t(k, name)")
+@query(sql("SELECT vec_id, list_extract([" + ", ".join(f"'{n}'" for n in KEYPOINT_NAMES) + f"], CAST(k AS INTEGER) + 1) AS name, x, y, {NORM} AS confidence FROM p WHERE {NORM} > 0.1", "tensors", p=POINTS))
 def keypoint_names(spark, d):
-    return spark.createDataFrame(list(enumerate(KEYPOINT_NAMES)), "k bigint, name string")
+    """Visible keypoints of poses by name."""
+    names = F.array(*map(F.lit, KEYPOINT_NAMES))
+    return _poses(spark, d).select("vec_id", F.posexplode("keypoints").alias("k", "p")).where("p.confidence > 0.1").select("vec_id", F.get(names, F.col("k")).alias("name"), "p.*")
 
 
 # Formats and models

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from framelake.functions import scalars as S
 from framelake.operators import application, batching, frames
+from framelake.operators import tensors as tensor_ops
 from framelake.plans import tools, views
 from framelake.plans.catalog import nms_sql
-from framelake.plans.registry import query, rounded
+from framelake.plans.registry import ORACLE, query, rounded
 from framelake.plans.views import sql
+from framelake.schemas import DETECTION_FILE
 from framelake.sources import clips, config, detbin, manifest, tensors
 from framelake.sources.folders import local_folder, shared_folder
+from framelake.streaming import detections, metrics
 
 # Clip lists
 
@@ -19,18 +24,18 @@ LINE = "CASE CAST(p_partkey % 5 AS INTEGER) WHEN 0 THEN NULL WHEN 1 THEN NULL WH
 
 
 def _write_lines(lines, path):
-    """One text file, as clip lists are; they are configuration, not data."""
-    lines.coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    """A list as text files whose names are in the order of their lines."""
+    lines.repartitionByRange("n").sortWithinPartitions("n").select("value").write.text(path)
     return path
 
 
 def _plain_list(spark, d):
     kind, name = F.col("p_partkey") % 5, F.col("p_name")
     line = F.when(kind == 0, F.concat(F.lit("# "), name)).when(kind == 1, " \t ").when(kind == 2, F.concat(F.lit("  "), name, F.lit(" # kept"))).otherwise(F.concat(name, F.lit("\t")))
-    return _write_lines(views.table(spark, d, "part").where("p_partkey <= 2000").select(F.col("p_partkey").alias("n"), line.alias("value")), shared_folder(spark))
+    return _write_lines(views.table(spark, d, "part").select(F.col("p_partkey").alias("n"), line.alias("value")), shared_folder(spark))
 
 
-PLAIN = f"SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS video_id, path FROM (SELECT p_partkey, {LINE} AS path FROM part WHERE p_partkey <= 2000) WHERE path IS NOT NULL"
+PLAIN = f"SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS video_id, path FROM (SELECT p_partkey, {LINE} AS path FROM part) WHERE path IS NOT NULL"
 
 
 @query(PLAIN)
@@ -42,11 +47,11 @@ def plain_clip_list(spark, d):
 JSON_ROWS = """SELECT o_orderkey, i, CASE WHEN o_custkey % 7 = 0 AND i = 0 THEN '' ELSE printf('clip_%d_%d.mp4', o_orderkey, i) END AS path,
     CASE CAST(o_custkey % 4 AS INTEGER) WHEN 3 THEN 0e0 ELSE CAST(o_orderkey * 10 + i AS DOUBLE) END AS moment_time, CAST(o_custkey % 60 AS DOUBLE) AS duration,
     CAST(o_orderkey - 5 AS DOUBLE) AS start_ts, CASE WHEN o_custkey % 5 = 0 THEN CAST('inf' AS DOUBLE) ELSE CAST(o_orderkey + 100 + 5 AS DOUBLE) END AS end_ts, o_custkey % 3 = 1 AS has_roi
-    FROM orders, range(3) t(i) WHERE o_orderkey <= 4000 AND o_custkey % 11 <> 0 AND i < least(1 + o_custkey % 3, 1 + o_custkey % 2)"""
+    FROM orders, range(3) t(i) WHERE o_custkey % 11 <> 0 AND i < least(1 + o_custkey % 3, 1 + o_custkey % 2)"""
 
 
 def _json_list(spark, d):
-    o = views.table(spark, d, "orders").where("o_orderkey <= 4000")
+    o = views.table(spark, d, "orders")
     c, k = F.col("o_custkey"), F.col("o_orderkey")
     moment = lambda i: F.when(c % 4 == 0, (k * 10 + i).cast("string")).when(c % 4 == 3, "none").otherwise(F.concat((k * 10 + i).cast("string"), F.lit("abc")))
     records = F.transform(F.sequence(F.lit(0), c.cast("int") % 3), lambda i: F.struct(moment(i).alias("moment_time"), (c % 60).cast("string").alias("duration")))
@@ -72,13 +77,28 @@ def source_concat(spark, d):
     return c.clip_frame(spark).select("video_id", "path")
 
 
-@query("SELECT * FROM (VALUES ('engine0', 'a.onnx', 8, 7, 'no clip'), ('engine1', 'b.onnx', 1, 7, 'no clip')) t(engine, path, batch_size, num_detectors, problems)")
+@query("SELECT s_name AS engine, printf('%d.onnx', s_suppkey) AS path, CAST(s_nationkey % 2 AS INTEGER) AS model_type, CAST(CASE WHEN s_nationkey % 3 = 0 THEN 16 ELSE 1 + s_nationkey % 5 END AS INTEGER) AS batch_size, CAST(7 AS INTEGER) AS num_detectors, CAST(CAST(CASE WHEN s_acctbal > 0 THEN (s_nationkey % 8) / 8e0 ELSE 0.25 END AS FLOAT) AS DOUBLE) AS conf_threshold, s_nationkey % 4 = 1 AS roi_cropping, s_nationkey % 3 = 0 AND 1 + s_nationkey % 5 <> 16 AS warned, 'no clip,num_readers must be positive' AS problems FROM supplier WHERE s_suppkey % 7 <> 0")
 def config_engines(spark, d):
-    """Command line over defaults, an engine whose batch size wins, and what is missing."""
-    c = config.from_args(["--engine", "a.onnx", "--engine", "b.onnx", "--num-detectors", "7"])
-    warnings = c.use_engine_batches({"engine0": 8, "engine1": 1})
-    assert len(warnings) == 1
-    return c.engine_frame(spark).select("engine", "path", "batch_size", "num_detectors", F.lit(",".join(c.problems())).alias("problems"))
+    """Suppliers as the engines of a configuration file: entries without path, defaults, flags over the file, engines whose own batch size wins, and what is missing."""
+    import yaml
+
+    rows = views.table(spark, d, "supplier").orderBy("s_suppkey").collect()  # a configuration is read on the driver
+    entries, own = [], {}
+    for r in rows:
+        e = {"name": r.s_name, "type": "Pose" if r.s_nationkey % 2 else "detection", "batch_size": 1 + r.s_nationkey % 5, "roi_cropping": "yes" if r.s_nationkey % 4 == 1 else "no"}
+        if r.s_suppkey % 7:
+            e["path"] = f"{r.s_suppkey}.onnx"
+        if r.s_acctbal > 0:
+            e["conf_threshold"] = r.s_nationkey % 8 / 8
+        own[r.s_name] = 16 if r.s_nationkey % 3 == 0 else 0
+        entries.append(e)
+    folder = local_folder(shared_folder(spark))
+    os.makedirs(folder)
+    with open(f"{folder}/config.yaml", "w") as f:
+        yaml.safe_dump({"models": entries, "threads": {"num_readers": 3}}, f)
+    c = config.from_args(["--config", f"{folder}/config.yaml", "--num-detectors", "7", "--num-readers", "0"])
+    warned = [w.split(":")[0] for w in c.use_engine_batches(own)]
+    return c.engine_frame(spark).select("engine", "path", "model_type", "batch_size", "num_detectors", F.col("conf_threshold").cast("double").alias("conf_threshold"), "roi_cropping", F.col("engine").isin(warned).alias("warned"), F.lit(",".join(c.problems())).alias("problems"))
 
 
 CLIP = "SELECT o_orderkey AS video_id, 1000e0 AS moment, 1000e0 + o_orderkey % 5 AS start_ts, 1000e0 + 6 + o_orderkey % 3 AS end_ts, 10 + o_orderkey % 20 AS n FROM orders"
@@ -232,3 +252,52 @@ def detbin_append(spark, d):
     detbin.write_detections(rows, path)
     detbin.write_detections(rows.where("frame_number % 2 = 1"), path)
     return detbin.read_detections(spark, path, "FAILFAST").groupBy("frame_number").agg(F.count("det_index").alias("n"))
+
+
+@query(sql("SELECT CAST(frame AS INTEGER) AS frame_number, CAST(count(*) AS BIGINT) AS n, CAST(max(anchor) - 1 AS INTEGER) AS last FROM anchors WHERE frame BETWEEN 1000 AND 9000 GROUP BY frame", "anchors"))
+def indexed_detections(spark, d):
+    """Frames of a range from detection files with an index: other blocks are not read, and a file is read by several tasks."""
+    path = shared_folder(spark)
+    detbin.write_detections(_detections(spark, d), path)
+    return detbin.read_frames_of(spark, path, 1000, 9000, "FAILFAST", split=1 << 18).groupBy("frame_number").agg(F.count("det_index").alias("n"), F.max("det_index").alias("last"))
+
+
+@query(sql("SELECT CAST(frame AS INTEGER) AS frame_number, CAST(count(*) AS BIGINT) AS n, CAST(CAST(max(confidence) AS FLOAT) AS DOUBLE) AS highest FROM anchors GROUP BY frame", "anchors"))
+def stream_appended(spark, d):
+    """A stream over detection files that grow between two runs of it, the second with few bytes a micro-batch: every frame comes once."""
+    path, out, rows = shared_folder(spark), shared_folder(spark), _detections(spark, d)
+    for odd in (0, 1):
+        detbin.write_detections(rows.where(F.col("frame_number") % 2 == odd), path)
+        seen = detections.stream_detections(spark, path, odd * (4 << 20), f"{out}/progress")
+        detections.finished(seen, f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.schema(DETECTION_FILE).parquet(f"{out}/rows").groupBy("frame_number").agg(F.count("det_index").alias("n"), F.max("confidence").cast("double").alias("highest"))
+
+
+@query(ORACLE["batch_full_only"])
+def stream_batches(spark, d):
+    """Batches of sixteen that go on over three runs of a stream; unfinished ones wait in its state."""
+    f = views.frames(spark, d).select("engine", "event_id", "ts")
+    path, out = shared_folder(spark), shared_folder(spark)
+    low, high = (F.lit(x) for x in f.agg(F.expr("percentile_approx(unix_micros(ts), array(0.3, 0.31))")).first()[0])
+    at = F.unix_micros("ts")
+    with detections.rocksdb(spark):
+        for part in (at <= low, (at > low) & (at <= high), at > high):
+            f.where(part).coalesce(1).write.mode("append").parquet(path)
+            new = spark.readStream.schema(f.schema).parquet(path)
+            detections.finished(detections.stream_batches(new, 16, ["engine"], ["ts", "event_id"]), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/rows").select("engine", "event_id", "batch", "slot")
+
+
+@query(sql("SELECT CAST(k AS BIGINT) AS k, engine, CAST(items AS BIGINT) AS items, round(total, 2) AS total, rate FROM (SELECT k, engine, sum(n) OVER w AS items, sum(t) OVER w AS total, n / 3600e0 AS rate FROM (SELECT epoch_us(ts) // 3600000000 AS k, engine, count(*) AS n, sum(latency) AS t FROM frames GROUP BY ALL) WINDOW w AS (PARTITION BY engine ORDER BY k))", "frames"))
+def rates_by_window(spark, d):
+    """Rates of an hour and running totals by engine, as the live report has them."""
+    rates = metrics.replay_frame(views.frames(spark, d), 3600.0)
+    return rates.select("k", "engine", "items", F.round(F.col("mean_time") * F.col("items"), 2).alias("total"), "rate")
+
+
+@query(sql("SELECT vec_id, CAST(a AS BIGINT) AS anchor, CAST(tensor[(a % 64) + 1] AS DOUBLE) AS cx, CAST(tensor[(448 + a) % 64 + 1] AS DOUBLE) AS cy, CAST(tensor[(4 * 448 + a) % 64 + 1] AS DOUBLE) AS confidence FROM t, range(448) x(a) WHERE tensor[(4 * 448 + a) % 64 + 1] >= CAST(0.3 AS FLOAT)", t="SELECT vec_id, embedding AS tensor FROM embeddings"))
+def packed_decode(spark, d):
+    """Tensors of 448 anchors as bytes: the threshold is put to whole batches before any row is made."""
+    t = views.table(spark, d, "embeddings").select("vec_id", tensor_ops.pack(F.flatten(F.array_repeat("embedding", 35))).alias("tensor"))
+    found = tensor_ops.decode_any(t, "tensor", 448, threshold=0.3)
+    return found.select("vec_id", "anchor", *(F.col(c).cast("double").alias(c) for c in ("cx", "cy", "confidence")))

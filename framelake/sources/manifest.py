@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelake.functions.geometry import valid_roi
 from framelake.functions.scalars import INF, extension, number_prefix_or, parse_epoch, time_window, trim_all
+from framelake.operators.batching import numbered
 
 _JSON = """alarm STRUCT<raw_alarm: STRUCT<record_list: ARRAY<STRUCT<moment_time: STRING, duration: STRING>>, video_start_time: STRING, video_end_time: STRING>>,
 playback_location ARRAY<STRING>, config STRUCT<box: ARRAY<ARRAY<FLOAT>>>"""
@@ -44,15 +44,16 @@ def read_manifest(spark: SparkSession, path: str, fmt: str | None = None, paddin
     if fmt is None:
         suffix = path.rsplit(".", 1)[-1].lower()
         fmt = "jsonl" if suffix in ("json", "jsonl", "ndjson") else "plain"
-    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
+    # A list may be many files: their names, then the places in them are its order.
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
     if fmt == "plain":
         unbounded = F.lit(INF)
         no_roi = F.lit(None).cast("struct<x1:float,y1:float,x2:float,y2:float>")
-        clips = parse_plain(lines).select("_line", F.lit(0).alias("place"), "path", F.lit(0.0).alias("moment_time"), F.lit(0.0).alias("duration"), (-unbounded).alias("start_ts"), unbounded.alias("end_ts"), no_roi.alias("roi"))
+        clips = parse_plain(lines).select("_file", "_block", "_line", F.lit(0).alias("place"), "path", F.lit(0.0).alias("moment_time"), F.lit(0.0).alias("duration"), (-unbounded).alias("start_ts"), unbounded.alias("end_ts"), no_roi.alias("roi"))
     else:
         clips = parse_jsonl(lines, padding_s, legacy_iso)
-    # A list of clips is a configuration file, so one window over it is small.
-    return clips.withColumn("video_id", F.row_number().over(W.orderBy("_line", "place")) - 1).select("video_id", "path", "moment_time", "duration", "start_ts", "end_ts", "roi")
+    placed = numbered(clips.withColumn("_list", F.lit(0)), ["_list"], ["_file", "_block", "_line", "place"])  # long lists by ranges
+    return placed.select(F.col("_i").cast("int").alias("video_id"), "path", "moment_time", "duration", "start_ts", "end_ts", "roi")
 
 
 def is_json_list(path):

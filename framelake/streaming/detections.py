@@ -6,7 +6,7 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
 import pandas as pd
 import pyarrow as pa
@@ -95,6 +95,26 @@ def stream_detections(spark: SparkSession, path: str, max_bytes: int = 0, progre
     return (source.option("maxbytes", max_bytes).option("progress", progress) if max_bytes else source).load(path)
 
 
+def finished(df: DataFrame, sink: str, checkpoint: str) -> None:
+    """Works through what a stream has now, into Parquet files, and waits for the end; a later run with the same checkpoint goes on from there."""
+    q = df.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # Batches
 
 

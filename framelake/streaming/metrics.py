@@ -8,7 +8,8 @@ import time
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -96,10 +97,8 @@ def replay(events: list[tuple[str, dict[str, float]]], every: float = 5.0) -> li
     return out
 
 
-def replay_frame(spark: SparkSession, items: DataFrame, every: float = 5.0, ts: str = "ts", engine: str = "engine", latency: str = "latency") -> DataFrame:
+def replay_frame(items: DataFrame, every: float = 5.0, ts: str = "ts", engine: str = "engine", latency: str = "latency") -> DataFrame:
     """Rates as LiveMetrics reports them, worked out afterwards for rows with the time of their processing: by window and engine, with running totals."""
-    from pyspark.sql import Window as W
-
     each = items.groupBy(F.floor(F.unix_micros(F.col(ts)) / int(every * 1e6)).alias("k"), engine).agg(F.count("*").alias("n"), F.sum(latency).alias("time"))
     so_far = W.partitionBy(engine).orderBy("k")
     return each.select("k", engine, F.sum("n").over(so_far).alias("items"), (F.sum("time").over(so_far) / F.sum("n").over(so_far)).alias("mean_time"), (F.col("n") / every).alias("rate"))
