@@ -1,6 +1,8 @@
 """Operator 7: URL filtering by rules and empirical-Bayes host reputation.
 
-Rules decide the pages that they fit. Their outcomes are the labels: a host's share of blocked pages
+Rules decide the pages that they fit. Their outcomes are the labels, and so are the pages of a host that rules are written for but that
+none of them touches: whoever wrote ``net/es/`` had the other paths of ``net`` before them and did not block these. Without them
+a host under a blocking rule would have bad labels only, however small the part of it that is blocked. A host's share of blocked pages
 has a beta posterior from its own labelled pages and a prior. The prior comes from the other hosts of its
 registered domain, theirs from the other domains of its suffix, theirs from all pages: at
 each level the host's own part is left out, so no page counts twice. How strongly a level shrinks follows from
@@ -45,6 +47,14 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Col
     return rule, action
 
 
+def covered(host: Column, rules: list[Rule]) -> Column:
+    """Whether some rule is written for the host or a domain above it, whatever the path."""
+    fits = F.lit(False)
+    for h in sorted({h for _, h, _ in rules}):
+        fits = fits | (host == h) | host.endswith("." + h)
+    return fits
+
+
 def levels(host: Column, two_label: list[str]) -> tuple[Column, Column]:
     """Registered domain and suffix; ``two_label`` suffixes (like co.uk) count as one.
 
@@ -138,7 +148,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], cut: float = 0.5, two_label:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
     ruled = rows.withColumn("rule", rule).withColumn("action", action)
-    known = reputation(ruled.select("host", (F.col("action") == "block").cast("int").alias("bad")), two_label, cut)
+    bad = F.coalesce((F.col("action") == "block").cast("int"), F.when(covered(F.col("host"), rules), 0))
+    known = reputation(ruled.select("host", bad.alias("bad")), two_label, cut)
     own = F.when((F.col("above") > sure) & (F.col("n_domain") > 0), "block").otherwise("allow")
     by_host = saved(known.select("host", F.col("mean").alias("posterior"), own.alias("own"), "pages"))
     return join_unique(ruled, by_host, ["host"], "pages").select("page_id", "host", "path", "rule", F.coalesce("action", "own").alias("verdict"), "posterior")

@@ -62,6 +62,10 @@ FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c ON c.node = e.vec_id
 _RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+#: Hosts that some rule is written for, whatever the path.
+_COVERED = " OR ".join(f"host = '{h}' OR host LIKE '%.{h}'" for h in sorted({r[1] for r in _RULES}))
+
+
 def _longest(value: str) -> str:
     """The value of the longest rule that fits, null if none does."""
     fit = "WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{v}'"
@@ -82,11 +86,11 @@ _ANGLES = "SELECT ln(sin(t)) AS ls, ln(cos(t)) AS lc, t > pi() / 4 AS high FROM
 ORACLE["op7_hosts"] = f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM u),
-r AS (SELECT *, {_longest("rule")} AS rule, {_longest("action")} AS action FROM hp),
+r AS (SELECT *, {_longest("rule")} AS rule, {_longest("action")} AS action, {_COVERED} AS covered FROM hp),
 named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM r),
 labels AS (SELECT *, string_split(name, '.') AS parts, array_to_string(string_split(name, '.')[-2:], '.') IN ({_TWO_LABEL}) AS two FROM named),
 split AS (SELECT *, regexp_matches(name, '^[0-9]+([.][0-9]+){{3}}$') OR NOT contains(name, '.') OR (two AND len(parts) = 2) AS own FROM labels),
-hosts AS (SELECT host, count(action) AS n, count(*) FILTER (WHERE action = 'block') AS k, any_value(CASE WHEN own THEN name WHEN two THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END) AS domain, any_value(CASE WHEN own THEN '' WHEN two THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END) AS suffix FROM split GROUP BY host),
+hosts AS (SELECT host, count(*) FILTER (WHERE action IS NOT NULL OR covered) AS n, count(*) FILTER (WHERE action = 'block') AS k, any_value(CASE WHEN own THEN name WHEN two THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END) AS domain, any_value(CASE WHEN own THEN '' WHEN two THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END) AS suffix FROM split GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, 1 AS every FROM domains GROUP BY ALL),
 ms AS ({_strength("suffixes", "every")}), md AS ({_strength("domains", "suffix")}), mh AS ({_strength("hosts", "domain, suffix")}),

@@ -322,13 +322,16 @@ def test_reputation_shrinks(spark):
 
 
 def test_verdicts_need_evidence(spark):
-    """Bad hosts and their siblings are blocked, good ones and hosts nobody knows are not, at any number of pages."""
+    """Hosts whose pages are mostly blocked are blocked, hosts with a small part blocked and hosts nobody knows are not, at any number of pages."""
     for scale in (1, 10):
-        urls = [f"http://{h}.spam.net/es/{j}" for h in ("a", "b") for j in range(4 * scale)] + [f"http://p{j}.mixed.net/fr/x" for j in range(scale)]
-        urls += ["http://a.spam.net/x", "http://c.spam.net/x", "http://new.net/x", "http://z.org/x", "http://q.org/y", "http://www.good.com/x"] + [f"http://www.s{j}.org/" for j in range(20 * scale)]
+        urls = [f"http://h{i}.spam.net/es/{j}" for i in range(30) for j in range(4 * scale)] + [f"http://p{j}.mixed.net/fr/x" for j in range(scale)]
+        urls += [f"http://large.net/{'es' if j == 7 else 'de'}/{j}" for j in range(1000)] + [f"http://mostly.net/{'de' if j % 10 == 7 else 'es'}/{j}" for j in range(40 * scale)]
+        urls += ["http://h1.spam.net/x", "http://new.net/x", "http://z.org/x", "http://q.org/y", "http://www.good.com/x"] + [f"http://www.s{j}.org/" for j in range(20 * scale)]
         got = {r.page_id: r.verdict for r in hosts.judge_urls(pages(spark, [(i, u, "") for i, u in enumerate(urls)]), RULES).collect()}
         v = {u: got[i] for i, u in enumerate(urls)}
-        assert v["http://a.spam.net/x"] == v["http://c.spam.net/x"] == "block"
+        assert v["http://h1.spam.net/x"] == "block"
+        assert all(x == ("block" if "/es/" in u else "allow") for u, x in v.items() if "large.net" in u)
+        assert all(x == "block" for u, x in v.items() if "mostly.net" in u)
         assert v["http://new.net/x"] == v["http://z.org/x"] == v["http://q.org/y"] == v["http://www.good.com/x"] == "allow"
         assert all(x == "allow" for u, x in v.items() if ".org" in u)
 
