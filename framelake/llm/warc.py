@@ -33,6 +33,8 @@ END = "\r\n\r\n"
 RECORDS, LONG = 1000, 256 << 10
 #: Entries of a block of the index, blocks that a merge takes in at a time, and sampled keys for each key range.
 ENTRIES, BLOCKS, KEYS = 512, 16, 50
+#: Key ranges at most, each a task that merges as a stream, and keys that are sampled for all of them.
+RANGES, SAMPLE = 10_000, 200_000
 _INDEX = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, url_key string, date string, archive string, offset bigint, length bigint"
 _NAMES = [x.split()[0] for x in _INDEX.split(", ")]
 
@@ -310,10 +312,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("path", "content")
     runs = saved(files.mapInArrow(_parse, _INDEX))
-    n = parts(runs, F.octet_length("url_key") + F.coalesce(F.octet_length("url"), F.lit(0)) + 150)
+    n = min(RANGES, parts(runs, F.octet_length("url_key") + F.coalesce(F.octet_length("url"), F.lit(0)) + 150))
+    keys = min(KEYS, SAMPLE // n)
     total = runs.count()
-    share = F.pmod(F.xxhash64("url_key", "date", "page_id"), F.lit(1_000_003)) <= int(1_000_003 * min(1.0, KEYS * n / max(1, total)))
-    sample = sorted(_key(*r) for r in runs.where(share).select("url_key", "date", "page_id").limit(2 * KEYS * n).collect())  # to cut key ranges only
+    share = F.pmod(F.xxhash64("url_key", "date", "page_id"), F.lit(1_000_003)) <= int(1_000_003 * min(1.0, keys * n / max(1, total)))
+    sample = sorted(_key(*r) for r in runs.where(share).select("url_key", "date", "page_id").limit(2 * keys * n).collect())  # to cut key ranges only
     splits = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
     blocks = runs.mapInArrow(_blocks(splits), _BLOCK).repartitionById(len(splits) + 1, F.col("part")).sortWithinPartitions("url_key", "date", "page_id")
     return blocks.select("entries").mapInArrow(_merge, _INDEX)
