@@ -83,6 +83,23 @@ def onnx_model(path: str) -> Callable:
     return make
 
 
+def adding_model(width: int) -> bytes:
+    """A model file (protocol buffer, opset 13) with input x and output y = x + x of n rows of ``width`` < 128 floats; shows that the runtime is there."""
+
+    def field(number: int, value: int | str | bytes) -> bytes:
+        if isinstance(value, int):
+            return bytes([number << 3, value])
+        data = value.encode() if isinstance(value, str) else value
+        size = [len(data)] if len(data) < 128 else [len(data) & 127 | 128, len(data) >> 7]
+        return bytes([number << 3 | 2, *size]) + data
+
+    dims = field(1, field(2, "n")) + field(1, field(1, width))
+    value = lambda name: field(1, name) + field(2, field(1, field(1, 1) + field(2, dims)))
+    node = field(1, "x") + field(1, "x") + field(2, "y") + field(4, "Add")
+    graph = field(1, node) + field(2, "g") + field(11, value("x")) + field(12, value("y"))
+    return field(1, 8) + field(8, field(1, "") + field(2, 13)) + field(7, graph)
+
+
 def onnx_graph(path: str) -> dict[str, list[tuple[str, list, str]]]:
     """Names, shapes and types of a model's inputs and outputs."""
     import onnxruntime

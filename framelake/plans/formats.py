@@ -7,14 +7,14 @@ import os
 from pyspark.sql import functions as F
 
 from framelake.functions import scalars as S
-from framelake.operators import application, batching, frames
+from framelake.operators import application, batching, frames, models
 from framelake.operators import tensors as tensor_ops
 from framelake.plans import tools, views
 from framelake.plans.catalog import nms_sql
 from framelake.plans.registry import ORACLE, query, rounded
 from framelake.plans.views import sql
 from framelake.schemas import DETECTION_FILE
-from framelake.sources import clips, config, detbin, manifest, tensors
+from framelake.sources import clips, config, detbin, logs, manifest, tensors
 from framelake.sources.folders import local_folder, shared_folder
 from framelake.streaming import detections, metrics
 
@@ -301,3 +301,41 @@ def packed_decode(spark, d):
     t = views.table(spark, d, "embeddings").select("vec_id", tensor_ops.pack(F.flatten(F.array_repeat("embedding", 35))).alias("tensor"))
     found = tensor_ops.decode_any(t, "tensor", 448, threshold=0.3)
     return found.select("vec_id", "anchor", *(F.col(c).cast("double").alias(c) for c in ("cx", "cy", "confidence")))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts, CASE CAST(event_id % 4 AS INTEGER) WHEN 0 THEN 'WARN' WHEN 1 THEN 'STATS' ELSE 'ERROR' END AS level, event_type AS component FROM events WHERE event_id % 4 <> 3")
+def log_roundtrip(spark, d):
+    """A log is written from events at WARN and above, with statistics in any case, and read again."""
+    k = F.col("event_id") % 4
+    level = F.when(k == 0, "WARN").when(k == 1, "STATS").when(k == 2, "ERROR").otherwise("INFO")
+    path = shared_folder(spark)
+    logs.write_log(views.table(spark, d, "events").select("ts", level.alias("level"), F.col("event_type").alias("component"), F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit("\n"), F.col("props")).alias("message")), path, "WARN")
+    back = logs.parse_log(spark.read.text(path))
+    return back.select(F.regexp_extract("message", r"event (\d+) \{", 1).cast("long").alias("event_id"), "ts", "level", "component")
+
+
+PIXELS = "SELECT vec_id, list_transform(embedding[1:24], lambda e: CAST(floor(abs(CAST(e AS DOUBLE)) * 4096) AS BIGINT) % 256) AS b FROM embeddings"
+
+
+@query(f"SELECT vec_id, CAST(o AS BIGINT) AS pos, CASE WHEN (o % 16) // 4 BETWEEN 1 AND 2 THEN round(b[((o % 16) // 4 - 1) * 12 + (o % 4) * 3 + (2 - o // 16) + 1] / 255e0, 5) ELSE 0e0 END AS v FROM ({PIXELS}), range(48) x(o)")
+def letterbox_pixels(spark, d):
+    """Pictures of 4 x 2 BGR pixels in an input of 4 x 4: channels in planes and turned round, rows of padding above and below."""
+    e = F.slice("embedding", 1, 24)
+    byte = F.transform(e, lambda x: F.lpad(F.hex((F.floor(F.abs(x.cast("double")) * 4096) % 256).cast("long")), 2, "0"))
+    t = views.table(spark, d, "embeddings").select("vec_id", F.unhex(F.array_join(byte, "")).alias("image"))
+    boxed = models.letterbox(F.col("image"), F.lit(4), F.lit(2), 4, 4)
+    return t.select("vec_id", F.posexplode(boxed).alias("pos", "v")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("v").cast("double"), 5).alias("v"))
+
+
+@query(sql("SELECT vec_id, CAST(p AS BIGINT) AS pos, CAST(CAST(tensor[p + 1] AS FLOAT) AS DOUBLE) * 2 AS v, ['x', 'float', 'y'] AS names FROM x", "tensors", x="SELECT vec_id, tensor, unnest(range(64)) AS p FROM tensors").replace("['x', 'float', 'y']", "'x tensor(float) y'"))
+def onnx_predict(spark, d):
+    """A model file that adds its input to itself, written to the shared folder and run by the runtime in each worker; and what its graph says."""
+    folder = local_folder(shared_folder(spark))
+    os.makedirs(folder)
+    with open(f"{folder}/model.onnx", "wb") as f:
+        f.write(models.adding_model(64))
+    graph = models.onnx_graph(f"{folder}/model.onnx")
+    names = f"{graph['inputs'][0][0]} {graph['inputs'][0][2]} {graph['outputs'][0][0]}"
+    t = views.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("tensor"))
+    out = models.infer(t, "tensor", models.onnx_model(f"{folder}/model.onnx"), 16, [64])
+    return out.select("vec_id", F.posexplode("output").alias("pos", "v")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("v").cast("double").alias("v"), F.lit(names).alias("names"))

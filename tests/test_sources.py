@@ -294,26 +294,9 @@ def test_recorded_model_output(spark, tmp_path):
     assert tools.process_outputs(spark, str(tmp_path), 2, 5, 0.2, 0.55).count() == 0
 
 
-def onnx_bytes():
-    """A model that doubles its input of n x 4 numbers, as the protocol buffer that a model file is."""
-
-    def field(number, value):
-        if isinstance(value, int):
-            return bytes([number << 3, value])
-        data = value.encode() if isinstance(value, str) else value
-        assert len(data) < 16384
-        size = [len(data)] if len(data) < 128 else [len(data) & 127 | 128, len(data) >> 7]
-        return bytes([number << 3 | 2, *size]) + data
-
-    value = lambda name: field(1, name) + field(2, field(1, field(1, 1) + field(2, field(1, field(2, "n")) + field(1, field(1, 4)))))
-    node = field(1, "x") + field(1, "x") + field(2, "y") + field(4, "Add")
-    graph = field(1, node) + field(2, "g") + field(11, value("x")) + field(12, value("y"))
-    return field(1, 8) + field(8, field(1, "") + field(2, 13)) + field(7, graph)
-
-
 def test_onnx_model(spark, tmp_path):
     path = str(tmp_path / "m.onnx")
-    (tmp_path / "m.onnx").write_bytes(onnx_bytes())
+    (tmp_path / "m.onnx").write_bytes(models.adding_model(4))
     graph = models.onnx_graph(path)
     assert graph["inputs"] == [("x", ["n", 4], "tensor(float)")] and graph["outputs"][0][0] == "y"
     df = spark.createDataFrame([(i, [float(i)] * 4) for i in range(10)], "i int, t array<float>")
