@@ -452,13 +452,13 @@ def test_wording_and_key_phrase_are_both_needed(spark):
     for i, (_, wording, phrases) in enumerate(licenses.TEMPLATES):
         key = phrases[0]
         whole = wording if any(p in wording for p in phrases) else f"{wording} {key}"
-        words = whole.split()
+        words, own = whole.split(), next(p for p in phrases if p in whole)
         bare = wording
         for p in phrases:
             bare = bare.replace(p, " ".join("x" * len(p.split())))
-        changed = " ".join("other" if j % 9 == 4 and f" {w} " not in f" {key} " else w for j, w in enumerate(words))
+        changed = " ".join("other" if j % 9 == 4 and f" {w} " not in f" {own} " else w for j, w in enumerate(words))
         far = f"{bare} {'far ' * 200} {key}"
-        moved = " ".join([*words[: len(words) - 3], "inserted", *words[len(words) - 3 :]])
+        moved = whole.replace(own, f"{own} inserted")
         texts = [whole, f"we do not use {key} here", bare, f"Intro of a file. {whole.upper()}", changed, far, moved, f"{'own ' * 3000}{whole}"]
         rows += [(100 * i + j, t) for j, t in enumerate(texts)]
     got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan_licenses(frame(spark, rows)).collect()}
