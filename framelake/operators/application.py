@@ -64,7 +64,7 @@ def _file_rows(found: DataFrame, engine: dict[str, Any]) -> DataFrame:
     return rows.select("video_id", F.lit(engine["name"]).alias("engine"), *(F.col(f.name).cast(f.dataType).alias(f.name) for f in DETECTION_FILE.fields), "error")
 
 
-def run(spark: SparkSession, config: Config, scan: Scan, predictors: dict[str, Callable], output: str | None = None, tensor: str | None = None, shape: list[int] | None = None, per_wave: int = PER_WAVE, max_waves: int | None = None, clips: DataFrame | None = None, strategy: str = "arrow") -> DataFrame:
+def run(spark: SparkSession, config: Config, scan: Scan, predictors: dict[str, Callable], output: str | None = None, tensor: str | None = None, shape: list[int] | None = None, per_wave: int = PER_WAVE, max_waves: int | None = None, clips: DataFrame | None = None, strategy: str = "auto") -> DataFrame:
     """Does what is left of ``config`` (at most ``max_waves`` waves of it), and returns commits().
 
     ``predictors`` has a model for each engine's name; an engine's ``anchors`` is the number of anchors that it gives for a frame. ``scan`` gives the frames of some

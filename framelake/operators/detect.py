@@ -14,7 +14,7 @@ from framelake.operators import models, nms, tensors
 BOX = ("cx", "cy", "w", "h")
 
 
-def detect(frames: DataFrame, engine: dict[str, Any], make_predict: Callable, keys: list[str], anchors: int, tensor: str | None = None, shape: list[int] | None = None, strategy: str = "arrow", error: str | None = None, outer: bool = False) -> DataFrame:
+def detect(frames: DataFrame, engine: dict[str, Any], make_predict: Callable, keys: list[str], anchors: int, tensor: str | None = None, shape: list[int] | None = None, strategy: str = "auto", error: str | None = None, outer: bool = False) -> DataFrame:
     """Rows (keys, anchor, box, confidence, class_id, keypoints of a pose, kept_rank), one for each detection that is kept.
 
     ``frames`` has ``keys``, ``width`` and ``height`` and either raw BGR bytes in ``image``, which are letterboxed, or a

@@ -41,7 +41,7 @@ def greedy(rows, t):
     return kept
 
 
-@pytest.mark.parametrize("strategy", ["native", "arrow"])
+@pytest.mark.parametrize("strategy", ["native", "arrow", "auto"])
 @pytest.mark.parametrize("threshold", [0.0, 0.45, 1.0])
 def test_nms(spark, strategy, threshold):
     rows = boxes(1)
