@@ -198,6 +198,17 @@ def positional_pairing(spark, d):
     return both.select(F.col("ordinal").cast("long").alias("ordinal"), "item", "n", (F.col("max_abs") > 1e-6).alias("differs"))
 
 
+_F32 = "list_transform({}, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))"
+
+
+@query(sql("SELECT ordinal, CAST(1024 AS BIGINT) AS n, round(max(d), 5) AS max_abs, round(avg(d), 5) AS mean_abs, round(sqrt(avg(d * d)), 5) AS rms, CAST(count(*) FILTER (WHERE d > 0.3) AS BIGINT) AS n_over FROM (SELECT a.ordinal, abs(unnest(" + _F32.format("a.tensor") + ") - unnest(" + _F32.format("b.tensor") + ")) AS d FROM dumps a JOIN shifted b USING (ordinal, item)) GROUP BY ordinal", "tensors", dumps=DUMP, moved="SELECT vec_id, tensor, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM tensors WHERE vec_id >= 20", shifted="SELECT CAST(i // 16 AS BIGINT) AS ordinal, CAST(i % 16 AS INTEGER) AS item, tensor FROM moved WHERE (i // 16 + 1) * 16 <= n"))
+def dumps_diff(spark, d):
+    """Pairs of dumps of two folders, read by ranges of bytes on both sides."""
+    other = _dumps(spark, d, views.tensors(spark, d).where("vec_id >= 20"))
+    found = tensors.diff_folders(spark, _dumps(spark, d), other, tol=0.3, block=300)
+    return rounded(found.select("ordinal", "n", "max_abs", "mean_abs", "rms", "n_over"), "max_abs", "mean_abs", "rms", digits=5)
+
+
 @query(sql("SELECT ordinal, CAST(1024 AS BIGINT) AS n, '16,4,16' AS shape, round(sum(list_sum(tensor)), 4) AS total FROM dumps GROUP BY ordinal", "tensors", dumps=DUMP))
 def generic_tensor(spark, d):
     """Whole files with a shape."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import os
 import uuid
 from collections.abc import Iterator
@@ -94,6 +95,32 @@ def diff_files(spark: SparkSession, a: str, b: str, dtype: str = "<f4", tol: flo
     return sums.select(n.alias("n"), F.col("most").alias("max_abs"), (F.col("total") / F.col("n")).alias("mean_abs"), F.sqrt(F.col("squares") / F.col("n")).alias("rms"), F.coalesce("over", F.lit(0)).alias("n_over"), (F.col("over") / F.col("n")).alias("share_over"), F.lit(n_a).alias("n_a"), F.lit(n_b).alias("n_b"))
 
 
+def diff_folders(spark: SparkSession, a: str, b: str, pattern: str = "outputs_batch*.bin", dtype: str = "<f4", tol: float = 1e-6, block: int = BLOCK_VALUES) -> DataFrame:
+    """Rows (ordinal, a, b, n, max_abs, mean_abs, rms, n_over): the i-th file of one mounted folder against the i-th of the other, by name, up to the shorter list and the shorter file of a pair.
+
+    File names are listed on the driver; every task reads ranges of both files of a pair, so files may be of any size.
+    """
+    kind = np.dtype(dtype)
+    names = [sorted(glob.glob(os.path.join(glob.escape(local_folder(p)), "**", pattern), recursive=True)) for p in (a, b)]
+    pairs = [(i, x, y, min(os.path.getsize(x), os.path.getsize(y)) // kind.itemsize) for i, (x, y) in enumerate(zip(*names, strict=False))]
+    listed = spark.createDataFrame(pairs, "ordinal bigint, a string, b string, n bigint")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(block).cast("long")))
+    ranges = listed.withColumn("start", starts).withColumn("end", F.least(F.col("start") + block, F.col("n")))
+    total = sum(-(-p[3] // block) for p in pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x, y, _, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for at in range(start, end, STEP):
+                    u, v = (np.fromfile(f, kind, min(STEP, end - at), offset=at * kind.itemsize).astype(np.float64) for f in (x, y))
+                    d = np.abs(u - v)
+                    yield pa.RecordBatch.from_arrays([pa.array([z]) for z in (i, len(d), d.max(), d.sum(), (d * d).sum(), int((d > tol).sum()))], ["ordinal", "k", "most", "total", "squares", "over"])
+
+    sums = ranges.repartition(max(1, min(total, 10_000))).mapInArrow(run, "ordinal bigint, k bigint, most double, total double, squares double, over bigint")
+    each = sums.groupBy("ordinal").agg(F.max("most").alias("max_abs"), (F.sum("total") / F.sum("k")).alias("mean_abs"), F.sqrt(F.sum("squares") / F.sum("k")).alias("rms"), F.sum("over").alias("n_over"))
+    return listed.join(each, "ordinal", "left").select("ordinal", "a", "b", "n", "max_abs", "mean_abs", "rms", F.coalesce("n_over", F.lit(0)).alias("n_over"))
+
+
 def top_differences(spark: SparkSession, a: str, b: str, n: int, dtype: str = "<f4", block: int = BLOCK_VALUES) -> DataFrame:
     """Rows (pos, a, b, abs_diff): the ``n`` largest differences of two files, of equal ones the first; each range sends its ``n`` largest."""
     ranges, read, n_a, n_b = _ranges_of_both(spark, a, b, dtype, block)

@@ -544,6 +544,13 @@ def test_files_of_numbers_in_blocks(spark, tmp_path, monkeypatch):
         assert [r.max_abs, r.mean_abs, r.rms] == pytest.approx([d.max(), d.mean(), np.sqrt((d * d).mean())])
         top = tensors.top_differences(spark, str(tmp_path / "a"), str(tmp_path / "b"), 5, block=block).collect()
         assert [t.pos for t in top] == np.lexsort((np.arange(1000), -d))[:5].tolist() and top[0].abs_diff == d.max()
+    for side, files in (("x", (a, b[:500], a[:0])), ("y", (b, a, a, a))):
+        (tmp_path / side).mkdir()
+        for i, v in enumerate(files):
+            v.tofile(tmp_path / side / f"outputs_batch{i}.bin")
+    rows = tensors.diff_folders(spark, str(tmp_path / "x"), str(tmp_path / "y"), tol=0.5, block=90).orderBy("ordinal").collect()
+    assert [(r.ordinal, r.n, r.n_over) for r in rows] == [(0, 1000, int((d > 0.5).sum())), (1, 500, int((d[:500] > 0.5).sum())), (2, 0, 0)]
+    assert rows[1].mean_abs == pytest.approx(d[:500].mean()) and rows[2].max_abs is None
     (tmp_path / "c").write_bytes(b"abc")
     with pytest.raises(ValueError, match="3 bytes"):
         tensors.diff_files(spark, str(tmp_path / "a"), str(tmp_path / "c"))
