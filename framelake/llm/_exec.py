@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only below this many rows of two or three numbers each (about 15 MB).
-BROADCAST_ROWS = 300_000
+#: A side is broadcast only below this many rows and bytes; keys that are held to be hot at most.
+BROADCAST_ROWS, BROADCAST_BYTES, HOT_KEYS = 300_000, 48 << 20, 20_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -59,21 +59,33 @@ def text_bytes(name: str) -> Column:
     return F.octet_length(F.col(name).cast("string")).cast("long")
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a side may be broadcast: by its rows, and by its bytes, since nothing bounds a text."""
+    size = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        if f.dataType.simpleString() in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(size.cast("long"))).first()
+    return n <= rows and (total or 0) <= BROADCAST_BYTES
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if a count shows that it is within the bound; else Spark joins by sort and merge."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+    """df, marked for broadcast if it is within the bounds; else Spark joins by sort and merge."""
+    return F.broadcast(df) if fits(df, rows) else df.hint("merge")
 
 
 def join_unique(many: DataFrame, side: DataFrame, keys: list[str], n: str, hot: int = 100_000) -> DataFrame:
     """Left join of ``many`` with ``side``, which has one row for each key and in ``n`` how many rows of ``many`` have it.
 
-    A small side is broadcast. Of a large one only keys that ``hot`` rows and more have are
-    broadcast, of which there is at most one for each ``hot`` rows; all others are merged, so no
-    key's rows meet in one task. ``many`` is read twice then and should be a table.
+    A small side is broadcast. Of a large one only keys that very many rows have (``hot`` at least, and so many that there are
+    no more than HOT_KEYS of them) are broadcast, all others are merged, so no key's rows meet in one task. ``many`` is read twice then and should be a table.
     """
-    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits(side):
         return many.join(F.broadcast(side.drop(n)), keys, "left")
+    hot = max(hot, (side.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS)
     often = side.where(F.col(n) >= hot).drop(n)
+    if not fits(often, HOT_KEYS + 1):  # keys of unbounded length
+        return many.join(side.drop(n).hint("merge"), keys, "left")
     rest = many.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(side.where(F.col(n) < hot).drop(n).hint("merge"), keys, "left")
     return many.join(F.broadcast(often), keys).unionByName(rest)
 

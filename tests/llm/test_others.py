@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.llm import components, hosts, nearest, neardup, warc
+from framelake.llm import _exec, components, hosts, nearest, neardup, warc
 from framelake.llm.queries import QUERIES, RULES
 
 SF = "/root/testdata/sf0.001"
@@ -343,6 +343,22 @@ def test_levels(spark):
     assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", ""), "x.y.com": ("y.com", "com"), "com": ("com", ""), "": ("", ""), "1.2.3.4": ("1.2.3.4", ""), "1.2.3.4:80": ("1.2.3.4", ""), "h.com:8080": ("h.com", "com"), "a.b.c.d.e": ("d.e", "e")}
 
 
+@pytest.mark.parametrize("way", ["hot keys broadcast", "all merged"])
+def test_joins_with_large_sides(spark, monkeypatch, way):
+    monkeypatch.setattr(_exec, "fits", lambda df, rows=0: way == "hot keys broadcast" and rows == _exec.HOT_KEYS + 1)
+    many = spark.createDataFrame([(i, "a" if i % 3 else f"k{i}") for i in range(90)] + [(90, None), (91, "none")], "i int, k string")
+    side = spark.createDataFrame([("a", 60, 1), *((f"k{i}", 1, i) for i in range(0, 90, 3)), ("other", 0, 5)], "k string, n int, v int")
+    got = _exec.join_unique(many, side, ["k"], "n", hot=20)
+    want = many.join(side.drop("n"), "k", "left")
+    assert sorted(map(str, got.select("i", "k", "v").collect())) == sorted(map(str, want.select("i", "k", "v").collect()))
+
+
+def test_sides_are_measured(spark):
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "i int, t string")
+    assert _exec.fits(df, 50) and not _exec.fits(df, 49) and _exec.fits(df.limit(0))
+    assert not _exec.fits(df.select(F.concat(*[F.repeat("t", 1000)] * 2).alias("t")))  # few rows, but 100 MB
+
+
 def test_every_query_runs_on_whole_tables(spark):
     n = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "embeddings", "pages")}
     for name, table in (("op1_neardup", "embeddings"), ("op2_licenses", "documents"), ("op3_jaccard", "documents"), ("op4_warc", "pages"), ("op5_substrings", "documents"), ("op7_hosts", "pages"), ("op9_bpe", "documents"), ("op10_toxicity", "documents")):
