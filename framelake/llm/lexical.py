@@ -30,7 +30,7 @@ from framelake.llm._text import WORD_CLASSES, Words, slices, strings
 SEGMENT, QUERIES, BROADCAST = 8 << 20, 1000, 16 << 20
 #: The same class as WORD_CLASSES["alnum"] once A-Z is lower-cased.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-INDEX = "segment bigint, term string, n bigint, total bigint, body binary"
+INDEX = "segment bigint, term string, n bigint, total bigint, bytes bigint, body binary"
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,10 +79,11 @@ def segment_rows(ids: np.ndarray, text: pa.Array, segment: int) -> Iterator[pa.R
     data, width = pack(np.stack((step, times), axis=1).ravel())
     ends = np.concatenate(([0], np.cumsum(width)))[np.append(2 * at, 2 * len(term))]
     df = np.diff(np.append(at, len(term)))
-    rows = lambda n, terms, df, total, body: pa.RecordBatch.from_arrays([pa.array(np.full(n, segment)), terms, pa.array(df), pa.array(total), body], ["segment", "term", "n", "total", "body"])
-    yield rows(1, pa.nulls(1, pa.string()), np.array([(size > 0).sum()]), np.array([size.sum()]), pa.array([np.stack((ids, size)).tobytes()], pa.binary()))
+    rows = lambda n, terms, df, total, wide, body: pa.RecordBatch.from_arrays([pa.array(np.full(n, segment)), terms, pa.array(df), pa.array(total), pa.array(wide), body], ["segment", "term", "n", "total", "bytes", "body"])
+    docs = np.stack((ids, size)).tobytes()
+    yield rows(1, pa.nulls(1, pa.string()), np.array([(size > 0).sum()]), np.array([size.sum()]), np.array([len(docs)]), pa.array([docs], pa.binary()))
     if len(at):
-        yield rows(len(at), coded.dictionary.take(pa.array(term[at])), df, np.add.reduceat(times, at), split_blob(data, ends))
+        yield rows(len(at), coded.dictionary.take(pa.array(term[at])), df, np.add.reduceat(times, at), np.diff(ends), split_blob(data, ends))
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame) -> DataFrame:
     """The index of ``docs`` (doc_id, text), written to the shared folder: for each segment a row for each term, and one with a null term for its documents.
 
-    ``n`` is the number of documents with the term (with any term), ``total`` that of occurrences. Null texts have no terms. Every row is a
+    ``n`` is the number of documents with the term (with any term), ``total`` that of occurrences, ``bytes`` the size of ``body``, so that
+    statistics need not read it. Null texts have no terms. Every row is a
     document, repeated ids too; rows without doc_id are left out.
     """
     return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(_index, INDEX))
@@ -225,7 +227,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     postings, docs = index.where("term is not null"), index.where("term is null")
     n_docs, n_terms = docs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     words = terms.select("term").distinct()
-    counts = saved(postings.select("term", "n", F.octet_length("body").alias("bytes")).join(side(words, F.octet_length("term") + 16), "term").groupBy("term").agg(F.sum("n").alias("df"), F.sum("bytes").alias("bytes")))
+    counts = saved(postings.select("term", "n", "bytes").join(side(words, F.octet_length("term") + 16), "term").groupBy("term").agg(F.sum("n").alias("df"), F.sum("bytes").alias("bytes")))
     weight = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1))).cast("long")
     weighted = saved(terms.join(counts.select("term", weight.alias("weight")), "term").where("weight > 0"))
     hits = postings.join(side(weighted, F.octet_length("term") + 16 * F.size("items") + 64), "term").select("segment", "part", "weight", "items", "times", "body")
