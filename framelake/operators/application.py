@@ -87,14 +87,15 @@ def run(spark: SparkSession, config: Config, scan: Scan, predictors: dict[str, C
         frames = scan(mine)
         if "error" not in frames.columns:
             frames = frames.withColumn("error", F.lit(None).cast("string"))
-        # Clips differ in length: frames are dealt anew, and the engines share that exchange, so clips are decoded once.
-        frames = frames.repartition("video_id", F.floor(F.col("frame_number") / 64))
+        # Clips differ in length: frames are dealt anew, and the engines share that exchange, so clips are decoded once. What an engine
+        # does not need would else be left out before the exchange, which would make one of its own for each.
+        frames = frames.repartition("video_id", F.floor(F.col("frame_number") / 64)).mapInArrow(lambda batches: batches, frames.schema)
         each = []
         for name in sorted(names):
             e = engines[name]
             its = frames.join(F.broadcast(part.where(F.col("engine") == name).select("video_id")), "video_id", "left_semi")
             if tensor is None and flag(e.get("roi_cropping")) and "px1" in its.columns:
-                its = its.withColumn("image", F.when(F.col("image").isNotNull(), models.crop("image", "width", "px1", "py1", "px2", "py2")))
+                its = its.withColumn("image", models.crop("image", "width", "px1", "py1", "px2", "py2"))
             each.append(_file_rows(detect(its, e, predictors[name], ["video_id", "frame_number"], e["anchors"], tensor, shape, strategy, "error", True), e))
         rows = each[0]
         for other in each[1:]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import Any
 
@@ -25,12 +26,8 @@ def detect(frames: DataFrame, engine: dict[str, Any], make_predict: Callable, ke
 
     With ``error`` frames on which the model fails do not end the job: each has one row, with the failure in that column
     and nulls for the detection; the other frames of its batch go on. With ``outer`` frames without detections have
-    a row of nulls as well, so that every frame is told of. A frame that has an ``error`` already is not given to the model.
+    a row of nulls as well, so that every frame is told of. A frame that has an ``error`` already keeps it; the model gets zeros for it.
     """
-    if error in frames.columns:
-        bad = frames.where(F.col(error).isNotNull())
-        good = detect(frames.where(F.col(error).isNull()).drop(error), engine, make_predict, keys, anchors, tensor, shape, strategy, error, outer)
-        return good.unionByName(bad.select(*keys, error, F.lit(0).alias("kept_rank")), allowMissingColumns=True)
     width, height = engine["input_width"], engine["input_height"]
     crops = bool(engine.get("roi_cropping")) and "px1" in frames.columns
     cropped = F.col("px1").isNotNull() if crops else F.lit(False)
@@ -42,7 +39,12 @@ def detect(frames: DataFrame, engine: dict[str, Any], make_predict: Callable, ke
         tensor, shape = "_input", [3, height, width]
     size = [c for c in ("_ow", "_oh", "_dx", "_dy", "_tw", "_th")]
     frames = frames.withColumn("_tw", F.col("width").cast("double")).withColumn("_th", F.col("height").cast("double"))
-    out = models.infer(frames.select(*keys, *size, tensor), tensor, make_predict, engine.get("batch_size", 1), shape, "_output", error).drop(tensor)
+    before = error in frames.columns  # failures of a step before, whose frames have no input
+    if before:
+        frames = frames.withColumnRenamed(error, "_before").withColumn(tensor, F.coalesce(tensor, F.array_repeat(F.lit(0.0).cast("float"), math.prod(shape))))
+    out = models.infer(frames.select(*keys, *size, *(["_before"] if before else []), tensor), tensor, make_predict, engine.get("batch_size", 1), shape, "_output", error).drop(tensor)
+    if before:
+        out = out.withColumn(error, F.coalesce("_before", error)).withColumn("_output", F.when(F.col(error).isNull(), F.col("_output"))).drop("_before")
     pose = str(engine.get("type", "detection")).lower() == "pose"
     found = tensors.decode_any(out, "_output", anchors, 17 if pose else 0, engine["conf_threshold"], outer or error is not None)
     if error is not None and not outer:

@@ -132,7 +132,7 @@ def crop(image: Column, w: Column, x1: Column, y1: Column, x2: Column, y2: Colum
 
     @F.pandas_udf("binary")
     def run(b: pd.Series, ws: pd.Series, *box: pd.Series) -> pd.Series:
-        return pd.Series([x if pd.isna(r[0]) else np.frombuffer(x, np.uint8).reshape(-1, int(i), 3)[int(r[1]) : int(r[3]), int(r[0]) : int(r[2])].tobytes() for x, i, *r in zip(b, ws, *box, strict=True)])
+        return pd.Series([x if x is None or pd.isna(r[0]) else np.frombuffer(x, np.uint8).reshape(-1, int(i), 3)[int(r[1]) : int(r[3]), int(r[0]) : int(r[2])].tobytes() for x, i, *r in zip(b, ws, *box, strict=True)])
 
     return run(image, w, x1, y1, x2, y2)
 
@@ -141,6 +141,6 @@ def letterbox(image: Column, w: Column, h: Column, width: int, height: int) -> C
     """The model input of raw BGR bytes, as array<float>."""
     @F.pandas_udf("array<float>")
     def run(b: pd.Series, ws: pd.Series, hs: pd.Series) -> pd.Series:
-        return pd.Series([letterbox_pixels(np.frombuffer(x, np.uint8).reshape(int(j), int(i), 3), width, height).ravel() for x, i, j in zip(b, ws, hs, strict=True)])
+        return pd.Series([None if x is None else letterbox_pixels(np.frombuffer(x, np.uint8).reshape(int(j), int(i), 3), width, height).ravel() for x, i, j in zip(b, ws, hs, strict=True)])
 
     return run(image, w, h)

@@ -81,6 +81,21 @@ def test_killed_run_gives_what_one_run_gives(spark, videos, tmp_path, monkeypatc
     assert rows_of(spark, out) == want
 
 
+def test_clips_are_decoded_once_for_all_engines(spark, videos, tmp_path):
+    log = str(tmp_path / "log")
+
+    def counting(path, first):
+        for frame in npy_clip(path, first):
+            with open(log, "a") as f:
+                f.write("x\n")
+            yield frame
+
+    application.run(spark, config.Config(list(ENGINES)), lambda c: application.clip_scan(c, counting, 1.0), {e["name"]: model for e in ENGINES}, str(tmp_path / "out"), clips=videos)
+    with open(log) as f:
+        assert len(f.readlines()) == 18
+    assert application.commits(spark, str(tmp_path / "out")).count() == 10
+
+
 def test_failures_and_summary(spark, videos, tmp_path):
     go(spark, videos, tmp_path)
     bad = sorted(tuple(r) for r in application.failures(spark, str(tmp_path)).where("engine = 'a'").collect() if r.frame_number)
