@@ -1,7 +1,7 @@
 """Detection files: ``spark.read.format("detbin")`` and ``df.write.format("detbin")``; see detcodec for their layout.
 
 The Python source opens and writes files in mounted folders and refuses other stores;
-``read_detections`` goes through Spark's binaryFile reader and so reads any store, ``write_parquet`` is the sink for any store.
+``read_detections`` takes it for mounted folders and Spark's binaryFile reader for other stores, ``write_parquet`` is the sink for any store.
 
 Beside a file may lie an index, ``<file>.idx``: blocks of some rows with their first byte and their lowest and highest frame number. With
 it a file is read by several tasks, and blocks outside of a range of frames are not read. The writer makes it, ``index_files`` adds it to files from elsewhere.
@@ -34,7 +34,7 @@ from pyspark.sql.types import StructType
 
 from framelake.schemas import DETECTION_FILE
 from framelake.sources.detcodec import NAMES, BadFile, encode_rows, model_type, rows, walk  # noqa: F401
-from framelake.sources.folders import local_folder
+from framelake.sources.folders import file_system, local_folder
 
 #: Bytes that one task reads where an index allows it; frames of a file that one task writes.
 SPLIT, PIECE = 16 << 20, 500_000
@@ -195,7 +195,14 @@ def read_frames_of(spark: SparkSession, path: str, low: int | None = None, high:
 
 
 def read_detections(spark: SparkSession, path: str, mode: str = "PERMISSIVE", max_frames: int = 0) -> DataFrame:
-    """The same rows through Spark's own file reader: any store, one task a file, files below 2 GB."""
+    """Rows of all files below a folder, from any store.
+
+    In mounted folders the Python source reads them, by ranges of bytes where there is an index, and never holds a whole file. From other stores they come through
+    Spark's own file reader: one task a file, each as a whole in memory and below 2 GB.
+    """
+    if file_system(spark, path)[0].getScheme() == "file" and _files(path):
+        register(spark)
+        return spark.read.format("detbin").option("mode", mode).option("maxframes", max_frames).load(path)
     strict = mode.upper() == "FAILFAST"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

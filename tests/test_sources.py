@@ -466,6 +466,19 @@ def test_writer_makes_and_extends_the_index(spark, tmp_path, monkeypatch):
     assert flat(detbin.read_frames_of(spark, str(tmp_path), 4000)) == [("a.bin", 1, 5000, 0, 5000.0, 0.5, 0.25, 7, [(0.0, 1.0, 0.5), (1.0, 1.0, 0.5)])]
 
 
+def test_detections_are_read_by_ranges(spark, tmp_path):
+    """A large file is never one value of a row."""
+    frame = np.zeros(2 + 1000 * 7, "<i4")
+    frame[1] = 1000
+    words = np.tile(frame, (1500, 1))
+    words[:, 0] = np.arange(1500)
+    (tmp_path / "a.bin").write_bytes(struct.pack("<i", 0) + words.tobytes())
+    detbin.Index.build(str(tmp_path / "a.bin")).write(str(tmp_path / "a.bin"))
+    df = detbin.read_detections(spark, f"file://{tmp_path}", "FAILFAST")
+    assert df.rdd.getNumPartitions() == 3 and df.agg(F.count("det_index"), F.countDistinct("frame_number")).first() == (1_500_000, 1500)
+    assert detbin.read_detections(spark, str(tmp_path), max_frames=7).count() == 7000
+
+
 @pytest.mark.parametrize("step", range(7))
 def test_commits_that_die_are_finished(spark, tmp_path, monkeypatch, step):
     """A commit is killed at one of its steps; whoever comes next finishes it, and nothing is there twice."""
