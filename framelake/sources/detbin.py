@@ -5,7 +5,8 @@ The Python source opens and writes files in mounted folders and refuses other st
 
 Beside a file may lie an index, ``<file>.idx``: blocks of some rows with their first byte and their lowest and highest frame number. With
 it a file is read by several tasks, and blocks outside of a range of frames are not read. The writer makes it, ``index_files`` adds it to files from elsewhere.
-What was appended since is one block more; an index that does not fit its file is not used.
+What was appended since is one block more; an index that does not fit its file is not used. Strict reading holds frames to the numbers that the
+writer put down for their block; bytes that others wrote are held to detcodec.FRAMES.
 
 A job's files change together. Tasks write parts; the commit first writes down what is to be done (``_commit``), then appends or renames, then takes the note
 away. A job that dies in between is finished by whoever reads or writes the folder next, from that note, any number of times.
@@ -33,7 +34,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from framelake.schemas import DETECTION_FILE
-from framelake.sources.detcodec import NAMES, BadFile, encode_rows, model_type, rows, walk  # noqa: F401
+from framelake.sources.detcodec import FRAMES, NAMES, BadFile, encode_rows, model_type, rows, walk  # noqa: F401
 from framelake.sources.folders import file_system, local_folder
 
 #: Bytes that one task reads where an index allows it; frames of a file that one task writes.
@@ -63,6 +64,8 @@ def locked(folder: str) -> Iterator[None]:
 class Index:
     blocks: np.ndarray
     size: int
+    #: Whether the writer made all of it, from what it wrote.
+    own: bool = False
 
     @staticmethod
     def mark(path: str, size: int) -> int:
@@ -75,7 +78,7 @@ class Index:
     def write(self, path: str) -> None:
         part = f"{path}.{uuid.uuid4().hex}"
         with open(part, "wb") as f:
-            np.savez(f, blocks=self.blocks, size=np.int64(self.size), mark=np.int64(self.mark(path, self.size)))
+            np.savez(f, blocks=self.blocks, size=np.int64(self.size), mark=np.int64(self.mark(path, self.size)), own=np.bool_(self.own))
         os.replace(part, f"{path}.idx")
 
     @classmethod
@@ -85,7 +88,7 @@ class Index:
                 size = int(x["size"])
                 if os.path.getsize(path) < size or cls.mark(path, size) != int(x["mark"]):
                     return None
-                return cls(x["blocks"], size)
+                return cls(x["blocks"], size, "own" in x and bool(x["own"]))
         except (OSError, ValueError, KeyError):
             return None
 
@@ -121,11 +124,11 @@ def index_files(spark: SparkSession, path: str) -> int:
 
 
 class Range(InputPartition):
-    """Bytes of a file, from the head of a frame on; to the end of the file where ``end`` is 0."""
+    """Bytes of a file, from the head of a frame on; to the end of the file where ``end`` is 0. Frames are in ``frames``, as far as is known."""
 
-    def __init__(self, path: str, start: int, end: int) -> None:
+    def __init__(self, path: str, start: int, end: int, frames: tuple[int, int] = FRAMES) -> None:
         super().__init__(None)
-        self.path, self.start, self.end = path, start, end
+        self.path, self.start, self.end, self.frames = path, start, end, frames
 
 
 def _files(path: str) -> list[str]:
@@ -144,22 +147,33 @@ def ranges(path: str, low: int | None = None, high: int | None = None, split: in
     ends = np.append(index.blocks["start"][1:], index.size)
     keep = (index.blocks["high"] >= (low if low is not None else -(2**31))) & (index.blocks["low"] <= (high if high is not None else 2**31))
     out: list[Range] = []
-    for start, end in zip(index.blocks["start"][keep].tolist(), ends[keep].tolist(), strict=True):
+    blocks = index.blocks[keep]
+    for start, end, *frames in zip(blocks["start"].tolist(), ends[keep].tolist(), blocks["low"].tolist(), blocks["high"].tolist(), strict=True):
         if out and out[-1].end == start and end - out[-1].start <= split:
             out[-1].end = end
+            if index.own:
+                out[-1].frames = (min(out[-1].frames[0], frames[0]), max(out[-1].frames[1], frames[1]))
         else:
-            out.append(Range(path, start, end))
+            out.append(Range(path, start, end, tuple(frames) if index.own else FRAMES))
     if os.path.getsize(path) > index.size:
         out.append(Range(path, index.size, 0))
     return out
 
 
+def first_of(path: str) -> Range:
+    """A file from its first frame on, in one piece."""
+    index = Index.read(path)
+    if index is None or not index.own or not len(index.blocks) or os.path.getsize(path) > index.size:
+        return Range(path, 4, 0)
+    return Range(path, 4, 0, (int(index.blocks["low"].min()), int(index.blocks["high"].max())))
+
+
 def read_range(r: Range, strict: bool, max_frames: int = 0) -> Iterator[pa.RecordBatch]:
     data = mapped(r.path)
     if (kind := model_type(data, strict)) is None:
         return
     part = data[: r.end] if r.end else data
-    for chunk in walk(part, r.start, strict, max_frames):
+    for chunk in walk(part, r.start, strict, max_frames, r.frames):
         if chunk[0]:
             yield rows(r.path, part, kind, chunk)
 
@@ -175,7 +189,7 @@ class DetBinReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if self.max_frames:
-            return [Range(f, 4, 0) for f in _files(self.path)]
+            return [first_of(f) for f in _files(self.path)]
         return [r for f in _files(self.path) for r in ranges(f, self.low, self.high, self.split)]
 
     def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
@@ -251,9 +265,9 @@ def finish(folder: str, note: dict) -> None:
             os.replace(source, os.path.join(folder, name))
     for name, size, blocks in note["index"]:
         file = os.path.join(folder, name)
-        old = Index.read(file) if size else Index(np.zeros(0, BLOCK), 4)
+        old = Index.read(file) if size else Index(np.zeros(0, BLOCK), 4, True)
         if old is not None and old.size == max(4, size):  # else someone else's bytes are not indexed; index_files() does it
-            Index(np.concatenate((old.blocks, np.array([tuple(b) for b in blocks], BLOCK))), os.path.getsize(file)).write(file)
+            Index(np.concatenate((old.blocks, np.array([tuple(b) for b in blocks], BLOCK))), os.path.getsize(file), old.own).write(file)
     if note.get("job"):
         open(os.path.join(folder, f"_done-{note['job']}"), "w").close()
     os.remove(os.path.join(folder, NOTE))

@@ -479,6 +479,20 @@ def test_detections_are_read_by_ranges(spark, tmp_path):
     assert detbin.read_detections(spark, str(tmp_path), max_frames=7).count() == 7000
 
 
+def test_strict_reading_knows_the_frames_that_were_written(spark, tmp_path):
+    rows = [("a.bin", 5, 0, 1), ("a.bin", 2_000_000, 0, 1), ("b.bin", 3_000_000, None, 0)]
+    detbin.write_detections(det_rows(spark, rows), str(tmp_path))
+    detbin.write_detections(det_rows(spark, [("a.bin", 4_000_000, 0, 1)]), str(tmp_path))
+    assert [r[2] for r in flat(detbin.read_detections(spark, str(tmp_path), "FAILFAST"))] == [5, 2_000_000, 4_000_000, 3_000_000]
+    assert [r[2] for r in flat(detbin.read_detections(spark, str(tmp_path), "FAILFAST", max_frames=2))] == [5, 2_000_000, 3_000_000]
+    with open(tmp_path / "b.bin", "ab") as f:  # bytes of others are held to the usual numbers, with and without an index
+        f.write(encode(0, [(3_000_001, [])])[4:])
+    for _ in range(2):
+        with pytest.raises(Exception, match="frame 300000"):
+            detbin.read_detections(spark, str(tmp_path), "FAILFAST").collect()
+        detbin.index_files(spark, str(tmp_path))
+
+
 @pytest.mark.parametrize("step", range(7))
 def test_commits_that_die_are_finished(spark, tmp_path, monkeypatch, step):
     """A commit is killed at one of its steps; whoever comes next finishes it, and nothing is there twice."""
