@@ -14,6 +14,8 @@ from framelake.functions.geometry import draw_box, drawn_points, drawn_segments,
 from framelake.functions.scalars import frame_clock
 from framelake.schemas import FRAMES
 
+#: Rows, and bytes of images, that scan_clips() gives on at once, whichever is reached first; its tasks for each core.
+ROWS, BYTES, TASKS = 8192, 32 << 20, 4
 #: Of a clip: (frame position, width, height, image bytes) from a position on.
 Decoder = Callable[[str, int], Iterator[tuple[int, int, int, bytes]]]
 
@@ -85,15 +87,16 @@ def scan_clips(clips: DataFrame, decoder: Decoder, fps: float = 30.0, max_frames
     """Decodes clips (one row each) with a pluggable decoder; seeks to the window and stops after it, or after ``max_frames`` frames of a clip (0: no cap).
 
     With ``error`` a clip that cannot be decoded does not end the job: a row with the failure in
-    that column follows the frames that were read, with nulls in the others but for video_id.
+    that column follows the frames that were read, with nulls in the others but for video_id. Frames of many short clips go on together.
     """
     names = [*FRAMES.names, *([error] if error else [])]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        more, out, held = [None] if error else [], [], 0
+        frame = lambda: pd.DataFrame(out, columns=names).astype({n: "Int64" for n in ("frame_pos", "frame_number", "width", "height")})
         for clip_rows in parts:
             for c in clip_rows.itertuples():
-                first, out, number = first_position(c.moment_time, c.start_ts, fps), [], 0
-                more = [None] if error else []
+                first, number = first_position(c.moment_time, c.start_ts, fps), 0
                 try:
                     for pos, width, height, image in decoder(c.path, first) if first is not None else ():
                         ts = c.moment_time + (pos + 1) / fps
@@ -102,19 +105,26 @@ def scan_clips(clips: DataFrame, decoder: Decoder, fps: float = 30.0, max_frames
                         if pos >= first and ts >= c.start_ts:
                             number += 1
                             out.append((c.video_id, pos, number, ts, width, height, image, *more))
+                            held += len(image or b"")
                         if number == max_frames > 0:
                             break
-                        if len(out) >= 64:
-                            yield pd.DataFrame(out, columns=names)
-                            out = []
+                        if len(out) >= ROWS or held >= BYTES:
+                            yield frame()
+                            out, held = [], 0
                 except Exception as e:
                     if not error:
                         raise
                     out.append((c.video_id, *[None] * (len(FRAMES.names) - 1), f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame(out, columns=names).astype({n: "Int64" for n in ("frame_pos", "frame_number", "width", "height")})
+                if len(out) >= ROWS:
+                    yield frame()
+                    out, held = [], 0
+        if out:
+            yield frame()
 
     schema = T.StructType([*FRAMES.fields, *([T.StructField(error, T.StringType())] if error else [])])
-    return clips.select("video_id", "path", "moment_time", "start_ts", "end_ts").mapInPandas(run, schema)
+    rows = clips.select("video_id", "path", "moment_time", "start_ts", "end_ts")
+    dealt = rows.repartition(TASKS * clips.sparkSession.sparkContext.defaultParallelism, "video_id", "path")  # a list is small, its clips are much work
+    return dealt.mapInPandas(run, schema)
 
 
 def scan_images(spark: SparkSession, path: str, decoder: Callable[[bytes], tuple[int, int, bytes]], pattern: str = "*") -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -182,6 +183,19 @@ def test_scan_clips(spark):
     assert a.frame_pos.min() == 60 and a.frame_number.min() == 1 and a.ts.max() <= 13.0 and (got.video_id == 1).sum() == 150
 
 
+def test_short_clips_are_scanned_together(spark):
+    """Many clips in one partition are dealt to tasks, and their few frames do not each go on alone."""
+    clips = spark.range(20_000).coalesce(1).select(F.col("id").cast("int").alias("video_id"), F.lit("a").alias("path"), F.lit(0.0).alias("moment_time"), F.lit(0.0).alias("start_ts"), F.lit(9.0).alias("end_ts"))
+
+    def decoder(path, first):
+        return ((i, 1, 1, b"x") for i in range(first, 2))
+
+    got = frames.scan_clips(clips, decoder)
+    sizes = got.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    n = [r.n for r in sizes.collect()]
+    assert sum(n) == 40_000 and len(n) < 100 and got.select("video_id", "frame_pos").distinct().count() == 40_000 and got.rdd.getNumPartitions() > 4
+
+
 @pytest.mark.parametrize(("text", "want", "legacy"), [("12.5", 12.5, 12.5), ("2025-11-18T08:30:00+07:00", 1763429400.0, 1763429400.0), ("2025-11-18T08:30:00.25Z", 1763454600.25, None), ("2025-11-18T08:30:00", 1763454600.0, None), ("2025-11-18T08:30:00+0700", 1763429400.0, 1763454600.0), ("", None, None), ("soon", None, None), (" 7 ", 7.0, 7.0), ("2025-13-45T08:30:00Z", None, None)])
 def test_parse_epoch(spark, text, want, legacy):
     df = spark.createDataFrame([(text,)], "t string")
