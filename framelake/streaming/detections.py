@@ -96,11 +96,27 @@ def stream_detections(spark: SparkSession, path: str, max_bytes: int = 0, progre
 
 
 def finished(df: DataFrame, sink: str, checkpoint: str) -> None:
-    """Works through what a stream has now, into Parquet files, and waits for the end; a later run with the same checkpoint goes on from there."""
-    q = df.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
+    """Works through what a stream has, into Parquet files, and waits for the end; a later run with the same checkpoint goes on from there.
+
+    In a run over what is available Spark asks a Python source for its end only once, so one that gives some bytes at a time (``maxbytes``) would end after its
+    first micro-batch. The rest follows in a run that goes on until nothing new is found; streams with state, which timers may keep busy, are run again instead.
+    """
+    sinks = df.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+    while True:
+        q = sinks.trigger(availableNow=True).start()
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+        done = q.recentProgress
+        if not any(p.numInputRows for p in done):
+            return
+        if not any(p.stateOperators for p in done):
+            break
+    q = df.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
 
 
 @contextmanager

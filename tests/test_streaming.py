@@ -92,6 +92,15 @@ def test_limited_stream_goes_on_after_a_restart(spark, tmp_path):
     assert rows_of(spark.read.parquet(f"{sink}/out")) == want(("a.bin", frames(0, 80)))
 
 
+def test_finished_works_through_all_of_a_limited_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    more = [(f, [DET] * 3) for f in range(20_000)]
+    (folder / "a.bin").write_bytes(encode(0, more))
+    detections.finished(detections.stream_detections(spark, str(folder), 500_000, str(tmp_path / "progress")), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert rows_of(spark.read.parquet(str(tmp_path / "out"))) == want(("a.bin", more))
+
+
 @pytest.fixture
 def rocks(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
