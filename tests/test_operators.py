@@ -289,6 +289,23 @@ def test_grid_compares_few_pairs(spark):
     assert found <= tried < 5000 * 5000 / 2 / 100
 
 
+def test_grid_of_a_dense_crowd_compares_near_boxes(spark):
+    """Boxes of three grids, side by side in a wide picture: what coarser grids hold together is not compared for it."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    x = np.stack([rng.uniform(0, 8000, n), rng.uniform(0, 640, n), rng.uniform(80, 280, n), rng.uniform(80, 240, n)], axis=1)
+    df = spark.createDataFrame([(0, i, *map(float, b)) for i, b in enumerate(x)], "g int, anchor long, cx double, cy double, w double, h double")
+    half = x[:, 2:] / 2
+    lo, hi, size = x[:, :2] - half, x[:, :2] + half, x[:, 2] * x[:, 3]
+    side = np.maximum(0, np.minimum(hi[:, None], hi[None]) - np.maximum(lo[:, None], lo[None]))
+    inter = side[..., 0] * side[..., 1]
+    want = np.triu(inter / (size[:, None] + size[None] - inter) > 0.3, 1)
+    got = nms.overlapping_pairs(df, ["g"], 0.3)
+    assert {(r.a, r.b) for r in got.collect()} == set(zip(*(i.tolist() for i in np.nonzero(want)), strict=True))
+    looked = nms.candidate_pairs(df, ["g"], 0.3).count()
+    assert want.sum() <= looked < 8 * want.sum()
+
+
 @pytest.mark.parametrize("keypoints", [0, 17])
 @pytest.mark.parametrize("outer", [False, True])
 def test_packed_decoding_equals_decoding_in_columns(spark, keypoints, outer):
