@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelake.functions.geometry import valid_roi
 from framelake.functions.scalars import INF, extension, number_prefix_or, parse_epoch, time_window, trim_all
-from framelake.operators.batching import numbered
+from framelake.sources.folders import stored
 
 _JSON = """alarm STRUCT<raw_alarm: STRUCT<record_list: ARRAY<STRUCT<moment_time: STRING, duration: STRING>>, video_start_time: STRING, video_end_time: STRING>>,
 playback_location ARRAY<STRING>, config STRUCT<box: ARRAY<ARRAY<FLOAT>>>"""
@@ -52,7 +53,12 @@ def read_manifest(spark: SparkSession, path: str, fmt: str | None = None, paddin
         clips = parse_plain(lines).select("_file", "_block", "_line", F.lit(0).alias("place"), "path", F.lit(0.0).alias("moment_time"), F.lit(0.0).alias("duration"), (-unbounded).alias("start_ts"), unbounded.alias("end_ts"), no_roi.alias("roi"))
     else:
         clips = parse_jsonl(lines, padding_s, legacy_iso)
-    placed = numbered(clips.withColumn("_list", F.lit(0)), ["_list"], ["_file", "_block", "_line", "place"])  # long lists by ranges
+    clips = stored(clips)  # lists are read and parsed once, and a line's place is the same for all that follows
+    block = ["_file", "_block"]
+    counts = clips.groupBy(*block).agg(F.count("*").alias("_c"))  # a row for each block of a file
+    counts = counts.select(*block, (F.sum("_c").over(W.orderBy(*block)) - F.col("_c")).alias("_before"))
+    own = F.row_number().over(W.partitionBy(*block).orderBy("_line", "place")) - 1
+    placed = clips.withColumn("_own", own).join(F.broadcast(counts), block).withColumn("_i", F.col("_own") + F.col("_before"))
     return placed.select(F.col("_i").cast("int").alias("video_id"), "path", "moment_time", "duration", "start_ts", "end_ts", "roi")
 
 

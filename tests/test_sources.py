@@ -466,6 +466,25 @@ def test_writer_makes_and_extends_the_index(spark, tmp_path, monkeypatch):
     assert flat(detbin.read_frames_of(spark, str(tmp_path), 4000)) == [("a.bin", 1, 5000, 0, 5000.0, 0.5, 0.25, 7, [(0.0, 1.0, 0.5), (1.0, 1.0, 0.5)])]
 
 
+def test_long_lists_are_parsed_once(spark, tmp_path):
+    """A list of several files and blocks is numbered in its order, and its lines are read by one job only."""
+    folder = tmp_path / "list"
+    folder.mkdir()
+    names = [f"clip_{i:05d}.mp4" for i in range(3000)]
+    for k in range(3):
+        (folder / f"part-{k:05d}.txt").write_text("".join(f"{n}\n# no\n" for n in names[1000 * k : 1000 * (k + 1)]))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        got = manifest.read_manifest(spark, str(folder), "plain")
+        for f in folder.iterdir():
+            f.unlink()  # what follows does not go back to the lines
+        assert [tuple(r) for r in got.select("video_id", "path").orderBy("video_id").collect()] == list(enumerate(names))
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_detections_are_read_by_ranges(spark, tmp_path):
     """A large file is never one value of a row."""
     frame = np.zeros(2 + 1000 * 7, "<i4")
