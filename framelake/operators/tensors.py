@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,9 +60,17 @@ WIDE = 2048
 def pack(tensor: Column) -> Column:
     """An array<float> as little-endian bytes of fixed width."""
 
-    @F.pandas_udf("binary")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+    @F.arrow_udf("binary")
+    def run(v: pa.Array) -> pa.Array:
+        values = v.values.cast(pa.float32())
+        values = values.fill_null(float("nan")) if values.null_count else values
+        ends = v.offsets.to_numpy().astype(np.int64) * 4
+        if ends[-1] - ends[0] >= 1 << 31:
+            raise ValueError("tensors of one batch have more than 2 GB: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+        mask = pa.py_buffer(np.packbits(v.is_valid().to_numpy(zero_copy_only=False), bitorder="little")) if v.null_count else None
+        data = values.buffers()[1]  # the numbers of the batch as they lie, no copy of them
+        data = data.slice(4 * values.offset + int(ends[0])) if data is not None else pa.py_buffer(b"")
+        return pa.Array.from_buffers(pa.binary(), len(v), [mask, pa.py_buffer((ends - ends[0]).astype(np.int32)), data])
 
     return run(tensor)
 

@@ -306,6 +306,16 @@ def test_grid_of_a_dense_crowd_compares_near_boxes(spark):
     assert want.sum() <= looked < 8 * want.sum()
 
 
+def test_packing_makes_no_objects_of_rows(spark):
+    """Batches go through as Arrow arrays; nulls, empty tensors, missing numbers and doubles keep their bytes."""
+    rows = [(0, [1.0, 2.5]), (1, None), (2, []), (3, [None, 3.0]), (4, [float("inf")])]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"i int, t array<{kind}>").coalesce(1).select("i", tensors.pack(F.col("t")).alias("p"))
+        got = {r.i: None if r.p is None else np.frombuffer(r.p, "<f4").tolist() for r in df.collect()}
+        assert got[0] == [1.0, 2.5] and got[1] is None and got[2] == [] and np.isnan(got[3][0]) and got[3][1] == 3.0 and got[4] == [float("inf")]
+        assert df.where("i = 3").count() == 1
+
+
 @pytest.mark.parametrize("keypoints", [0, 17])
 @pytest.mark.parametrize("outer", [False, True])
 def test_packed_decoding_equals_decoding_in_columns(spark, keypoints, outer):
