@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from framelake.functions.scalars import output_path
 from framelake.operators import models
 from framelake.operators.detect import detect
-from framelake.operators.frames import fan_out, scan_clips, with_roi
+from framelake.operators.frames import TASKS, fan_out, scan_clips, with_roi
 from framelake.schemas import DETECTION_FILE, RESULTS
 from framelake.sources.config import Config, flag, from_args
 from framelake.sources.folders import exists, file_system, stored
@@ -89,7 +89,9 @@ def run(spark: SparkSession, config: Config, scan: Scan, predictors: dict[str, C
             frames = frames.withColumn("error", F.lit(None).cast("string"))
         # Clips differ in length: frames are dealt anew, and the engines share that exchange, so clips are decoded once. What an engine
         # does not need would else be left out before the exchange, which would make one of its own for each.
-        frames = frames.repartition("video_id", F.floor(F.col("frame_number") / 64)).mapInArrow(lambda batches: batches, frames.schema)
+        # Their number is given: by its bytes the exchange is small, and would be put together into few tasks that run the models.
+        tasks = max(TASKS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        frames = frames.repartition(tasks, "video_id", F.floor(F.col("frame_number") / 64)).mapInArrow(lambda batches: batches, frames.schema)
         each = []
         for name in sorted(names):
             e = engines[name]

@@ -2,29 +2,59 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import predict_batch_udf
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def infer(df: DataFrame, tensor: str, make_predict: Callable, batch_size: int, shape: list[int], out: str = "output", error: str | None = None) -> DataFrame:
     """``out`` holds the flat model output of each row; ``make_predict`` loads the model once a worker.
 
     With ``error`` a failing batch does not end the job: it is halved until the rows that fail are
-    found (see bisected()); these have a null output and the failure's text in that column, all others a null there.
+    found (see halved()); these have a null output and the failure's text in that column, all others a null there.
     """
+    name, size = uuid.uuid4().hex, math.prod(shape)
+
+    @F.arrow_udf("struct<y:array<float>,e:string>")
+    def run(v: pa.Array) -> pa.Array:
+        # The numbers of an Arrow batch are one array for the model and one from it: no objects for rows.
+        predict, values = loaded(name, make_predict), v.flatten().to_numpy(zero_copy_only=False)
+        if v.null_count or len(values) != len(v) * size or (np.diff(v.offsets.to_numpy()) != size).any():
+            raise ValueError(f"tensors must have {size} values each, {shape}")
+        ys, failed = [], []
+        for a in range(0, len(v), batch_size):
+            x = np.array(values[a * size : (a + batch_size) * size]).reshape(-1, *shape)  # the model's own, it may write there
+            y, e = halved(predict, x) if error is not None else (outputs(predict, x), [""] * len(x))
+            ys += y
+            failed += e
+        ends = np.concatenate(([0], np.cumsum([len(y) for y in ys]))).astype(np.int64)
+        flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ys) if ys else np.zeros(0, np.float32)))
+        return pa.StructArray.from_arrays([flat, pa.array(failed, pa.string())], ["y", "e"])
+
+    rows, fine = df.withColumn("_r", run(F.col(tensor))), F.col("_r.e") == ""
     if error is None:
-        udf = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[shape])
-        return df.withColumn(out, udf(F.col(tensor)))
-    kind = T.StructType([T.StructField("y", T.ArrayType(T.FloatType())), T.StructField("e", T.StringType())])
-    udf = predict_batch_udf(bisected(make_predict), return_type=kind, batch_size=batch_size, input_tensor_shapes=[shape])
-    fine = F.col("_r.e") == ""
-    return df.withColumn("_r", udf(F.col(tensor))).withColumn(out, F.when(fine, F.col("_r.y"))).withColumn(error, F.when(~fine, F.col("_r.e"))).drop("_r")
+        return rows.withColumn(out, F.col("_r.y")).drop("_r")
+    return rows.withColumn(out, F.when(fine, F.col("_r.y"))).withColumn(error, F.when(~fine, F.col("_r.e"))).drop("_r")
+
+
+#: Models of this worker, by the name of their use; as many as LOADED stay.
+_MODELS: dict[str, Callable] = {}
+LOADED = 3
+
+
+def loaded(name: str, make_predict: Callable) -> Callable:
+    """The model of a use, made at most once while it stays."""
+    if name not in _MODELS:
+        while len(_MODELS) >= LOADED:
+            _MODELS.pop(next(iter(_MODELS)))
+        _MODELS[name] = make_predict()
+    return _MODELS[name]
 
 
 def stub_model(channels: int, anchors: int) -> Callable:
@@ -41,13 +71,18 @@ def stub_model(channels: int, anchors: int) -> Callable:
     return make
 
 
+def outputs(predict: Callable, x: np.ndarray) -> list[np.ndarray]:
+    """The flat output of each row."""
+    y = np.asarray(predict(x))
+    if len(y) != len(x):
+        raise ValueError(f"{len(y)} outputs for {len(x)} inputs")
+    return list(y.reshape(len(x), -1).astype(np.float32))
+
+
 def halved(predict: Callable, x: np.ndarray) -> tuple[list[np.ndarray], list[str]]:
     """Outputs and failures ("" for none) of rows, by halving what fails: f bad rows of n take some 2 f log2(n / f) runs more."""
     try:
-        y = np.asarray(predict(x))
-        if len(y) != len(x):
-            raise ValueError(f"{len(y)} outputs for {len(x)} inputs")
-        return list(y.reshape(len(x), -1).astype(np.float32)), [""] * len(x)
+        return outputs(predict, x), [""] * len(x)
     except Exception as e:  # any failure of a model is a failed batch
         if len(x) == 1:
             return [np.zeros(0, np.float32)], [f"{type(e).__name__}: {e}"]
@@ -55,16 +90,6 @@ def halved(predict: Callable, x: np.ndarray) -> tuple[list[np.ndarray], list[str
         return y0 + y1, e0 + e1
 
 
-def bisected(make_predict: Callable) -> Callable:
-    """A model whose failing batches lose their bad rows only."""
-
-    def make() -> Callable:
-        inner = make_predict()
-        return lambda x: [{"y": y, "e": e} for y, e in zip(*halved(inner, x), strict=True)]
-
-    return make
-
-
 def onnx_model(path: str) -> Callable:
     """A model file run by onnxruntime, with its first input and output."""
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from framelake.operators import application
@@ -96,6 +97,24 @@ def test_clips_are_decoded_once_for_all_engines(spark, videos, tmp_path):
     assert application.commits(spark, str(tmp_path / "out")).count() == 10
 
 
+def test_models_run_in_several_tasks_however_small_the_frames(spark, videos, tmp_path):
+    log = str(tmp_path / "log")
+
+    def logging():
+        predict = model()
+
+        def told(x):
+            with open(log, "a") as f:
+                f.write(f"{TaskContext.get().partitionId()}\n")
+            return predict(x)
+
+        return told
+
+    application.run(spark, config.Config(ENGINES[:1]), lambda c: application.clip_scan(c, npy_clip, 1.0), {"a": logging}, str(tmp_path / "out"), clips=videos)
+    with open(log) as f:
+        assert len(set(f)) > 1  # by bytes, a task would do for all of these frames
+
+
 def test_failures_and_summary(spark, videos, tmp_path):
     go(spark, videos, tmp_path)
     bad = sorted(tuple(r) for r in application.failures(spark, str(tmp_path)).where("engine = 'a'").collect() if r.frame_number)
