@@ -72,6 +72,24 @@ def test_kept_boxes_do_not_overlap(found, t):
         assert all(iou(b[i], b[j]) <= t + 1e-9 for j in kept[:n])
 
 
+@pytest.mark.parametrize("together", [0, 7, 512])
+def test_groups_are_suppressed_together(monkeypatch, together):
+    """As group by group, in any rounds; numpy is not gone through for each small group."""
+    rng = np.random.default_rng(5)
+    sizes = np.append(rng.integers(0, 12, 3000), [0, 40, 600, 1, 0])
+    n = int(sizes.sum())
+    x = np.stack([rng.uniform(0, 300, n), rng.uniform(0, 300, n), rng.uniform(-1, 200, n), rng.uniform(-1, 200, n)], axis=1)
+    x[rng.integers(0, n, 60), rng.integers(0, 4, 60)] = np.tile([float("nan"), 0, float("inf")], 20)
+    ends, alone, calls = np.cumsum(sizes), nms.keep_greedy, []
+    with np.errstate(all="ignore"):
+        want = np.concatenate([e - k + alone(x[e - k : e], 0.3) for e, k in zip(ends, sizes, strict=True)])
+        monkeypatch.setattr(nms, "keep_greedy", lambda b, t: calls.append(len(b)) or alone(b, t))
+        monkeypatch.setattr(nms, "TOGETHER", together)
+        monkeypatch.setattr(nms, "ROUND", 1000)
+        assert np.flatnonzero(nms.keep_greedy_groups(x, sizes, 0.3)).tolist() == want.tolist()
+    assert sorted(calls) == sorted(sizes[sizes > together].tolist())
+
+
 def test_confidence_filter_compares_in_the_columns_type(spark):
     df = spark.createDataFrame([(0.7,), (0.69,), (float("nan"),), (None,)], "confidence float")
     assert nms.confidence_filter(df, 0.7).count() == 2
