@@ -90,8 +90,7 @@ def run(spark: SparkSession, config: Config, scan: Scan, predictors: dict[str, C
         # Clips differ in length: frames are dealt anew, and the engines share that exchange, so clips are decoded once. What an engine
         # does not need would else be left out before the exchange, which would make one of its own for each.
         # Their number is given: by its bytes the exchange is small, and would be put together into few tasks that run the models.
-        tasks = max(TASKS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        frames = frames.repartition(tasks, "video_id", F.floor(F.col("frame_number") / 64)).mapInArrow(lambda batches: batches, frames.schema)
+        frames = frames.repartition(TASKS * spark.sparkContext.defaultParallelism, "video_id", F.floor(F.col("frame_number") / 64)).mapInArrow(lambda batches: batches, frames.schema)
         each = []
         for name in sorted(names):
             e = engines[name]
