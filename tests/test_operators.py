@@ -324,6 +324,30 @@ def test_grid_of_a_dense_crowd_compares_near_boxes(spark):
     assert want.sum() <= looked < 8 * want.sum()
 
 
+def test_boxes_of_a_cell_meet_in_arrays(spark, monkeypatch):
+    """Rows are not joined pair by pair; few more pairs than overlap are looked at, also where cells come in many chunks or have equal hashes."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    x = np.stack([rng.uniform(-2000, 4000, n), rng.uniform(0, 640, n), *np.exp(rng.normal(5, 0.5, (2, n)))], axis=1)
+    x[:200, :2] = x[200:400, :2]  # equal centres
+    x[:100] = x[100:200]
+    rows = [(name, i, *map(float, b)) for k, name in enumerate(("left", "right")) for i, b in enumerate(x[k::2])]
+    df = spark.createDataFrame([*rows, (None, 1, 0.0, 0.0, 9.0, 9.0), (None, 2, 0.0, 0.0, 9.0, 9.0)], "g string, anchor long, cx double, cy double, w double, h double")
+    want = {(name, i, j): v for k, name in enumerate(("left", "right")) for i in range(n // 2) for j in range(i + 1, n // 2) if (v := iou(x[k::2][i], x[k::2][j])) > 0.3}
+    plan = nms.candidate_pairs(df, ["g"], 0.3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    assert len(want) < nms.candidate_pairs(df, ["g"], 0.3).count() < 8 * len(want)
+    for change in ({}, {"CELLS": 50, "LOOKS": 7}, {"xxhash64": True}):
+        with monkeypatch.context() as m:
+            if "xxhash64" in change:
+                m.setattr(nms.F, "xxhash64", lambda *cols: F.abs(F.hash(*cols) % 3).cast("long"))
+            else:
+                for name, value in change.items():
+                    m.setattr(nms, name, value)
+            got = [tuple(r) for r in nms.overlapping_pairs(df, ["g"], 0.3, few=0).collect()]
+        assert len(got) == len(want) and {r[:3]: r[3] for r in got} == pytest.approx(want)
+
+
 def test_packing_makes_no_objects_of_rows(spark):
     """Batches go through as Arrow arrays; nulls, empty tensors, missing numbers and doubles keep their bytes."""
     rows = [(0, [1.0, 2.5]), (1, None), (2, []), (3, [None, 3.0]), (4, [float("inf")])]
